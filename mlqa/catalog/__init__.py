@@ -2,3 +2,4 @@
 
 from mlqa.catalog.base import REGISTRY  # noqa: F401
 from mlqa.catalog import judging  # noqa: F401
+from mlqa.catalog import corpus  # noqa: F401
