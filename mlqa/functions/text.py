@@ -49,7 +49,7 @@ def _tag_bounds(c: Column, tag: str):
     p = F.instr(c, opener)
     start = p + F.lit(len(opener))
     # first closer at or after the end of the first opener
-    q = F.locate(closer, c, start)
+    q = F.call_function("locate", F.lit(closer), c, start)
     return p, start, q
 
 
