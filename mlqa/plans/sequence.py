@@ -53,3 +53,13 @@ def sequence_number(df: DataFrame, order: list, bucket: Column,
     if limit is not None:
         out = out.filter(F.col(name) <= F.lit(limit))
     return out.drop("_seq_b", "_seq_off")
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over the cluster when its scan yields fewer partitions
+    than there are cores (one small file = one task). A planning-time check; at
+    scale the scan already has many splits and this is a no-op."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
