@@ -172,7 +172,7 @@ def q_d11(spark, sf):
 
 
 @register("d12_generation_rows", f"""
-SELECT conv_id, turn, g AS llm_generation, 'Qwen2.5-7B-Instruct_lora_run1' AS model_name,
+SELECT conv_id, turn, g AS llm_generation, 'base-7b_lora_run1' AS model_name,
        coalesce({sql_strip(_block('g', 'think'))}, '') AS extracted_reasoning,
        coalesce({sql_strip(_block('g', 'answer'))}, '') AS extracted_answer
 FROM (SELECT conv_id, turn, {SQL_REPAIR} AS g
@@ -181,7 +181,7 @@ FROM (SELECT conv_id, turn, {SQL_REPAIR} AS g
 """, views=VC)
 def q_d12(spark, sf):
     from mlqa.operators.generation import generation_rows
-    g = generation_rows(vc(spark, sf), "completion", "Qwen2.5-7B-Instruct", "ckpt/run1")
+    g = generation_rows(vc(spark, sf), "completion", "base-7b", "ckpt/run1")
     return g.select("conv_id", "turn", "llm_generation", "model_name", "extracted_reasoning",
                     "extracted_answer")
 

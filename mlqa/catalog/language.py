@@ -108,6 +108,12 @@ dom AS (SELECT *, {_sql_dominant('q_', True)} AS qd, {_sql_dominant('b_', False)
 """
 
 
+def _bodies(spark, sf):
+    v = view(spark, sf, "v_completions")
+    return v.select("conv_id", "turn", "question",
+                    strip(tag_body(open_think("completion", "if_not_prefix"), "think")).alias("body"))
+
+
 @register("e13_script_fallback", f"""
 WITH {SQL_TWO}
 SELECT conv_id, turn, round(CASE WHEN body IS NULL THEN NULL WHEN qd = bd_raw THEN greatest(0.3,
@@ -116,10 +122,10 @@ SELECT conv_id, turn, round(CASE WHEN body IS NULL THEN NULL WHEN qd = bd_raw TH
 FROM dom
 """, views=("v_completions",))
 def q_e13(spark, sf):
-    v = view(spark, sf, "v_completions")
-    body = strip(tag_body(open_think("completion", "if_not_prefix"), "think"))
-    return v.select("conv_id", "turn", F.round(F.when(body.isNotNull(), SC.script_fallback_score(
-        body, F.col("question"))), 6).alias("score"))
+    v = _bodies(spark, sf)
+    out = SC.with_script_scores(v, "body", "question", "score", None)
+    return out.select("conv_id", "turn", F.round(F.when(F.col("body").isNotNull(), F.col("score")), 6)
+                      .alias("score"))
 
 
 @register("e14_script_agreement", f"""
@@ -130,10 +136,10 @@ SELECT conv_id, turn, round(CASE WHEN body IS NULL THEN NULL WHEN qd = bd THEN 1
 FROM dom
 """, views=("v_completions",))
 def q_e14(spark, sf):
-    v = view(spark, sf, "v_completions")
-    body = strip(tag_body(open_think("completion", "if_not_prefix"), "think"))
-    return v.select("conv_id", "turn", F.round(F.when(body.isNotNull(), SC.script_agreement(
-        body, F.col("question"))), 6).alias("score"))
+    v = _bodies(spark, sf)
+    out = SC.with_script_scores(v, "body", "question", None, "score")
+    return out.select("conv_id", "turn", F.round(F.when(F.col("body").isNotNull(), F.col("score")), 6)
+                      .alias("score"))
 
 
 @register("e15_language_reward_chunks")

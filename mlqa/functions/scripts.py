@@ -60,25 +60,49 @@ def count_of(counts: Column, script: Column) -> Column:
     return expr.otherwise(F.lit(0))
 
 
-def script_fallback_score(text, query) -> Column:
-    """Query script (min-3 rule) vs text script (no rule): on a match
-    ``max(0.3, text_share * min(1, 2 * query_share))``, otherwise 0.1."""
-    text, query = col_of(text), col_of(query)
-    tc, qc = script_counts(text), script_counts(query)
+def fallback_from_counts(tc: Column, qc: Column, len_text: Column, len_query: Column) -> Column:
+    """E13 from precomputed count structs: query script (min-3 rule) vs text
+    script (no rule): on a match ``max(0.3, text_share * min(1, 2 * query_share))``,
+    otherwise 0.1."""
     qd = dominant_script(qc, True)
     td = dominant_script(tc, False)
-    q_share = count_of(qc, qd) / F.greatest(F.lit(1), F.length(query))
-    t_share = count_of(tc, qd) / F.greatest(F.lit(1), F.length(text))
+    q_share = count_of(qc, qd) / F.greatest(F.lit(1), len_query)
+    t_share = count_of(tc, qd) / F.greatest(F.lit(1), len_text)
     score = F.greatest(F.lit(0.3), t_share * F.least(F.lit(1.0), q_share * 2))
     return F.when(qd == td, score).otherwise(F.lit(0.1))
 
 
-def script_agreement(a, b) -> Column:
-    """1.0 when both dominant scripts (min-3 rule on both) agree, else the
-    larger cross share of one text's script inside the other."""
-    a, b = col_of(a), col_of(b)
-    ac, bc = script_counts(a), script_counts(b)
+def agreement_from_counts(ac: Column, bc: Column, len_a: Column, len_b: Column) -> Column:
+    """E14 from precomputed count structs: 1.0 when both dominant scripts
+    (min-3 rule on both) agree, else the larger cross share."""
     ad, bd = dominant_script(ac, True), dominant_script(bc, True)
-    s1 = count_of(bc, ad) / F.greatest(F.lit(1), F.length(b))
-    s2 = count_of(ac, bd) / F.greatest(F.lit(1), F.length(a))
+    s1 = count_of(bc, ad) / F.greatest(F.lit(1), len_b)
+    s2 = count_of(ac, bd) / F.greatest(F.lit(1), len_a)
     return F.when(ad == bd, F.lit(1.0)).otherwise(F.greatest(s1, s2))
+
+
+def script_fallback_score(text, query) -> Column:
+    """E13 on raw texts (fine for short texts; for long ones materialise the
+    counts first with ``with_script_scores``)."""
+    text, query = col_of(text), col_of(query)
+    return fallback_from_counts(script_counts(text), script_counts(query), F.length(text), F.length(query))
+
+
+def script_agreement(a, b) -> Column:
+    """E14 on raw texts."""
+    a, b = col_of(a), col_of(b)
+    return agreement_from_counts(script_counts(a), script_counts(b), F.length(a), F.length(b))
+
+
+def with_script_scores(df, text: str, query: str, fallback: str | None = "script_fallback",
+                       agreement: str | None = "script_agreement"):
+    """Count each script once per text in its own projection (the count structs
+    are referenced many times by the scores), then derive E13 / E14."""
+    staged = df.select("*", script_counts(text).alias("_tc"), script_counts(query).alias("_qc"),
+                       F.length(text).alias("_tl"), F.length(query).alias("_ql"))
+    cols = []
+    if fallback:
+        cols.append(fallback_from_counts(F.col("_tc"), F.col("_qc"), F.col("_tl"), F.col("_ql")).alias(fallback))
+    if agreement:
+        cols.append(agreement_from_counts(F.col("_tc"), F.col("_qc"), F.col("_tl"), F.col("_ql")).alias(agreement))
+    return staged.select("*", *cols).drop("_tc", "_qc", "_tl", "_ql")

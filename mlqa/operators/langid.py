@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mlqa.functions.scripts import script_agreement, script_fallback_score
+from mlqa.functions.scripts import script_fallback_score, with_script_scores
 from mlqa.functions.text import chunk_text, norm_text, open_think, split_sentences, strip, tag_body
 from mlqa.plans.sequence import spread
 
@@ -162,8 +162,8 @@ def language_reward_sentences(df: DataFrame, id_cols: list[str], completion: str
         cl = classify(sents, profile, pid, "_sent", allowed, "_slang").join(ql, id_cols)
         hit = F.col("_slang") == F.col("_qlang")
     else:
-        cl = sents
-        hit = script_agreement("_sent", "_q") > 0.5
+        cl = with_script_scores(sents, "_sent", "_q", None, "_agree")
+        hit = F.col("_agree") > 0.5
     agg = cl.groupBy(*id_cols).agg(F.count(F.lit(1)).alias("_total"), F.count_if(hit).alias("_match"))
     j = base.join(agg, id_cols, "left")
     reward = (F.when(F.col("_body").isNull(), F.lit(0.0))
