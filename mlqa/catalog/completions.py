@@ -191,7 +191,7 @@ SQL_FORMAT = """
 CASE WHEN p > 0 AND strpos(substr(s, 8, p - 8), '<think>') = 0
           AND starts_with(substr(s, p), '</think>' || chr(10) || '<answer>')
           AND (suffix(substr(s, p + 17), '</answer>') OR suffix(substr(s, p + 17), '</answer>' || chr(10)))
-     THEN 1.0 ELSE 0.0 END"""
+     THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"""
 
 
 @register("e1_format_reward", f"""
@@ -208,7 +208,7 @@ WITH {SQL_ALIASES},
 p AS (SELECT conv_id, turn, lower({sql_strip(_block("concat('<think>', completion)", 'answer'))}) AS a,
              lower({sql_strip('target')}) AS t FROM v_completions),
 q AS (SELECT conv_id, turn, {_alias('a')} AS pa, {_alias('t')} AS pt FROM p),
-exact AS (SELECT conv_id, turn, CASE WHEN pa = pt THEN 1.0 ELSE 0.0 END AS reward FROM q)
+exact AS (SELECT conv_id, turn, CASE WHEN pa = pt THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward FROM q)
 """
 
 
@@ -243,7 +243,7 @@ def q_e3(spark, sf):
 @register("e4_any_match_reward", f"""
 SELECT conv_id, turn,
        CASE WHEN coalesce(list_contains({sql_set(_strip_lower)}, {_strip_lower(_block(SQL_PRED, 'answer'))}), false)
-            THEN 1.0 ELSE 0.0 END AS reward
+            THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward
 FROM v_completions
 """, views=VC)
 def q_e4(spark, sf):
@@ -340,8 +340,8 @@ def q_e8(spark, sf):
 @register("e9_tier_reward", f"""
 WITH {SQL_PAIRS}, {SQL_NATIVE}
 SELECT conv_id, turn,
-       CASE WHEN exact = 1 OR best_native >= 1.0 THEN 1.0 WHEN best_native >= 0.9 THEN 0.9
-            WHEN best_native >= 0.75 THEN 0.7 WHEN best_native >= 0.6 THEN 0.5 ELSE 0.0 END AS tier
+       CAST(CASE WHEN exact = 1 OR best_native >= 1.0 THEN 1.0 WHEN best_native >= 0.9 THEN 0.9
+            WHEN best_native >= 0.75 THEN 0.7 WHEN best_native >= 0.6 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS tier
 FROM nat
 """, views=VC)
 def q_e9(spark, sf):
@@ -369,7 +369,7 @@ three AS (
   SELECT v.conv_id, v.turn, f.reward AS format_reward, e.reward AS exact_reward,
          CASE WHEN coalesce(list_contains({sql_set(_strip_lower).replace('target', 'v.target').replace('answer_list', 'v.answer_list')},
                                           {_strip_lower(_block(SQL_PRED.replace('completion', 'v.completion'), 'answer'))}), false)
-              THEN 1.0 ELSE 0.0 END AS any_match_reward
+              THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS any_match_reward
   FROM v_completions v
   JOIN exact e ON e.conv_id = v.conv_id AND e.turn = v.turn
   JOIN (SELECT conv_id, turn, {SQL_FORMAT} AS reward

@@ -38,23 +38,23 @@ def code_points(text) -> Column:
     return F.filter(F.split(norm_text(text), ""), lambda x: x != "")
 
 
-def ngrams_of(chars: Column) -> Column:
-    """All 1..3-grams of a code-point array. ``chars`` must be a plain column
-    (materialised in an earlier projection): a lambda re-evaluates any outer
-    expression per element, which would make this quadratic."""
+def _shift_concat(longer: str, chars: str, start: int) -> Column:
+    """Append the code point ``start - 1`` places ahead to every element:
+    (k-1)-grams -> k-grams with one linear ``zip_with`` (no per-gram slices)."""
     n = F.size(chars)
-
-    def of_size(k: int) -> Column:
-        idx = F.sequence(F.lit(0), n - k)
-        return F.when(n >= k, F.transform(idx, lambda i: F.array_join(F.slice(chars, i + 1, k), ""))) \
-            .otherwise(F.array().cast("array<string>"))
-    return F.concat(*[of_size(k) for k in range(1, MAX_N + 1)])
+    return F.slice(F.zip_with(F.col(longer), F.slice(chars, start, n), lambda a, b: F.concat(a, b)),
+                   1, F.greatest(n - (start - 1), F.lit(0)))
 
 
 def gram_rows(df: DataFrame, keep: list, text_col: str) -> DataFrame:
-    """One row per gram occurrence of the whole text, with ``keep`` columns."""
-    return (df.select(*keep, code_points(text_col).alias("_ch"))
-            .select(*keep, F.explode(ngrams_of(F.col("_ch"))).alias("gram")))
+    """One row per 1..3-gram occurrence of the whole (normalised) text, with
+    ``keep`` columns. Each gram array is built in its own projection from plain
+    columns: a lambda re-evaluates any outer expression per element, which
+    would make the generation quadratic."""
+    c = df.select(*keep, code_points(text_col).alias("_g1"))
+    c = c.select(*keep, "_g1", _shift_concat("_g1", "_g1", 2).alias("_g2"))
+    c = c.select(*keep, "_g1", "_g2", _shift_concat("_g2", "_g1", 3).alias("_g3"))
+    return c.select(*keep, F.explode(F.concat("_g1", "_g2", "_g3")).alias("gram"))
 
 
 def _ranked(counts: DataFrame, by: list[str]) -> DataFrame:

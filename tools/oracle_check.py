@@ -61,6 +61,40 @@ def canon(cols, rows):
     return [tuple(norm(r[i]) for i in order) for r in rows], [cols[i] for i in order]
 
 
+def spark_kind(dt) -> str:
+    n = type(dt).__name__
+    if n in ("IntegerType", "LongType", "ShortType", "ByteType"):
+        return "int"
+    if n in ("DoubleType", "FloatType"):
+        return "float"
+    if n == "DecimalType":
+        return "decimal"
+    if n == "StringType":
+        return "str"
+    if n == "BooleanType":
+        return "bool"
+    if n in ("TimestampType", "TimestampNTZType", "DateType"):
+        return "time"
+    return n
+
+
+def duck_kind(t: str) -> str:
+    t = str(t).upper()
+    if t in ("INTEGER", "BIGINT", "SMALLINT", "TINYINT", "HUGEINT", "UBIGINT", "UINTEGER"):
+        return "int"
+    if t in ("DOUBLE", "FLOAT", "REAL"):
+        return "float"
+    if t.startswith("DECIMAL"):
+        return "decimal"
+    if t == "VARCHAR":
+        return "str"
+    if t == "BOOLEAN":
+        return "bool"
+    if t.startswith("TIMESTAMP") or t == "DATE":
+        return "time"
+    return t
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
     df = fn(spark, sf_dir)
@@ -76,6 +110,11 @@ def compare(spark, con, name, fn, sql, sf_dir):
     d, dc = canon(dcols, drows)
     if sc != dc:
         return "MISMATCH", len(srows), len(drows), t1 - t0, f"columns {sc} vs {dc}"
+    sk = {f.name: spark_kind(f.dataType) for f in df.schema.fields}
+    dk = {c: duck_kind(t) for c, t in zip(dcols, res.description and [d[1] for d in res.description])}
+    bad_types = {c: (sk[c], dk[c]) for c in sk if sk[c] != dk.get(c)}
+    if bad_types:
+        return "MISMATCH", len(srows), len(drows), t1 - t0, f"types {bad_types}"
     cs, cd = collections.Counter(map(repr, s)), collections.Counter(map(repr, d))
     if cs != cd:
         only_s = list((cs - cd).elements())[:3]
