@@ -142,14 +142,93 @@ def q_e14(spark, sf):
                       .alias("score"))
 
 
-@register("e15_language_reward_chunks")
+# ------------------------------------------------------------------ E15 / E16 twins
+def sql_classify(p: str, pieces: str, keys: list[str], allowed: tuple) -> str:
+    """CTEs (prefixed ``p``) classifying ``pieces(keys..., piece)`` with the
+    documents profile restricted to ``allowed``; result CTE ``{p}lang(keys, lang)``."""
+    k = ", ".join(keys)
+    kq = ", ".join(f"x.{c}" for c in keys)
+    allowed_sql = ", ".join(f"'{a}'" for a in allowed)
+    return f"""
+{p}n AS (SELECT {k}, lower(regexp_replace(regexp_replace(piece, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) AS t
+         FROM {pieces}),
+{p}pos AS (SELECT {k}, t, unnest(range(1, length(t) + 1)) AS i FROM {p}n),
+{p}g AS (SELECT {k}, substr(t, i, kk.k) AS gram FROM {p}pos, (VALUES (1), (2), (3)) kk(k)
+         WHERE i + kk.k - 1 <= length(t)),
+{p}top AS (SELECT {k}, gram, r, count(*) OVER (PARTITION BY {k}) AS n_top FROM (
+             SELECT {k}, gram, row_number() OVER (PARTITION BY {k} ORDER BY count(*) DESC, gram) - 1 AS r
+             FROM {p}g GROUP BY {k}, gram) z WHERE r < 300),
+{p}d AS (SELECT {kq}, pr.language, sum(abs(x.r - pr.r)) + (max(x.n_top) - count(*)) * 300 AS dist
+         FROM {p}top x JOIN prof pr ON pr.gram = x.gram WHERE pr.language IN ({allowed_sql})
+         GROUP BY {kq}, pr.language),
+{p}b AS (SELECT {k}, language FROM (
+           SELECT {k}, language, row_number() OVER (PARTITION BY {k} ORDER BY dist, language) AS rk
+           FROM {p}d) y WHERE rk = 1),
+{p}lang AS (SELECT {kq}, coalesce(b.language, '{min(allowed)}') AS lang
+            FROM {pieces} x LEFT JOIN {p}b b USING ({k}))
+"""
+
+
+SQL_THINK = f"""
+th AS (SELECT conv_id, turn, question, {SQL_BODY} AS body
+       FROM (SELECT conv_id, turn, question,
+                    CASE WHEN starts_with(completion, '<think>') THEN completion
+                         ELSE concat('<think>', completion) END AS c FROM v_completions) v),
+qpieces AS (SELECT conv_id, turn, question AS piece FROM th)
+"""
+
+
+def _e15_sql() -> str:
+    return f"""
+WITH {SQL_GRAMS}, {SQL_THINK},
+chunks AS (SELECT conv_id, turn, pos, substr(body, pos * 100 + 1, 100) AS piece
+           FROM (SELECT conv_id, turn, body, unnest(range(0, CAST(ceil(length(body) / 100) AS BIGINT))) AS pos
+                 FROM th WHERE length(body) >= 10) c
+           WHERE length({sql_strip('substr(body, pos * 100 + 1, 100)')}) >= 10),
+{sql_classify('q', 'qpieces', ['conv_id', 'turn'], L.CHUNK_LANGUAGES)},
+{sql_classify('c', 'chunks', ['conv_id', 'turn', 'pos'], L.CHUNK_LANGUAGES)},
+agg AS (SELECT c.conv_id, c.turn, count(*) AS total, count(*) FILTER (WHERE c.lang = q.lang) AS matched
+        FROM clang c JOIN qlang q ON q.conv_id = c.conv_id AND q.turn = c.turn GROUP BY c.conv_id, c.turn)
+SELECT th.conv_id, th.turn, round(CAST(
+  CASE WHEN th.body IS NULL THEN 0.0 WHEN length(th.body) < 10 THEN 0.2
+       WHEN coalesce(agg.total, 0) = 0 THEN 0.5
+       WHEN agg.matched > 0 AND agg.matched / agg.total < 0.1 THEN 0.1
+       ELSE agg.matched / agg.total END AS DOUBLE), 6) AS language_reward
+FROM th LEFT JOIN agg ON agg.conv_id = th.conv_id AND agg.turn = th.turn
+"""
+
+
+def _e16_sql() -> str:
+    split = (f"list_filter(list_transform(string_split(regexp_replace(body, '([.!?])\\s+', '\\1' || chr(10), 'g'), "
+             f"chr(10)), lambda s: {sql_strip('s')}), lambda s: s <> '')")
+    return f"""
+WITH {SQL_GRAMS}, {SQL_THINK},
+sl AS (SELECT conv_id, turn, body, {split} AS l FROM th),
+sents AS (SELECT conv_id, turn, pos, piece FROM (
+            SELECT conv_id, turn, unnest(range(0, len(l))) AS pos, unnest(l) AS piece
+            FROM sl WHERE length(body) >= 10) s WHERE length(piece) >= 5),
+{sql_classify('q', 'qpieces', ['conv_id', 'turn'], L.SENTENCE_LANGUAGES)},
+{sql_classify('s', 'sents', ['conv_id', 'turn', 'pos'], L.SENTENCE_LANGUAGES)},
+agg AS (SELECT s.conv_id, s.turn, count(*) AS total, count(*) FILTER (WHERE s.lang = q.lang) AS matched
+        FROM slang s JOIN qlang q ON q.conv_id = s.conv_id AND q.turn = s.turn GROUP BY s.conv_id, s.turn)
+SELECT sl.conv_id, sl.turn, round(CAST(
+  CASE WHEN sl.body IS NULL THEN 0.0 WHEN length(sl.body) < 10 THEN 0.2
+       WHEN len(sl.l) = 0 THEN 0.3
+       WHEN coalesce(agg.total, 0) = 0 THEN 0.4
+       ELSE agg.matched / agg.total END AS DOUBLE), 6) AS language_reward
+FROM sl LEFT JOIN agg ON agg.conv_id = sl.conv_id AND agg.turn = sl.turn
+"""
+
+
+
+@register("e15_language_reward_chunks", _e15_sql(), views=("v_completions",))
 def q_e15(spark, sf):
     v = view(spark, sf, "v_completions")
     out = L.language_reward_chunks(v, ["conv_id", "turn"], "completion", "question", profile(spark, sf))
     return out.select("conv_id", "turn", F.round("language_reward", 6).alias("language_reward"))
 
 
-@register("e16_language_reward_sentences")
+@register("e16_language_reward_sentences", _e16_sql(), views=("v_completions",))
 def q_e16(spark, sf):
     v = view(spark, sf, "v_completions")
     out = L.language_reward_sentences(v, ["conv_id", "turn"], "completion", "question",
@@ -157,8 +236,36 @@ def q_e16(spark, sf):
     return out.select("conv_id", "turn", F.round("language_reward", 6).alias("language_reward"))
 
 
-@register("e16_language_reward_script")
+def _e16_script_sql() -> str:
+    split = (f"list_filter(list_transform(string_split(regexp_replace(body, '([.!?])\\s+', '\\1' || chr(10), 'g'), "
+             f"chr(10)), lambda s: {sql_strip('s')}), lambda s: s <> '')")
+    qc = _sql_counts('question').replace(' AS ', ' AS q_')
+    sc = _sql_counts('piece').replace(' AS ', ' AS b_')
+    return f"""
+WITH {SQL_THINK},
+sl AS (SELECT conv_id, turn, question, body, {split} AS l FROM th),
+sents AS (SELECT * FROM (
+            SELECT conv_id, turn, question, unnest(l) AS piece FROM sl WHERE length(body) >= 10) s
+          WHERE length(piece) >= 5),
+cnt AS (SELECT conv_id, turn, length(question) AS lq, length(piece) AS lb, {qc}, {sc} FROM sents),
+dom AS (SELECT *, {_sql_dominant('q_', True)} AS qd, {_sql_dominant('b_', True)} AS bd FROM cnt),
+agree AS (SELECT conv_id, turn, CASE WHEN qd = bd THEN 1.0 ELSE greatest(
+            ({_sql_count_of('q_', 'bd')}) / greatest(1, lq), ({_sql_count_of('b_', 'qd')}) / greatest(1, lb)) END AS a
+          FROM dom),
+agg AS (SELECT conv_id, turn, count(*) AS total, count(*) FILTER (WHERE a > 0.5) AS matched
+        FROM agree GROUP BY conv_id, turn)
+SELECT sl.conv_id, sl.turn, round(CAST(
+  CASE WHEN sl.body IS NULL THEN 0.0 WHEN length(sl.body) < 10 THEN 0.2
+       WHEN len(sl.l) = 0 THEN 0.3
+       WHEN coalesce(agg.total, 0) = 0 THEN 0.4
+       ELSE agg.matched / agg.total END AS DOUBLE), 6) AS language_reward
+FROM sl LEFT JOIN agg ON agg.conv_id = sl.conv_id AND agg.turn = sl.turn
+"""
+
+
+@register("e16_language_reward_script", _e16_script_sql(), views=("v_completions",))
 def q_e16s(spark, sf):
     v = view(spark, sf, "v_completions")
     out = L.language_reward_sentences(v, ["conv_id", "turn"], "completion", "question", None)
     return out.select("conv_id", "turn", F.round("language_reward", 6).alias("language_reward"))
+
