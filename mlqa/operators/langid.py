@@ -78,31 +78,36 @@ def fit_langid(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 def classify(pieces: DataFrame, profile: DataFrame, id_cols: list[str], text_col: str,
              allowed: list[str] | None = None, out: str = "pred_lang",
-             partitions: int | None = None) -> DataFrame:
+             cluster_by: list[str] | None = None) -> DataFrame:
     """E11 prediction for every row of ``pieces`` (one row per id): adds ``out``.
 
-    Pieces without any matched gram (e.g. empty) get the smallest allowed code,
-    which is what the distance rule gives when every language ties."""
-    prof = profile if allowed is None else profile.filter(F.col("language").isin(list(allowed)))
-    prof = F.broadcast(prof.select("language", "gram", F.col("r").alias("r_lang")))
-    base = pieces.repartition(partitions, *id_cols) if partitions else pieces.repartition(*id_cols)
+    Pieces are hash-partitioned once by ``cluster_by`` (default: the id; pass a
+    prefix such as the completion key so the later per-completion join and
+    aggregation need no further exchange). The argmin is a hash aggregate over
+    the integer key ``dist * 1000 + language rank``. Pieces without any matched
+    gram (e.g. empty) get the smallest allowed code, which is what the distance
+    rule gives when every language ties."""
+    if allowed is None:
+        allowed = [r[0] for r in profile.select("language").distinct().collect()]  # bounded: languages
+    langs = sorted(set(allowed))
+    rank = F.create_map(*[x for i, l in enumerate(langs) for x in (F.lit(l), F.lit(i))])
+    prof = profile.filter(F.col("language").isin(langs))
+    prof = F.broadcast(prof.select(F.try_element_at(rank, F.col("language")).alias("lang_rank"), "gram",
+                                   F.col("r").alias("r_lang")))
+    base = pieces.repartition(*(cluster_by or id_cols))
     counts = (gram_rows(base, id_cols, text_col)
               .groupBy(*id_cols, "gram").agg(F.count(F.lit(1)).alias("cnt")))
     top = _ranked(counts, id_cols).withColumn(
         "n_top", F.count(F.lit(1)).over(Window.partitionBy(*id_cols)))
     dist = (top.join(prof, "gram")
-            .groupBy(*id_cols, "language")
+            .groupBy(*id_cols, "lang_rank")
             .agg(F.sum(F.abs(F.col("r") - F.col("r_lang"))).alias("s"),
-                 F.count(F.lit(1)).alias("matched"), F.max("n_top").alias("n_top"))
-            .withColumn("dist", F.col("s") + (F.col("n_top") - F.col("matched")) * PROFILE_SIZE))
-    best = dist.groupBy(*id_cols).agg(F.min(F.struct("dist", "language")).alias("_b")) \
-        .select(*id_cols, F.col("_b.language").alias(out))
-    default = min(allowed) if allowed else None
-    if default is None:
-        default_col = F.lit(None).cast("string")
-    else:
-        default_col = F.lit(default)
-    return base.join(best, id_cols, "left").withColumn(out, F.coalesce(F.col(out), default_col))
+                 F.count(F.lit(1)).alias("matched"), F.max("n_top").alias("n_top")))
+    key = (F.col("s") + (F.col("n_top") - F.col("matched")) * PROFILE_SIZE) * 1000 + F.col("lang_rank")
+    best = dist.groupBy(*id_cols).agg(F.min(key).alias("_k"))
+    names = F.array(*[F.lit(l) for l in langs])
+    best = best.select(*id_cols, F.get(names, (F.col("_k") % 1000).cast("int")).alias(out))
+    return base.join(best, id_cols, "left").withColumn(out, F.coalesce(F.col(out), F.lit(langs[0])))
 
 
 def default_language(profile_languages: list[str]) -> str:
@@ -129,7 +134,7 @@ def language_reward_chunks(df: DataFrame, id_cols: list[str], completion: str, q
               .select(*id_cols, F.posexplode(chunk_text("_body", 100)).alias("_pos", "_chunk"))
               .filter(F.length(strip("_chunk")) >= 10))
     pid = id_cols + ["_pos"]
-    cl = classify(chunks, profile, pid, "_chunk", allowed, "_clang").join(ql, id_cols)
+    cl = classify(chunks, profile, pid, "_chunk", allowed, "_clang", cluster_by=id_cols).join(ql, id_cols)
     agg = cl.groupBy(*id_cols).agg(F.count(F.lit(1)).alias("_total"),
                                    F.count_if(F.col("_clang") == F.col("_qlang")).alias("_match"))
     j = base.join(agg, id_cols, "left")
@@ -159,7 +164,7 @@ def language_reward_sentences(df: DataFrame, id_cols: list[str], completion: str
         ql = classify(base.select(*id_cols, F.col(query).alias("_q")), profile, id_cols, "_q",
                       allowed, "_qlang").select(*id_cols, "_qlang")
         pid = id_cols + ["_pos"]
-        cl = classify(sents, profile, pid, "_sent", allowed, "_slang").join(ql, id_cols)
+        cl = classify(sents, profile, pid, "_sent", allowed, "_slang", cluster_by=id_cols).join(ql, id_cols)
         hit = F.col("_slang") == F.col("_qlang")
     else:
         cl = with_script_scores(sents, "_sent", "_q", None, "_agree")

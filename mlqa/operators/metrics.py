@@ -99,11 +99,22 @@ def language_region_matrix(df: DataFrame, regions: list[str] | None = None,
 
 
 # ---------------------------------------------------------------- G4
+MAX_BUCKETS = 65536
+
+
 def number_rows(df: DataFrame, partition: str, order: str, name: str = "pos",
-                bucket_width: int = 4096) -> DataFrame:
-    """1-based position per ``partition`` in ``order`` (integer), spread over
-    buckets of ``order div bucket_width`` so one language never sits in one task."""
-    return sequence_number(df, [F.col(order)], F.floor(F.col(order) / bucket_width),
+                bucket_width: int | None = None) -> DataFrame:
+    """1-based position per ``partition`` in ``order`` (an integer key), spread
+    over ordered buckets ``(order - min) div width`` so one language never sits
+    in one task. The width comes from one column-pruned min/max aggregate so the
+    bucket-count table stays within 65,536 rows per group at any scale."""
+    if bucket_width is None:
+        lo, hi = df.agg(F.min(order), F.max(order)).first()
+        lo, hi = (lo or 0), (hi or 0)
+        bucket_width = max(1, -(-(hi - lo + 1) // MAX_BUCKETS))
+    else:
+        lo = 0
+    return sequence_number(df, [F.col(order)], F.floor((F.col(order) - F.lit(lo)) / bucket_width),
                            partition=[partition], name=name)
 
 
