@@ -454,6 +454,7 @@ FROM s
 def q_f1(spark, sf):
     p = build.judge_prompts(rating_inputs(spark, sf)).select(
         "row_id", F.col("answers").alias("language"), "judge_prompt")
-    scored = judge.score_batches(p, "judge_prompt", judge.stub_scorer_factory, batch_size=32)
+    scored = judge.score_batches(p, "judge_prompt", judge.stub_scorer_factory, batch_size=32,
+                                 checkpoint=True)
     return scored.select("row_id", "llm_output",
                          judge.rating_class("llm_output", "language").alias("rating"))

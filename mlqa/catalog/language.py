@@ -8,6 +8,7 @@ from mlqa.catalog.base import register, sql_strip
 from mlqa.functions import scripts as SC
 from mlqa.functions.text import open_think, strip, tag_body
 from mlqa.operators import langid as L
+from mlqa.plans.lineage import cut_lineage
 from mlqa.sources.fixtures import load_table, view
 
 
@@ -15,8 +16,17 @@ def docs(spark, sf):
     return load_table(spark, sf, "documents")
 
 
+_PROFILES: dict = {}
+
+
 def profile(spark, sf):
-    return L.fit_langid(docs(spark, sf))
+    """The documents profile, fitted once per session and input folder and kept
+    as a reliable checkpoint (<= languages x 300 rows in the shared checkpoint
+    folder): a fitted model is reused by every query that classifies text."""
+    key = (id(spark), spark.sparkContext.applicationId, sf)
+    if key not in _PROFILES:
+        _PROFILES[key] = cut_lineage(L.fit_langid(docs(spark, sf)), spark)
+    return _PROFILES[key]
 
 
 SQL_GRAMS = r"""

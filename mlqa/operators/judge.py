@@ -18,12 +18,15 @@ RATING_TYPES = ("Same-Correct", "English-Correct", "Different-Correct", "Incorre
 
 # ---------------------------------------------------------------- F1
 def score_batches(df: DataFrame, prompt_col: str, fn_factory: Callable[[], Callable],
-                  out_col: str = "llm_output", batch_size: int = 64) -> DataFrame:
+                  out_col: str = "llm_output", batch_size: int = 64,
+                  checkpoint: bool = False) -> DataFrame:
     """Run a user scorer over prompts, ``batch_size`` prompts per call.
 
     ``fn_factory()`` is called once per task (load a model there); the returned
     callable maps ``list[str] -> list[str]``. Arrow batches stream through
-    ``mapInPandas`` so no partition is held in memory at once.
+    ``mapInPandas`` so no partition is held in memory at once. With
+    ``checkpoint`` the scored rows are written to the shared checkpoint folder
+    (model scoring is the costly step: a lost executor must not re-score).
     """
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType(), True)])
 
@@ -36,7 +39,11 @@ def score_batches(df: DataFrame, prompt_col: str, fn_factory: Callable[[], Calla
                 outs.extend(fn(prompts[i:i + batch_size]))
             yield pdf.assign(**{out_col: outs})
 
-    return df.mapInPandas(run, schema)
+    out = df.mapInPandas(run, schema)
+    if checkpoint:
+        from mlqa.plans.lineage import cut_lineage
+        out = cut_lineage(out)
+    return out
 
 
 def stub_scorer_factory():

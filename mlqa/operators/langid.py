@@ -59,8 +59,10 @@ def gram_rows(df: DataFrame, keep: list, text_col: str) -> DataFrame:
 
 def _ranked(counts: DataFrame, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(F.col("cnt").desc(), F.col("gram"))
-    return (counts.withColumn("r", F.row_number().over(w) - 1)
-            .filter(F.col("r") < PROFILE_SIZE).drop("cnt"))
+    # filter directly on row_number() so Spark plans a per-group top-k limit
+    return (counts.withColumn("_rn", F.row_number().over(w))
+            .filter(F.col("_rn") <= PROFILE_SIZE)
+            .select(*by, "gram", (F.col("_rn") - 1).alias("r")))
 
 
 def fit_langid(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
@@ -94,7 +96,10 @@ def classify(pieces: DataFrame, profile: DataFrame, id_cols: list[str], text_col
     prof = profile.filter(F.col("language").isin(langs))
     prof = F.broadcast(prof.select(F.try_element_at(rank, F.col("language")).alias("lang_rank"), "gram",
                                    F.col("r").alias("r_lang")))
-    base = pieces.repartition(*(cluster_by or id_cols))
+    # an explicit count: AQE would otherwise coalesce the (small) text shuffle
+    # into a few partitions right before the ~300x gram expansion
+    n_parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = pieces.repartition(n_parts, *(cluster_by or id_cols))
     counts = (gram_rows(base, id_cols, text_col)
               .groupBy(*id_cols, "gram").agg(F.count(F.lit(1)).alias("cnt")))
     top = _ranked(counts, id_cols).withColumn(
@@ -121,6 +126,21 @@ def _think_body(completion) -> Column:
     return strip(tag_body(open_think(completion, "if_not_prefix"), "think"))
 
 
+def _match_counts(base: DataFrame, id_cols: list[str], query: str, pieces: DataFrame,
+                  profile: DataFrame, allowed) -> DataFrame:
+    """Classify each completion's query (as piece -1) together with its pieces
+    in ONE classification pass clustered by the completion key; a window over
+    that same partitioning hands the query language to every piece (no extra
+    exchange); then count pieces and matches per completion."""
+    q = base.select(*id_cols, F.lit(-1).alias("_pos"), F.col(query).alias("_piece"))
+    allp = pieces.select(*id_cols, "_pos", "_piece").unionByName(q)
+    cl = classify(allp, profile, id_cols + ["_pos"], "_piece", allowed, "_lang", cluster_by=id_cols)
+    qlang = F.max(F.when(F.col("_pos") == -1, F.col("_lang"))).over(Window.partitionBy(*id_cols))
+    cl = cl.withColumn("_qlang", qlang).filter(F.col("_pos") >= 0)
+    return cl.groupBy(*id_cols).agg(F.count(F.lit(1)).alias("_total"),
+                                    F.count_if(F.col("_lang") == F.col("_qlang")).alias("_match"))
+
+
 def language_reward_chunks(df: DataFrame, id_cols: list[str], completion: str, query: str,
                            profile: DataFrame, allowed=CHUNK_LANGUAGES,
                            out: str = "language_reward") -> DataFrame:
@@ -128,15 +148,10 @@ def language_reward_chunks(df: DataFrame, id_cols: list[str], completion: str, q
     No think block 0; body < 10 chars 0.2; chunks < 10 stripped chars skipped;
     none left 0.5; any match floors the reward at 0.1."""
     base = df.withColumn("_body", _think_body(completion))
-    ql = classify(base.select(*id_cols, F.col(query).alias("_q")), profile, id_cols, "_q",
-                  allowed, "_qlang").select(*id_cols, "_qlang")
     chunks = (base.filter(F.length("_body") >= 10)
-              .select(*id_cols, F.posexplode(chunk_text("_body", 100)).alias("_pos", "_chunk"))
-              .filter(F.length(strip("_chunk")) >= 10))
-    pid = id_cols + ["_pos"]
-    cl = classify(chunks, profile, pid, "_chunk", allowed, "_clang", cluster_by=id_cols).join(ql, id_cols)
-    agg = cl.groupBy(*id_cols).agg(F.count(F.lit(1)).alias("_total"),
-                                   F.count_if(F.col("_clang") == F.col("_qlang")).alias("_match"))
+              .select(*id_cols, F.posexplode(chunk_text("_body", 100)).alias("_pos", "_piece"))
+              .filter(F.length(strip("_piece")) >= 10))
+    agg = _match_counts(base, id_cols, query, chunks, profile, allowed)
     j = base.join(agg, id_cols, "left")
     ratio = F.col("_match") / F.col("_total")
     reward = (F.when(F.col("_body").isNull(), F.lit(0.0))
@@ -158,18 +173,14 @@ def language_reward_sentences(df: DataFrame, id_cols: list[str], completion: str
         "_sents", split_sentences("_body"))
     sents = (base.filter(F.length("_body") >= 10)
              .select(*id_cols, F.col(query).alias("_q"),
-                     F.posexplode("_sents").alias("_pos", "_sent"))
-             .filter(F.length("_sent") >= 5))
+                     F.posexplode("_sents").alias("_pos", "_piece"))
+             .filter(F.length("_piece") >= 5))
     if profile is not None:
-        ql = classify(base.select(*id_cols, F.col(query).alias("_q")), profile, id_cols, "_q",
-                      allowed, "_qlang").select(*id_cols, "_qlang")
-        pid = id_cols + ["_pos"]
-        cl = classify(sents, profile, pid, "_sent", allowed, "_slang", cluster_by=id_cols).join(ql, id_cols)
-        hit = F.col("_slang") == F.col("_qlang")
+        agg = _match_counts(base, id_cols, query, sents, profile, allowed)
     else:
-        cl = with_script_scores(sents, "_sent", "_q", None, "_agree")
-        hit = F.col("_agree") > 0.5
-    agg = cl.groupBy(*id_cols).agg(F.count(F.lit(1)).alias("_total"), F.count_if(hit).alias("_match"))
+        cl = with_script_scores(sents, "_piece", "_q", None, "_agree")
+        agg = cl.groupBy(*id_cols).agg(F.count(F.lit(1)).alias("_total"),
+                                       F.count_if(F.col("_agree") > 0.5).alias("_match"))
     j = base.join(agg, id_cols, "left")
     reward = (F.when(F.col("_body").isNull(), F.lit(0.0))
               .when(F.length("_body") < 10, F.lit(0.2))

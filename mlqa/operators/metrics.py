@@ -176,11 +176,12 @@ def two_sample_t(moments: DataFrame) -> DataFrame:
     freedom in closed form; the two-sided p-value via the Student t CDF."""
     n1, n2 = F.col("n_off"), F.col("n_diag")
     dof = n1 + n2 - 2
-    sp2 = ((n1 - 1) * F.coalesce(F.col("var_off"), F.lit(0.0))
-           + (n2 - 1) * F.coalesce(F.col("var_diag"), F.lit(0.0))) / dof
-    se = F.sqrt(sp2 * (F.lit(1.0) / n1 + F.lit(1.0) / n2))
+    # ANSI mode raises on division by zero: every division here is a try_divide
+    sp2 = F.try_divide((n1 - 1) * F.coalesce(F.col("var_off"), F.lit(0.0))
+                       + (n2 - 1) * F.coalesce(F.col("var_diag"), F.lit(0.0)), dof.cast("double"))
+    se = F.sqrt(sp2 * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n2)))
     t = F.when((n1 > 0) & (n2 > 0) & (dof > 0) & (se > 0),
-               (F.col("mean_off") - F.col("mean_diag")) / se)
+               F.try_divide(F.col("mean_off") - F.col("mean_diag"), se))
     out = moments.select("*", t.alias("t_stat"), dof.cast("bigint").alias("dof"))
     return out.withColumn("p_value", t_two_sided_p(F.col("t_stat"), F.col("dof").cast("double")))
 

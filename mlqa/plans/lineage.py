@@ -7,6 +7,7 @@ vanish with them).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from mlqa.session import ensure_checkpoint_dir
@@ -17,7 +18,13 @@ def cut_lineage(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     that reads from there (used after the costly model-scoring step)."""
     spark = spark or df.sparkSession
     ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    # without persisting, the eager checkpoint computes its input twice (once to
+    # count, once to write the files)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
 
 
 def write_and_reread(df: DataFrame, path: str, mode: str = "overwrite",
