@@ -279,3 +279,18 @@ def q_e16s(spark, sf):
     out = L.language_reward_sentences(v, ["conv_id", "turn"], "completion", "question", None)
     return out.select("conv_id", "turn", F.round("language_reward", 6).alias("language_reward"))
 
+
+
+@register("e15_language_reward_script", f"""
+WITH {SQL_TWO}
+SELECT conv_id, turn, round(CAST(CASE WHEN body IS NULL THEN 0.0 WHEN lb < 10 THEN 0.2
+         WHEN qd = bd_raw THEN greatest(0.3,
+           ({_sql_count_of('b_', 'qd')}) / greatest(1, lb) * least(1.0, ({_sql_count_of('q_', 'qd')}) / greatest(1, lq) * 2))
+         ELSE 0.1 END AS DOUBLE), 6) AS language_reward
+FROM dom
+""", views=("v_completions",))
+def q_e15s(spark, sf):
+    """E15 without a language model: the script fallback score of the think body."""
+    v = view(spark, sf, "v_completions")
+    out = L.script_language_reward(v, "completion", "question")
+    return out.select("conv_id", "turn", F.round("language_reward", 6).alias("language_reward"))

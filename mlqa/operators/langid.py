@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mlqa.functions.scripts import script_fallback_score, with_script_scores
+from mlqa.functions.scripts import with_script_scores
 from mlqa.functions.text import chunk_text, norm_text, open_think, split_sentences, strip, tag_body
 from mlqa.plans.sequence import spread
 
@@ -193,7 +193,8 @@ def language_reward_sentences(df: DataFrame, id_cols: list[str], completion: str
 def script_language_reward(df: DataFrame, completion: str, query: str,
                            out: str = "language_reward") -> DataFrame:
     """E15 without a model: the script fallback score of the think body."""
-    body = _think_body(completion)
-    reward = (F.when(body.isNull(), F.lit(0.0)).when(F.length(body) < 10, F.lit(0.2))
-              .otherwise(script_fallback_score(body, F.col(query))))
-    return df.withColumn(out, reward)
+    staged = df.withColumn("_body", _think_body(completion))
+    scored = with_script_scores(staged, "_body", query, "_fb", None)
+    reward = (F.when(F.col("_body").isNull(), F.lit(0.0)).when(F.length("_body") < 10, F.lit(0.2))
+              .otherwise(F.col("_fb")))
+    return scored.withColumn(out, reward).drop("_body", "_fb")
