@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "g3_language_region_matrix",   # flagship: verdict parsing -> language x region
     "g9_tier_scores",              # positional grid -> moments -> tier scores
-    "corpus_factual_entries",      # C1-C8 corpus build with global ids
+    "corpus_customer_entries",     # C1-C8 corpus build with global ids (grows with sf)
     "c12_qa_entries",              # wide -> long reshaping
     "c16_train_test_split",        # seeded exact-count split
     "c19_render_chat",             # chat rendering per conversation

@@ -176,6 +176,20 @@ def q_corpus(spark, sf):
                                     "label", "language")
 
 
+@register("corpus_customer_entries", f"""
+WITH {SQL_CORPUS.replace('FROM v_entities', 'FROM v_entities_customers')}
+SELECT id, question, answers, array_to_string(answer_list, '|') AS answer_list, label, language
+FROM corpus
+""", views=("v_entities_customers", "languages", "country_names", "templates"))
+def q_corpus_customers(spark, sf):
+    """C1-C8 composed over an entity table that grows with the data."""
+    ents = view(spark, sf, "v_entities_customers").withColumn("names", F.split("names", r"\|"))
+    out = build.factual_corpus(ents, dim(spark, "languages"), dim(spark, "country_names"),
+                               dim(spark, "templates"), countries(spark, sf))
+    return out.select("id", "question", "answers", F.array_join("answer_list", "|").alias("answer_list"),
+                      "label", "language")
+
+
 @register("corpus_eval_labels", f"""
 WITH {SQL_CORPUS}
 SELECT id, {SQL_EVAL_LABEL.replace('category', 'label')} AS label FROM corpus

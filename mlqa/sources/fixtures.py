@@ -69,6 +69,14 @@ SELECT CASE n.n_nationkey % 3 WHEN 0 THEN 'cities' WHEN 1 THEN 'artists' ELSE 'f
        r.r_name AS country, n.n_nationkey AS entity_idx,
        concat(n.n_name, '|', lower(n.n_name), '|', concat('Le ', n.n_name), '|', reverse(n.n_name)) AS names
 FROM {nation} n JOIN {region} r ON r.r_regionkey = n.n_regionkey
+""",
+    # Same shape as v_entities but over customer, so the corpus build grows with
+    # the scale factor (nation/region are fixed-size).
+    "v_entities_customers": """
+SELECT CASE c.c_custkey % 3 WHEN 0 THEN 'cities' WHEN 1 THEN 'artists' ELSE 'festivals' END AS category,
+       r.r_name AS country, c.c_custkey AS entity_idx,
+       concat(c.c_name, '|', lower(c.c_name), '|', concat('Le ', c.c_name), '|', reverse(c.c_name)) AS names
+FROM {customer} c JOIN {nation} n ON n.n_nationkey = c.c_nationkey JOIN {region} r ON r.r_regionkey = n.n_regionkey
 """,
     "v_metric_log": """
 SELECT event_id AS step, ts, event_type AS metric, value FROM {events}
