@@ -171,10 +171,14 @@ def tier_reward(score) -> Column:
     return expr.otherwise(F.lit(0.0))
 
 
-def _native_scores(pred: Column, cands: Column) -> Column:
-    """array<struct<cand, num, key>> per candidate."""
-    return F.transform(cands, lambda c: F.struct(
-        c.alias("cand"), numeric_match(pred, c).alias("num"), keyword_coverage(pred, c).alias("key")))
+def numeric_match_sorted(pn: Column, cand, tol: float = NUMERIC_TOLERANCE) -> Column:
+    """E6 with the prediction's numbers already extracted and sorted."""
+    tn = F.array_sort(extract_numbers(cand))
+    close = F.zip_with(pn, tn, lambda p, t: F.when(
+        F.abs(p - t) <= F.lit(tol) * F.greatest(F.lit(1.0), F.abs(t)), 1).otherwise(0))
+    share = F.aggregate(close, F.lit(0), lambda acc, x: acc + x) / F.size(tn)
+    return (F.when((F.size(pn) == F.size(tn)) & (F.size(tn) > 0), share.cast("double"))
+            .otherwise(F.lit(0.0)))
 
 
 def with_best_match(df: DataFrame, pred: str, cands: str, out: str = "best",
@@ -185,22 +189,29 @@ def with_best_match(df: DataFrame, pred: str, cands: str, out: str = "best",
     scores max(similarity, numeric, key words), ties resolved in that method
     order; across candidates: higher score, then method order, then candidate
     text. Similarity is computed only for candidates whose length bound reaches
-    the best native score (and, when only the tier is needed, 0.6). The Python
-    similarity runs in its own projection (a UDF cannot sit inside a lambda)."""
+    the best native score (and, when only the tier is needed, 0.6).
+
+    Every intermediate is its own projection: a lambda re-evaluates any outer
+    expression per element, and the Python similarity cannot sit in a lambda."""
     p, c = F.col(pred), F.col(cands)
-    nat = _native_scores(p, c)
-    best_native = F.coalesce(F.array_max(F.transform(nat, lambda s: F.greatest(s["num"], s["key"]))),
-                             F.lit(0.0))
+    st = df.withColumn("_bm_pn", F.array_sort(extract_numbers(p)))
+    st = st.withColumn("_bm_nat", F.transform(c, lambda x: F.struct(
+        x.alias("cand"), numeric_match_sorted(F.col("_bm_pn"), x).alias("num"),
+        keyword_coverage(p, x).alias("key"))))
+    st = st.withColumn("_bm_bn", F.coalesce(F.array_max(F.transform(
+        "_bm_nat", lambda s: F.greatest(s["num"], s["key"]))), F.lit(0.0)))
+    bn = F.col("_bm_bn")
     if for_reward_only:
-        keep = lambda x: (S.length_bound(p, x) > best_native) & (S.length_bound(p, x) >= TIERS[-1][0])
+        keep = lambda x: (S.length_bound(p, x) > bn) & (S.length_bound(p, x) >= TIERS[-1][0])
     else:
-        keep = lambda x: S.length_bound(p, x) >= best_native
-    staged = df.withColumn("_bm_res", F.filter(c, keep))
-    staged = staged.withColumn("_bm_sims", S.ratios(F.when(F.size("_bm_res") > 0, p), F.col("_bm_res")))
-    sim_of = F.map_from_arrays(F.col("_bm_res"), F.col("_bm_sims"))
-    scored = F.transform(nat, lambda s: _score_struct(
-        s, F.coalesce(F.try_element_at(sim_of, s["cand"]), F.lit(0.0))))
-    best = F.get(F.array_sort(scored, _better_first), 0)
+        keep = lambda x: S.length_bound(p, x) >= bn
+    st = st.withColumn("_bm_res", F.filter(c, keep))
+    st = st.withColumn("_bm_sims", S.ratios(F.when(F.size("_bm_res") > 0, p), F.col("_bm_res")))
+    st = st.withColumn("_bm_map", F.map_from_arrays(F.col("_bm_res"), F.col("_bm_sims")))
+    scored = F.transform("_bm_nat", lambda s: _score_struct(
+        s, F.coalesce(F.try_element_at(F.col("_bm_map"), s["cand"]), F.lit(0.0))))
+    st = st.withColumn("_bm_best", F.get(F.array_sort(scored, _better_first), 0))
+    best = F.col("_bm_best")
     exact = F.coalesce(F.array_contains(c, p), F.lit(False))
     res = (F.when(exact, F.struct(F.lit(1.0).alias("score"), F.lit("exact").alias("method"),
                                   p.alias("answer")))
@@ -208,7 +219,8 @@ def with_best_match(df: DataFrame, pred: str, cands: str, out: str = "best",
                                             best["answer"].alias("answer")))
            .otherwise(F.struct(F.lit(0.0).alias("score"), F.lit("").alias("method"),
                                F.lit("").alias("answer"))))
-    return staged.withColumn(out, res).drop("_bm_res", "_bm_sims")
+    return st.withColumn(out, res).drop("_bm_pn", "_bm_nat", "_bm_bn", "_bm_res", "_bm_sims",
+                                        "_bm_map", "_bm_best")
 
 
 def _score_struct(s: Column, sim: Column) -> Column:
