@@ -293,6 +293,12 @@ def diagnostics(df: DataFrame, reward: str, key: Column, seed: int = 0,
     return df.withColumn("bucket", bucket).filter(h < bound)
 
 
+def write_diagnostics(sampled: DataFrame, path: str, mode: str = "append") -> None:
+    """E19 sink: one folder per bucket (success / partial / failed), JSON lines
+    with the match detail columns kept as they are."""
+    sampled.write.mode(mode).partitionBy("bucket").option("ignoreNullFields", False).json(path)
+
+
 def reward_summary(df: DataFrame, reward_cols: list[str]) -> DataFrame:
     """Mean of each reward, as a rounded double and as 7-decimal text."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("reward"), F.col(c).cast("double")

@@ -26,7 +26,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str,
              na_values: list[str] | None = None) -> DataFrame:
     """Headered UTF-8 CSV whose quoted cells may hold newlines and doubled
-    quotes. ``na_values`` lists texts to read as NULL (pandas-style)."""
+    quotes. Empty cells read as NULL (as pandas reads them); ``na_values`` lists
+    further texts to read as NULL."""
     df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
           .option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path))
     if na_values:
@@ -101,6 +102,18 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def load_main_split(spark: SparkSession, path: str, split_col: str = "split",
+                    preferred: str = "train") -> DataFrame:
+    """A dataset saved with ``partitionBy(split)``: the main split is ``train``
+    when present, else the first split name. The split list is the partition
+    directory listing (a tiny distinct over a partition column), and the filter
+    prunes the other directories."""
+    t = spark.read.parquet(path)
+    splits = sorted(r[0] for r in t.select(split_col).distinct().collect())
+    main = preferred if preferred in splits else (splits[0] if splits else None)
+    return t.filter(F.col(split_col) == main).drop(split_col)
+
+
 # ---------------------------------------------------------------- A5 / A6
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines, UTF-8 (non-ASCII kept), NULL fields written as null."""
