@@ -267,7 +267,7 @@ CASE WHEN n_off > 0 AND n_diag > 0 THEN 2.0 * (1.0 / (abs(mean_off - mean_diag)
 """
 
 SQL_JOINT = """round(frs, 6) AS FRS, round(kts, 6) AS KTS,
-round(CASE WHEN frs IS NULL THEN NULL WHEN frs + kts > 0 THEN 2 * frs * kts / (frs + kts) ELSE 0.0 END, 6) AS X_FaKT"""
+round(CASE WHEN frs IS NULL THEN NULL WHEN frs + kts > 0 THEN 2 * frs * kts / (frs + kts) ELSE 0.0 END, 6) AS JOINT"""
 
 
 @register("g8_transfer_scores", f"""
@@ -278,7 +278,7 @@ SELECT {SQL_JOINT} FROM s
 """, views=("v_ratings", "languages"))
 def q_g8(spark, sf):
     s = metrics.transfer_scores(metrics.split_moments(_split(spark, sf)))
-    return _r6(s, "FRS", "KTS", "X_FaKT")
+    return _r6(s, "FRS", "KTS", "JOINT")
 
 
 SQL_TIERS = f"""
@@ -294,14 +294,14 @@ WITH {SQL_GRID}, {SQL_TIERS}
 SELECT * FROM t
 """, views=("v_ratings", "languages"))
 def q_g9(spark, sf):
-    return _r6(metrics.tier_scores(_split(spark, sf)), "FRS", "KTS", "X_FaKT")
+    return _r6(metrics.tier_scores(_split(spark, sf)), "FRS", "KTS", "JOINT")
 
 
 @register("g10_metric_report", f"""
 WITH {SQL_GRID}, {SQL_TIERS}
 SELECT group_name, 'Factual Recall Score (FRS)' AS metric, FRS AS value FROM t
 UNION ALL SELECT group_name, 'Knowledge Transfer Score (KTS)', KTS FROM t
-UNION ALL SELECT group_name, 'Cross-Lingual Factual Knowledge Transferability Score (X-FaKT)', X_FaKT FROM t
+UNION ALL SELECT group_name, 'Cross-Lingual Factual Knowledge Transferability Score', JOINT FROM t
 """, views=("v_ratings", "languages"))
 def q_g10(spark, sf):
-    return metrics.metric_report(_r6(metrics.tier_scores(_split(spark, sf)), "FRS", "KTS", "X_FaKT"))
+    return metrics.metric_report(_r6(metrics.tier_scores(_split(spark, sf)), "FRS", "KTS", "JOINT"))

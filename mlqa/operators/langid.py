@@ -115,10 +115,6 @@ def classify(pieces: DataFrame, profile: DataFrame, id_cols: list[str], text_col
     return base.join(best, id_cols, "left").withColumn(out, F.coalesce(F.col(out), F.lit(langs[0])))
 
 
-def default_language(profile_languages: list[str]) -> str:
-    return min(profile_languages)
-
-
 # ---------------------------------------------------------------- E15 / E16
 def _think_body(completion) -> Column:
     """Stripped first think block after adding the opener when it is not the

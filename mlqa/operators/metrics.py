@@ -246,7 +246,7 @@ def score_columns(mean_off: Column, mean_diag: Column, n_off: Column, n_diag: Co
     kts = F.lit(2.0) * (F.lit(1.0) / (F.abs(mean_off - mean_diag) + 1) - F.lit(0.5))
     joint = F.when(frs + kts > 0, 2 * frs * kts / (frs + kts)).otherwise(F.lit(0.0))
     return (F.when(ok, frs).alias("FRS"), F.when(ok, kts).alias("KTS"),
-            F.when(ok, joint).alias("X_FaKT"))
+            F.when(ok, joint).alias("JOINT"))
 
 
 def transfer_scores(moments: DataFrame) -> DataFrame:
@@ -270,5 +270,5 @@ def metric_report(scores: DataFrame) -> DataFrame:
     """Tidy (group_name, metric, value) rows from ``tier_scores``."""
     return scores.select("group_name", F.expr(
         "stack(3, 'Factual Recall Score (FRS)', FRS, 'Knowledge Transfer Score (KTS)', KTS, "
-        "'Cross-Lingual Factual Knowledge Transferability Score (X-FaKT)', X_FaKT) "
+        "'Cross-Lingual Factual Knowledge Transferability Score', JOINT) "
         "AS (metric, value)"))

@@ -104,10 +104,9 @@ def acceptable_set(target, answer_list, normalizer=norm_text, list_is_text: bool
 
 def acceptable_set_from_text(target, answer_list_text, normalizer=norm_text) -> Column:
     """E3 when the answer list is one text value (comma-separated)."""
-    pieces = F.split(F.coalesce(col_of(answer_list_text), F.lit("None")), ",", -1)
-    return _finish_set(col_of(target), F.when(col_of(answer_list_text).isNull(),
-                                              F.array().cast("array<string>")).otherwise(pieces),
-                       normalizer)
+    al = col_of(answer_list_text)
+    pieces = F.when(al.isNull(), F.array().cast("array<string>")).otherwise(F.split(al, ",", -1))
+    return _finish_set(col_of(target), pieces, normalizer)
 
 
 def acceptable_set_from_array(target, answer_list, normalizer=norm_text) -> Column:

@@ -24,12 +24,12 @@ def test_scores_from_moments(spark):
     r = metrics.transfer_scores(df).first()
     assert math.isclose(r["FRS"], 0.9150943396226413, rel_tol=1e-12)
     assert math.isclose(r["KTS"], 0.9047619047619047, rel_tol=1e-12)
-    assert math.isclose(r["X_FaKT"], 0.9098987904221177, rel_tol=1e-12)
+    assert math.isclose(r["JOINT"], 0.9098987904221177, rel_tol=1e-12)
     for off in (0.0, 0.3, 1.0):
         for diag in (0.0, 0.7, 1.0):
             s = metrics.transfer_scores(spark.createDataFrame(
                 [(off, diag, 1, 1)], "mean_off double, mean_diag double, n_off long, n_diag long")).first()
-            assert all(-1e-12 <= s[k] <= 1 + 1e-12 for k in ("FRS", "KTS", "X_FaKT"))
+            assert all(-1e-12 <= s[k] <= 1 + 1e-12 for k in ("FRS", "KTS", "JOINT"))
 
 
 def test_histogram_mean_identity(spark):
