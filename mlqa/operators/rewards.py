@@ -15,6 +15,7 @@ from mlqa.functions import similarity as S
 from mlqa.functions.text import (extract_numbers, key_words, norm_text, open_think, strip,
                                  tag_body)
 from mlqa.functions.util import col_of
+from mlqa.plans.sizing import broadcast_if_small
 
 # Answer aliases applied after strip + lower (variant -> canonical).
 ALIASES = {
@@ -77,10 +78,10 @@ def apply_alias(c, aliases: dict | None = None) -> Column:
 
 
 def apply_alias_table(df: DataFrame, col: str, alias_df: DataFrame) -> DataFrame:
-    """D7 with a user alias table ``(variant, canonical)``: broadcast left join
-    (alias tables are small by nature; AQE would still demote the hint if not)."""
+    """D7 with a user alias table ``(variant, canonical)``: left join, broadcast
+    only after a bounded size check (sort-merge beyond it)."""
     a = alias_df.select(F.col("variant").alias("_v"), F.col("canonical").alias("_c"))
-    out = df.join(F.broadcast(a), F.col(col) == F.col("_v"), "left")
+    out = df.join(broadcast_if_small(a), F.col(col) == F.col("_v"), "left")
     return out.withColumn(col, F.coalesce(F.col("_c"), F.col(col))).drop("_v", "_c")
 
 

@@ -1,0 +1,18 @@
+"""Broadcast behind a size check.
+
+Fixed dimensions (languages, templates, the <= languages x 300 profile) are
+broadcast directly. A user-supplied side of unknown size goes through
+``broadcast_if_small``: a bounded count (``limit(max_rows + 1)``, it stops
+early) decides; above the bound no hint is given and the join stays a
+sort-merge join (AQE may still demote it to a broadcast from runtime sizes).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

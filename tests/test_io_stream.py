@@ -84,3 +84,16 @@ def test_main_split_and_diagnostics_sink(spark):
     rewards.write_diagnostics(diag, out)
     back = spark.read.json(out)
     assert dict(back.groupBy("bucket").count().collect()) == {"failed": 167, "partial": 167, "success": 166}
+
+
+def test_alias_table_join_size_checked(spark):
+    from mlqa.operators import rewards
+    from mlqa.plans.sizing import broadcast_if_small
+    aliases = spark.createDataFrame(list(rewards.ALIASES.items()), "variant string, canonical string")
+    df = spark.createDataFrame([("usa",), ("kenya",), ("prc",)], "a string")
+    got = [r["a"] for r in rewards.apply_alias_table(df, "a", aliases).orderBy("a").collect()]
+    assert got == ["china", "kenya", "united states"]
+    big = spark.range(0, 50)
+    assert broadcast_if_small(big, 10) is big  # above the bound: no hint
+    plan = df.join(broadcast_if_small(aliases, 100), df.a == aliases.variant)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan
