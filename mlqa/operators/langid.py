@@ -125,15 +125,17 @@ def _think_body(completion) -> Column:
 def _match_counts(base: DataFrame, id_cols: list[str], query: str, pieces: DataFrame,
                   profile: DataFrame, allowed) -> DataFrame:
     """Classify each completion's query (as piece -1) together with its pieces
-    in ONE classification pass clustered by the completion key; a window over
-    that same partitioning hands the query language to every piece (no extra
-    exchange); then count pieces and matches per completion."""
+    in ONE classification pass, partitioned by the full piece id so even a huge
+    completion is spread over many tasks; the query languages (one row per
+    completion) are joined back to the pieces (AQE splits a skewed key), and
+    pieces and matches are counted per completion with partial aggregation."""
     q = base.select(*id_cols, F.lit(-1).alias("_pos"), F.col(query).alias("_piece"))
     allp = pieces.select(*id_cols, "_pos", "_piece").unionByName(q)
-    cl = classify(allp, profile, id_cols + ["_pos"], "_piece", allowed, "_lang", cluster_by=id_cols)
-    qlang = F.max(F.when(F.col("_pos") == -1, F.col("_lang"))).over(Window.partitionBy(*id_cols))
-    cl = cl.withColumn("_qlang", qlang).filter(F.col("_pos") >= 0)
-    return cl.groupBy(*id_cols).agg(F.count(F.lit(1)).alias("_total"),
+    cl = classify(allp, profile, id_cols + ["_pos"], "_piece", allowed, "_lang").select(
+        *id_cols, "_pos", "_lang")
+    ql = cl.filter(F.col("_pos") == -1).select(*id_cols, F.col("_lang").alias("_qlang"))
+    pl = cl.filter(F.col("_pos") >= 0).join(ql, id_cols)
+    return pl.groupBy(*id_cols).agg(F.count(F.lit(1)).alias("_total"),
                                     F.count_if(F.col("_lang") == F.col("_qlang")).alias("_match"))
 
 
