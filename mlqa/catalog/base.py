@@ -7,10 +7,12 @@ oracle_sql_or_None)``; the oracle is DuckDB text over the same parquet tables.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mlqa.session import ship_package
 from mlqa.sources.fixtures import with_views
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -22,7 +24,12 @@ def register(name: str, sql: str | None = None, views: tuple = ()):
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = (fn, with_views(sql, *views) if sql else None)
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)  # Python workers must import mlqa (UDFs)
+            return fn(spark, sf_dir)
+        REGISTRY[name] = (run, with_views(sql, *views) if sql else None)
         return fn
     return deco
 
