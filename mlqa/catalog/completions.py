@@ -116,7 +116,7 @@ def q_d7(spark, sf):
 
 # ------------------------------------------------------------------ D8-D12
 @register("d8_chunk_text", """
-SELECT doc_id, pos, substr(text, pos * 100 + 1, 100) AS chunk
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, substr(text, pos * 100 + 1, 100) AS chunk
 FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 100) AS BIGINT))) AS pos
       FROM documents) t
 """)
@@ -131,7 +131,7 @@ WITH s AS (
            string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)),
            lambda x: {sql_strip('x')}), lambda x: x <> '') AS l
   FROM documents)
-SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS sentence FROM s
+SELECT doc_id, CAST(unnest(range(0, len(l))) AS INTEGER) AS pos, unnest(l) AS sentence FROM s
 """)
 def q_d9(spark, sf):
     d = load_table(spark, sf, "documents")
@@ -142,7 +142,7 @@ SQL_NUMS = "list_transform(regexp_extract_all({x}, '[-+]?\\d*\\.\\d+|\\d+'), lam
 
 
 @register("d10_extract_numbers", f"""
-SELECT conv_id, turn, len(n) AS n_numbers, round(coalesce(list_sum(n), 0), 6) AS sum_numbers,
+SELECT conv_id, turn, CAST(len(n) AS INTEGER) AS n_numbers, round(coalesce(list_sum(n), 0), 6) AS sum_numbers,
        n[1] AS first_number
 FROM (SELECT conv_id, turn, {SQL_NUMS.format(x='completion')} AS n FROM v_completions) t
 """, views=VC)

@@ -72,7 +72,7 @@ _DIMS = ("v_entities", "languages", "country_names", "templates")
 
 @register("c1_expand_entities", f"""
 WITH {SQL_EXPANDED}
-SELECT category, country, entity_idx, lang_idx, language, entity_name FROM xl
+SELECT category, country, entity_idx, CAST(lang_idx AS INTEGER) AS lang_idx, language, entity_name FROM xl
 """, views=("v_entities", "languages"))
 def q_c1(spark, sf):
     return expanded(spark, sf).select("category", "country", "entity_idx", "lang_idx",
@@ -243,7 +243,7 @@ def q_c9(spark, sf):
 
 
 @register("c10_parse_answers", f"""
-SELECT question_id, len({sql_parse('answers_fr')}) AS n_answers,
+SELECT question_id, CAST(len({sql_parse('answers_fr')}) AS INTEGER) AS n_answers,
        array_to_string({sql_parse('answers_fr')}, '|') AS answers
 FROM v_wide_questions
 """, views=("v_wide_questions",))

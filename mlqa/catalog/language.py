@@ -44,7 +44,7 @@ prof AS (SELECT language, gram, r FROM (
 
 @register("e11_fit_langid", f"""
 WITH {SQL_GRAMS}
-SELECT language, gram, r FROM prof
+SELECT language, gram, CAST(r AS INTEGER) AS r FROM prof
 """)
 def q_e11_fit(spark, sf):
     return profile(spark, sf)
@@ -72,10 +72,10 @@ def q_e11_classify(spark, sf):
     return out.select("doc_id", "lang", "pred_lang")
 
 
-def _sql_counts(x: str) -> str:
+def _sql_counts(x: str, prefix: str = "") -> str:
     cols = []
     for name, lo, hi in SC.SCRIPTS:
-        cols.append(f"len(regexp_extract_all({x}, '[\\x{{{lo:04X}}}-\\x{{{hi:04X}}}]')) AS {name}")
+        cols.append(f"CAST(len(regexp_extract_all({x}, '[\\x{{{lo:04X}}}-\\x{{{hi:04X}}}]')) AS INTEGER) AS {prefix}{name}")
     return ", ".join(cols)
 
 
@@ -111,7 +111,7 @@ b AS (SELECT conv_id, turn, question AS q, {SQL_BODY} AS body
                    CASE WHEN starts_with(completion, '<think>') THEN completion
                         ELSE concat('<think>', completion) END AS c FROM v_completions) v),
 cnt AS (SELECT conv_id, turn, q, body, length(q) AS lq, length(body) AS lb,
-               {_sql_counts('q').replace(' AS ', ' AS q_')}, {_sql_counts('body').replace(' AS ', ' AS b_')}
+               {_sql_counts('q', 'q_')}, {_sql_counts('body', 'b_')}
         FROM b),
 dom AS (SELECT *, {_sql_dominant('q_', True)} AS qd, {_sql_dominant('b_', False)} AS bd_raw,
                {_sql_dominant('b_', True)} AS bd FROM cnt)
@@ -249,8 +249,8 @@ def q_e16(spark, sf):
 def _e16_script_sql() -> str:
     split = (f"list_filter(list_transform(string_split(regexp_replace(body, '([.!?])\\s+', '\\1' || chr(10), 'g'), "
              f"chr(10)), lambda s: {sql_strip('s')}), lambda s: s <> '')")
-    qc = _sql_counts('question').replace(' AS ', ' AS q_')
-    sc = _sql_counts('piece').replace(' AS ', ' AS b_')
+    qc = _sql_counts('question', 'q_')
+    sc = _sql_counts('piece', 'b_')
     return f"""
 WITH {SQL_THINK},
 sl AS (SELECT conv_id, turn, question, body, {split} AS l FROM th),

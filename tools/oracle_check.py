@@ -63,8 +63,10 @@ def canon(cols, rows):
 
 def spark_kind(dt) -> str:
     n = type(dt).__name__
-    if n in ("IntegerType", "LongType", "ShortType", "ByteType"):
-        return "int"
+    if n in ("IntegerType", "ShortType", "ByteType"):
+        return "int32"
+    if n == "LongType":
+        return "int64"
     if n in ("DoubleType", "FloatType"):
         return "float"
     if n == "DecimalType":
@@ -80,8 +82,12 @@ def spark_kind(dt) -> str:
 
 def duck_kind(t: str) -> str:
     t = str(t).upper()
-    if t in ("INTEGER", "BIGINT", "SMALLINT", "TINYINT", "HUGEINT", "UBIGINT", "UINTEGER"):
-        return "int"
+    if t in ("INTEGER", "SMALLINT", "TINYINT"):
+        return "int32"
+    if t in ("BIGINT", "UINTEGER"):
+        return "int64"
+    if t in ("HUGEINT", "UBIGINT"):
+        return "int128"
     if t in ("DOUBLE", "FLOAT", "REAL"):
         return "float"
     if t.startswith("DECIMAL"):
