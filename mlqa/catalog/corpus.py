@@ -338,13 +338,24 @@ UNION ALL
 SELECT 'sampled', language, count(*) FROM (
   SELECT lang AS language, row_number() OVER (PARTITION BY lang ORDER BY {SQL_MD5}, doc_id) AS rk
   FROM documents WHERE lang IN ('en', 'fr', 'de')) t WHERE rk <= 100 GROUP BY language
+UNION ALL
+SELECT concat('split_', split), language, count(*) FROM (
+  SELECT language, CASE WHEN row_number() OVER (ORDER BY {SQL_MD5}, doc_id) <= ceil(count(*) OVER () * 0.1)
+                        THEN 'test' ELSE 'train' END AS split
+  FROM (SELECT doc_id, lang AS language,
+               row_number() OVER (PARTITION BY lang ORDER BY {SQL_MD5}, doc_id) AS rk
+        FROM documents WHERE lang IN ('en', 'fr', 'de')) t WHERE rk <= 100) u
+GROUP BY split, language
 """)
 def q_c17(spark, sf):
     d = docs(spark, sf)
     f = build.keep_languages(d, ["en", "fr", "de"])
     s = build.sample_per_group(f, "language", 100, 42, "doc_id")
+    sp = build.train_test_split(s, 0.1, 42, "doc_id")
     parts = [build.stage_counts(d, stage="loaded"), build.stage_counts(f, stage="filtered"),
-             build.stage_counts(s, stage="sampled")]
+             build.stage_counts(s, stage="sampled"),
+             build.stage_counts(sp.filter(F.col("split") == "test"), stage="split_test"),
+             build.stage_counts(sp.filter(F.col("split") == "train"), stage="split_train")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
