@@ -143,3 +143,16 @@ def test_python_only_where_expected(spark):
         p = plan(REGISTRY[name][0](spark, SF_SMALL))
         assert "EvalPython" not in p, name
     assert "ArrowEvalPython" in plan(REGISTRY["e10_fuzzy_reward"][0](spark, SF_SMALL))
+
+
+def test_numbering_hot_group_is_bucketed(spark):
+    # group 0 holds a third of all rows; numbering must stay exact and the
+    # row-level window must be partitioned by (group, bucket), not group alone
+    df = spark.range(0, 30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("g"), F.col("id").alias("k"))
+    out = sequence_number(df, [F.col("k")], F.floor(F.col("k") / 512), partition=["g"], name="pos")
+    hot = sorted((r["k"], r["pos"]) for r in out.filter("g = 0").collect())
+    assert [p for _, p in hot] == list(range(1, len(hot) + 1))
+    p = plan(out)
+    windows = [l for l in p.split("\n") if "Window [row_number()" in l]
+    assert windows and all("_seq_b" in l for l in windows), windows
