@@ -96,9 +96,13 @@ def classify(pieces: DataFrame, profile: DataFrame, id_cols: list[str], text_col
     prof = profile.filter(F.col("language").isin(langs))
     prof = F.broadcast(prof.select(F.try_element_at(rank, F.col("language")).alias("lang_rank"), "gram",
                                    F.col("r").alias("r_lang")))
-    # an explicit count: AQE would otherwise coalesce the (small) text shuffle
-    # into a few partitions right before the ~300x gram expansion
-    n_parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # An explicit count: AQE would otherwise coalesce the (small) text shuffle
+    # into a few partitions right before the ~300x gram expansion. It is at
+    # least the input's own split count, which grows with the data, so 100 TB
+    # of text is not squeezed into the default 200 partitions (planning-time
+    # check, no job).
+    n_parts = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                  pieces.rdd.getNumPartitions())
     base = pieces.repartition(n_parts, *(cluster_by or id_cols))
     counts = (gram_rows(base, id_cols, text_col)
               .groupBy(*id_cols, "gram").agg(F.count(F.lit(1)).alias("cnt")))
