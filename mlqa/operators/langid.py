@@ -80,7 +80,7 @@ def fit_langid(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 def classify(pieces: DataFrame, profile: DataFrame, id_cols: list[str], text_col: str,
              allowed: list[str] | None = None, out: str = "pred_lang",
-             cluster_by: list[str] | None = None) -> DataFrame:
+             cluster_by: list[str] | None = None, partitions: int | None = None) -> DataFrame:
     """E11 prediction for every row of ``pieces`` (one row per id): adds ``out``.
 
     Pieces are hash-partitioned once by ``cluster_by`` (default: the id; pass a
@@ -97,12 +97,11 @@ def classify(pieces: DataFrame, profile: DataFrame, id_cols: list[str], text_col
     prof = F.broadcast(prof.select(F.try_element_at(rank, F.col("language")).alias("lang_rank"), "gram",
                                    F.col("r").alias("r_lang")))
     # An explicit count: AQE would otherwise coalesce the (small) text shuffle
-    # into a few partitions right before the ~300x gram expansion. It is at
-    # least the input's own split count, which grows with the data, so 100 TB
-    # of text is not squeezed into the default 200 partitions (planning-time
-    # check, no job).
-    n_parts = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-                  pieces.rdd.getNumPartitions())
+    # into a few partitions right before the ~300x gram expansion. The default
+    # is the session's spark.sql.shuffle.partitions, which a cluster sizes for
+    # its data; callers may pass ``partitions``. (Asking the input for its
+    # partition count would make AQE run the upstream shuffles early.)
+    n_parts = partitions or int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = pieces.repartition(n_parts, *(cluster_by or id_cols))
     counts = (gram_rows(base, id_cols, text_col)
               .groupBy(*id_cols, "gram").agg(F.count(F.lit(1)).alias("cnt")))

@@ -57,8 +57,10 @@ def sequence_number(df: DataFrame, order: list, bucket: Column,
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin ``df`` over the cluster when its scan yields fewer partitions
-    than there are cores (one small file = one task). A planning-time check; at
-    scale the scan already has many splits and this is a no-op."""
+    than there are cores (one small file = one task). Meant for scan-only
+    inputs, where counting partitions is a planning-time check (on a plan with
+    shuffles, AQE would run those stages to answer); at scale the scan already
+    has many splits and this is a no-op."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
