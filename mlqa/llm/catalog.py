@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mlqa.llm import quality_lines, url_rules
+from mlqa.llm import probminhash, quality_lines, url_rules
 from mlqa.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,8 @@ def op10_quality_lines(spark, sf_dir):
     return quality_lines.measure(docs.select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_words",
         "base_failed", "kept")
+
+
+@_query("op9_probminhash")
+def op9_probminhash(spark, sf_dir):
+    return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
