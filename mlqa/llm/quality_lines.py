@@ -20,16 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACE = r"[\x20\x09-\x0D]+"
-SPACE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MAX_LOSS = 0.4
 MIN_WORDS = 10
 
-# Rules on one line, as regular expressions that Java and RE2 read alike.
-NAVIGATION = r"^[^|»›]*([|»›][^|»›]*){3,}$"
-BOILERPLATE = (r"(?i)(cookie (policy|settings|consent)|all rights reserved|terms (of|and) (use|conditions)"
-               r"|privacy policy|click here|sign up|subscribe to|enable javascript|lorem ipsum|skip to content)")
+# Rules on one line; the patterns read alike in Java and RE2.
+SEPARATORS = r"[|»›]"          # three or more: a navigation bar
+BOILERPLATE = ["cookie policy", "cookie settings", "cookie consent", "all rights reserved", "terms of use",
+               "terms and conditions", "privacy policy", "click here", "sign up", "subscribe to",
+               "enable javascript", "lorem ipsum", "skip to content"]
 SHOUTING = r"[A-Z]{2,}[^a-z]*!!"
 SENTENCE_MARK = r"[.!?:;。！？…]"
 LONG_LINE_WORDS = 40          # a longer line must hold a sentence mark
@@ -38,26 +37,36 @@ STUTTER_WORDS = 8             # from this many words on, a line needs varied wor
 STUTTER_DISTINCT_PCT = 25
 
 
-def words_of(text: Column) -> Column:
-    """Array of the words of a text; empty for a text of white space."""
-    t = F.regexp_replace(F.regexp_replace(text, f"^{SPACE}", ""), f"{SPACE}$", "")
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE))
+def words_of(line: Column) -> Column:
+    """Array of the words of a line (no line feed in it); empty for white space.
+    Plain replacements and a one-character split cost far less than a regular
+    expression."""
+    odd = line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\x0c")
+    return F.array_remove(F.split(F.when(odd, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line), " "), "")
 
 
 def _n_symbols(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
-
-
-def _line_ok(line: Column, words: Column) -> Column:
-    """Verdict on one line with at least one word."""
-    n = F.size(words)
+    any_of = text.contains(SYMBOLS[0])
+    for ch in SYMBOLS[1:]:
+        any_of = any_of | text.contains(ch)
+    return F.when(any_of, F.regexp_count(text, F.lit(f"[{SYMBOLS}]"))).otherwise(F.lit(0))
+
+
+def _line_ok(line: Column, low: Column, hashes: Column, doc_symbols: Column) -> Column:
+    """Verdict on one line with at least one word; ``low`` is the line in lower case,
+    ``hashes`` those of its words."""
+    n = F.size(hashes)
+    boiler = low.contains(BOILERPLATE[0])
+    for phrase in BOILERPLATE[1:]:
+        boiler = boiler | low.contains(phrase)
+    separator = line.contains("|") | line.contains("»") | line.contains("›")
     return ~(
-        line.rlike(NAVIGATION)
-        | line.rlike(BOILERPLATE)
-        | line.rlike(SHOUTING)
-        | (_n_symbols(line) * 100 > n * SYMBOL_WORDS_PCT)
+        (separator & (F.regexp_count(line, F.lit(SEPARATORS)) >= 3))
+        | boiler
+        | (line.contains("!!") & line.rlike(SHOUTING))
+        | ((doc_symbols > 0) & (_n_symbols(line) * 100 > n * SYMBOL_WORDS_PCT))
         | ((n >= LONG_LINE_WORDS) & ~line.rlike(SENTENCE_MARK))
-        | ((n >= STUTTER_WORDS) & (F.size(F.array_distinct(words)) * 100 < n * STUTTER_DISTINCT_PCT))
+        | ((n >= STUTTER_WORDS) & (F.size(F.array_distinct(hashes)) * 100 < n * STUTTER_DISTINCT_PCT))
     )
 
 
@@ -65,30 +74,45 @@ def measure(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) ->
     """``docs`` with the base measures, ``cleaned_text``, ``lost_words``,
     ``base_failed`` and ``kept``.
 
-    ``n_repeat_words`` counts the words covered by 5-word windows that occur
-    twice or more. Windows are compared by a 64-bit hash; equal ones are found by
-    sorting the (hash, start) pairs, and only in texts that have an equal pair.
+    The words are split once, line by line (a line feed is white space, so a text's
+    words are its lines' words). ``n_repeat_words`` counts the words covered by 5-word
+    windows that occur twice or more. Words and windows are compared by 64-bit
+    hashes; equal windows are found by sorting the (hash, start) pairs, and only in
+    texts that have an equal pair. Every intermediate array is a column of its own,
+    so that no lambda computes it again for each element.
     """
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_words",
                 "cleaned_text", "base_failed", "kept"]
     d = docs.drop(*[c for c in measures if c != text])
     own = d.columns
+    hashed = lambda words: F.transform(words, lambda x: F.xxhash64(x))
     d = d.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    d = d.select(*own, "_t", words_of(F.col("_t")).alias("_w"),
-                 F.filter(F.split("_t", "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != "").alias("_lines"),
-                 F.split("_t", "\n").alias("_all"))
-    d = d.select("*", F.size("_w").alias("_n"), F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"),
-                 F.array_distinct("_lines").alias("_uniq"))
+    d = d.select(*own, "_t", F.split("_t", "\n").alias("_all"))
+    d = d.select("*", F.transform("_all", words_of).alias("_aw"))
+    d = d.select(*own, "_t", "_all", F.transform("_aw", hashed).alias("_ah"),
+                 F.length(F.array_join(F.transform("_aw", lambda x: F.array_join(x, "")), "")).cast("bigint")
+                 .alias("word_chars"))
+    ah = F.col("_ah")
+    d = d.select(*own, "_t", "_ah", "word_chars", F.flatten("_ah").alias("_h"),
+                 F.filter("_all", lambda x, i: F.size(F.get(ah, i)) > 0).alias("_lines"),
+                 _n_symbols(F.col("_t")).cast("bigint").alias("n_symbols"))
     h = F.col("_h")
-    windows = F.when(
-        F.col("_n") >= 5,
-        F.transform(F.sequence(F.lit(0), F.greatest(F.col("_n") - 5, F.lit(0))),
-                    lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(5)])),
-    ).otherwise(F.array().cast("array<bigint>"))
-    d = d.select("*", windows.alias("_win"))
+    n = F.size("_h")
+    windows = F.slice(F.transform("_h", lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, 5)])),
+                      1, F.greatest(n - 4, F.lit(0)))
+    d = d.select(*own, "_t", "_ah", "word_chars", "n_symbols", n.cast("bigint").alias("n_words"), windows.alias("_win"),
+                 "_lines", F.array_distinct("_lines").alias("_uniq"))
+    n_dup = F.size("_lines") - F.size("_uniq")
     pairs = F.sort_array(F.transform("_win", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    d = d.select("*", F.when(F.size(F.array_distinct("_win")) < F.size("_win"), pairs).alias("_pairs"))
-    p = F.col("_pairs")
+    d = d.select(*own, "_t", "word_chars", "n_symbols", "n_words", "_uniq", n_dup.cast("bigint").alias("n_dup_lines"),
+                 F.when(n_dup == 0, F.filter("_ah", lambda x: F.size(x) > 0))
+                 .otherwise(F.transform("_uniq", lambda x: hashed(words_of(x)))).alias("_lh"),
+                 F.transform("_uniq", F.lower).alias("_low"),
+                 F.when(F.size(F.array_distinct("_win")) < F.size("_win"), pairs).alias("_pairs"))
+    lh, low = F.col("_lh"), F.col("_low")
+    d = d.select("*", F.transform("_uniq", lambda x, i: _line_ok(x, F.get(low, i), F.get(lh, i), F.col("n_symbols")))
+                 .alias("_ok")).drop("_low")
+    p, ok = F.col("_pairs"), F.col("_ok")
     repeated = F.filter(
         F.transform("_pairs", lambda x, i: F.when(
             (F.get(p, i - 1)["h"] == x["h"]) | (F.get(p, i + 1)["h"] == x["h"]), x["i"])),
@@ -96,21 +120,14 @@ def measure(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) ->
     d = d.select("*", F.when(p.isNotNull(), F.sort_array(repeated)).alias("_at"))
     at = F.col("_at")
     steps = F.transform("_at", lambda x, i: F.least(F.coalesce(F.get(at, i + 1) - x, F.lit(5)), F.lit(5)))
-    d = d.select("*", F.coalesce(F.aggregate(steps, F.lit(0).cast("bigint"), lambda a, x: a + x),
-                                 F.lit(0).cast("bigint")).alias("n_repeat_words"),
-                 # first occurrence of each line that passes; lines in _all are emptied unless in it
-                 F.filter("_uniq", lambda x: _line_ok(x, words_of(x))).alias("_good"))
-    # words of the lines that stay: each good line counts once (its repeats fail)
-    stays = F.aggregate(F.transform("_good", lambda x: F.size(words_of(x)).cast("bigint")),
-                        F.lit(0).cast("bigint"), lambda a, x: a + x)
-    n = F.col("_n").cast("bigint")
-    d = d.select("*", n.alias("n_words"), stays.alias("_stay"),
-                 F.length(F.translate("_t", SPACE_CHARS, "")).cast("bigint").alias("word_chars"),
-                 _n_symbols(F.col("_t")).cast("bigint").alias("n_symbols"),
-                 (F.size("_lines") - F.size("_uniq")).cast("bigint").alias("n_dup_lines"))
-    d = d.withColumn("lost_words", F.col("n_words") - F.col("_stay"))
+    zero = F.lit(0).cast("bigint")
+    # a line that passes counts once: its repeats fail
+    stays = F.aggregate(F.transform("_lh", lambda x, i: F.when(F.get(ok, i), F.size(x).cast("bigint")).otherwise(zero)),
+                        zero, lambda a, x: a + x)
+    d = d.select("*", F.coalesce(F.aggregate(steps, zero, lambda a, x: a + x), zero).alias("n_repeat_words"),
+                 (F.col("n_words") - stays).alias("lost_words"))
     d = d.withColumn("cleaned_text", F.when(F.col("lost_words") == 0, F.col("_t"))
-                     .otherwise(F.array_join(F.col("_good"), "\n")))
+                     .otherwise(F.array_join(F.filter("_uniq", lambda x, i: F.get(ok, i)), "\n")))
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                      | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
     d = d.withColumn("kept", ~F.col("base_failed")
@@ -135,8 +152,7 @@ def _sql_words(x: str) -> str:
 
 def oracle_sql(max_loss: float = MAX_LOSS) -> str:
     """DuckDB SQL for the query: word lists, unnested windows, unnested lines."""
-    q = "'"
-    esc = lambda s: s.replace(q, q + q)
+    boiler = " OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, {_sql_words('t')} AS w, string_split(t, chr(10)) AS l FROM d),
@@ -149,10 +165,10 @@ ln AS (SELECT doc_id, unnest(l) AS x FROM w),
 lw AS (SELECT doc_id, x, {_sql_words('x')} AS xw, count(*) AS n FROM ln
        WHERE len({_sql_words('x')}) > 0 GROUP BY doc_id, x),
 lv AS (SELECT doc_id, n, len(xw) AS k, NOT (
-         regexp_matches(x, '{esc(NAVIGATION)}') OR regexp_matches(x, '{esc(BOILERPLATE)}')
-         OR regexp_matches(x, '{esc(SHOUTING)}')
+         len(regexp_extract_all(x, '{SEPARATORS}')) >= 3 OR {boiler}
+         OR regexp_matches(x, '{SHOUTING}')
          OR (length(x) - length(translate(x, '{SYMBOLS}', ''))) * 100 > len(xw) * {SYMBOL_WORDS_PCT}
-         OR (len(xw) >= {LONG_LINE_WORDS} AND NOT regexp_matches(x, '{esc(SENTENCE_MARK)}'))
+         OR (len(xw) >= {LONG_LINE_WORDS} AND NOT regexp_matches(x, '{SENTENCE_MARK}'))
          OR (len(xw) >= {STUTTER_WORDS} AND len(list_distinct(xw)) * 100 < len(xw) * {STUTTER_DISTINCT_PCT})) AS ok
        FROM lw),
 la AS (SELECT doc_id, sum(n - 1) AS n_dup, sum(CASE WHEN ok THEN k ELSE 0 END) AS stay FROM lv GROUP BY doc_id),
