@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mlqa.llm import probminhash, quality_lines, url_rules
+from mlqa.llm import license_fuzzy, pii_fpe, probminhash, quality_lines, url_rules
 from mlqa.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,19 @@ def op10_quality_lines(spark, sf_dir):
 @_query("op9_probminhash")
 def op9_probminhash(spark, sf_dir):
     return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: Demonstration key; production jobs pass their own secret.
+PII_KEY = "corpus-pseudonym-key-1"
+
+
+@_query("op7_pii_pseudonyms")
+def op7_pii_pseudonyms(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii_fpe.pseudonymise(docs.select("doc_id", "text"), PII_KEY)
+
+
+@_query("op8_license_scans")
+def op8_license_scans(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return license_fuzzy.scan_licenses(docs.select("doc_id", "text"))
