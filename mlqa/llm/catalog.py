@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mlqa.llm import license_fuzzy, pii_fpe, probminhash, quality_lines, url_rules
+from mlqa.llm import bpe_transducer, license_fuzzy, pii_fpe, probminhash, quality_lines, url_rules
 from mlqa.session import ship_package
 
+#: Folder of the public vocabulary files; jobs elsewhere name their own.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -63,3 +67,9 @@ def op7_pii_pseudonyms(spark, sf_dir):
 def op8_license_scans(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return license_fuzzy.scan_licenses(docs.select("doc_id", "text"))
+
+
+@_query("op3_bpe_transducer")
+def op3_bpe_transducer(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_transducer.encode(docs, f"{TOKENIZERS}/byte_bpe_50k.json", digests=True)

@@ -190,7 +190,7 @@ class Pseudonyms:
             if not self.FIRST <= day <= self.LAST:
                 return None
             y = datetime.date.fromordinal(
-                self.FIRST + self.permute("date" + order, self.LAST - self.FIRST + 1, day - self.FIRST))
+                self.FIRST + self.permute("date", self.LAST - self.FIRST + 1, day - self.FIRST))
             new = {"y": f"{y.year}", "m": f"{y.month:02d}", "d": f"{y.day:02d}"}
             return sep.join(new[k] for k in order)
         return None
