@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mlqa.llm import bpe_transducer, license_fuzzy, pii_fpe, probminhash, quality_lines, url_rules
+from mlqa.llm import bpe_transducer, license_fuzzy, lm_lattice, pii_fpe, probminhash, quality_lines, url_rules
 from mlqa.session import ship_package
 
 #: Folder of the public vocabulary files; jobs elsewhere name their own.
@@ -73,3 +73,9 @@ def op8_license_scans(spark, sf_dir):
 def op3_bpe_transducer(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_transducer.encode(docs, f"{TOKENIZERS}/byte_bpe_50k.json", digests=True)
+
+
+@_query("op1_lattice_scores")
+def op1_lattice_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return lm_lattice.score_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
