@@ -6,8 +6,10 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mlqa.llm import bpe_transducer, license_fuzzy, lm_lattice, pii_fpe, probminhash, quality_lines, url_rules
+from mlqa.llm import (bm25_wand, bpe_transducer, langid_fusion, license_fuzzy, lm_lattice, mixing, pii_fpe,
+                      probminhash, quality_lines, url_rules)
 from mlqa.session import ship_package
 
 #: Folder of the public vocabulary files; jobs elsewhere name their own.
@@ -79,3 +81,28 @@ def op3_bpe_transducer(spark, sf_dir):
 def op1_lattice_scores(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return lm_lattice.score_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+@_query("op4_bm25_wand")
+def op4_bm25_wand(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25_wand.bm25_top_k(docs, docs.filter("doc_id % 50 = 0"))
+
+
+@_query("op5_soft_mixing")
+def op5_soft_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.mix(docs, table(spark, sf_dir, "labels"))
+
+
+@_query("op2_language_fusion")
+def op2_language_fusion(spark, sf_dir):
+    """Pages by text, markup and address; documents by text and source."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    langs, model = langid_fusion.fit_trigrams(docs, "doc_id", "text", "lang")
+    no_text = F.lit(None).cast("string")
+    records = langid_fusion.page_evidence(pages.select("page_id", "url", "html")).select(
+        F.lit(None).cast("long").alias("doc_id"), "page_id", "text", "host", "declared", "suffix").unionByName(
+        docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.col("source").alias("host"),
+                    no_text.alias("declared"), no_text.alias("suffix")))
+    return langid_fusion.identify(records, langs, model)
