@@ -138,7 +138,10 @@ def measure(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) ->
 def clean_documents(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
     """Documents that stay, with the failed lines removed; columns as in ``docs``
     (``n_chars``, if there, is the new length)."""
-    m = measure(docs, text, max_loss).filter("kept")
+    # the row number keeps the optimiser from pushing the filter below the measures, which
+    # would write their whole expression tree out in the condition
+    m = measure(docs, text, max_loss).withColumn("_row", F.monotonically_increasing_id())
+    m = m.filter((F.col("_row") >= 0) & F.col("kept"))
     out = {c: F.col(c) for c in docs.columns}
     out[text] = F.col("cleaned_text")
     if "n_chars" in out:
