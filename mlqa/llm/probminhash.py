@@ -16,7 +16,9 @@ Banding (24 bands of 4 registers: a pair at 0.8 is missed with probability
 Nothing lists the pairs of a bucket: documents with the same shingles are
 collapsed first, every bucket is compared with one leader, components are
 formed, and only buckets that still hold several components compare the
-members of different components, in blocks, by their registers.
+members of different components, in blocks of bounded size, where every pair that
+its registers do not rule out is verified until its components have met. A class is
+thus a component of all verified links of all candidates.
 
 Defined results: a text without words (null, empty, white space) is in no group
 (its class is its own id, ``n_links`` 0); one with fewer than five words is one
@@ -154,23 +156,36 @@ def _estimate(batches):
 CUT = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 
 
-def _block_pairs(table):
-    """Members of one block pair of one bucket: pairs of different components whose
-    registers agree enough."""
+def _block_links(table):
+    """Members of one block pair of one bucket, with their components: verified links that
+    join different components, no more than a forest of them. Pairs whose components
+    have met are not compared again."""
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, REGISTERS)
     ids = np.asarray(table.column("id"))
-    comp = np.asarray(table.column("comp"))
-    left = np.flatnonzero(np.asarray(table.column("side")) == 0)
-    right = np.flatnonzero(np.asarray(table.column("side")) == 1)
-    same = not len(right)
-    right = left if same else right
+    _, comp = np.unique(np.asarray(table.column("comp")), return_inverse=True)
+    texts = table.column("text").combine_chunks()
+    side = np.asarray(table.column("side"))
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    right = right if len(right) else left
+    known: dict = {}
+
+    def shingles(i: int):
+        if i not in known:
+            known[i] = weighted_shingles(*tk.text_buffers(texts.slice(i, 1)))[1:]
+        return known[i]
+
     a, b = [], []
-    for i in left:
-        near = right[(comp[right] != comp[i]) & ((sig[right] == sig[i]).mean(axis=1) >= CUT)]
-        a.append(np.full(len(near), ids[i]))
-        b.append(ids[near])
-    a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+    for i in left.tolist():
+        share = (sig[right] == sig[i]).mean(axis=1)
+        near = np.flatnonzero((comp[right] != comp[i]) & (share >= CUT))
+        for j in right[near[np.argsort(-share[near], kind="stable")]].tolist():
+            if comp[i] != comp[j] and probability_jaccard(*shingles(i), *shingles(j)) >= THRESHOLD:
+                a.append(min(ids[i], ids[j]))
+                b.append(max(ids[i], ids[j]))
+                comp[comp == comp[j]] = comp[i]
+        if len(known) > 2 * BLOCK:
+            known.clear()
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _verify(batches):
@@ -194,9 +209,7 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``id_col, class_id, n_links, n_shingles``. ``n_links``
-    counts the verified links of the document's shingle set to other sets plus one
-    for each other document with the same set."""
+    """One row per document: ``id_col, class_id, n_shingles``."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
@@ -204,26 +217,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     sketch = sketch.checkpoint()
     member = sketch.filter("id IS NOT NULL AND n_shingles > 0")
     # documents with the same weighted shingles share one representative, the least id
-    rep = member.groupBy("p1", "p2").agg(F.min("id").alias("id"), F.countDistinct("id").alias("same"))
-    reps = rep.select("id", "p1", "p2").join(member.select("id", "p1", "p2", "sig", "bands"), ["id", "p1", "p2"]) \
+    rep = member.groupBy("p1", "p2").agg(F.min("id").alias("id"))
+    reps = rep.join(member.select("id", "p1", "p2", "sig", "bands"), ["id", "p1", "p2"]) \
         .dropDuplicates(["id"]).select("id", "sig", "bands").checkpoint()
     sig = reps.select("id", "sig")
     texts = d.join(reps.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
+    # buckets with two or more members; in each, the leader is the member that meets the most others
+    # over all bands (in a family of edited copies: the one they come from), then the least id
     rows = reps.select("id", F.explode("bands").alias("band"))
-    lead = rows.groupBy("band").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    size = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    rows = rows.join(size, "band")
+    met = rows.groupBy("id").agg(F.sum("size").alias("met"))
+    rows = rows.join(met, "id").select("band", "id", "size", "met").checkpoint()
+    lead = rows.groupBy("band").agg(F.min(F.struct((-F.col("met")).alias("m"), "id"))["id"].alias("lead"))
     rows = rows.join(lead, "band")
-    stars = rows.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-
-    def near(pairs: DataFrame) -> DataFrame:
-        s = pairs.join(sig.withColumnsRenamed({"id": "a", "sig": "sa"}), "a") \
-            .join(sig.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
-        return s.select("a", "b", "sa", "sb").mapInArrow(_estimate, "a long, b long")
-
-    links = _checked(near(stars).checkpoint(), texts).checkpoint()
+    stars = rows.filter("id <> lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
+    close = stars.join(sig.withColumnsRenamed({"id": "a", "sig": "sa"}), "a") \
+        .join(sig.withColumnsRenamed({"id": "b", "sig": "sb"}), "b") \
+        .select("a", "b", "sa", "sb").mapInArrow(_estimate, "a long, b long").checkpoint()
+    links = _checked(close, texts).checkpoint()
     comp = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).checkpoint()
 
-    # buckets that hold several components besides their leader: compare those members
+    # buckets that hold several components besides their leader: compare those members, in blocks
     left = rows.filter("size > 2 AND id <> lead").join(comp.withColumnsRenamed({"u": "id"}), "id", "left") \
         .select("band", "id", F.coalesce("component", "id").alias("comp"))
     mixed = left.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"),
@@ -233,23 +249,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     cells = left.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).select(
         "band", "id", "comp", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"),
         F.when((F.col("blk") > F.col("o")), 1).otherwise(0).alias("side"))
-    more = cells.join(sig, "id").groupBy("band", "i", "j").applyInArrow(_block_pairs, "a long, b long") \
-        .distinct().join(stars, ["a", "b"], "left_anti")
-    more = _checked(more, texts).checkpoint()
-
-    all_links = links.unionByName(more)
-    comp = connected(all_links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    degree = all_links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("deg"))
-    classes = rep.join(comp.withColumnsRenamed({"u": "id"}), "id", "left").join(degree, "id", "left").select(
-        "p1", "p2", F.coalesce("component", "id").alias("class_id"),
-        (F.coalesce("deg", F.lit(0)) + F.col("same") - 1).alias("n_links"))
-    joined = sketch.select("id", "n_shingles", "p1", "p2").join(
-        classes, ["p1", "p2"], "left")
+    more = cells.join(sig, "id").join(texts, "id").groupBy("band", "i", "j") \
+        .applyInArrow(_block_links, "a long, b long").checkpoint()
+
+    comp = connected(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    classes = rep.join(comp.withColumnsRenamed({"u": "id"}), "id", "left").select(
+        "p1", "p2", F.coalesce("component", "id").alias("class_id"))
+    joined = sketch.select("id", "n_shingles", "p1", "p2").join(classes, ["p1", "p2"], "left")
     grouped = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
     return joined.select(
         F.col("id").alias(id_col),
-        F.when(grouped, F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
-        F.when(grouped, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), "n_shingles")
+        F.when(grouped, F.col("class_id")).otherwise(F.col("id")).alias("class_id"), "n_shingles")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
