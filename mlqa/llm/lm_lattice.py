@@ -119,9 +119,18 @@ def _block(ids: list, parts: list, part: int, seq: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
         pa.concat_arrays([words, head[0]]), pa.array(block), pa.array(np.append(c, int(train.sum()))),
         pa.concat_arrays([places, head[1]]),
-        pa.array([None] * n + [ids], pa.list_(pa.int64())),
-        pa.array([None] * n + [count.tolist()], pa.list_(pa.int64())),
-    ], names=["word", "block", "c", "places", "ids", "n"])
+        pa.array([None] * n + [_packed([0 if i is None else i for i in ids])], pa.binary()),
+        pa.array([None] * n + [_packed([i is not None for i in ids])], pa.binary()),
+        pa.array([None] * n + [_packed(count)], pa.binary()),
+    ], names=_COLUMNS)
+
+
+#: Lists are packed into binary values: list columns make the grouped transfer to Python quadratic.
+_COLUMNS = ["word", "block", "c", "places", "ids", "has_id", "n"]
+
+
+def _packed(values) -> bytes:
+    return np.asarray(values, dtype=np.int64).tobytes()
 
 
 def _blocks(batches):
@@ -149,15 +158,13 @@ def _blocks(batches):
         yield _block(ids, parts, part, seq)
 
 
-_NO_ID = -(1 << 63)
-
-
 def _sum_block(table):
     """Add up one block: its head row and its word rows (count, log probability, places)."""
     heads = np.flatnonzero(np.asarray(table.column("places").is_null()))
     head = table.slice(int(heads[0]), 1).to_pylist()[0]
     rows = table.filter(table.column("places").is_valid()).combine_chunks()
-    n = len(head["ids"])
+    ids, has_id, count = (np.frombuffer(head[x], np.int64) for x in ("ids", "has_id", "n"))
+    n = len(ids)
     if rows.num_rows:
         chunk = rows.column("places").chunk(0)
         raw, off = tk.text_buffers(chunk.cast(pa.large_binary()).view(pa.large_string()))
@@ -170,7 +177,7 @@ def _sum_block(table):
         score = np.bincount(doc, np.repeat(lp, times), n)
     else:
         known, base, score = np.zeros(n), np.zeros(n), np.zeros(n)
-    return pa.table({"id": pa.array(head["ids"], pa.int64()), "words": pa.array(head["n"], pa.int64()),
+    return pa.table({"id": pa.array(ids, pa.int64(), mask=has_id == 0), "words": pa.array(count),
                      "known": pa.array(known.astype(np.int64)), "base": pa.array(base), "lattice": pa.array(score)})
 
 
@@ -182,7 +189,7 @@ def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id
     spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/lm-{uuid.uuid4().hex}"
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    d.mapInArrow(_blocks, "word string, block long, c long, places binary, ids array<long>, n array<long>") \
+    d.mapInArrow(_blocks, "word string, block long, c long, places binary, ids binary, has_id binary, n binary") \
         .write.parquet(f"{folder}/blocks")
     blocks = spark.read.parquet(f"{folder}/blocks")
     blocks.filter("word IS NOT NULL").groupBy("word").agg(F.sum("c").alias("c")).write.parquet(f"{folder}/words")
@@ -215,10 +222,10 @@ def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id
 
     scored = words.mapInArrow(score, "word string, total long, logp double")
     rows = blocks.filter("word IS NOT NULL").select("word", "block", "places").join(scored, "word").select(
-        "block", "places", "total", "logp", F.lit(None).cast("array<long>").alias("ids"),
-        F.lit(None).cast("array<long>").alias("n"))
+        "block", "places", "total", "logp", *[F.lit(None).cast("binary").alias(x) for x in ("ids", "has_id", "n")])
     heads = blocks.filter("word IS NULL").select(
-        "block", "places", F.lit(None).cast("long").alias("total"), F.lit(None).cast("double").alias("logp"), "ids", "n")
+        "block", "places", F.lit(None).cast("long").alias("total"), F.lit(None).cast("double").alias("logp"),
+        "ids", "has_id", "n")
     sums = rows.unionByName(heads).groupBy("block").applyInArrow(
         _sum_block, "id long, words long, known long, base double, lattice double")
     # one more token per text: the end
