@@ -201,15 +201,23 @@ def q_corpus_eval(spark, sf):
 # ------------------------------------------------------------------ C9-C12, A9
 WIDE_LANGS = ("en", "fr")
 
-SQL_PARSE = "(CASE WHEN json_valid({x}) THEN from_json({x}, '[\"VARCHAR\"]') ELSE [] END)"
+def sql_parse(x: str) -> str:
+    """A valid JSON array, items as text (NULL stays NULL); anything else gives []."""
+    return (f"(CASE WHEN json_valid({x}) AND json_type({x}) = 'ARRAY' "
+            f"THEN from_json({x}, '[\"VARCHAR\"]') ELSE [] END)")
 
 
-def sql_parse(x: str) -> str:
-    return SQL_PARSE.format(x=x)
+def _sql_kept(x: str) -> str:
+    """Items of a JSON array without the empty ones: null, '', false and zero."""
+    return (f"(CASE WHEN json_valid({x}) AND json_type({x}) = 'ARRAY' THEN "
+            f"list_transform(list_filter(from_json({x}, '[\"JSON\"]'), lambda j: NOT (j IS NULL "
+            f"OR json_type(j) = 'NULL' OR (json_type(j) = 'BOOLEAN' AND CAST(j AS VARCHAR) = 'false') "
+            f"OR (json_type(j) IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND TRY_CAST(j ->> '$' AS DOUBLE) = 0) "
+            f"OR CAST(j AS VARCHAR) IN ('\"\"', '[]', '{{{{}}}}'))), lambda j: j ->> '$') ELSE [] END)").replace("{{}}", "{}")
 
 
 def sql_merge(a: str, b: str) -> str:
-    both = f"list_filter(list_concat({sql_parse(a)}, {sql_parse(b)}), lambda x: x IS NOT NULL AND x <> '')"
+    both = f"list_concat({_sql_kept(a)}, {_sql_kept(b)})"
     return f"list_filter({both}, lambda x, i: list_position({both}, x) = i)"
 
 
@@ -294,7 +302,11 @@ def docs(spark, sf):
     return load_table(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"))
 
 
-SQL_MD5 = "md5(concat(CAST(doc_id AS VARCHAR), '|', '42'))"
+def docs_with_nulls(spark, sf):
+    return view(spark, sf, "v_docs")
+
+
+SQL_MD5 = "md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '|', '42'))"
 
 
 @register("c13_keep_languages", """
@@ -306,60 +318,60 @@ def q_c13(spark, sf):
 
 @register("c14_sample_per_group", f"""
 SELECT doc_id, language FROM (
-  SELECT doc_id, lang AS language,
-         row_number() OVER (PARTITION BY lang ORDER BY {SQL_MD5}, doc_id) AS rk FROM documents) t
+  SELECT doc_id, language,
+         row_number() OVER (PARTITION BY language ORDER BY {SQL_MD5}, doc_id) AS rk FROM v_docs) t
 WHERE rk <= 50
-""")
+""", views=("v_docs",))
 def q_c14(spark, sf):
-    return build.sample_per_group(docs(spark, sf), "language", 50, 42, "doc_id")
+    return build.sample_per_group(docs_with_nulls(spark, sf), "language", 50, 42, "doc_id")
 
 
 @register("c15_seeded_order", f"""
-SELECT doc_id, row_number() OVER (ORDER BY {SQL_MD5}, doc_id) AS shuffle_rank FROM documents
-""")
+SELECT doc_id, row_number() OVER (ORDER BY {SQL_MD5}, doc_id) AS shuffle_rank FROM v_docs
+""", views=("v_docs",))
 def q_c15(spark, sf):
-    return build.seeded_order(docs(spark, sf), 42, "doc_id").select("doc_id", "shuffle_rank")
+    return build.seeded_order(docs_with_nulls(spark, sf), 42, "doc_id").select("doc_id", "shuffle_rank")
 
 
 @register("c16_train_test_split", f"""
 SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {SQL_MD5}, doc_id)
                         <= ceil(count(*) OVER () * 0.1) THEN 'test' ELSE 'train' END AS split
-FROM documents
-""")
+FROM v_docs
+""", views=("v_docs",))
 def q_c16(spark, sf):
-    return build.train_test_split(docs(spark, sf), 0.1, 42, "doc_id").select("doc_id", "split")
+    return build.train_test_split(docs_with_nulls(spark, sf), 0.1, 42, "doc_id").select("doc_id", "split")
+
+
+_STAGE_KEEP = "(language IN ('en', 'fr', 'de') OR language IS NULL)"
 
 
 @register("c17_stage_counts", f"""
-SELECT 'loaded' AS stage, lang AS language, count(*) AS n FROM documents GROUP BY lang
+SELECT 'loaded' AS stage, language, count(*) AS n FROM v_docs GROUP BY language
 UNION ALL
-SELECT 'filtered', lang, count(*) FROM documents WHERE lang IN ('en', 'fr', 'de') GROUP BY lang
+SELECT 'filtered', language, count(*) FROM v_docs WHERE {_STAGE_KEEP} GROUP BY language
 UNION ALL
 SELECT 'sampled', language, count(*) FROM (
-  SELECT lang AS language, row_number() OVER (PARTITION BY lang ORDER BY {SQL_MD5}, doc_id) AS rk
-  FROM documents WHERE lang IN ('en', 'fr', 'de')) t WHERE rk <= 100 GROUP BY language
+  SELECT language, row_number() OVER (PARTITION BY language ORDER BY {SQL_MD5}, doc_id) AS rk
+  FROM v_docs WHERE {_STAGE_KEEP}) t WHERE rk <= 100 GROUP BY language
 UNION ALL
 SELECT concat('split_', split), language, count(*) FROM (
   SELECT language, CASE WHEN row_number() OVER (ORDER BY {SQL_MD5}, doc_id) <= ceil(count(*) OVER () * 0.1)
                         THEN 'test' ELSE 'train' END AS split
-  FROM (SELECT doc_id, lang AS language,
-               row_number() OVER (PARTITION BY lang ORDER BY {SQL_MD5}, doc_id) AS rk
-        FROM documents WHERE lang IN ('en', 'fr', 'de')) t WHERE rk <= 100) u
+  FROM (SELECT doc_id, language,
+               row_number() OVER (PARTITION BY language ORDER BY {SQL_MD5}, doc_id) AS rk
+        FROM v_docs WHERE {_STAGE_KEEP}) t WHERE rk <= 100) u
 GROUP BY split, language
-""")
+""", views=("v_docs",))
 def q_c17(spark, sf):
-    d = docs(spark, sf)
-    f = build.keep_languages(d, ["en", "fr", "de"])
-    s = build.sample_per_group(f, "language", 100, 42, "doc_id")
+    d = docs_with_nulls(spark, sf)
+    keep = F.col("language").isin("en", "fr", "de") | F.col("language").isNull()
+    s = build.sample_per_group(d.filter(keep), "language", 100, 42, "doc_id")
     sp = build.train_test_split(s, 0.1, 42, "doc_id")
-    parts = [build.stage_counts(d, stage="loaded"), build.stage_counts(f, stage="filtered"),
-             build.stage_counts(s, stage="sampled"),
-             build.stage_counts(sp.filter(F.col("split") == "test"), stage="split_test"),
-             build.stage_counts(sp.filter(F.col("split") == "train"), stage="split_train")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("stage", "language", "n")
+    # two passes: one over the loaded rows, one over the sampled and split ones
+    test = F.col("split") == "test"
+    return build.flagged_counts(d, {"loaded": F.lit(True), "filtered": keep}).unionByName(
+        build.flagged_counts(sp, {"sampled": F.lit(True), "split_test": test, "split_train": ~test})).select(
+        "stage", "language", "n")
 
 
 # ------------------------------------------------------------------ C18-C20, F1
@@ -409,7 +421,7 @@ def q_c19(spark, sf):
 
 def rating_inputs(spark, sf):
     return load_table(spark, sf, "documents").select(
-        F.col("doc_id").alias("row_id"), F.substring("text", 1, 80).alias("Question"),
+        F.col("doc_id").alias("row_id"), F.col("text").alias("Question"),
         F.col("source").alias("llm_output"), F.col("lang").alias("answers"))
 
 
@@ -424,7 +436,7 @@ def _sql_render(template: str, slots: dict[str, str]) -> str:
 
 
 SQL_RATING_INPUTS = """
-ri AS (SELECT doc_id AS row_id, substr(text, 1, 80) AS Question, source AS llm_output,
+ri AS (SELECT doc_id AS row_id, text AS Question, source AS llm_output,
               lang AS answers FROM documents)
 """
 SQL_RATING_PROMPT = _sql_render(P.RATING_PROMPT, {"question": "Question", "predicted": "llm_output",
@@ -451,17 +463,23 @@ def q_c20_incontext(spark, sf):
 
 def _py_list(lst: str) -> str:
     """DuckDB twin of ``python_list_text``."""
-    return (f"CASE WHEN len({lst}) = 0 THEN '[]' ELSE concat('[''', array_to_string({lst}, ''', '''), "
-            "''']') END")
+    esc = "replace(replace(replace(replace(x, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')"
+    item = (f"CASE WHEN x IS NULL THEN 'None' WHEN contains(x, chr(39)) AND NOT contains(x, chr(34)) "
+            f"THEN concat(chr(34), {esc}, chr(34)) ELSE concat(chr(39), replace({esc}, chr(39), chr(92) || chr(39)), chr(39)) END")
+    return f"concat('[', array_to_string(list_transform({lst}, lambda x: {item}), ', '), ']')"
+
+
+SQL_NAMES = """list_concat(string_split(answer_list, ','), ['Côte d''Ivoire', concat('say "hi" d', chr(39), 'x'), concat('a', chr(92), 'b')])"""
 
 
 @register("c20_reasoning_prompts", f"""
-SELECT conv_id, turn, {_sql_render(P.REASONING_PROMPT, {"question": "question", "answer_list": _py_list("string_split(answer_list, ',')"), "ground_truth_reasoning": "''", "llm_generation": "completion"})} AS judge_prompt
+SELECT conv_id, turn, {_sql_render(P.REASONING_PROMPT, {"question": "question", "answer_list": _py_list(SQL_NAMES), "ground_truth_reasoning": "''", "llm_generation": "completion"})} AS judge_prompt
 FROM v_completions
 """, views=("v_completions",))
 def q_c20_reasoning(spark, sf):
     v = view(spark, sf, "v_completions").select(
-        "conv_id", "turn", "question", F.split("answer_list", ",").alias("answer_list"),
+        "conv_id", "turn", "question", F.concat(F.split("answer_list", ","), F.array(
+            F.lit("Côte d'Ivoire"), F.lit("say \"hi\" d'x"), F.lit("a\\b"))).alias("answer_list"),
         F.col("completion").alias("llm_generation"))
     return build.judge_prompts(v, style="reasoning").select("conv_id", "turn", "judge_prompt")
 

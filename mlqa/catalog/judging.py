@@ -130,13 +130,13 @@ def q_a10(spark, sf):
 
 
 @register("f6_rating_rows", """
-SELECT d.doc_id AS row_id, substr(d.text, 1, 40) AS Question, d.source AS Predicted,
+SELECT d.doc_id AS row_id, d.text AS Question, d.source AS Predicted,
        d.lang AS answers, '' AS label, r.llm_output
 FROM documents d JOIN v_ratings r ON r.row_idx = d.doc_id
 """, views=("v_ratings",))
 def q_f6(spark, sf):
     docs = load_table(spark, sf, "documents").select(
-        F.col("doc_id").alias("row_id"), F.substring("text", 1, 40).alias("Question"),
+        F.col("doc_id").alias("row_id"), F.col("text").alias("Question"),
         F.col("source").alias("llm_output"), F.col("lang").alias("answers"))
     verdicts = view(spark, sf, "v_ratings").select(F.col("row_idx").alias("row_id"), "llm_output")
     return judge.rating_rows(docs, verdicts, key="row_id")

@@ -140,15 +140,36 @@ def _col_or_null(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
 
 
+def _json_items(c) -> Column:
+    """array<struct<text, kind>> of a text that is one valid JSON array; [] for anything else.
+
+    The text is parsed as the only field of an object, so trailing text, a second
+    field and single quotes are refused. ``text`` is the item as written, ``kind`` its JSON type."""
+    t = col_of(c)
+    whole = F.concat(F.lit('{"v":'), t, F.lit("}"))
+    value = F.try_parse_json(whole)
+    valid = value.isNotNull() & (F.json_object_keys(whole) == F.array(F.lit("v")))
+    text = F.from_json(whole, "v array<string>", {"allowSingleQuotes": "false"})["v"]
+    kinds = F.transform(F.try_variant_get(value, "$.v", "array<variant>"), lambda x: F.schema_of_variant(x))
+    items = F.zip_with(text, kinds, lambda x, k: F.struct(x.alias("text"), k.alias("kind")))
+    return F.coalesce(F.when(valid, items), F.array().cast("array<struct<text:string,kind:string>>"))
+
+
 def parse_answers(c) -> Column:
     """JSON array text -> array<string>; unparsable or missing -> []."""
-    return F.coalesce(F.from_json(col_of(c), "array<string>"), empty_str_array())
+    return F.transform(_json_items(c), lambda x: x["text"])
 
 
 def merge_answers(orig, translated) -> Column:
-    """C11: concatenate, drop NULL/empty items, keep the first of duplicates."""
-    both = F.concat(parse_answers(orig), parse_answers(translated))
-    return F.array_distinct(F.filter(both, lambda x: x.isNotNull() & (x != "")))
+    """C11: concatenate, drop the empty items (null, empty text, zero, false, empty list or
+    object), keep the first of duplicates."""
+    def full(x: Column) -> Column:
+        number = x["kind"].rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+        return (x["text"].isNotNull() & (x["text"] != "") & ~((x["kind"] == "BOOLEAN") & (x["text"] == "false"))
+                & ~(number & (F.expr("0D") == x["text"].try_cast("double")))
+                & ~(x["text"].isin("[]", "{}") & ~(x["kind"] == "STRING")))
+    both = F.concat(_json_items(orig), _json_items(translated))
+    return F.array_distinct(F.transform(F.filter(both, lambda x: F.coalesce(full(x), F.lit(True))), lambda x: x["text"]))
 
 
 def unpivot_languages(df: DataFrame, langs=("en", "hi", "ja", "sw", "th"),
@@ -219,7 +240,7 @@ def train_test_split(df: DataFrame, test_size: float, seed: int, key: str) -> Da
             .drop("_n"))
     inner = Window.partitionBy("_b").orderBy("_h", key)
     rank = F.col("_off") + F.row_number().over(inner)
-    return (d.join(offs, "_b")
+    return (d.join(offs, "_b")  # md5 of a NULL key is that of the empty text: no bucket is NULL
             .withColumn("split", F.when(rank <= F.col("_k"), F.lit("test")).otherwise(F.lit("train")))
             .drop("_h", "_b", "_off", "_k"))
 
@@ -230,6 +251,14 @@ def stage_counts(df: DataFrame, by: str = "language", stage: str | None = None)
     return out.withColumn("stage", F.lit(stage)) if stage else out
 
 
+def flagged_counts(df: DataFrame, stages: dict, by: str = "language") -> DataFrame:
+    """C17 for several stages of one table in one aggregation: ``stages`` maps a stage to
+    the condition of its rows; groups without rows of a stage are left out."""
+    agg = df.groupBy(by).agg(*[F.count_if(c).alias(k) for k, c in stages.items()])
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("stage"), F.col(k).alias("n")) for k in stages]))
+    return agg.select(by, rows.alias("_s")).select("_s.stage", by, "_s.n").filter("n > 0")
+
+
 # ---------------------------------------------------------------- C18 / C19
 def chat_turn(role, text) -> Column:
     return F.concat(F.lit(P.TURN_START), col_of(role), F.lit("\n"),

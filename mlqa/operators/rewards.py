@@ -205,8 +205,9 @@ def with_best_match(df: DataFrame, pred: str, cands: str, out: str = "best",
         keep = lambda x: (S.length_bound(p, x) > bn) & (S.length_bound(p, x) >= TIERS[-1][0])
     else:
         keep = lambda x: S.length_bound(p, x) >= bn
-    st = st.withColumn("_bm_res", F.filter(c, keep))
+    st = st.withColumn("_bm_res", F.array_distinct(F.filter(c, keep)))
     st = st.withColumn("_bm_sims", S.ratios(F.when(F.size("_bm_res") > 0, p), F.col("_bm_res")))
+    # distinct candidates, so that repeats do not collide
     st = st.withColumn("_bm_map", F.map_from_arrays(F.col("_bm_res"), F.col("_bm_sims")))
     scored = F.transform("_bm_nat", lambda s: _score_struct(
         s, F.coalesce(F.try_element_at(F.col("_bm_map"), s["cand"]), F.lit(0.0))))

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 def md5_key(key: Column, seed: int | str) -> Column:
     """Deterministic pseudo-random sort key: md5 of ``key|seed`` (same text in
-    Spark and DuckDB, independent of partitioning)."""
-    return F.md5(F.concat(key.cast("string"), F.lit("|"), F.lit(str(seed))))
+    Spark and DuckDB, independent of partitioning). A NULL key counts as empty text."""
+    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit("|"), F.lit(str(seed))))
 
 
 def md5_bucket(h: Column, digits: int = 4) -> Column:
@@ -32,7 +32,8 @@ def sequence_number(df: DataFrame, order: list, bucket: Column,
 
     ``bucket`` must be non-decreasing along ``order`` (e.g. a key prefix, or
     ``id div 4096``). With ``limit`` only rows with position <= limit are kept and
-    buckets wholly past the limit are dropped before the join.
+    buckets wholly past the limit are dropped before the join. NULL groups and NULL
+    buckets are groups and buckets like any other (the join is null-safe).
     """
     partition = list(partition or [])
     pcols = [F.col(c) if isinstance(c, str) else c for c in partition]
@@ -47,7 +48,12 @@ def sequence_number(df: DataFrame, order: list, bucket: Column,
         "_seq_off", F.coalesce(F.sum("_seq_n").over(before), F.lit(0))).drop("_seq_n")
     if limit is not None:
         offsets = offsets.filter(F.col("_seq_off") < F.lit(limit))
-    joined = b.join(offsets, on=[*pnames, "_seq_b"], how="inner")
+    offsets = offsets.select(F.col("_seq_b").alias("_seq_ob"), "_seq_off",
+                             *[F.col(n).alias(f"_seq_p{i}") for i, n in enumerate(pnames)])
+    same = b["_seq_b"].eqNullSafe(F.col("_seq_ob"))
+    for i, n in enumerate(pnames):
+        same = same & b[n].eqNullSafe(F.col(f"_seq_p{i}"))
+    joined = b.join(offsets, same, "inner").drop("_seq_ob", *[f"_seq_p{i}" for i in range(len(pnames))])
     inner = Window.partitionBy(*pcols, "_seq_b").orderBy(*order)
     out = joined.withColumn(name, F.col("_seq_off") + F.row_number().over(inner))
     if limit is not None:

@@ -57,10 +57,12 @@ FROM {documents} d
 SELECT item_id AS question_id, concat('R', CAST(item_id % 5 AS STRING)) AS region,
        CASE WHEN item_id % 3 = 0 THEN 'food' ELSE 'history' END AS topic,
        CASE WHEN item_id % 7 = 0 THEN NULL ELSE 'entity' END AS answer_type,
-       substr(text, 1, 60) AS question_en,
-       CASE WHEN item_id % 4 = 0 THEN NULL WHEN item_id % 4 = 1 THEN '   ' ELSE lower(substr(text, 1, 60)) END AS question_fr,
+       text AS question_en,
+       CASE WHEN item_id % 4 = 0 THEN NULL WHEN item_id % 4 = 1 THEN '   ' ELSE lower(text) END AS question_fr,
        concat('["', regexp_extract(text, '([A-Za-z]+)', 1), '","x","x"]') AS answers_en,
-       CASE WHEN item_id % 6 = 0 THEN 'not json' ELSE '["x",""]' END AS answers_fr,
+       CASE item_id % 12 WHEN 0 THEN 'not json' WHEN 1 THEN '["x"] trailing' WHEN 2 THEN '["x"]["y"]'
+            WHEN 3 THEN concat('[', chr(39), 'a', chr(39), ']') WHEN 4 THEN '["x"], "w": [1]' WHEN 5 THEN '{{"x": 1}}'
+            WHEN 6 THEN '["a",null,0,false,7,true,"0"]' WHEN 7 THEN '[0.0,1.5,"b"]' ELSE '["x",""]' END AS answers_fr,
        concat('["', lower(regexp_extract(text, '([A-Za-z]+)', 1)), '","x"]') AS answers_translate_fr
 FROM {benchmark}
 """,
@@ -77,6 +79,12 @@ SELECT CASE c.c_custkey % 3 WHEN 0 THEN 'cities' WHEN 1 THEN 'artists' ELSE 'fes
        r.r_name AS country, c.c_custkey AS entity_idx,
        concat(c.c_name, '|', lower(c.c_name), '|', concat('Le ', c.c_name), '|', reverse(c.c_name)) AS names
 FROM {customer} c JOIN {nation} n ON n.n_nationkey = c.c_nationkey JOIN {region} r ON r.r_regionkey = n.n_regionkey
+""",
+    # documents with a NULL key and NULL languages, for the sampling and splitting operators
+    "v_docs": """
+SELECT CASE WHEN doc_id = 7 THEN NULL ELSE doc_id END AS doc_id,
+       CASE WHEN doc_id % 23 = 0 THEN NULL ELSE lang END AS language
+FROM {documents}
 """,
     "v_metric_log": """
 SELECT event_id AS step, ts, event_type AS metric, value FROM {events}
