@@ -25,7 +25,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         out = (joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
                .unionByName(low.select("u", F.col("m").alias("v"))))
-    return out.filter("u <> v").distinct()
+    out = out.filter("u <> v")
+    return out if large else out.distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -156,35 +156,62 @@ def _estimate(batches):
 CUT = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 
 
+def similarities(one: tuple, others: list[tuple]) -> np.ndarray:
+    """J of one weighted set with each of several. Unweighted pairs need only the size of
+    their intersection, found for all of them in one pass."""
+    ids, weight = one
+    out = np.zeros(len(others))
+    plain = bool((weight == 1).all())
+    at = 0
+    while at < len(others):
+        to, size = at, 0
+        while to < len(others) and (to == at or size + len(others[to][0]) <= 1 << 20):
+            size += len(others[to][0])
+            to += 1
+        part = others[at:to]
+        lens = np.fromiter((len(x[0]) for x in part), np.int64, len(part))
+        cat = np.concatenate([x[0] for x in part])
+        place = np.minimum(np.searchsorted(ids, cat), len(ids) - 1)
+        same = np.concatenate(([0], np.cumsum(ids[place] == cat)))
+        end = np.cumsum(lens)
+        both = same[end] - same[end - lens]
+        out[at:to] = both / (len(ids) + lens - both)
+        for k, (x, w) in enumerate(part):
+            if not (plain and (w == 1).all()):
+                out[at + k] = probability_jaccard(ids, weight, x, w)
+        at = to
+    return out
+
+
 def _block_links(table):
     """Members of one block pair of one bucket, with their components: verified links that
-    join different components, no more than a forest of them. Pairs whose components
-    have met are not compared again."""
+    join different components, no more than a forest of them. A pair that meets in an
+    earlier band as well is compared there."""
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, REGISTERS)
+    band = int(table.column("k")[0].as_py())
     ids = np.asarray(table.column("id"))
     _, comp = np.unique(np.asarray(table.column("comp")), return_inverse=True)
-    texts = table.column("text").combine_chunks()
     side = np.asarray(table.column("side"))
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    right = right if len(right) else left
-    known: dict = {}
-
-    def shingles(i: int):
-        if i not in known:
-            known[i] = weighted_shingles(*tk.text_buffers(texts.slice(i, 1)))[1:]
-        return known[i]
-
+    data, off = tk.text_buffers(table.column("text"))
+    sets: list = []
+    for _, part, o in tk.chunks(data, off):
+        doc, ident, weight = weighted_shingles(part, o)
+        cut = np.searchsorted(doc, np.arange(len(o)))
+        sets += [(ident[cut[i]:cut[i + 1]], weight[cut[i]:cut[i + 1]]) for i in range(len(o) - 1)]
     a, b = [], []
-    for i in left.tolist():
-        share = (sig[right] == sig[i]).mean(axis=1)
-        near = np.flatnonzero((comp[right] != comp[i]) & (share >= CUT))
-        for j in right[near[np.argsort(-share[near], kind="stable")]].tolist():
-            if comp[i] != comp[j] and probability_jaccard(*shingles(i), *shingles(j)) >= THRESHOLD:
-                a.append(min(ids[i], ids[j]))
-                b.append(max(ids[i], ids[j]))
-                comp[comp == comp[j]] = comp[i]
-        if len(known) > 2 * BLOCK:
-            known.clear()
+    for n, i in enumerate(left.tolist()):
+        across = right if len(right) else left[n + 1:]
+        equal = sig[across] == sig[i]
+        earlier = equal.reshape(-1, BANDS, ROWS)[:, :band].all(axis=2).any(axis=1)
+        near = across[(comp[across] != comp[i]) & ~earlier & (equal.mean(axis=1) >= CUT)]
+        if len(near):
+            linked = near[similarities(sets[i], [sets[j] for j in near]) >= THRESHOLD]
+            for j in linked.tolist():
+                if comp[i] != comp[j]:
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+                    comp[comp == comp[j]] = comp[i]
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -225,11 +252,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
     # buckets with two or more members; in each, the leader is the member that meets the most others
     # over all bands (in a family of edited copies: the one they come from), then the least id
-    rows = reps.select("id", F.explode("bands").alias("band"))
+    rows = reps.select("id", F.posexplode("bands").alias("k", "band"))  # a band's hash holds its number
     size = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     rows = rows.join(size, "band")
     met = rows.groupBy("id").agg(F.sum("size").alias("met"))
-    rows = rows.join(met, "id").select("band", "id", "size", "met").checkpoint()
+    rows = rows.join(met, "id").select("k", "band", "id", "size", "met").checkpoint()
     lead = rows.groupBy("band").agg(F.min(F.struct((-F.col("met")).alias("m"), "id"))["id"].alias("lead"))
     rows = rows.join(lead, "band")
     stars = rows.filter("id <> lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
@@ -241,13 +268,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
     # buckets that hold several components besides their leader: compare those members, in blocks
     left = rows.filter("size > 2 AND id <> lead").join(comp.withColumnsRenamed({"u": "id"}), "id", "left") \
-        .select("band", "id", F.coalesce("component", "id").alias("comp"))
+        .select("k", "band", "id", F.coalesce("component", "id").alias("comp"))
     mixed = left.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"),
-                                     F.count(F.lit(1)).alias("k")).filter("c0 < c1").select("band", "k")
-    left = left.join(mixed, "band").withColumn("nb", F.ceil(F.col("k") / BLOCK).cast("int")) \
+                                     F.count(F.lit(1)).alias("members")).filter("c0 < c1").select("band", "members")
+    left = left.join(mixed, "band").withColumn("nb", F.ceil(F.col("members") / BLOCK).cast("int")) \
         .withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     cells = left.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).select(
-        "band", "id", "comp", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"),
+        "k", "band", "id", "comp", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"),
         F.when((F.col("blk") > F.col("o")), 1).otherwise(0).alias("side"))
     more = cells.join(sig, "id").join(texts, "id").groupBy("band", "i", "j") \
         .applyInArrow(_block_links, "a long, b long").checkpoint()
