@@ -342,12 +342,13 @@ WITH {SQL_PAIRS}, {SQL_NATIVE}
 SELECT conv_id, turn,
        CAST(CASE WHEN exact = 1 OR best_native >= 1.0 THEN 1.0 WHEN best_native >= 0.9 THEN 0.9
             WHEN best_native >= 0.75 THEN 0.7 WHEN best_native >= 0.6 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS tier
-FROM nat
+FROM (SELECT conv_id, turn FROM v_completions) every LEFT JOIN nat USING (conv_id, turn)
 """, views=VC)
 def q_e9(spark, sf):
-    out = q_e8n(spark, sf)
+    """Every completion; one without an answer block has tier 0."""
+    out = vc(spark, sf).select("conv_id", "turn").join(q_e8n(spark, sf), ["conv_id", "turn"], "left")
     score = F.when(F.col("exact"), F.lit(1.0)).otherwise(F.col("best_native"))
-    return out.select("conv_id", "turn", R.tier_reward(score).alias("tier"))
+    return out.select("conv_id", "turn", R.tier_reward(F.coalesce(score, F.lit(0.0))).alias("tier"))
 
 
 @register("e10_fuzzy_reward")

@@ -103,7 +103,7 @@ FROM xl JOIN templates t ON t.language = xl.language AND t.family = ({SQL_FAMILY
 """, views=("v_entities", "languages", "templates"))
 def q_c4(spark, sf):
     x = expanded(spark, sf).withColumn("family", build.template_family("category"))
-    x = x.join(F.broadcast(dim(spark, "templates")), ["family", "language"])
+    x = x.join(dim(spark, "templates"), ["family", "language"])
     return x.select("entity_idx", "language", build.render("template", "entity_name").alias("question"))
 
 
@@ -126,7 +126,7 @@ SELECT xl.entity_idx, m.family,
 FROM xl JOIN multi_templates m ON m.language = xl.language
 """, views=("v_entities", "languages", "multi_templates"))
 def q_c5(spark, sf):
-    x = expanded(spark, sf).join(F.broadcast(dim(spark, "multi_templates")), "language")
+    x = expanded(spark, sf).join(dim(spark, "multi_templates"), "language")
     five = build.render("template", "entity_name", "country", F.lower(F.col("entity_name")),
                         "country", "country")
     three = build.render("template", "entity_name", "country", "entity_name")
@@ -153,7 +153,7 @@ GROUP BY e.entity_idx, c.country
 def q_c7(spark, sf):
     al = build.answer_lists(dim(spark, "country_names"), dim(spark, "languages"))
     e = view(spark, sf, "v_entities").select("entity_idx", "country")
-    return e.join(F.broadcast(al), "country").select(
+    return e.join(al, "country").select(
         "country", F.array_join("answer_list", "|").alias("answer_list"))
 
 

@@ -41,16 +41,28 @@ SELECT doc_id, language, region, judge_output FROM v_judged WHERE judge_output <
 """, views=("v_judged",))
 def q_a2(spark, sf):
     """Unusable verdicts are written as broken JSON lines; the tolerant reader
-    skips exactly those and reports them."""
+    skips exactly those."""
+    return io.read_jsonl(spark, _broken_jsonl(spark, sf), JUDGED_SCHEMA, on_bad="drop")
+
+
+def _broken_jsonl(spark, sf):
     v = view(spark, sf, "v_judged")
-    line = F.to_json(F.struct(*v.columns))
-    broken = F.substring(line, 1, 12)
+    broken = F.concat(F.lit("{broken "), F.col("doc_id").cast("string"))
     path = io.scratch_path(spark, "a2")
-    (v.select(F.when(F.col("judge_output") == "no usable verdict", broken).otherwise(line).alias("value"))
+    (v.select(F.when(F.col("judge_output") == "no usable verdict", broken)
+              .otherwise(F.to_json(F.struct(*v.columns))).alias("value"))
      .write.mode("overwrite").text(path))
-    kept = io.read_jsonl(spark, path, JUDGED_SCHEMA, on_bad="keep")
-    io.bad_lines(kept).limit(5).collect()  # bounded look at the skipped lines
-    return io.read_jsonl(spark, path, JUDGED_SCHEMA, on_bad="drop")
+    return path
+
+
+@register("a2_skipped_lines", """
+SELECT concat('{broken ', CAST(doc_id AS VARCHAR)) AS line, CAST(NULL AS BIGINT) AS parsed_id
+FROM v_judged WHERE judge_output = 'no usable verdict'
+""", views=("v_judged",))
+def q_a2_skipped(spark, sf):
+    """The report of every line that the tolerant reader skips."""
+    kept = io.read_jsonl(spark, _broken_jsonl(spark, sf), JUDGED_SCHEMA, on_bad="keep")
+    return io.bad_lines(kept).select(F.col("_corrupt_record").alias("line"), F.col("doc_id").alias("parsed_id"))
 
 
 ENTITY_SCHEMA = T.StructType([
@@ -68,15 +80,13 @@ def q_a3(spark, sf):
 
 
 @register("a4_save_load", """
-SELECT doc_id, lang, n_chars FROM documents WHERE lang IN ('fr', 'de') AND n_chars >= 100
+SELECT doc_id, lang, n_chars, text FROM documents
 """)
 def q_a4(spark, sf):
     path = io.scratch_path(spark, "a4")
     io.save_table(load_table(spark, sf, "documents").select("doc_id", "lang", "n_chars", "text"),
                   path, partition_by=["lang"])
-    t = io.load_table(spark, path)
-    return t.filter(F.col("lang").isin("fr", "de") & (F.col("n_chars") >= 100)).select(
-        "doc_id", "lang", "n_chars")
+    return io.load_table(spark, path).select("doc_id", "lang", "n_chars", "text")
 
 
 WIDE_SCHEMA = T.StructType([

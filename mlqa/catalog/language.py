@@ -8,68 +8,56 @@ from mlqa.catalog.base import register, sql_strip
 from mlqa.functions import scripts as SC
 from mlqa.functions.text import open_think, strip, tag_body
 from mlqa.operators import langid as L
-from mlqa.plans.lineage import cut_lineage
 from mlqa.sources.fixtures import load_table, view
+from mlqa.sources.io import scratch_path
 
 
 def docs(spark, sf):
     return load_table(spark, sf, "documents")
 
 
-_PROFILES: dict = {}
+def model(spark, sf, langs):
+    """The trigram model of the documents table, fitted on every call."""
+    return L.by_gram(L.fit_langid(docs(spark, sf)), sorted(langs), scratch_path(spark, "langid"))
 
 
-def profile(spark, sf):
-    """The documents profile, fitted once per session and input folder and kept
-    as a reliable checkpoint (<= languages x 300 rows in the shared checkpoint
-    folder): a fitted model is reused by every query that classifies text."""
-    key = (id(spark), spark.sparkContext.applicationId, sf)
-    if key not in _PROFILES:
-        _PROFILES[key] = cut_lineage(L.fit_langid(docs(spark, sf)), spark)
-    return _PROFILES[key]
+def _sql_trigrams(keys: str, text: str, source: str) -> str:
+    norm = (f"concat(' ', regexp_replace(lower(regexp_replace(regexp_replace({text}, '\\s+', ' ', 'g'), "
+            "'^\\s+|\\s+$', '', 'g')), '[^\\x{0000}-\\x{FFFF}]', chr(65533), 'g'), ' ')")
+    return (f"SELECT {keys}, substr(t, i, 3) AS gram FROM (SELECT {keys}, t, unnest(range(1, length(t) - 1)) AS i "
+            f"FROM (SELECT {keys}, {norm} AS t FROM {source}) nn) pp")
 
 
-SQL_GRAMS = r"""
-norm AS (SELECT doc_id, lang, lower(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS t
-         FROM documents),
-pos AS (SELECT doc_id, lang, t, unnest(range(1, length(t) + 1)) AS i FROM norm),
-grams AS (SELECT doc_id, lang, substr(t, i, k) AS gram FROM pos, (VALUES (1), (2), (3)) kk(k)
-          WHERE i + k - 1 <= length(t)),
-prof AS (SELECT language, gram, r FROM (
-           SELECT lang AS language, gram,
-                  row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) - 1 AS r
-           FROM grams GROUP BY lang, gram) p WHERE r < 300)
+SQL_GRAMS = f"""
+grams AS ({_sql_trigrams('doc_id, lang', 'text', 'documents')}),
+gcount AS (SELECT lang AS language, gram, count(*) AS n FROM grams WHERE lang IS NOT NULL GROUP BY lang, gram),
+gtotal AS (SELECT language, CAST(sum(n) AS BIGINT) AS total FROM gcount GROUP BY language),
+gx AS (SELECT c.language, c.gram, greatest(c.n * 1000000 // t.total, 1) AS x FROM gcount c JOIN gtotal t ON t.language = c.language),
+prof AS (SELECT language, gram, CAST(length(bin(x * x * x)) AS INTEGER) AS w FROM gx)
 """
 
 
 @register("e11_fit_langid", f"""
 WITH {SQL_GRAMS}
-SELECT language, gram, CAST(r AS INTEGER) AS r FROM prof
+SELECT language, gram, w FROM prof
 """)
 def q_e11_fit(spark, sf):
-    return profile(spark, sf)
+    return L.fit_langid(docs(spark, sf))
 
 
 @register("e11_classify_documents", f"""
 WITH {SQL_GRAMS},
-pg AS (SELECT doc_id, gram, r, count(*) OVER (PARTITION BY doc_id) AS n_top FROM (
-         SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, gram) - 1 AS r
-         FROM grams GROUP BY doc_id, gram) x WHERE r < 300),
-d AS (SELECT pg.doc_id, p.language,
-             sum(abs(pg.r - p.r)) + (max(pg.n_top) - count(*)) * 300 AS dist
-      FROM pg JOIN prof p ON p.gram = pg.gram GROUP BY pg.doc_id, p.language),
+d AS (SELECT g.doc_id, p.language, sum(p.w) AS score FROM grams g JOIN prof p ON p.gram = g.gram GROUP BY g.doc_id, p.language),
 b AS (SELECT doc_id, language FROM (
-        SELECT doc_id, language, row_number() OVER (PARTITION BY doc_id ORDER BY dist, language) AS rk
+        SELECT doc_id, language, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, language) AS rk
         FROM d) y WHERE rk = 1)
-SELECT dd.doc_id, dd.lang, coalesce(b.language, (SELECT min(lang) FROM documents)) AS pred_lang
+SELECT dd.doc_id, dd.lang, coalesce(b.language, 'de') AS pred_lang
 FROM documents dd LEFT JOIN b ON b.doc_id = dd.doc_id
 """)
 def q_e11_classify(spark, sf):
-    d = docs(spark, sf)
-    langs = sorted(r[0] for r in d.select("lang").distinct().collect())
-    out = L.classify(d.select("doc_id", "lang", "text"), profile(spark, sf), ["doc_id"], "text",
-                     allowed=langs)
-    return out.select("doc_id", "lang", "pred_lang")
+    langs = ["de", "en", "es", "fr"]
+    return L.classify(docs(spark, sf).select("doc_id", "lang", "text"), model(spark, sf, langs), ["doc_id", "lang"],
+                      "text", langs)
 
 
 def _sql_counts(x: str, prefix: str = "") -> str:
@@ -160,19 +148,12 @@ def sql_classify(p: str, pieces: str, keys: list[str], allowed: tuple) -> str:
     kq = ", ".join(f"x.{c}" for c in keys)
     allowed_sql = ", ".join(f"'{a}'" for a in allowed)
     return f"""
-{p}n AS (SELECT {k}, lower(regexp_replace(regexp_replace(piece, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) AS t
-         FROM {pieces}),
-{p}pos AS (SELECT {k}, t, unnest(range(1, length(t) + 1)) AS i FROM {p}n),
-{p}g AS (SELECT {k}, substr(t, i, kk.k) AS gram FROM {p}pos, (VALUES (1), (2), (3)) kk(k)
-         WHERE i + kk.k - 1 <= length(t)),
-{p}top AS (SELECT {k}, gram, r, count(*) OVER (PARTITION BY {k}) AS n_top FROM (
-             SELECT {k}, gram, row_number() OVER (PARTITION BY {k} ORDER BY count(*) DESC, gram) - 1 AS r
-             FROM {p}g GROUP BY {k}, gram) z WHERE r < 300),
-{p}d AS (SELECT {kq}, pr.language, sum(abs(x.r - pr.r)) + (max(x.n_top) - count(*)) * 300 AS dist
-         FROM {p}top x JOIN prof pr ON pr.gram = x.gram WHERE pr.language IN ({allowed_sql})
+{p}g AS ({_sql_trigrams(k, 'piece', pieces)}),
+{p}d AS (SELECT {kq}, pr.language, sum(pr.w) AS score
+         FROM {p}g x JOIN prof pr ON pr.gram = x.gram WHERE pr.language IN ({allowed_sql})
          GROUP BY {kq}, pr.language),
 {p}b AS (SELECT {k}, language FROM (
-           SELECT {k}, language, row_number() OVER (PARTITION BY {k} ORDER BY dist, language) AS rk
+           SELECT {k}, language, row_number() OVER (PARTITION BY {k} ORDER BY score DESC, language) AS rk
            FROM {p}d) y WHERE rk = 1),
 {p}lang AS (SELECT {kq}, coalesce(b.language, '{min(allowed)}') AS lang
             FROM {pieces} x LEFT JOIN {p}b b USING ({k}))
@@ -234,7 +215,8 @@ FROM sl LEFT JOIN agg ON agg.conv_id = sl.conv_id AND agg.turn = sl.turn
 @register("e15_language_reward_chunks", _e15_sql(), views=("v_completions",))
 def q_e15(spark, sf):
     v = view(spark, sf, "v_completions")
-    out = L.language_reward_chunks(v, ["conv_id", "turn"], "completion", "question", profile(spark, sf))
+    out = L.language_reward_chunks(v, ["conv_id", "turn"], "completion", "question",
+                                   model(spark, sf, L.CHUNK_LANGUAGES))
     return out.select("conv_id", "turn", F.round("language_reward", 6).alias("language_reward"))
 
 
@@ -242,7 +224,7 @@ def q_e15(spark, sf):
 def q_e16(spark, sf):
     v = view(spark, sf, "v_completions")
     out = L.language_reward_sentences(v, ["conv_id", "turn"], "completion", "question",
-                                      profile(spark, sf))
+                                      model(spark, sf, L.SENTENCE_LANGUAGES))
     return out.select("conv_id", "turn", F.round("language_reward", 6).alias("language_reward"))
 
 

@@ -1,7 +1,7 @@
 """Corpus building and reshaping.
 
 Dimension tables (languages, country names, templates) are small and fixed in
-size (languages x countries), so they are broadcast; every entity or question row
+size (languages x countries); Spark broadcasts them by their measured size. Every entity or question row
 stays distributed. The only shuffles are the per-entity numbering (C8), the
 seeded sampling/splitting counts (C14-C16) and chat rendering (C19).
 """
@@ -38,7 +38,7 @@ def _map_lit(d: dict) -> Column:
 def expand_entities(entities: DataFrame, languages: DataFrame, names_col: str = "names") -> DataFrame:
     """One row per (entity, language); name j is in language j."""
     ex = entities.select("*", F.posexplode(names_col).alias("lang_idx", "entity_name")).drop(names_col)
-    return ex.join(F.broadcast(languages.select("lang_idx", "language")), "lang_idx")
+    return ex.join(languages.select("lang_idx", "language"), "lang_idx")
 
 
 def template_family(category) -> Column:
@@ -74,15 +74,15 @@ def render(template, *args) -> Column:
 
 # ---------------------------------------------------------------- C6 / C7
 def main_answer(rows: DataFrame, country_names: DataFrame) -> DataFrame:
-    """The country's name in the row's language (broadcast equi-join)."""
+    """The country's name in the row's language (equi-join)."""
     cn = country_names.select("language", "country", F.col("name").alias("answers"))
-    return rows.join(F.broadcast(cn), ["language", "country"], "left")
+    return rows.join(cn, ["language", "country"], "left")
 
 
 def answer_lists(country_names: DataFrame, languages: DataFrame) -> DataFrame:
     """Per country, its name in every language in language order, duplicates
     kept. Works on the (languages x countries) dimension only."""
-    j = country_names.join(F.broadcast(languages.select("language", "lang_idx")), "language")
+    j = country_names.join(languages.select("language", "lang_idx"), "language")
     return j.groupBy("country").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("lang_idx", "name"))),
                     lambda s: s["name"]).alias("answer_list"))
@@ -110,18 +110,17 @@ def factual_corpus(entities: DataFrame, languages: DataFrame, country_names: Dat
     ``(id, question, answers, answer_list, label, language, lang_idx)``.
 
     ``entities(category, country, entity_idx, names array)``;
-    ``countries(country, country_rank)`` gives the country loop order. All
-    dimensions are broadcast; entity rows are never shuffled except for the
+    ``countries(country, country_rank)`` gives the country loop order. Entity rows are never shuffled except for the
     bucketed numbering."""
-    e = entities.join(F.broadcast(countries.select("country", "country_rank")), "country")
+    e = entities.join(countries.select("country", "country_rank"), "country")
     numbered = with_sequence(e, F.col("country_rank"), F.size("names")).drop("country_rank")
     rows = expand_entities(numbered, languages).withColumn(
         "id", (F.col("_id_base") + F.col("lang_idx")).cast("bigint")).drop("_id_base")
     rows = rows.withColumn("family", template_family("category"))
-    rows = rows.join(F.broadcast(templates.select("family", "language", "template")),
+    rows = rows.join(templates.select("family", "language", "template"),
                      ["family", "language"], "left")
     rows = main_answer(rows, country_names)
-    rows = rows.join(F.broadcast(answer_lists(country_names, languages)), "country", "left")
+    rows = rows.join(answer_lists(country_names, languages), "country", "left")
     return rows.select(
         "id", render(F.col("template"), F.col("entity_name")).alias("question"), "answers",
         F.coalesce(F.col("answer_list"), empty_str_array()).alias("answer_list"),

@@ -139,7 +139,7 @@ def rating_summary(df: DataFrame, languages: list[str], text_col: str = "llm_out
                         rating_class(text_col, lang_col, english).alias("rating"))
               .groupBy("rating").pivot("language", list(languages))
               .agg(F.count(F.lit(1))))
-    out = F.broadcast(classes).join(counts, "rating", "left")
+    out = classes.join(counts, "rating", "left")
     return out.select("rating", "Type",
                       *[F.coalesce(F.col(f"`{l}`"), F.lit(0)).cast("bigint").alias(l)
                         for l in languages])
@@ -148,7 +148,7 @@ def rating_summary(df: DataFrame, languages: list[str], text_col: str = "llm_out
 def complete_languages(counts: DataFrame, languages: DataFrame,
                        lang_col: str = "language", value_cols=("n",)) -> DataFrame:
     """A10: every language of the dimension appears; absent ones with zeros."""
-    out = F.broadcast(languages.select(lang_col).distinct()).join(counts, lang_col, "left")
+    out = languages.select(lang_col).distinct().join(counts, lang_col, "left")
     return out.select(lang_col, *[c for c in counts.columns if c != lang_col and c not in value_cols],
                       *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in value_cols])
 
@@ -157,10 +157,10 @@ def complete_languages(counts: DataFrame, languages: DataFrame,
 def rating_rows(completions: DataFrame, verdicts: DataFrame, key: str = "row_id",
                 verdict_col: str = "llm_output") -> DataFrame:
     """Join judge text back to its completion: Question, Predicted, answers,
-    label ('' when the completions have no label column), verdict."""
+    label ('' when the completions have no label column), verdict (NULL when there is none)."""
     label = F.col("c.label") if "label" in completions.columns else F.lit("")
     return (completions.alias("c")
-            .join(verdicts.select(key, F.col(verdict_col).alias("_verdict")).alias("v"), key)
+            .join(verdicts.select(key, F.col(verdict_col).alias("_verdict")).alias("v"), key, "left")
             .select(F.col(key), F.col("c.Question").alias("Question"),
                     F.col("c.llm_output").alias("Predicted"), F.col("c.answers").alias("answers"),
                     label.alias("label"), F.col("_verdict").alias("llm_output")))

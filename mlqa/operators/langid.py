@@ -1,121 +1,75 @@
 """Language identification from labelled text (E11) and the language rewards
 (E15 chunk level, E16 sentence level).
 
-Character n-gram rank profiles (Cavnar & Trenkle, 1994): a language profile is
-its 300 most frequent 1-3-grams of lower-cased, space-normalised text ranked by
-(count desc, gram asc); a piece is ranked the same way and assigned the language
-with the smallest sum of rank differences (300 for a gram the profile lacks),
-ties to the smaller language code. All integer arithmetic, so any engine gives
-the same answer.
-
-Plan shape: pieces are hash-partitioned by their id once; gram counting,
-per-piece ranking and the distance aggregation all reuse that partitioning
-(the piece text is shuffled, never the 3x-per-character gram rows). The profile
-(<= languages x 300 rows, a proven bound) is broadcast. A language that shares
-no gram with a piece has the largest possible distance, so the argmin only needs
-the matched (piece, language) pairs: no piece x language product is formed.
+Additive trigram weights: a model holds, for every character trigram of the
+labelled texts and every language, an integer weight -- three times the base-2
+logarithm of the trigram's frequency per million, rounded down by counting
+binary digits. A text's score for a language is the sum of the weights of *all*
+its trigrams; the largest sum wins, ties go to the smaller language code, and a
+text without a known trigram gets the smallest allowed code. All arithmetic is on
+integers, so any engine gives the same answer.
+
+Plan shape: texts are exploded to trigrams where they are scanned, the model
+(one row per trigram) is joined by Spark's own size-based choice, and the sums are
+partially aggregated before the only shuffle, which moves one row per text and
+task. One very long text is just more rows to add up.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mlqa.functions.scripts import with_script_scores
 from mlqa.functions.text import chunk_text, norm_text, open_think, split_sentences, strip, tag_body
+from mlqa.plans.lineage import write_and_reread
 from mlqa.plans.sequence import spread
 
-PROFILE_SIZE = 300
-MAX_N = 3
-
 # Allowed language sets of the two language rewards.
 CHUNK_LANGUAGES = ("en", "hi", "sw", "zh", "es", "fr", "ar", "ru", "ja", "de", "bn", "pt")
 SENTENCE_LANGUAGES = ("en", "hi", "sw", "zh", "el", "fr", "ar", "ru", "ja", "ne", "tr", "th")
 
 
-def code_points(text) -> Column:
-    """Array of the code points of the normalised text (as 1-char strings)."""
-    return F.filter(F.split(norm_text(text), ""), lambda x: x != "")
-
-
-def _shift_concat(longer: str, chars: str, start: int) -> Column:
-    """Append the code point ``start - 1`` places ahead to every element:
-    (k-1)-grams -> k-grams with one linear ``zip_with`` (no per-gram slices)."""
-    n = F.size(chars)
-    return F.slice(F.zip_with(F.col(longer), F.slice(chars, start, n), lambda a, b: F.concat(a, b)),
-                   1, F.greatest(n - (start - 1), F.lit(0)))
-
-
-def gram_rows(df: DataFrame, keep: list, text_col: str) -> DataFrame:
-    """One row per 1..3-gram occurrence of the whole (normalised) text, with
-    ``keep`` columns. Each gram array is built in its own projection from plain
-    columns: a lambda re-evaluates any outer expression per element, which
-    would make the generation quadratic."""
-    c = df.select(*keep, code_points(text_col).alias("_g1"))
-    c = c.select(*keep, "_g1", _shift_concat("_g1", "_g1", 2).alias("_g2"))
-    c = c.select(*keep, "_g1", "_g2", _shift_concat("_g2", "_g1", 3).alias("_g3"))
-    return c.select(*keep, F.explode(F.concat("_g1", "_g2", "_g3")).alias("gram"))
-
-
-def _ranked(counts: DataFrame, by: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(F.col("cnt").desc(), F.col("gram"))
-    # filter directly on row_number() so Spark plans a per-group top-k limit
-    return (counts.withColumn("_rn", F.row_number().over(w))
-            .filter(F.col("_rn") <= PROFILE_SIZE)
-            .select(*by, "gram", (F.col("_rn") - 1).alias("r")))
+def trigrams(text_col) -> Column:
+    """Array of the trigrams of the normalised text between two blanks. Characters beyond
+    the basic plane count as one replacement character, so that every match is one character."""
+    plain = F.regexp_replace(norm_text(text_col), "[^\\x{0000}-\\x{FFFF}]", "\uFFFD")
+    return F.regexp_extract_all(F.concat(F.lit(" "), plain, F.lit(" ")), F.lit("(?s)(?=(...))"), F.lit(1))
 
 
 def fit_langid(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                allowed: list[str] | None = None) -> DataFrame:
-    """E11 training: profile ``(language, gram, r)``, r = 0..299.
-
-    Gram counts are partially aggregated on the map side, so the shuffle moves
-    (language, gram) counts, not gram occurrences."""
+    """E11 training: the model ``(language, gram, w)`` over the whole labelled texts.
+    Counts are partially aggregated, so the shuffle moves (language, gram) counts."""
     d = docs if allowed is None else docs.filter(F.col(lang_col).isin(list(allowed)))
-    d = spread(d.select(F.col(lang_col).alias("language"), text_col))
-    counts = (gram_rows(d, ["language"], text_col)
-              .groupBy("language", "gram").agg(F.count(F.lit(1)).alias("cnt")))
-    return _ranked(counts, ["language"])
-
-
-def classify(pieces: DataFrame, profile: DataFrame, id_cols: list[str], text_col: str,
-             allowed: list[str] | None = None, out: str = "pred_lang",
-             cluster_by: list[str] | None = None, partitions: int | None = None) -> DataFrame:
-    """E11 prediction for every row of ``pieces`` (one row per id): adds ``out``.
-
-    Pieces are hash-partitioned once by ``cluster_by`` (default: the id; pass a
-    prefix such as the completion key so the later per-completion join and
-    aggregation need no further exchange). The argmin is a hash aggregate over
-    the integer key ``dist * 1000 + language rank``. Pieces without any matched
-    gram (e.g. empty) get the smallest allowed code, which is what the distance
-    rule gives when every language ties."""
-    if allowed is None:
-        allowed = [r[0] for r in profile.select("language").distinct().collect()]  # bounded: languages
+    d = spread(d.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("language"), text_col))
+    counts = (d.select("language", F.explode(trigrams(F.col(text_col))).alias("gram"))
+              .groupBy("language", "gram").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.groupBy("language").agg(F.sum("n").alias("all"))
+    x = F.greatest(F.expr("n * 1000000 div all"), F.lit(1).cast("bigint"))
+    return counts.join(total, "language").withColumn("_x", x).select(
+        "language", "gram", F.length(F.bin(F.col("_x") * F.col("_x") * F.col("_x"))).alias("w"))
+
+
+def by_gram(model: DataFrame, langs: list[str], path: str) -> DataFrame:
+    """The model as one row per trigram with the weights in the order of ``langs``, written to
+    ``path``: read back, Spark knows its bytes and broadcasts it only if they allow."""
+    w = [F.coalesce(F.max(F.when(F.col("language") == l, F.col("w"))), F.lit(0)).alias(f"w{i}") for i, l in enumerate(langs)]
+    return write_and_reread(model.filter(F.col("language").isin(langs)).groupBy("gram").agg(*w), path)
+
+
+def classify(pieces: DataFrame, model: DataFrame, id_cols: list[str], text_col: str,
+             allowed: list[str], out: str = "pred_lang") -> DataFrame:
+    """E11 prediction: ``id_cols`` and ``out`` for every row of ``pieces`` (distinct ids);
+    ``model`` is the result of ``by_gram`` for the sorted ``allowed`` languages."""
     langs = sorted(set(allowed))
-    rank = F.create_map(*[x for i, l in enumerate(langs) for x in (F.lit(l), F.lit(i))])
-    prof = profile.filter(F.col("language").isin(langs))
-    prof = F.broadcast(prof.select(F.try_element_at(rank, F.col("language")).alias("lang_rank"), "gram",
-                                   F.col("r").alias("r_lang")))
-    # An explicit count: AQE would otherwise coalesce the (small) text shuffle
-    # into a few partitions right before the ~300x gram expansion. The default
-    # is the session's spark.sql.shuffle.partitions, which a cluster sizes for
-    # its data; callers may pass ``partitions``. (Asking the input for its
-    # partition count would make AQE run the upstream shuffles early.)
-    n_parts = partitions or int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = pieces.repartition(n_parts, *(cluster_by or id_cols))
-    counts = (gram_rows(base, id_cols, text_col)
-              .groupBy(*id_cols, "gram").agg(F.count(F.lit(1)).alias("cnt")))
-    top = _ranked(counts, id_cols).withColumn(
-        "n_top", F.count(F.lit(1)).over(Window.partitionBy(*id_cols)))
-    dist = (top.join(prof, "gram")
-            .groupBy(*id_cols, "lang_rank")
-            .agg(F.sum(F.abs(F.col("r") - F.col("r_lang"))).alias("s"),
-                 F.count(F.lit(1)).alias("matched"), F.max("n_top").alias("n_top")))
-    key = (F.col("s") + (F.col("n_top") - F.col("matched")) * PROFILE_SIZE) * 1000 + F.col("lang_rank")
-    best = dist.groupBy(*id_cols).agg(F.min(key).alias("_k"))
+    grams = spread(pieces).select(*id_cols, F.explode_outer(trigrams(F.col(text_col))).alias("gram"))
+    sums = (grams.join(model, "gram", "left").groupBy(*id_cols)
+            .agg(*[F.coalesce(F.sum(f"w{i}"), F.lit(0)).alias(f"_s{i}") for i in range(len(langs))]))
+    scores = F.array(*[F.col(f"_s{i}") for i in range(len(langs))])
     names = F.array(*[F.lit(l) for l in langs])
-    best = best.select(*id_cols, F.get(names, (F.col("_k") % 1000).cast("int")).alias(out))
-    return base.join(best, id_cols, "left").withColumn(out, F.coalesce(F.col(out), F.lit(langs[0])))
+    best = F.element_at(names, F.array_position(scores, F.array_max(scores)).cast("int"))
+    return sums.select(*id_cols, best.alias(out))
 
 
 # ---------------------------------------------------------------- E15 / E16
@@ -126,24 +80,20 @@ def _think_body(completion) -> Column:
 
 
 def _match_counts(base: DataFrame, id_cols: list[str], query: str, pieces: DataFrame,
-                  profile: DataFrame, allowed) -> DataFrame:
-    """Classify each completion's query (as piece -1) together with its pieces
-    in ONE classification pass, partitioned by the full piece id so even a huge
-    completion is spread over many tasks; the query languages (one row per
-    completion) are joined back to the pieces (AQE splits a skewed key), and
-    pieces and matches are counted per completion with partial aggregation."""
+                  model: DataFrame, allowed) -> DataFrame:
+    """Classify each completion's query (as piece -1) together with its pieces in one pass;
+    then count pieces per (completion, language), and pick the language of the query among them."""
     q = base.select(*id_cols, F.lit(-1).alias("_pos"), F.col(query).alias("_piece"))
     allp = pieces.select(*id_cols, "_pos", "_piece").unionByName(q)
-    cl = classify(allp, profile, id_cols + ["_pos"], "_piece", allowed, "_lang").select(
-        *id_cols, "_pos", "_lang")
-    ql = cl.filter(F.col("_pos") == -1).select(*id_cols, F.col("_lang").alias("_qlang"))
-    pl = cl.filter(F.col("_pos") >= 0).join(ql, id_cols)
-    return pl.groupBy(*id_cols).agg(F.count(F.lit(1)).alias("_total"),
-                                    F.count_if(F.col("_lang") == F.col("_qlang")).alias("_match"))
+    cl = classify(allp, model, [*id_cols, "_pos"], "_piece", allowed, "_lang")
+    per = cl.groupBy(*id_cols, "_lang").agg(F.count_if(F.col("_pos") >= 0).alias("_n"),
+                                            F.max(F.col("_pos") == -1).alias("_is_query"))
+    return per.groupBy(*id_cols).agg(
+        F.sum("_n").alias("_total"), F.sum(F.when(F.col("_is_query"), F.col("_n")).otherwise(0)).alias("_match"))
 
 
 def language_reward_chunks(df: DataFrame, id_cols: list[str], completion: str, query: str,
-                           profile: DataFrame, allowed=CHUNK_LANGUAGES,
+                           model: DataFrame, allowed=CHUNK_LANGUAGES,
                            out: str = "language_reward") -> DataFrame:
     """Share of 100-character think chunks in the query's language.
     No think block 0; body < 10 chars 0.2; chunks < 10 stripped chars skipped;
@@ -152,7 +102,7 @@ def language_reward_chunks(df: DataFrame, id_cols: list[str], completion: str, q
     chunks = (base.filter(F.length("_body") >= 10)
               .select(*id_cols, F.posexplode(chunk_text("_body", 100)).alias("_pos", "_piece"))
               .filter(F.length(strip("_piece")) >= 10))
-    agg = _match_counts(base, id_cols, query, chunks, profile, allowed)
+    agg = _match_counts(base, id_cols, query, chunks, model, allowed)
     j = base.join(agg, id_cols, "left")
     ratio = F.col("_match") / F.col("_total")
     reward = (F.when(F.col("_body").isNull(), F.lit(0.0))
@@ -164,7 +114,7 @@ def language_reward_chunks(df: DataFrame, id_cols: list[str], completion: str, q
 
 
 def language_reward_sentences(df: DataFrame, id_cols: list[str], completion: str, query: str,
-                              profile: DataFrame | None, allowed=SENTENCE_LANGUAGES,
+                              model: DataFrame | None, allowed=SENTENCE_LANGUAGES,
                               out: str = "language_reward") -> DataFrame:
     """E16 (the reward used in training): share of think sentences in the
     query's language. No think block 0; body < 10 chars 0.2; no sentences 0.3;
@@ -176,8 +126,8 @@ def language_reward_sentences(df: DataFrame, id_cols: list[str], completion: str
              .select(*id_cols, F.col(query).alias("_q"),
                      F.posexplode("_sents").alias("_pos", "_piece"))
              .filter(F.length("_piece") >= 5))
-    if profile is not None:
-        agg = _match_counts(base, id_cols, query, sents, profile, allowed)
+    if model is not None:
+        agg = _match_counts(base, id_cols, query, sents, model, allowed)
     else:
         cl = with_script_scores(sents, "_piece", "_q", None, "_agree")
         agg = cl.groupBy(*id_cols).agg(F.count(F.lit(1)).alias("_total"),

@@ -34,25 +34,20 @@ def verdict_stats(df: DataFrame, text_col: str = "judge_output") -> DataFrame:
 
 
 def score_histogram(df: DataFrame, text_col: str = "judge_output", top: int = 10) -> DataFrame:
-    """Counts per score 0..top, zero-filled, with percentage of all rows.
-    Scores outside 0..top (the original raises on them) keep rows of their own.
-
-    Only the per-score count table (one row per distinct score) is windowed, so
-    the un-partitioned windows below see a handful of rows."""
-    spark = df.sparkSession
+    """Counts per score 0..top and ``other`` (scores above), zero-filled, with the
+    percentage of all rows. The axis is fixed, so the count table has top + 3 rows at any size."""
     v = parse_verdict(text_col)
-    everything = Window.partitionBy()
-    per = (df.select(v["reasoning_score"].alias("score"))
-           .groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-           .withColumn("total", F.sum("n").over(everything)))
-    axis = spark.range(0, top + 1).select(F.col("id").cast("int").alias("score"))
-    hist = (axis.join(per.filter(F.col("score").isNotNull()), "score", "full_outer")
-            .withColumn("total", F.max("total").over(everything)))
+    score = v["reasoning_score"]
+    bucket = F.when(score.between(0, top), score.cast("string")).when(score.isNotNull(), F.lit("other"))
+    counts = df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy())
+    axis = df.sparkSession.range(0, top + 2).select(
+        F.when(F.col("id") <= top, F.col("id").cast("string")).otherwise(F.lit("other")).alias("bucket"))
+    every = axis.join(counts, "bucket", "full_outer").withColumn("total", total)  # NULL bucket: no score
     n = F.coalesce(F.col("n"), F.lit(0))
-    return hist.select(
-        "score", n.cast("bigint").alias("n"),
-        F.round(F.when(F.col("total") > 0, n * 100.0 / F.col("total"))
-                .otherwise(F.lit(0.0)), 6).alias("pct"))
+    return every.filter(F.col("bucket").isNotNull()).select(
+        "bucket", n.cast("bigint").alias("n"),
+        F.round(F.when(F.col("total") > 0, n * 100.0 / F.col("total")).otherwise(F.lit(0.0)), 6).alias("pct"))
 
 
 # ---------------------------------------------------------------- G3
@@ -147,7 +142,7 @@ def diagonal_split(grid: DataFrame, languages: DataFrame) -> DataFrame:
     """Mark own-country cells: the language's country equals the cell's country.
     ``languages`` is a small dimension (broadcast)."""
     dims = languages.select("language", F.col("country").alias("own_country"), "tier")
-    return (grid.join(F.broadcast(dims), "language", "left")
+    return (grid.join(dims, "language", "left")
             .withColumn("is_diagonal", F.coalesce(F.col("own_country") == F.col("country"),
                                                   F.lit(False))))
 

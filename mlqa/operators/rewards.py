@@ -15,7 +15,6 @@ from mlqa.functions import similarity as S
 from mlqa.functions.text import (extract_numbers, key_words, norm_text, open_think, strip,
                                  tag_body)
 from mlqa.functions.util import col_of
-from mlqa.plans.sizing import broadcast_if_small
 
 # Answer aliases applied after strip + lower (variant -> canonical).
 ALIASES = {
@@ -78,10 +77,10 @@ def apply_alias(c, aliases: dict | None = None) -> Column:
 
 
 def apply_alias_table(df: DataFrame, col: str, alias_df: DataFrame) -> DataFrame:
-    """D7 with a user alias table ``(variant, canonical)``: left join, broadcast
-    only after a bounded size check (sort-merge beyond it)."""
+    """D7 with a user alias table ``(variant, canonical)``: left join without a hint, so Spark
+    broadcasts it only when its measured bytes allow."""
     a = alias_df.select(F.col("variant").alias("_v"), F.col("canonical").alias("_c"))
-    out = df.join(broadcast_if_small(a), F.col(col) == F.col("_v"), "left")
+    out = df.join(a, F.col(col) == F.col("_v"), "left")
     return out.withColumn(col, F.coalesce(F.col("_c"), F.col(col))).drop("_v", "_c")
 
 
@@ -207,7 +206,6 @@ def with_best_match(df: DataFrame, pred: str, cands: str, out: str = "best",
         keep = lambda x: S.length_bound(p, x) >= bn
     st = st.withColumn("_bm_res", F.array_distinct(F.filter(c, keep)))
     st = st.withColumn("_bm_sims", S.ratios(F.when(F.size("_bm_res") > 0, p), F.col("_bm_res")))
-    # distinct candidates, so that repeats do not collide
     st = st.withColumn("_bm_map", F.map_from_arrays(F.col("_bm_res"), F.col("_bm_sims")))
     scored = F.transform("_bm_nat", lambda s: _score_struct(
         s, F.coalesce(F.try_element_at(F.col("_bm_map"), s["cand"]), F.lit(0.0))))

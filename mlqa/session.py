@@ -51,8 +51,11 @@ def get_spark(master: str | None = None, app: str = "mlqa",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh local scratch folder."""
+    """The checkpoint folder in force: one that the caller has set, else the cluster's shared
+    ``spark.checkpoint.dir``; only when neither is set (local tests) a fresh local scratch folder."""
+    in_force = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if in_force.isDefined():
+        return in_force.get()
     d = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
@@ -65,7 +68,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # non-SQL conf may be read-only on some builds
             pass
     spark.sparkContext.setCheckpointDir(d)
-    return d
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 _SHIPPED: set = set()

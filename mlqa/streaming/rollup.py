@@ -2,8 +2,8 @@
 
 Only numeric values are kept, rounded to 7 decimals as the metric logger does;
 keys are tagged ``loss`` / ``reward`` / ``other``; values are aggregated per
-metric and tumbling time window. The streaming form uses a watermark so window
-state is dropped once the window can no longer change.
+metric and tumbling time window. The streaming form runs in update mode, where
+the watermark drops the state of windows that can no longer change.
 """
 
 from __future__ import annotations
@@ -51,11 +51,13 @@ def metric_rollup_stream(spark: SparkSession, source_path: str, out_path: str,
                          glob: str | None = None) -> DataFrame:
     """Streaming roll-up over files arriving under ``source_path``.
 
-    Runs with ``availableNow`` (process everything present, then stop). The
-    complete result table is rewritten to ``out_path`` (Parquet, shared storage)
-    on every micro-batch through ``foreachBatch``; progress lives in the
-    ``checkpoint`` folder, so a restarted job resumes instead of recounting.
-    Returns the result read back from ``out_path``."""
+    Runs with ``availableNow`` (process everything present, then stop) in update mode: a
+    micro-batch emits only the windows it changed, and the watermark drops the state of
+    windows that can no longer change, so the state stays bounded. Each micro-batch
+    overwrites its own ``epoch=N`` folder under ``out_path``, so a repeated batch writes the
+    same files again; the newest epoch of a (window, metric, tag) is its value. Rows later
+    than the watermark are dropped. Progress lives in the ``checkpoint`` folder.
+    Returns the newest values read back from ``out_path``."""
     reader = spark.readStream.schema(schema).format(source_format)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -67,10 +69,18 @@ def metric_rollup_stream(spark: SparkSession, source_path: str, out_path: str,
            .select(F.col("w.start").alias("window_start"), "metric", "tag", "n", "mean",
                    "min_value", "max_value", "total"))
 
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(sink)
+    q = (agg.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_path)
+    return newest(spark.read.parquet(out_path))
+
+
+def newest(epochs: DataFrame) -> DataFrame:
+    """The value of the newest epoch of each (window, metric, tag)."""
+    keys = ["window_start", "metric", "tag"]
+    values = [c for c in epochs.columns if c not in (*keys, "epoch")]
+    last = epochs.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("_v"))
+    return last.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])

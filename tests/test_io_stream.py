@@ -86,14 +86,35 @@ def test_main_split_and_diagnostics_sink(spark):
     assert dict(back.groupBy("bucket").count().collect()) == {"failed": 167, "partial": 167, "success": 166}
 
 
-def test_alias_table_join_size_checked(spark):
+def test_alias_table_join(spark):
     from mlqa.operators import rewards
-    from mlqa.plans.sizing import broadcast_if_small
     aliases = spark.createDataFrame(list(rewards.ALIASES.items()), "variant string, canonical string")
     df = spark.createDataFrame([("usa",), ("kenya",), ("prc",)], "a string")
     got = [r["a"] for r in rewards.apply_alias_table(df, "a", aliases).orderBy("a").collect()]
     assert got == ["china", "kenya", "united states"]
-    big = spark.range(0, 50)
-    assert broadcast_if_small(big, 10) is big  # above the bound: no hint
-    plan = df.join(broadcast_if_small(aliases, 100), df.a == aliases.variant)._jdf.queryExecution().executedPlan().toString()
-    assert "Broadcast" in plan
+
+
+def test_stream_state_shrinks_and_late_rows_are_dropped(spark):
+    base = io.scratch_path(spark, "t-state")
+    src, out, ck = f"{base}/src", f"{base}/out", f"{base}/ck"
+    t0 = datetime.datetime(2024, 1, 1)
+    schema = rollup.METRIC_SCHEMA
+
+    def add(hours, value):
+        rows = [(h, t0 + datetime.timedelta(hours=h), "loss", value) for h in hours]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        rollup.metric_rollup_stream(spark, src, out, ck, "1 hour", "2 hours")
+
+    def state_rows():
+        s = spark.read.format("statestore").load(ck)
+        return s.count()
+
+    add(range(0, 50), 1.0)
+    many = state_rows()
+    add([100], 1.0)       # moves the watermark past the first fifty windows
+    add([101], 1.0)
+    assert state_rows() < many and state_rows() <= 4
+    add([3], 7.0)         # far behind the watermark
+    got = {r["window_start"].hour + 24 * (r["window_start"].day - 1): r["n"] for r in rollup.newest(
+        spark.read.parquet(out)).collect()}
+    assert got[3] == 1 and got[100] == 1 and len(got) == 52

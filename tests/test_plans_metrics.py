@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from conftest import SF_MID, SF_SMALL
 from mlqa.catalog import REGISTRY
 from mlqa.operators import build, langid, metrics
+from mlqa.sources.io import scratch_path
 from mlqa.plans.sequence import sequence_number
 
 
@@ -40,8 +41,8 @@ def test_histogram_mean_identity(spark):
     st = metrics.verdict_stats(df).first()
     assert st["total_evaluations"] == 2155
     assert math.isclose(st["average_reasoning_score"], 5.6440835266821345, rel_tol=1e-12)
-    h = {r["score"]: r["n"] for r in metrics.score_histogram(df).collect()}
-    assert h == {i: counts.get(i, 0) for i in range(11)}
+    h = {r["bucket"]: r["n"] for r in metrics.score_histogram(df).collect()}
+    assert h == {**{str(i): counts.get(i, 0) for i in range(11)}, "other": 0}
 
 
 def test_t_pvalue_known_values():
@@ -96,8 +97,11 @@ def test_langid_holdout_accuracy(spark):
     d = spark.read.parquet(f"{SF_MID}/documents.parquet")
     train = d.filter((F.col("doc_id") % 2 == 0) & (F.col("n_chars") >= 30))
     test = d.filter(F.col("doc_id") % 2 == 1).select("doc_id", "lang", "text")
-    prof = langid.fit_langid(train)
-    out = langid.classify(test, prof, ["doc_id"], "text", allowed=["de", "en", "es", "fr"])
+    langs = ["de", "en", "es", "fr"]
+    model = langid.by_gram(langid.fit_langid(train), langs, scratch_path(spark, "t-langid"))
+    out = langid.classify(test, model, ["doc_id", "lang"], "text", langs)
+    p = plan(out)
+    assert p.count("Generate explode") == 1 and p.count("Exchange hashpartitioning") == 1
     acc = out.select(F.avg((F.col("lang") == F.col("pred_lang")).cast("double"))).first()[0]
     assert acc >= 0.95
 
