@@ -158,7 +158,7 @@ class Shard:
         a = self.starts[short].astype(np.int64)
         n = self.starts[short + 1] - a
         take = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        have = np.bincount(self.docs[take], self.part[take] * np.repeat(sw, n), len(self.ids))
+        have = np.bincount(self.docs[take], self.part[take] * np.repeat(sw, n), len(self.ids)).astype(np.float64)
         rows, lw = long[long >= 0], weight[long >= 0]
         at_long = place[long >= 0]
         bound = have + (lw @ self.block_max[rows])[self.block_of] if len(rows) else have
