@@ -11,8 +11,12 @@ which makes a unit step safe.
 
 The classifier: two naive Bayes scores, quality over style bins and toxicity over
 the presence of hashed words too, features with a clear difference only, calibrated
-by a logistic curve over score histograms. All labelled rows count, by grouped
-sums of bounded size.
+by a logistic curve over score histograms. It is fitted on at most ``FIT_ROWS`` labelled
+documents, those with the least hash of their id (a documented bound), by grouped
+sums of bounded size. Everything else covers all documents.
+
+A rate is a function of the posterior and of the steps taken, so the fit returns
+the steps (a few numbers), and rates are computed where they are needed.
 
 Defined results: a null or empty text has no tokens, its rate is still defined and
 moves no total; documents with equal texts get equal posteriors and rates; a label
@@ -39,10 +43,11 @@ DOMAINS = ["clean", "low", "toxic"]
 #: Target shares of the expected tokens.
 TARGETS = {"clean": 0.97, "low": 0.03, "toxic": 0.0}
 BUCKETS = 1 << 18
+FIT_ROWS = 20_000
 CLEAR = 5.0          # standard errors between two shares that a feature needs
 CLIP = 30.0
 BINS = 240
-ROUNDS, STEPS = 40, 8
+ROUNDS = 40
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>{}[]~^_=+\\@"]] = True
@@ -88,9 +93,13 @@ def features(data: np.ndarray, off: np.ndarray):
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(kind, text) of the labelled documents that are fitted on. Their ids are few by
+    ``FIT_ROWS``, so they are broadcast and no text is shuffled."""
     kind = F.when(F.col("toxic") == 1, F.lit(2)).when(F.col("quality") == 1, F.lit(0)).otherwise(F.lit(1))
-    lab = labels.filter("quality IS NOT NULL AND toxic IS NOT NULL").groupBy(id_col).agg(F.max(kind).alias("kind"))
-    return docs.select(id_col, F.col(text).alias("text")).join(lab, id_col).select("kind", "text")
+    lab = labels.filter(f"quality IS NOT NULL AND toxic IS NOT NULL AND {id_col} IS NOT NULL") \
+        .groupBy(id_col).agg(F.max(kind).alias("kind"))
+    chosen = lab.orderBy(F.xxhash64(id_col), id_col).limit(FIT_ROWS)
+    return docs.select(id_col, F.col(text).alias("text")).join(F.broadcast(chosen), id_col).select("kind", "text")
 
 
 def _weights(a: np.ndarray, b: np.ndarray, na: float, nb: float) -> np.ndarray:
@@ -177,14 +186,12 @@ def _logistic(hist: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def posteriors(docs: DataFrame, model, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` (without the text unless ``keep_text``), with ``n_tokens`` and a posterior
-    column per domain."""
+def posteriors(docs: DataFrame, model, text: str = "text") -> DataFrame:
+    """``docs`` without the text, with ``n_tokens`` and a posterior column per domain."""
     names = ["n_tokens", *[f"p_{x}" for x in DOMAINS]]
     rest = [c for c in docs.columns if c != text and c not in names]
     d = docs.select(*rest, text)
-    stay = len(rest) + int(keep_text)
-    schema = StructType([*d.schema.fields[:stay], StructField("n_tokens", LongType()),
+    schema = StructType([*d.schema.fields[:-1], StructField("n_tokens", LongType()),
                          *[StructField(x, DoubleType()) for x in names[1:]]])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -202,23 +209,38 @@ def posteriors(docs: DataFrame, model, text: str = "text", keep_text: bool = Fal
                             for m, (a, b) in enumerate(curves))
                     p = np.stack([(1 - t) * q, (1 - t) * (1 - q), t], axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).slice(at, n) for c in range(stay)]
+                    [batch.column(c).slice(at, n) for c in range(len(rest))]
                     + [pa.array(tokens.astype(np.int64))] + [pa.array(p[:, c]) for c in range(3)], names=schema.names)
 
     return d.mapInArrow(run, schema)
 
 
+def with_rates(members: DataFrame, steps: list, max_rate: float) -> DataFrame:
+    """``members`` with ``rate``: from 1, every step moves by the posterior and clips."""
+    rate: Column = F.lit(1.0)
+    for step in steps:
+        move: Column = F.lit(0.0)
+        for x, v in zip(DOMAINS, step):
+            move = move + F.col(f"p_{x}") * F.lit(float(v))
+        rate = F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), rate - move))
+    return members.withColumn("rate", rate)
+
+
 def fit_rates(members: DataFrame, targets: dict | None = None, total_tokens: float | None = None,
-              max_rate: float = 1.0) -> DataFrame:
-    """``members`` (tokens and posteriors, a written table) with ``rate``.
+              max_rate: float = 1.0) -> list:
+    """The steps of the projected gradient descent over ``members`` (a written table of tokens
+    and posteriors).
 
-    ``total_tokens``: size of the mixture; by default the size at which the scarcest
-    domain with a positive target is used up at rate 1.
+    ``total_tokens``: size of the mixture; by default the size at which the domain with
+    the largest target share is used up at rate 1.
     """
     targets = targets or TARGETS
-    p = [F.col(f"p_{x}") for x in DOMAINS]
     tok = F.col("n_tokens").cast("double")
-    have = np.asarray(members.agg(*[F.coalesce(F.sum(tok * x), F.lit(0.0)) for x in p]).first())
+
+    def expected(d: DataFrame, rate: Column) -> np.ndarray:
+        return np.asarray(d.agg(*[F.coalesce(F.sum(tok * F.col(f"p_{x}") * rate), F.lit(0.0)) for x in DOMAINS]).first())
+
+    have = expected(members, F.lit(1.0))
     share = np.asarray([targets[x] for x in DOMAINS], dtype=float)
     share = share / max(share.sum(), 1e-12)
     if total_tokens is None:
@@ -227,43 +249,54 @@ def fit_rates(members: DataFrame, targets: dict | None = None, total_tokens: flo
     # each residual counts relative to its domain's size; with rates moved per token the
     # curvature is then at most one, so a unit step descends
     scale = np.maximum(np.maximum(have, want), 1e-9)
-    d = members.withColumn("rate", F.lit(1.0))
-    ensure_checkpoint_dir(members.sparkSession)
-    steps = 0
-    for _ in range(ROUNDS):
-        got = np.asarray(d.agg(*[F.coalesce(F.sum(tok * x * F.col("rate")), F.lit(0.0)) for x in p]).first())
+    steps: list = []
+    got, last = have, None
+    while len(steps) < ROUNDS:
         residual = got - want
         if np.abs(residual).max() <= 1e-4 * max(total_tokens, 1.0):
             break
-        g = residual / scale
-        move: Column = F.lit(0.0)
-        for x, v in zip(p, g):
-            move = move + x * F.lit(float(v))
-        if steps and np.abs(residual - last).max() <= 1e-6 * max(total_tokens, 1.0):
+        if last is not None and np.abs(residual - last).max() <= 1e-6 * max(total_tokens, 1.0):
             break
         last = residual
-        d = d.withColumn("rate", F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), F.col("rate") - move)))
-        steps += 1
-        if steps % STEPS == 0:
-            d = d.checkpoint()
-    return d
+        steps.append((residual / scale).tolist())
+        got = expected(with_rates(members, steps, max_rate), F.col("rate"))
+    return steps
 
 
-def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", targets: dict | None = None,
-        total_tokens: float | None = None, max_rate: float = 1.0, seed: int = 7, keep_text: bool = False) -> DataFrame:
-    """``docs`` (without the text unless ``keep_text``), with ``n_tokens``, posteriors, ``rate`` and ``copies``: how
-    often the document enters the mixture (the rate, rounded at random by a hash of
-    the id; a null id rounds by the seed alone)."""
+def _copies(d: DataFrame, id_col: str, seed: int) -> DataFrame:
+    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    return d.withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
+
+
+def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, targets, total_tokens, max_rate):
+    """(classifier, written members without text, steps)."""
     spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/mix-{uuid.uuid4().hex}"
     model = fit_classifier(docs, labels, id_col, text)
-    posteriors(docs.drop("rate", "copies"), model, text, keep_text).write.parquet(f"{folder}/members")
-    d = fit_rates(spark.read.parquet(f"{folder}/members"), targets, total_tokens, max_rate)
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return d.withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
+    posteriors(docs.drop("rate", "copies"), model, text).write.parquet(f"{folder}/members")
+    members = spark.read.parquet(f"{folder}/members")
+    return model, members, fit_rates(members, targets, total_tokens, max_rate)
 
 
-def mixed_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The mixture itself: rows of ``docs``, each as often as its ``copies`` say, same columns."""
-    d = mix(docs, labels, keep_text=True, **options).filter("copies > 0")
-    return d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", targets: dict | None = None,
+        total_tokens: float | None = None, max_rate: float = 1.0, seed: int = 7) -> DataFrame:
+    """``docs`` without the text, with ``n_tokens``, posteriors, ``rate`` and ``copies``: how
+    often the document enters the mixture (the rate, rounded at random by a hash of
+    the id; a null id rounds by the seed alone)."""
+    _, members, steps = _fit(docs, labels, id_col, text, targets, total_tokens, max_rate)
+    return _copies(with_rates(members, steps, max_rate), id_col, seed)
+
+
+def mixed_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text",
+                    targets: dict | None = None, total_tokens: float | None = None, max_rate: float = 1.0,
+                    seed: int = 7) -> DataFrame:
+    """The mixture itself: rows of ``docs``, each as often as its ``copies`` say, same columns.
+    The texts are read once more and judged where they are; they are neither joined nor stored."""
+    model, _, steps = _fit(docs.select(id_col, text), labels, id_col, text, targets, total_tokens, max_rate)
+    clash = ["n_tokens", "rate", "copies", *[f"p_{x}" for x in DOMAINS]]
+    own = {c: f"_own_{c}" for c in docs.columns if c in clash}
+    d = docs.withColumnsRenamed(own).withColumn("_judged", F.col(own.get(text, text)))
+    d = posteriors(d, model, "_judged")
+    d = _copies(with_rates(d, steps, max_rate), id_col, seed).filter("copies > 0")
+    d = d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return d.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])

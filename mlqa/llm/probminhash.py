@@ -29,6 +29,8 @@ out of the groups (class null). Classes are named by their least id.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -246,9 +248,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     # documents with the same weighted shingles share one representative, the least id
     rep = member.groupBy("p1", "p2").agg(F.min("id").alias("id"))
     reps = rep.join(member.select("id", "p1", "p2", "sig", "bands"), ["id", "p1", "p2"]) \
-        .dropDuplicates(["id"]).select("id", "sig", "bands").checkpoint()
+        .select("id", "sig", "bands").dropDuplicates(["id"]).checkpoint()
     sig = reps.select("id", "sig")
-    texts = d.join(reps.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
     # buckets with two or more members; in each, the leader is the member that meets the most others
     # over all bands (in a family of edited copies: the one they come from), then the least id
@@ -260,6 +261,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     lead = rows.groupBy("band").agg(F.min(F.struct((-F.col("met")).alias("m"), "id"))["id"].alias("lead"))
     rows = rows.join(lead, "band")
     stars = rows.filter("id <> lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
+    # texts of the documents that share a bucket with another, moved once
+    folder = f"{ensure_checkpoint_dir(spark)}/neardup-{uuid.uuid4().hex}"
+    d.join(met.select("id"), "id", "left_semi").dropDuplicates(["id"]).write.parquet(f"{folder}/texts")
+    texts = spark.read.parquet(f"{folder}/texts")
     close = stars.join(sig.withColumnsRenamed({"id": "a", "sig": "sa"}), "a") \
         .join(sig.withColumnsRenamed({"id": "b", "sig": "sb"}), "b") \
         .select("a", "b", "sa", "sb").mapInArrow(_estimate, "a long, b long").checkpoint()
