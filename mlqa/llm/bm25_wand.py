@@ -11,7 +11,9 @@ by length. Short lists are added up outright. For long lists the index keeps the
 largest contribution per block of ``SPAN`` neighbouring texts; as in block-max WAND, a
 text is a pivot only if what it has so far plus the block maxima of the long
 lists exceeds the k-th best score found, which rises from wave to wave; only
-pivots are scored on the long lists. Nothing that could reach the top k is left out.
+pivots are scored on the long lists. Where a query (a whole document, say) has so many
+common words that its pivots are many, their long lists are added by one dense
+product for a batch of queries. Nothing that could reach the top k is left out.
 
 Terms are maximal runs of letters, digits and characters beyond ASCII, A-Z
 lower-cased; a term's weight in a query is its count there times its inverse
@@ -38,10 +40,12 @@ from mlqa.session import ensure_checkpoint_dir
 
 K1, B = 1.2, 0.75
 SHARD_BYTES = 16 << 20
-SHARD_TEXTS = 65_535
+SHARD_TEXTS = 16_384
 SPAN = 64              # neighbouring texts per block maximum
 QUERY_BLOCK = 2048
 LONG_SHARE = 1 / 16    # a list in more than this share of a shard's texts is long
+BATCH = 64             # queries that share one dense product
+MANY = 1 / 16          # share of a shard's texts from which on pivots are scored by that product
 
 
 def _terms(data: np.ndarray, off: np.ndarray):
@@ -126,55 +130,62 @@ class Shard:
         self.ids, length = get("ids", np.int64), get("lengths", np.int32)
         self.terms, self.starts, self.docs = get("terms", np.int64), get("starts", np.int32), get("docs", np.uint16)
         tf = get("tfs", np.int32).astype(np.float64)
+        n = len(self.ids)
         norm = K1 * (1 - B + B * length / max(mean_length, 1e-9))
         self.part = tf * (K1 + 1) / (tf + norm[self.docs])
-        n = len(self.ids)
         df = np.diff(self.starts)
         self.long_of = np.full(len(self.terms), -1, np.int64)
         long = np.flatnonzero(df > n * LONG_SHARE)
         self.long_of[long] = np.arange(len(long))
         # contributions of the long lists per text, and their maxima per block
-        self.long = np.zeros((len(long), n), np.float32)
+        self.long = np.zeros((len(long), n))
         for i, t in enumerate(long):
             a, b = self.starts[t], self.starts[t + 1]
             self.long[i, self.docs[a:b]] = self.part[a:b]
-        # float32 rounds; the exact values are kept, the maxima are raised a little
         edge = np.arange(0, n, SPAN)
-        self.block_max = np.maximum.reduceat(self.long, edge, axis=1).astype(np.float64) * (1 + 1e-6) if len(long) \
-            else np.zeros((0, len(edge)))
+        self.block_max = np.maximum.reduceat(self.long, edge, axis=1) if len(long) else np.zeros((0, len(edge)))
         self.block_of = np.arange(n) // SPAN
 
-    def exact(self, t: int, docs: np.ndarray) -> np.ndarray:
-        """Contributions of term ``t`` to the texts ``docs``."""
-        a, b = self.starts[t], self.starts[t + 1]
-        at = np.searchsorted(self.docs[a:b], docs)
-        at = np.minimum(at, b - a - 1)
-        return np.where(self.docs[a:b][at] == docs, self.part[a:b][at], 0.0)
-
-    def search(self, place: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(text numbers, scores) of the best k for a query's terms (places in ``terms``)."""
-        long = self.long_of[place]
-        short, sw = place[long < 0], weight[long < 0]
-        a = self.starts[short].astype(np.int64)
-        n = self.starts[short + 1] - a
-        take = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        have = np.bincount(self.docs[take], self.part[take] * np.repeat(sw, n), len(self.ids)).astype(np.float64)
-        rows, lw = long[long >= 0], weight[long >= 0]
-        at_long = place[long >= 0]
-        bound = have + (lw @ self.block_max[rows])[self.block_of] if len(rows) else have
-        floor = _kth(have, k)
-        pivot = np.flatnonzero((bound > 0) & (bound >= floor - 1e-6))
-        pivot = pivot[np.argsort(-bound[pivot], kind="stable")]
-        docs, scores = np.zeros(0, np.int64), np.zeros(0)
-        at, wave = 0, max(4 * k, 64)
-        while at < len(pivot) and bound[pivot[at]] >= floor - 1e-6:
-            some = np.sort(pivot[at:at + wave])
-            s = have[some].copy()
-            for t, w in zip(at_long, lw):
-                s += w * self.exact(t, some)
-            docs, scores = np.concatenate((docs, some)), np.concatenate((scores, s))
-            floor = max(floor, _kth(scores, k))
-            at, wave = at + wave, wave * 2
+    def search(self, queries: list, k: int) -> list:
+        """(text numbers, scores) of the best k for each (places in ``terms``, weights) of a batch."""
+        n = len(self.ids)
+        dense = np.zeros((len(queries), len(self.long)))
+        for i, (place, weight) in enumerate(queries):
+            row = self.long_of[place]
+            dense[i, row[row >= 0]] = weight[row >= 0]
+        bounds = dense @ self.block_max
+        state, heavy = [], []
+        for i, (place, weight) in enumerate(queries):
+            short = self.long_of[place] < 0
+            a = self.starts[place[short]].astype(np.int64)
+            size = self.starts[place[short] + 1] - a
+            take = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            have = np.bincount(self.docs[take], self.part[take] * np.repeat(weight[short], size), n).astype(np.float64)
+            bound = have + bounds[i][self.block_of]
+            pivot = np.flatnonzero((bound > 0) & (bound >= _kth(have, k) - 1e-6))
+            state.append((have, bound, pivot))
+            if len(pivot) > n * MANY:
+                heavy.append(i)
+        product = dict(zip(heavy, dense[heavy] @ self.long)) if heavy else {}
+        return [self._best(*state[i], dense[i], product.get(i), k) for i in range(len(queries))]
+
+    def _best(self, have, bound, pivot, dense, product, k: int):
+        """Score the pivots, the most promising first, until no bound reaches the k-th score."""
+        if product is not None:
+            docs, scores = pivot, have[pivot] + product[pivot]
+            floor = _kth(scores, k)
+            docs, scores = docs[scores >= floor - 1e-6], scores[scores >= floor - 1e-6]
+        else:
+            pivot = pivot[np.argsort(-bound[pivot], kind="stable")]
+            rows = np.flatnonzero(dense)
+            docs, scores = np.zeros(0, np.int64), np.zeros(0)
+            floor, at, wave = _kth(have, k), 0, max(4 * k, 64)
+            while at < len(pivot) and bound[pivot[at]] >= floor - 1e-6:
+                some = pivot[at:at + wave]
+                docs = np.concatenate((docs, some))
+                scores = np.concatenate((scores, have[some] + dense[rows] @ self.long[np.ix_(rows, some)]))
+                floor = max(floor, _kth(scores, k))
+                at, wave = at + wave, wave * 2
         hit = scores > 0
         docs, scores = docs[hit], np.round(scores[hit], 6)
         best = np.lexsort((self.ids[docs], -scores))[:k]
@@ -234,12 +245,14 @@ def _searcher(shared, mean: float, k: int):
                 at = np.minimum(np.searchsorted(shard.terms, term), len(shard.terms) - 1)
                 ok = shard.terms[at] == term
                 q, d, s = [], [], []
-                for i in range(len(ids)):
-                    here = ok[off[i]:off[i + 1]]
-                    docs, scores = shard.search(at[off[i]:off[i + 1]][here], weight[off[i]:off[i + 1]][here], k)
-                    q.append(np.full(len(docs), ids[i]))
-                    d.append(shard.ids[docs])
-                    s.append(scores)
+                for start in range(0, len(ids), BATCH):
+                    some = range(start, min(start + BATCH, len(ids)))
+                    batch_of = [(at[off[i]:off[i + 1]][ok[off[i]:off[i + 1]]],
+                                 weight[off[i]:off[i + 1]][ok[off[i]:off[i + 1]]]) for i in some]
+                    for i, (docs, scores) in zip(some, shard.search(batch_of, k)):
+                        q.append(np.full(len(docs), ids[i]))
+                        d.append(shard.ids[docs])
+                        s.append(scores)
                 if q:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(q).astype(np.int64)), pa.array(np.concatenate(d).astype(np.int64)),
