@@ -22,12 +22,15 @@ HEADLINE = [
     "g9_tier_scores",              # positional grid -> moments -> tier scores
     "corpus_customer_entries",     # C1-C8 corpus build with global ids (grows with sf)
     "c12_qa_entries",              # wide -> long reshaping
+    "c13_keep_languages",          # filter pushed to the scan
+    "c14_sample_per_group",        # at most k per group
+    "c15_seeded_order",            # seeded shuffle position
     "c16_train_test_split",        # seeded exact-count split
     "c19_render_chat",             # chat rendering per conversation
     "d9_split_sentences",          # sentence split over whole documents
     "e17_total_reward",            # format + exact + any-match rewards
     "e10_fuzzy_reward",            # fuzzy reward (bounded similarity UDF)
-    "e11_classify_documents",      # n-gram profiles: train + classify whole documents
+    "e11_classify_documents",      # trigram weights: fit + classify whole documents
     "e16_language_reward_sentences",
     "e21_metric_rollup",
 ]

@@ -81,19 +81,6 @@ def agreement_from_counts(ac: Column, bc: Column, len_a: Column, len_b: Column)
     return F.when(ad == bd, F.lit(1.0)).otherwise(F.greatest(s1, s2))
 
 
-def script_fallback_score(text, query) -> Column:
-    """E13 on raw texts (fine for short texts; for long ones materialise the
-    counts first with ``with_script_scores``)."""
-    text, query = col_of(text), col_of(query)
-    return fallback_from_counts(script_counts(text), script_counts(query), F.length(text), F.length(query))
-
-
-def script_agreement(a, b) -> Column:
-    """E14 on raw texts."""
-    a, b = col_of(a), col_of(b)
-    return agreement_from_counts(script_counts(a), script_counts(b), F.length(a), F.length(b))
-
-
 def with_script_scores(df, text: str, query: str, fallback: str | None = "script_fallback",
                        agreement: str | None = "script_agreement"):
     """Count each script once per text in its own projection (the count structs

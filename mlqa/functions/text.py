@@ -53,13 +53,6 @@ def _tag_bounds(c: Column, tag: str):
     return p, start, q
 
 
-def has_tag_block(c, tag: str) -> Column:
-    """True when a closed ``<tag>…</tag>`` block exists."""
-    c = col_of(c)
-    p, _, q = _tag_bounds(c, tag)
-    return (p > 0) & (q > 0)
-
-
 def tag_body(c, tag: str) -> Column:
     """Raw body of the first closed block (regex ``<tag>(.*?)</tag>`` with DOTALL);
     NULL when there is none. An empty block gives ``''``, not NULL."""
@@ -96,12 +89,9 @@ def strip_echo(out, prompt) -> Column:
 
 
 def chunk_text(c, n: int = 100) -> Column:
-    """Array of consecutive ``n``-character pieces (last one shorter)."""
-    c = col_of(c)
-    ln = F.length(c)
-    idx = F.sequence(F.lit(0), F.floor((ln - 1) / n).cast("int"))
-    return F.when(ln > 0, F.transform(idx, lambda i: F.substring(c, i * n + 1, n))) \
-        .otherwise(F.array().cast("array<string>"))
+    """Array of consecutive ``n``-character pieces (last one shorter), in one linear pass."""
+    pieces = F.regexp_extract_all(col_of(c), F.lit(f"(?s)(.{{1,{n}}})"), F.lit(1))
+    return F.coalesce(pieces, F.array().cast("array<string>"))
 
 
 def split_sentences(c) -> Column:

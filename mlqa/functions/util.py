@@ -9,9 +9,3 @@ from pyspark.sql import functions as F
 def col_of(c) -> Column:
     """Accept a column name or a Column."""
     return F.col(c) if isinstance(c, str) else c
-
-
-def round6(c) -> Column:
-    """Doubles leave the engines rounded to 6 decimals, so equality of results
-    does not depend on summation order."""
-    return F.round(col_of(c).cast("double"), 6)

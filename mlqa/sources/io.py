@@ -24,11 +24,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 # ---------------------------------------------------------------- A1
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str,
-             na_values: list[str] | None = None) -> DataFrame:
+             na_values: list[str] | None = None, multi_line: bool = True) -> DataFrame:
     """Headered UTF-8 CSV whose quoted cells may hold newlines and doubled
-    quotes. Empty cells read as NULL (as pandas reads them); ``na_values`` lists
+    quotes; without newlines in cells pass ``multi_line=False``, then Spark splits
+    large files over tasks. Empty cells read as NULL (as pandas reads them); ``na_values`` lists
     further texts to read as NULL."""
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+    df = (spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
           .option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path))
     if na_values:
         df = df.select(*[F.when(F.col(f.name).isin(list(na_values)), F.lit(None))
