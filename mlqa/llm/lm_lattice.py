@@ -44,7 +44,7 @@ from mlqa.llm.lattice import Lattice
 from mlqa.session import ensure_checkpoint_dir
 
 FOLDS, HELD_OUT = 7, 2
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 BLOCK_TEXTS = 65_535
 PRIOR = 10_000.0        # pseudo-uses that carry the vocabulary's own scores
 ROUNDS = 3
