@@ -28,12 +28,13 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from mlqa.llm import textkernels as tk
 from mlqa.llm.url_rules import host_of
+from mlqa.plans.sequence import sequence_number
 from mlqa.session import ensure_checkpoint_dir
 
 FIT_TEXTS = 2000
@@ -68,9 +69,13 @@ def trigram_buckets(data: np.ndarray, off: np.ndarray):
 def fit_trigrams(labelled: DataFrame, id_col: str, text: str, lang: str, per_language: int = FIT_TEXTS):
     """(languages, log P(bucket | language)) from a bounded sample of labelled texts."""
     ids = labelled.filter(F.col(lang).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang).alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = ids.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language).select("id", "lang")
-    sample = labelled.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(chosen, "id").select("lang", "text")
+    ids = ids.withColumn("h", F.xxhash64("id"))
+    # numbered within buckets of the hash, so a language that holds most rows is spread; the
+    # chosen ids are few by their bound and broadcast, so no text is shuffled
+    chosen = sequence_number(ids, [F.col("h"), F.col("id")], F.shiftright("h", 52), ["lang"], "r", per_language) \
+        .select("id", "lang").dropDuplicates(["id"])
+    sample = labelled.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id") \
+        .select("lang", "text")
 
     def count(batches):
         sums: dict = {}
