@@ -255,7 +255,7 @@ def fit_rates(members: DataFrame, targets: dict | None = None, total_tokens: flo
         residual = got - want
         if np.abs(residual).max() <= 1e-4 * max(total_tokens, 1.0):
             break
-        if last is not None and np.abs(residual - last).max() <= 1e-6 * max(total_tokens, 1.0):
+        if last is not None and np.abs(residual - last).max() <= 1e-4 * max(total_tokens, 1.0):
             break
         last = residual
         steps.append((residual / scale).tolist())
