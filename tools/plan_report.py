@@ -48,7 +48,7 @@ def main() -> None:
     lines = ["# PLANS", "", f"Physical plan summary of every registered query (planned on `{sf_dir}`, before AQE",
              "re-planning; generated by `tools/plan_report.py`).", "",
              "Reading guide: `single-partition` exchanges only carry one-row global aggregates (after partial",
-             "aggregation) or the bucket-count tables of the bucketed numbering (at most 65,536 rows per group);",
+             "aggregation) or the bucket-count tables of the bucketed numbering (at most 65,536 rows per group; C8: one row per 1,024 ids);",
              "`SMJ` on a data-derived small side (bucket offsets) becomes a broadcast join under AQE at run time;",
              "`arrow-udf` appears only for difflib similarity (E5/E8/E10) and the t-distribution p-value (G7);",
              "`mapInPandas` only for the pluggable scorer (F1). No query plans a cartesian product or a",
