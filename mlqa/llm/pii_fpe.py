@@ -12,6 +12,16 @@ document, different values different ones, and the holder of the key can invert
 it. E-mail addresses and long hexadecimal secrets are permuted the same way over
 their letters and digits.
 
+A pattern takes the longest run, which may hold more than the value. So the shorter
+ends of a card, account or phone number are tried too: cards by the usual lengths
+of their first digit, then from long to short (Luhn); accounts by the length of their
+country, then from long to short; phones by the length of their country and never
+into a card, address, date or social security number behind them. Where no end is
+valid, the other kinds and then the later starts in the run get their turn. The order
+depends on layout, first digit and country only, which the pseudonym keeps; still,
+text behind a new value may by chance make another end valid, and then only the value,
+not the whole text, is inverted.
+
 Defined results: a null text stays null, an empty one empty, nothing is cut from
 long ones; repeated rows get the same result; an empty table gives an empty one;
 all other columns pass through (``n_pii`` and ``pii_kinds`` are replaced). Overlaps go
@@ -202,16 +212,59 @@ class Pseudonyms:
             return None
         return head + self.digits("phone" + head, s[len(head):])
 
+    def _ends(self, kind: str, text: str, a: int, b: int, loose: bool) -> list[int]:
+        """Ends to try, the best first, for a run of ``kind`` from ``a`` to ``b``."""
+        if kind not in ("iban", "phone", "card"):
+            return [b]
+        ends = [m.start() for m in WORD_END.finditer(text, a + 1, b + 1) if m.start() <= b]
+        if kind == "iban":
+            size = {e: len(text[a:e].replace(" ", "")) for e in ends}
+            return sorted(ends, key=lambda e: (size[e] != IBAN_LENGTHS.get(text[a:a + 2]), -e))
+        size = {e: len(re.findall("[0-9]", text[a:e])) for e in ends}
+        if kind == "card":
+            usual = CARD_LENGTHS.get(text[a], ())
+            # short groups (lists of small numbers) count as a card in the longest run only
+            regular = {e: all(len(g) >= 3 for g in re.split("[ -]", text[a:e])[:-1]) for e in ends}
+            return sorted((e for e in ends if size[e] >= 13 and (regular[e] or loose and e == b)),
+                          key=lambda e: (not regular[e], usual.index(size[e]) if size[e] in usual else len(usual), -e))
+        if text[a] != "+":
+            return [b]
+        head = re.match(r"\+([0-9]{1,3})(?=[ .(-])", text[a:b])
+        skip, usual = (len(head[1]), PHONE_LENGTHS.get(head[1], ())) if head else (0, ())
+        ends = [e for e in ends if 7 <= size[e] - skip <= 14 and RULES["phone"].fullmatch(text, a, e)]
+        for m in DIGITS_START.finditer(text, a + 1, b):
+            other = self._value(text, m.start(), False, ("ip", "date", "ssn", "card"))
+            if other:
+                before = [e for e in ends if e <= m.start()]
+                if before or other[0] == "card":
+                    ends = before
+                    break
+        return sorted(ends, key=lambda e: (size[e] - skip not in usual, -e))
+
+    def _value(self, text: str, a: int, loose: bool, kinds) -> tuple[str, int, str] | None:
+        """Kind, end and pseudonym of the value that starts at ``a``."""
+        for kind in kinds:
+            m = RULES[kind].match(text, a)
+            for b in self._ends(kind, text, a, m.end(), loose) if m else ():
+                new = getattr(self, kind)(text[a:b])
+                if new is not None:
+                    return kind, b, new
+        return None
+
     def replace(self, text: str) -> tuple[str, Counter]:
         found: Counter = Counter()
-
-        def one(m: re.Match) -> str:
-            new = getattr(self, m.lastgroup)(m[0])
-            if new is None:
-                return m[0]
-            found[m.lastgroup] += 1
-            return new
-        return PATTERN.sub(one, text), found
+        out, done, at, failed = [], 0, 0, 0
+        while m := PATTERN.search(text, at):
+            a = m.start()
+            value = self._value(text, a, a >= failed, ORDER[ORDER.index(m.lastgroup):])
+            if value is None:
+                at, failed = a + 1, max(failed, m.end())
+                continue
+            kind, at, new = value
+            found[kind] += 1
+            out += [text[done:a], new]
+            done = at
+        return "".join([*out, text[done:]]), found
 
 
 KINDS = [
@@ -221,11 +274,24 @@ KINDS = [
     ("ip", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])"),
     ("date", r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![\w/-]|\.[0-9])"),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
-    ("phone", r"(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?!\w)"
+    ("phone", r"(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,5}(?!\w)"
               r"|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?!\w)"
               r"|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])"),
     ("card", r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])"),
 ]
+ORDER = [name for name, _ in KINDS]
+RULES = {name: re.compile(rx) for name, rx in KINDS}
+WORD_END = re.compile(r"(?<=\w)(?!\w)")
+DIGITS_START = re.compile(r"(?<!\w)(?=[0-9])")
+#: Usual numbers of digits of cards by their first one, of phones behind their country code, of accounts by country.
+CARD_LENGTHS = {"2": (16,), "3": (15, 14, 16), "4": (16, 13, 19), "5": (16,), "6": (16, 19)}
+PHONE_LENGTHS = {"1": (10,), "7": (10,), "31": (9,), "32": (8, 9), "33": (9,), "34": (9,), "41": (9,), "44": (9, 10), "45": (8,),
+                 "47": (8,), "48": (9,), "55": (10, 11), "61": (9,), "81": (9, 10), "86": (10, 11), "91": (10,)}
+IBAN_LENGTHS = {c: int(x[:2]) for x in (
+    "15NO 16BE 18DK 18FI 18FO 18GL 18NL 18SD 19MK 19SI 20AT 20BA 20EE 20KZ 20LT 20LU 20MN 20XK 21CH 21HR 21LI 21LV 22BG "
+    "22BH 22CR 22DE 22GB 22GE 22IE 22ME 22RS 22VA 23AE 23GI 23IL 23IQ 23OM 23SO 23TL 24AD 24CZ 24ES 24MD 24PK 24RO 24SA "
+    "24SE 24SK 24TN 24VG 25LY 25PT 26IS 26TR 27BI 27DJ 27FR 27GR 27IT 27MC 27MR 27SM 28AL 28AZ 28BY 28CY 28DO 28FK 28GT "
+    "28HU 28LB 28NI 28PL 28SV 29BR 29EG 29PS 29QA 29UA 30JO 30KW 30MU 31MT 31SC 32LC 33RU").split() for c in (x[2:],)}
 PATTERN = re.compile("|".join(f"(?P<{name}>{rx})" for name, rx in KINDS).replace(r"\1", "(?P=sep1)").replace(r"\2", "(?P=sep2)")
                      .replace("[0-9]{4}([-/.])", "[0-9]{4}(?P<sep1>[-/.])").replace("[0-9]{1,2}([-/.])", "[0-9]{1,2}(?P<sep2>[-/.])"))
 
