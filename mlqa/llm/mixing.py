@@ -3,11 +3,14 @@
 A classifier fitted on the labelled table gives each document a posterior over
 the domains ``clean``, ``low`` (low quality) and ``toxic``. Document rates ``r >= 0`` (at
 most ``max_rate``) are then fitted by least squares so that the expected tokens per
-domain, sum of ``r * tokens * posterior``, meet the targets. The fit is projected
-gradient descent from ``r = 1``: each step needs one small sum per domain over all
-documents (a distributed aggregate) and moves every rate by its posterior's share
-of the residual, then clips it. Residuals count relative to the size of their domain,
-which makes a unit step safe.
+domain, sum of ``r * tokens * posterior``, meet the targets. Residuals count relative to the
+size of their domain. Of all best rates the ones nearest to 1 are taken: they are a
+projected step from ``r = 1`` along the posterior, ``clip(1 - p * m)``, with one multiplier
+per domain. The multipliers are fitted by Newton steps with the 3x3 curvature, under a
+pull towards 1 that shrinks tenfold each time; a step needs ten sums over all documents
+(a distributed aggregate). The same sums give a duality gap, and with it a proven bound
+on how far each domain's total is from the best possible one; the fit ends when that
+is at most ``TOLERANCE`` of the domain, and raises when it cannot get there.
 
 The classifier: two naive Bayes scores, quality over style bins and toxicity over
 the presence of hashed words too, features with a clear difference only, calibrated
@@ -15,8 +18,8 @@ by a logistic curve over score histograms. It is fitted on at most ``FIT_ROWS``
 documents, those with the least hash of their id (a documented bound), by grouped
 sums of bounded size. Everything else covers all documents.
 
-A rate is a function of the posterior and of the steps taken, so the fit returns
-the steps (a few numbers), and rates are computed where they are needed.
+A rate is a function of the posterior and the multipliers, so the fit returns these
+(a few numbers), and rates are computed where they are needed.
 
 Defined results: a null or empty text has no tokens, its rate is still defined and
 moves no total; documents with equal texts get equal posteriors and rates; a label
@@ -27,7 +30,9 @@ through, those named like a result are replaced.
 
 from __future__ import annotations
 
+import logging
 import uuid
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +52,11 @@ FIT_ROWS = 20_000
 CLEAR = 5.0          # standard errors between two shares that a feature needs
 CLIP = 30.0
 BINS = 240
-ROUNDS = 40
+ROUNDS = 200         # sums over all documents, at most
+TOLERANCE = 1e-4     # of a domain's size, or of the LEAST share of all tokens if it is smaller
+LEAST = 1e-4
+
+log = logging.getLogger(__name__)
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>{}[]~^_=+\\@"]] = True
@@ -215,52 +224,84 @@ def posteriors(docs: DataFrame, model, text: str = "text") -> DataFrame:
     return d.mapInArrow(run, schema)
 
 
-def with_rates(members: DataFrame, steps: list, max_rate: float) -> DataFrame:
-    """``members`` with ``rate``: from 1, every step moves by the posterior and clips."""
-    rate: Column = F.lit(1.0)
-    for step in steps:
-        move: Column = F.lit(0.0)
-        for x, v in zip(DOMAINS, step):
-            move = move + F.col(f"p_{x}") * F.lit(float(v))
-        rate = F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), rate - move))
-    return members.withColumn("rate", rate)
+class Fit(NamedTuple):
+    """Multipliers of the rates; totals by domain: wanted, reached, and the proven bound on the
+    distance of the reached ones from the best possible, as a share of the domain."""
+    multipliers: list
+    want: list
+    got: list
+    bound: list
+
+
+def _push(multipliers) -> Column:
+    return sum((F.col(f"p_{x}") * F.lit(float(v)) for x, v in zip(DOMAINS, multipliers)), F.lit(0.0))
+
+
+def with_rates(members: DataFrame, multipliers, max_rate: float) -> DataFrame:
+    """``members`` with ``rate``: 1 less the posterior's share of the multipliers, clipped."""
+    return members.withColumn("rate", F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), 1.0 - _push(multipliers))))
 
 
 def fit_rates(members: DataFrame, targets: dict | None = None, total_tokens: float | None = None,
-              max_rate: float = 1.0) -> list:
-    """The steps of the projected gradient descent over ``members`` (a written table of tokens
-    and posteriors).
+              max_rate: float = 1.0) -> Fit:
+    """The least-squares fit over ``members`` (a written table of tokens and posteriors).
 
     ``total_tokens``: size of the mixture; by default the size at which the domain with
     the largest target share is used up at rate 1.
     """
     targets = targets or TARGETS
-    tok = F.col("n_tokens").cast("double")
-
-    def expected(d: DataFrame, rate: Column) -> np.ndarray:
-        return np.asarray(d.agg(*[F.coalesce(F.sum(tok * F.col(f"p_{x}") * rate), F.lit(0.0)) for x in DOMAINS]).first())
-
-    have = expected(members, F.lit(1.0))
+    tok, p = F.col("n_tokens").cast("double"), [F.col(f"p_{x}") for x in DOMAINS]
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+
+    def total(x: Column) -> Column:
+        return F.coalesce(F.sum(x), F.lit(0.0))
+
+    def sums(m: np.ndarray):
+        """Totals by domain, curvature of the rates that are not clipped, sum of the negative pushes."""
+        d = with_rates(members, m, max_rate).withColumn("_push", _push(m))
+        free = F.when((F.col("rate") > 0) & (F.col("rate") < max_rate), tok).otherwise(F.lit(0.0))
+        row = d.agg(*[total(tok * x * F.col("rate")) for x in p], *[total(free * p[i] * p[j]) for i, j in pairs],
+                    total(tok * F.least(F.lit(0.0), F.col("_push")))).first()
+        curve = np.zeros((3, 3))
+        for (i, j), v in zip(pairs, row[3:9]):
+            curve[i, j] = curve[j, i] = v
+        return np.asarray(row[:3]), curve, row[9]
+
+    have = np.asarray(members.agg(*[total(tok * x) for x in p]).first())
     share = np.asarray([targets[x] for x in DOMAINS], dtype=float)
     share = share / max(share.sum(), 1e-12)
     if total_tokens is None:
         total_tokens = float(have[np.argmax(share)] / share.max()) if have.sum() else 0.0
     want = share * total_tokens
-    # each residual counts relative to its domain's size; with rates moved per token the
-    # curvature is then at most one, so a unit step descends
     scale = np.maximum(np.maximum(have, want), 1e-9)
-    steps: list = []
-    got, last = have, None
-    while len(steps) < ROUNDS:
-        residual = got - want
-        if np.abs(residual).max() <= 1e-4 * max(total_tokens, 1.0):
-            break
-        if last is not None and np.abs(residual - last).max() <= 1e-4 * max(total_tokens, 1.0):
-            break
-        last = residual
-        steps.append((residual / scale).tolist())
-        got = expected(with_rates(members, steps, max_rate), F.col("rate"))
-    return steps
+    size = np.maximum(scale, max(LEAST * max(total_tokens, have.sum()), 1.0))
+    m, pull, rounds = np.zeros(3), 1.0, 1
+    got, curve, negative = sums(m)
+    while True:
+        # the loss at the rates less its dual value at pull * m bounds what is left to gain
+        y = pull * m
+        gap = ((got - want) ** 2 / scale).sum() / 2 + (scale * y * y).sum() / 2 + want @ y - pull * max_rate * negative
+        bound = np.sqrt(2 * max(gap, 0.0) * scale) / size
+        if bound.max() <= TOLERANCE:
+            fit = Fit(m.tolist(), want.tolist(), got.tolist(), bound.tolist())
+            log.info("mixing fit after %d rounds: %s", rounds, fit)
+            return fit
+        left = got - want - pull * scale * m
+        if np.abs(left / scale).max() <= 0.1 * pull:
+            pull /= 10
+            left = got - want - pull * scale * m
+        step = np.linalg.solve(curve + pull * np.diag(scale), left)
+        # the fit is the zero of a monotone function: halve while the step goes far beyond it
+        for halved in range(30):
+            if rounds >= ROUNDS or pull < 1e-14:
+                raise RuntimeError(f"mixing fit not converged after {rounds} rounds: domains {DOMAINS}, wanted "
+                                   f"{want.tolist()}, reached {got.tolist()}, off by up to {bound.tolist()} of each")
+            rounds += 1
+            at = m + step / 2 ** halved
+            new = sums(at)
+            if (new[0] - want - pull * scale * at) @ step >= -0.5 * (left @ step):
+                break
+        m, (got, curve, negative) = at, new
 
 
 def _copies(d: DataFrame, id_col: str, seed: int) -> DataFrame:
@@ -269,13 +310,13 @@ def _copies(d: DataFrame, id_col: str, seed: int) -> DataFrame:
 
 
 def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, targets, total_tokens, max_rate):
-    """(classifier, written members without text, steps)."""
+    """(classifier, written members without text, multipliers)."""
     spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/mix-{uuid.uuid4().hex}"
     model = fit_classifier(docs, labels, id_col, text)
     posteriors(docs.drop("rate", "copies"), model, text).write.parquet(f"{folder}/members")
     members = spark.read.parquet(f"{folder}/members")
-    return model, members, fit_rates(members, targets, total_tokens, max_rate)
+    return model, members, fit_rates(members, targets, total_tokens, max_rate).multipliers
 
 
 def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", targets: dict | None = None,
@@ -283,8 +324,8 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     """``docs`` without the text, with ``n_tokens``, posteriors, ``rate`` and ``copies``: how
     often the document enters the mixture (the rate, rounded at random by a hash of
     the id; a null id rounds by the seed alone)."""
-    _, members, steps = _fit(docs, labels, id_col, text, targets, total_tokens, max_rate)
-    return _copies(with_rates(members, steps, max_rate), id_col, seed)
+    _, members, multipliers = _fit(docs, labels, id_col, text, targets, total_tokens, max_rate)
+    return _copies(with_rates(members, multipliers, max_rate), id_col, seed)
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text",
@@ -292,11 +333,11 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                     seed: int = 7) -> DataFrame:
     """The mixture itself: rows of ``docs``, each as often as its ``copies`` say, same columns.
     The texts are read once more and judged where they are; they are neither joined nor stored."""
-    model, _, steps = _fit(docs.select(id_col, text), labels, id_col, text, targets, total_tokens, max_rate)
+    model, _, multipliers = _fit(docs.select(id_col, text), labels, id_col, text, targets, total_tokens, max_rate)
     clash = ["n_tokens", "rate", "copies", *[f"p_{x}" for x in DOMAINS]]
     own = {c: f"_own_{c}" for c in docs.columns if c in clash}
     d = docs.withColumnsRenamed(own).withColumn("_judged", F.col(own.get(text, text)))
     d = posteriors(d, model, "_judged")
-    d = _copies(with_rates(d, steps, max_rate), id_col, seed).filter("copies > 0")
+    d = _copies(with_rates(d, multipliers, max_rate), id_col, seed).filter("copies > 0")
     d = d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return d.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
