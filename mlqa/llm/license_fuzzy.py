@@ -6,7 +6,8 @@ phrase's words stand consecutively. *Fuzzy* labels come from longer notices: a
 notice that may differ in ``k`` edits is split into ``k + 1`` pieces, and by the
 pigeonhole principle one piece of every match stands there unchanged. The exact
 pieces locate windows, and only there the ``regex`` module's bounded-error matching
-(``{e<=k}``, best match) verifies the edits and gives the spans.
+(``{e<=k}``) verifies the edits and gives the spans: exact places first, then what
+stands between them with one edit, with two, and so on.
 
 Defined results: null counts as empty (no words, no label, score 0); texts of any
 length are searched whole; equal texts give equal rows; other columns pass through
@@ -61,7 +62,7 @@ class Notice:
         n = self.k + 1
         cuts = [round(i * len(text) / n) for i in range(n + 1)]
         self.pieces = [(cuts[i], text[cuts[i]:cuts[i + 1]]) for i in range(n)]
-        self.verify = regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={self.k}}}")
+        self.verify = [regex.compile(f"(?:{regex.escape(text)}){{e<={e}}}" if e else regex.escape(text)) for e in range(n)]
 
     def windows(self, s: str) -> list[tuple[int, int]]:
         """Merged stretches of ``s`` in which a match must lie."""
@@ -80,12 +81,23 @@ class Notice:
         return merged
 
     def matches(self, s: str) -> list[tuple[int, int, int]]:
-        """(start, end, edits) in the joined words."""
+        """(start, end, edits) in the joined words. What is left of a window after the matches
+        with fewer edits is searched again with one more, so no match hides another."""
         found = []
-        for a, b in self.windows(s):
-            for m in self.verify.finditer(s, a, b):
-                found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-        return found
+        for window in self.windows(s):
+            gaps = [window]
+            for verify in self.verify:
+                left = []
+                for a, b in gaps:
+                    if b - a < len(self.text) - self.k or not self.verify[-1].search(s, a, b):
+                        continue
+                    for m in verify.finditer(s, a, b):
+                        found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                        left.append((a, m.start()))
+                        a = m.end()
+                    left.append((a, b))
+                gaps = left
+        return sorted(found)
 
 
 def scan(joined: str, notices: list[Notice], phrases=None):
