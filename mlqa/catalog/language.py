@@ -55,9 +55,9 @@ SELECT dd.doc_id, dd.lang, coalesce(b.language, 'de') AS pred_lang
 FROM documents dd LEFT JOIN b ON b.doc_id = dd.doc_id
 """)
 def q_e11_classify(spark, sf):
-    langs = ["de", "en", "es", "fr"]
+    langs = L.languages(docs(spark, sf)) or ["de"]
     return L.classify(docs(spark, sf).select("doc_id", "lang", "text"), model(spark, sf, langs), ["doc_id", "lang"],
-                      "text", langs)
+                      "text", langs, unknown="de")
 
 
 def _sql_counts(x: str, prefix: str = "") -> str:

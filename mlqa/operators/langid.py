@@ -51,6 +51,11 @@ def fit_langid(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         "language", "gram", F.length(F.bin(F.col("_x") * F.col("_x") * F.col("_x"))).alias("w"))
 
 
+def languages(docs: DataFrame, lang_col: str = "lang") -> list[str]:
+    """The labels that the model is fitted on, sorted (bounded by their number)."""
+    return sorted(r[0] for r in docs.select(lang_col).filter(F.col(lang_col).isNotNull()).distinct().collect())
+
+
 def by_gram(model: DataFrame, langs: list[str], path: str) -> DataFrame:
     """The model as one row per trigram with the weights in the order of ``langs``, written to
     ``path``: read back, Spark knows its bytes and broadcasts it only if they allow."""
@@ -59,9 +64,10 @@ def by_gram(model: DataFrame, langs: list[str], path: str) -> DataFrame:
 
 
 def classify(pieces: DataFrame, model: DataFrame, id_cols: list[str], text_col: str,
-             allowed: list[str], out: str = "pred_lang") -> DataFrame:
+             allowed: list[str], out: str = "pred_lang", unknown: str | None = None) -> DataFrame:
     """E11 prediction: ``id_cols`` and ``out`` for every row of ``pieces`` (distinct ids);
-    ``model`` is the result of ``by_gram`` for the sorted ``allowed`` languages."""
+    ``model`` is the result of ``by_gram`` for the sorted ``allowed`` languages. A text without
+    a known trigram gets ``unknown``, by default the smallest allowed code."""
     langs = sorted(set(allowed))
     grams = spread(pieces).select(*id_cols, F.explode_outer(trigrams(F.col(text_col))).alias("gram"))
     sums = (grams.join(model, "gram", "left").groupBy(*id_cols)
@@ -69,6 +75,8 @@ def classify(pieces: DataFrame, model: DataFrame, id_cols: list[str], text_col:
     scores = F.array(*[F.col(f"_s{i}") for i in range(len(langs))])
     names = F.array(*[F.lit(l) for l in langs])
     best = F.element_at(names, F.array_position(scores, F.array_max(scores)).cast("int"))
+    if unknown is not None:
+        best = F.when(F.array_max(scores) > 0, best).otherwise(F.lit(unknown))
     return sums.select(*id_cols, best.alias(out))
 
 
