@@ -23,8 +23,9 @@ thus a component of all verified links of all candidates.
 Defined results: a text without words (null, empty, white space) is in no group
 (its class is its own id, ``n_links`` 0); one with fewer than five words is one
 shingle; equal texts are one class; an empty table gives an empty table. Rows
-with the same id are one document if their texts agree; rows with a null id stay
-out of the groups (class null). Classes are named by their least id.
+with the same id are one document if their texts agree; if not, each text is a document
+of its own, told apart by a print of the text. Rows with a null id stay out of the groups
+(class null). Classes are named by their least id.
 """
 
 from __future__ import annotations
@@ -117,6 +118,7 @@ def probability_jaccard(ax: np.ndarray, aw: np.ndarray, bx: np.ndarray, bw: np.n
 
 
 def _sketch(batches):
+    """Rows (id, text, print of the text) -> the same without the text, with the sketch."""
     for batch in batches:
         ids, data_off = batch.column(0), tk.text_buffers(batch.column(1))
         for at, data, off in tk.chunks(*data_off):
@@ -136,13 +138,13 @@ def _sketch(batches):
                 bands = tk.mix(bands * np.uint64(31) + sig[:, r::ROWS].astype(np.uint64), r + 21)
             bands ^= tk.mix(np.arange(BANDS, dtype=np.uint64), 99)[None, :]
             yield pa.RecordBatch.from_arrays([
-                ids.slice(at, n), pa.array(size, pa.int64()),
+                ids.slice(at, n), batch.column(2).slice(at, n), pa.array(size, pa.int64()),
                 pa.array(prints[0]), pa.array(prints[1]),
                 pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * REGISTERS), n, [None, pa.py_buffer(sig.tobytes())])
                 .cast(pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS),
                                          pa.array(bands.reshape(-1).view(np.int64))),
-            ], names=["id", "n_shingles", "p1", "p2", "sig", "bands"])
+            ], names=["id", "print", "n_shingles", "p1", "p2", "sig", "bands"])
 
 
 def _estimate(batches):
@@ -237,18 +239,29 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return two.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``id_col, class_id, n_shingles``."""
+def _print(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _classes(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """One row per document: ``id, print, n_shingles, first``; ``first`` is the least (id, print)
+    of the class, null for rows out of the groups."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    sketch = d.mapInArrow(_sketch, "id long, n_shingles long, p1 long, p2 long, sig binary, bands array<long>")
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), _print(text).alias("print"))
+    sketch = d.mapInArrow(_sketch, "id long, print long, n_shingles long, p1 long, p2 long, sig binary, bands array<long>")
     sketch = sketch.checkpoint()
     member = sketch.filter("id IS NOT NULL AND n_shingles > 0")
-    # documents with the same weighted shingles share one representative, the least id
-    rep = member.groupBy("p1", "p2").agg(F.min("id").alias("id"))
-    reps = rep.join(member.select("id", "p1", "p2", "sig", "bands"), ["id", "p1", "p2"]) \
-        .select("id", "sig", "bands").dropDuplicates(["id"]).checkpoint()
+    # documents with the same weighted shingles share one representative, the least id; it is
+    # known by its id, or by a hash of id and print where an id has several texts
+    twice = member.groupBy("id").agg(F.min("print").alias("x"), F.max("print").alias("y")).filter("x < y") \
+        .select(F.col("id").alias("own"), F.lit(True).alias("clash"))
+    rep = member.groupBy("p1", "p2").agg(F.min(F.struct("id", "print")).alias("one")) \
+        .select("p1", "p2", F.col("one.id").alias("own"), F.col("one.print").alias("print"))
+    rep = rep.join(twice, "own", "left").select("p1", "p2", "own", "print", F.when(
+        F.col("clash"), F.xxhash64("own", "print")).otherwise(F.col("own")).alias("id"))
+    reps = rep.join(member.select(F.col("id").alias("own"), "print", "p1", "p2", "sig", "bands"), ["own", "print", "p1", "p2"]) \
+        .dropDuplicates(["own", "print", "p1", "p2"]).select("id", "own", "print", "sig", "bands").checkpoint()
     sig = reps.select("id", "sig")
 
     # buckets with two or more members; in each, the leader is the member that meets the most others
@@ -263,7 +276,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     stars = rows.filter("id <> lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
     # texts of the documents that share a bucket with another, moved once
     folder = f"{ensure_checkpoint_dir(spark)}/neardup-{uuid.uuid4().hex}"
-    d.join(met.select("id"), "id", "left_semi").dropDuplicates(["id"]).write.parquet(f"{folder}/texts")
+    need = reps.select("id", "own", "print").join(met.select("id"), "id", "left_semi")
+    # no second shuffle: dealt by the columns of the join
+    d.withColumnRenamed("id", "own").join(need, ["own", "print"]).dropDuplicates(["own", "print"]).select("id", "text") \
+        .write.parquet(f"{folder}/texts")
     texts = spark.read.parquet(f"{folder}/texts")
     close = stars.join(sig.withColumnsRenamed({"id": "a", "sig": "sa"}), "a") \
         .join(sig.withColumnsRenamed({"id": "b", "sig": "sb"}), "b") \
@@ -285,21 +301,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         .applyInArrow(_block_links, "a long, b long").checkpoint()
 
     comp = connected(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    classes = rep.join(comp.withColumnsRenamed({"u": "id"}), "id", "left").select(
-        "p1", "p2", F.coalesce("component", "id").alias("class_id"))
-    joined = sketch.select("id", "n_shingles", "p1", "p2").join(classes, ["p1", "p2"], "left")
+    linked = rep.join(comp.withColumnsRenamed({"u": "id"}), "id", "left") \
+        .select("p1", "p2", "component", F.struct(F.col("own").alias("id"), "print").alias("one"))
+    named = linked.filter("component IS NOT NULL").groupBy("component").agg(F.min("one").alias("least"))
+    classes = linked.join(named, "component", "left").select("p1", "p2", F.coalesce("least", "one").alias("first"))
+    joined = sketch.select("id", "print", "n_shingles", "p1", "p2").join(classes, ["p1", "p2"], "left")
     grouped = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
-    return joined.select(
-        F.col("id").alias(id_col),
-        F.when(grouped, F.col("class_id")).otherwise(F.col("id")).alias("class_id"), "n_shingles")
+    return joined.select("id", "print", "n_shingles", F.when(grouped, F.col("first")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: ``id_col, class_id, n_shingles``."""
+    return _classes(docs, id_col, text).select(
+        F.col("id").alias(id_col), F.coalesce("first.id", "id").alias("class_id"), "n_shingles")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents that are not their class's least id; of rows that
-    repeat an id one stays. Rows with a null id and texts without words stay."""
-    classes = near_duplicates(docs, id_col, text).filter(f"{id_col} IS NOT NULL")
-    drop = classes.filter(F.col("class_id") != F.col(id_col)).select(id_col).distinct()
-    kept = docs.join(drop, id_col, "left_anti")
+    """``docs`` without the documents that are not their class's first; of rows that repeat
+    an id and its text one stays. Rows with a null id and texts without words stay."""
+    drop = _classes(docs, id_col, text).filter("first.id <> id OR first.print <> print") \
+        .select(F.col("id").alias("_id"), F.col("print").alias("_print")).distinct()
+    kept = docs.withColumns({"_id": F.col(id_col).cast("long"), "_print": _print(text)}).join(drop, ["_id", "_print"], "left_anti")
     words = F.translate(F.coalesce(F.col(text), F.lit("")), " \t\n\x0b\x0c\r", "") != ""
-    whole = kept.filter(F.col(id_col).isNotNull() & words).dropDuplicates([id_col])
-    return whole.unionByName(kept.filter(~(F.col(id_col).isNotNull() & words)))
+    whole = kept.filter(F.col(id_col).isNotNull() & words).dropDuplicates(["_id", "_print"])
+    return whole.unionByName(kept.filter(~(F.col(id_col).isNotNull() & words))).select(*docs.columns)
