@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mlqa.llm import bpe_transducer, mixing, pii_fpe, probminhash, quality_lines
-from mlqa.llm.catalog import PII_KEY, TOKENIZERS, table
+from mlqa.llm.catalog import BYTE_BPE, PII_KEY, table, vocabulary
 from mlqa.session import ensure_checkpoint_dir, ship_package
 
 
@@ -46,7 +46,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids by document, with digests of the ids and of the text decoded from them."""
     ship_package(spark)
-    return bpe_transducer.encode(docs.select("doc_id", "source", "text"), f"{TOKENIZERS}/byte_bpe_50k.json", digests=True)
+    return bpe_transducer.encode(docs.select("doc_id", "source", "text"), vocabulary(BYTE_BPE), digests=True)
 
 
 STAGES = [

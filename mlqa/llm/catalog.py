@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mlqa.llm import (bm25_wand, bpe_transducer, langid_fusion, license_fuzzy, lm_lattice, mixing, pii_fpe,
-                      probminhash, quality_lines, url_rules)
+                      prefix_trie, probminhash, quality_lines, structure_repair, token_counts, url_rules)
 from mlqa.session import ship_package
 
-#: Folder of the public vocabulary files; jobs elsewhere name their own.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+#: Place of a public vocabulary file; the operators take any path.
+vocabulary = public_tokenizers.path
+BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,13 +75,13 @@ def op8_license_scans(spark, sf_dir):
 @_query("op3_bpe_transducer")
 def op3_bpe_transducer(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe_transducer.encode(docs, f"{TOKENIZERS}/byte_bpe_50k.json", digests=True)
+    return bpe_transducer.encode(docs, vocabulary(BYTE_BPE), digests=True)
 
 
 @_query("op1_lattice_scores")
 def op1_lattice_scores(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return lm_lattice.score_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    return lm_lattice.score_documents(docs, vocabulary(PIECES))
 
 
 @_query("op4_bm25_wand")
@@ -106,3 +107,19 @@ def op2_language_fusion(spark, sf_dir):
         docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.col("source").alias("host"),
                     no_text.alias("declared"), no_text.alias("suffix")))
     return langid_fusion.identify(records, langs, model)
+
+
+@_query("op11_token_counts")
+def op11_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, vocabulary(BYTE_BPE))
+
+
+@_query("op12_prefix_trie")
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie_rows(table(spark, sf_dir, "conversations"))
+
+
+@_query("op13_structure_repair")
+def op13_structure_repair(spark, sf_dir):
+    return structure_repair.repair_rows(table(spark, sf_dir, "conversations"))

@@ -4,6 +4,7 @@ long texts, ties and repeated rows, empty tables and clashing column names."""
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -18,7 +19,7 @@ from tools.oracle_check import compare, duck
 
 from llm_tables import SF_SMALL, docs_of  # noqa: F401
 
-TOKENIZERS = catalog.TOKENIZERS
+TOKENIZERS = os.path.dirname(catalog.vocabulary(catalog.BYTE_BPE))
 EDGE = [None, "", " \n\t ", "one", "one", "word " * 4000, "a" * 6000, "The cat sat on the mat today. " * 3, "日本語 テキスト!"]
 
 

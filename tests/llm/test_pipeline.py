@@ -37,7 +37,7 @@ def test_stages(spark, tmp_path):
     clean = [i for i in rows["pii_pseudonyms"] if i in labels and labels[i].quality == 1 and labels[i].toxic == 0]
     assert len([i for i in clean if i in mixed]) >= 0.98 * len(clean)
     from tokenizers import Tokenizer
-    tok = Tokenizer.from_file(f"{catalog.TOKENIZERS}/byte_bpe_50k.json")
+    tok = Tokenizer.from_file(catalog.vocabulary(catalog.BYTE_BPE))
     for i, r in rows["bpe_encoding"].items():
         want = tok.encode(rows["source_mixing"][i].text, add_special_tokens=False).ids
         assert r.n_tokens == len(want) and r.ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
