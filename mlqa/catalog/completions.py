@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mlqa.catalog import language
 from mlqa.catalog.base import register, sql_strip
 from mlqa.functions import text as X
 from mlqa.functions.similarity import ratio_udf
+from mlqa.operators import langid as L
 from mlqa.operators import rewards as R
 from mlqa.sources.fixtures import load_table, view
+from mlqa.sources.io import scratch_path
 
 VC = ("v_completions",)
 
@@ -240,6 +243,19 @@ def q_e3(spark, sf):
     return vc(spark, sf).select("conv_id", "turn", F.array_join(acc, "|").alias("acceptable"))
 
 
+@register("e3_acceptable_array", f"""
+SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS acceptable
+FROM (SELECT conv_id, turn, list_concat(CASE WHEN coalesce(target, '') <> '' THEN [{_norm('target')}] ELSE [] END,
+        list_transform(list_concat(string_split(answer_list, ','), string_split(question, ','), ['None']), lambda x: {_norm('x')})) AS l
+      FROM v_completions) t
+""", views=VC)
+def q_e3_array(spark, sf):
+    """The answer list as an array of texts, with a NULL item."""
+    v = vc(spark, sf).withColumn("list", F.array("answer_list", "question", F.lit(None).cast("string")))
+    acc = R.acceptable_set("target", "list", list_is_text=False)
+    return v.select("conv_id", "turn", F.array_join(acc, "|").alias("acceptable"))
+
+
 @register("e4_any_match_reward", f"""
 SELECT conv_id, turn,
        CASE WHEN coalesce(list_contains({sql_set(_strip_lower)}, {_strip_lower(_block(SQL_PRED, 'answer'))}), false)
@@ -260,12 +276,6 @@ def pairs(spark, sf):
         "conv_id", "turn", "pred", F.explode("acc").alias("cand"))
 
 
-@register("e5_similarity")
-def q_e5(spark, sf):
-    p = pairs(spark, sf)
-    return p.select("conv_id", "turn", "cand", F.round(ratio_udf("pred", "cand"), 6).alias("ratio"))
-
-
 SQL_PAIRS = f"""
 pr AS (SELECT conv_id, turn, {_norm(_block(SQL_PRED, 'answer'))} AS pred, {sql_set(_norm)} AS acc
        FROM v_completions),
@@ -327,12 +337,83 @@ def q_e8n(spark, sf):
                     F.round(F.array_max(nat), 6).alias("best_native"))
 
 
-@register("e8_best_match")
+# Similarity of all pairs: equal characters lie on diagonals i - j; ``runs`` are their unbroken
+# stretches, ``seeds`` those without popular characters. Starting from whole texts, every range
+# takes its longest seed (the first in a, then in b), lengthened within its run, and leaves the
+# ranges on both sides of it; without a seed the run at the range's start counts.
+SQL_SIM = """
+sp AS MATERIALIZED (SELECT row_number() OVER (ORDER BY conv_id, turn, cand) AS pid, conv_id, turn, pred, cand,
+                           length(pred) AS la, length(cand) AS lb FROM pairs),
+ac AS MATERIALIZED (SELECT pid, unnest(range(0, la)) AS i, unnest(string_split(pred, '')) AS c FROM sp WHERE la > 0),
+bc AS MATERIALIZED (SELECT pid, lb, unnest(range(0, lb)) AS j, unnest(string_split(cand, '')) AS c FROM sp WHERE lb > 0),
+pop AS (SELECT pid, c FROM bc GROUP BY pid, c, lb HAVING lb >= 200 AND count(*) > lb // 100 + 1),
+eq AS MATERIALIZED (SELECT ac.pid, i, i - j AS d, pop.c IS NOT NULL AS popular
+                    FROM ac JOIN bc ON bc.pid = ac.pid AND bc.c = ac.c LEFT JOIN pop ON pop.pid = ac.pid AND pop.c = ac.c),
+runs AS MATERIALIZED (SELECT pid, d, min(i) AS lo, max(i) + 1 AS hi FROM (
+          SELECT pid, d, i, i - row_number() OVER (PARTITION BY pid, d ORDER BY i) AS g FROM eq) t GROUP BY pid, d, g),
+seeds AS (SELECT pid, d, min(i) AS lo, max(i) + 1 AS hi FROM (
+          SELECT pid, d, i, i - row_number() OVER (PARTITION BY pid, d ORDER BY i) AS g FROM eq WHERE NOT popular) t
+          GROUP BY pid, d, g),
+segs AS MATERIALIZED (
+  SELECT s.pid, s.d, s.lo, s.hi, r.lo AS rlo, r.hi AS rhi, 1 AS seed
+  FROM seeds s JOIN runs r ON r.pid = s.pid AND r.d = s.d AND r.lo <= s.lo AND s.hi <= r.hi
+  UNION ALL SELECT pid, d, lo, hi, lo, hi, 0 FROM runs),
+matched AS (
+  WITH RECURSIVE w AS (
+    SELECT pid, CAST(0 AS BIGINT) AS alo, la AS ahi, CAST(0 AS BIGINT) AS blo, lb AS bhi, CAST(0 AS BIGINT) AS gain FROM sp
+    UNION ALL
+    SELECT pid, p.alo, p.ahi, p.blo, p.bhi, p.gain FROM (
+      SELECT pid, unnest([{'alo': alo, 'ahi': b.i, 'blo': blo, 'bhi': b.i - b.d, 'gain': b.e - b.i},
+                          {'alo': b.e, 'ahi': ahi, 'blo': b.e - b.d, 'bhi': bhi, 'gain': 0}]) AS p
+      FROM (SELECT w.pid, w.alo, w.ahi, w.blo, w.bhi, arg_max(
+              {'i': greatest(s.rlo, w.alo, w.blo + s.d), 'e': least(s.rhi, w.ahi, w.bhi + s.d), 'd': s.d},
+              s.seed * (least(s.hi, w.ahi, w.bhi + s.d) - greatest(s.lo, w.alo, w.blo + s.d)) * 1000000000000
+              - least(s.hi, w.ahi, w.bhi + s.d) * 1000000 - (least(s.hi, w.ahi, w.bhi + s.d) - s.d)) AS b
+            FROM w JOIN segs s ON s.pid = w.pid
+            WHERE w.alo < w.ahi AND w.blo < w.bhi
+              AND ((s.seed = 1 AND least(s.hi, w.ahi, w.bhi + s.d) > greatest(s.lo, w.alo, w.blo + s.d))
+                   OR (s.seed = 0 AND s.d = w.alo - w.blo AND s.lo <= w.alo AND w.alo < s.hi))
+            GROUP BY w.pid, w.alo, w.ahi, w.blo, w.bhi) t) u)
+  SELECT pid, sum(gain) AS m FROM w GROUP BY pid),
+sim AS (SELECT conv_id, turn, pred, cand, CASE WHEN la + lb = 0 THEN 1.0::DOUBLE
+               ELSE CAST(2 * m AS DOUBLE) / CAST(la + lb AS DOUBLE) END AS ratio FROM sp JOIN matched USING (pid))
+"""
+
+SQL_BEST = f"""
+scored AS (SELECT *, greatest(ratio, num, key) AS top FROM (
+             SELECT conv_id, turn, pred, cand, ratio, CAST({sql_numeric('pred', 'cand')} AS DOUBLE) AS num,
+                    CAST({sql_keycov('pred', 'cand')} AS DOUBLE) AS key FROM sim) t),
+best AS (SELECT conv_id, turn, pred, CASE WHEN pred = cand THEN 1.0::DOUBLE ELSE top END AS score,
+                CASE WHEN pred = cand THEN 'exact' WHEN ratio = top THEN 'similarity' WHEN num = top THEN 'numeric'
+                     ELSE 'key_elements' END AS method, cand AS answer
+         FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY (pred = cand) DESC, top DESC,
+                 CASE WHEN ratio = top THEN 0 WHEN num = top THEN 1 ELSE 2 END, cand) AS rn FROM scored) r WHERE rn = 1),
+fuzzy AS (SELECT v.conv_id, v.turn, pr.pred, b.score, b.method, b.answer, array_to_string(pr.acc, '|') AS acceptable,
+            CAST(CASE WHEN b.score >= 1.0 THEN 1.0 WHEN b.score >= 0.9 THEN 0.9 WHEN b.score >= 0.75 THEN 0.7
+                      WHEN b.score >= 0.6 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS reward
+          FROM v_completions v JOIN pr ON pr.conv_id = v.conv_id AND pr.turn = v.turn
+          LEFT JOIN best b ON b.conv_id = v.conv_id AND b.turn = v.turn)
+"""
+
+
+@register("e5_similarity", f"""
+WITH {SQL_PAIRS}, {SQL_SIM}
+SELECT conv_id, turn, cand, round(ratio, 6) AS ratio FROM sim
+""", views=VC)
+def q_e5(spark, sf):
+    p = pairs(spark, sf)
+    return p.select("conv_id", "turn", "cand", F.round(ratio_udf("pred", "cand"), 6).alias("ratio"))
+
+
+@register("e8_best_match", f"""
+WITH {SQL_PAIRS}, {SQL_SIM}, {SQL_BEST}
+SELECT conv_id, turn, round(score, 6) AS score, method, answer FROM best
+""", views=VC)
 def q_e8(spark, sf):
     v = vc(spark, sf).select("conv_id", "turn", R.answer_prediction("completion").alias("pred"),
                              R.acceptable_set("target", "answer_list").alias("acc"))
     bm = F.col("best")
-    return R.with_best_match(v, "pred", "acc").select(
+    return R.with_best_match(v.filter("pred IS NOT NULL"), "pred", "acc").select(
         "conv_id", "turn", F.round(bm["score"], 6).alias("score"),
         bm["method"].alias("method"), bm["answer"].alias("answer"))
 
@@ -351,52 +432,50 @@ def q_e9(spark, sf):
     return out.select("conv_id", "turn", R.tier_reward(F.coalesce(score, F.lit(0.0))).alias("tier"))
 
 
-@register("e10_fuzzy_reward")
+@register("e10_fuzzy_reward", f"""
+WITH {SQL_PAIRS}, {SQL_SIM}, {SQL_BEST}
+SELECT conv_id, turn, reward FROM fuzzy
+""", views=VC)
 def q_e10(spark, sf):
     out = R.with_fuzzy_reward(vc(spark, sf), "completion", "target", "answer_list", "reward")
     return out.select("conv_id", "turn", "reward")
 
 
 # ------------------------------------------------------------------ E17-E20
-def _three(spark, sf):
-    return vc(spark, sf).select(
-        "conv_id", "turn", R.format_reward("completion").alias("format_reward"),
-        R.exact_reward("completion", "target").alias("exact_reward"),
-        R.any_match_reward("completion", "target", "answer_list").alias("any_match_reward"))
-
-
-SQL_THREE = SQL_EXACT + f""",
-three AS (
-  SELECT v.conv_id, v.turn, f.reward AS format_reward, e.reward AS exact_reward,
-         CASE WHEN coalesce(list_contains({sql_set(_strip_lower).replace('target', 'v.target').replace('answer_list', 'v.answer_list')},
-                                          {_strip_lower(_block(SQL_PRED.replace('completion', 'v.completion'), 'answer'))}), false)
-              THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS any_match_reward
-  FROM v_completions v
-  JOIN exact e ON e.conv_id = v.conv_id AND e.turn = v.turn
+def wired(spark, sf, detail=False):
+    model = language.model(spark, sf, L.SENTENCE_LANGUAGES)
+    return R.with_wired_rewards(vc(spark, sf), ["conv_id", "turn"], "completion", "target", "answer_list", "question",
+                                model, detail)
+
+
+SQL_WIRED = f"""
+WITH {SQL_PAIRS}, {SQL_SIM}, {SQL_BEST}, {language.sql_e16()},
+wired AS (
+  SELECT z.conv_id, z.turn, f.reward AS format_reward, z.reward AS fuzzy_reward, l.language_reward,
+         f.reward + z.reward + l.language_reward AS total, z.pred, z.acceptable, z.score, z.method, z.answer
+  FROM fuzzy z JOIN lang16 l ON l.conv_id = z.conv_id AND l.turn = z.turn
   JOIN (SELECT conv_id, turn, {SQL_FORMAT} AS reward
         FROM (SELECT conv_id, turn, s, strpos(s, '</think>') AS p
               FROM (SELECT conv_id, turn, concat('<think>', completion) AS s FROM v_completions) a) b) f
-    ON f.conv_id = v.conv_id AND f.turn = v.turn)
+    ON f.conv_id = z.conv_id AND f.turn = z.turn)
 """
 
 
-@register("e17_total_reward", SQL_THREE + """
-SELECT conv_id, turn, round(format_reward + exact_reward + any_match_reward, 6) AS total FROM three
+@register("e17_total_reward", SQL_WIRED + """
+SELECT conv_id, turn, format_reward, fuzzy_reward, round(language_reward, 6) AS language_reward, round(total, 6) AS total FROM wired
 """, views=VC)
 def q_e17(spark, sf):
-    t = _three(spark, sf)
-    return t.select("conv_id", "turn", F.round(R.total_reward(
-        ["format_reward", "exact_reward", "any_match_reward"]), 6).alias("total"))
+    return wired(spark, sf).select("conv_id", "turn", "format_reward", "fuzzy_reward",
+                                   F.round("language_reward", 6).alias("language_reward"),
+                                   F.round(R.total_reward(R.WIRED), 6).alias("total"))
 
 
-@register("e18_group_advantage", SQL_THREE + """,
-tot AS (SELECT conv_id, turn, format_reward + exact_reward + any_match_reward AS total FROM three)
+@register("e18_group_advantage", SQL_WIRED + """
 SELECT conv_id, turn, round((total - avg(total) OVER w) / (stddev_samp(total) OVER w + 0.0001), 6) AS advantage
-FROM tot WINDOW w AS (PARTITION BY conv_id)
+FROM wired WINDOW w AS (PARTITION BY conv_id)
 """, views=VC)
 def q_e18(spark, sf):
-    t = _three(spark, sf).withColumn("total", R.total_reward(
-        ["format_reward", "exact_reward", "any_match_reward"]))
+    t = wired(spark, sf).withColumn("total", R.total_reward(R.WIRED))
     a = R.group_advantage(t, "conv_id", "total")
     return a.select("conv_id", "turn", F.round("advantage", 6).alias("advantage"))
 
@@ -404,27 +483,46 @@ def q_e18(spark, sf):
 _TH = {b: R.hash_threshold(r) for b, r in {"success": 0.10, "partial": 0.05, "failed": 0.05}.items()}
 
 
-@register("e19_diagnostics", SQL_THREE + f""",
-b AS (SELECT conv_id, turn, total,
-             CASE WHEN total >= 0.9 THEN 'success' WHEN total > 0 THEN 'partial' ELSE 'failed' END AS bucket,
-             substr(md5(concat(CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR), '|', '7')), 1, 8) AS h
-      FROM (SELECT conv_id, turn, (format_reward + exact_reward + any_match_reward) / 3 AS total FROM three) t)
-SELECT conv_id, turn, bucket FROM b
-WHERE h < CASE bucket WHEN 'success' THEN '{_TH['success']}' WHEN 'partial' THEN '{_TH['partial']}'
-                      ELSE '{_TH['failed']}' END
-""", views=VC)
-def q_e19(spark, sf):
-    t = _three(spark, sf).withColumn("total", R.total_reward(
-        ["format_reward", "exact_reward", "any_match_reward"]) / 3)
+SQL_DIAGNOSTICS = SQL_WIRED + f""",
+b AS (SELECT *, CASE WHEN fuzzy_reward >= 0.9 THEN 'success' WHEN fuzzy_reward > 0 THEN 'partial' ELSE 'failed' END AS bucket,
+             substr(md5(concat(CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR), '|', '7')), 1, 8) AS h FROM wired)
+SELECT conv_id, turn, bucket, pred AS prediction, acceptable, answer AS best_match, round(score, 6) AS score, method,
+       fuzzy_reward, format_reward, round(language_reward, 6) AS language_reward
+FROM b WHERE h < CASE bucket WHEN 'success' THEN '{_TH['success']}' WHEN 'partial' THEN '{_TH['partial']}'
+                             ELSE '{_TH['failed']}' END
+"""
+
+
+def _diagnosed(spark, sf):
+    t = wired(spark, sf, detail=True)
     key = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
-    return R.diagnostics(t, "total", key, seed=7).select("conv_id", "turn", "bucket")
+    return R.diagnostics(t, "fuzzy_reward", key, seed=7).select(
+        "conv_id", "turn", "bucket", "prediction", F.array_join("acceptable", "|").alias("acceptable"),
+        F.col("best.answer").alias("best_match"), F.round("best.score", 6).alias("score"), F.col("best.method").alias("method"),
+        "fuzzy_reward", "format_reward", F.round("language_reward", 6).alias("language_reward"))
+
+
+@register("e19_diagnostics", SQL_DIAGNOSTICS, views=VC)
+def q_e19(spark, sf):
+    """Sampled rows with the match detail: prediction, acceptable answers, best match, score, method."""
+    return _diagnosed(spark, sf)
+
+
+@register("e19_diagnostics_sink", SQL_DIAGNOSTICS, views=VC)
+def q_e19_sink(spark, sf):
+    """The same from the three sinks, after one batch was written twice."""
+    path, rows = scratch_path(spark, "diagnostics"), _diagnosed(spark, sf)
+    for _ in range(2):
+        R.write_diagnostics(rows, path, batch=0)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "bucket")
+    return R.read_diagnostics(spark, path, schema).select(rows.columns)
 
 
-@register("e20_reward_summary", SQL_THREE + """
+@register("e20_reward_summary", SQL_WIRED + """
 SELECT reward, round(mean, 6) AS mean, printf('%.7f', mean) AS mean_text FROM (
-  SELECT 'format_reward' AS reward, avg(format_reward) AS mean FROM three
-  UNION ALL SELECT 'exact_reward', avg(exact_reward) FROM three
-  UNION ALL SELECT 'any_match_reward', avg(any_match_reward) FROM three) m
+  SELECT 'format_reward' AS reward, avg(format_reward) AS mean FROM wired
+  UNION ALL SELECT 'fuzzy_reward', avg(fuzzy_reward) FROM wired
+  UNION ALL SELECT 'language_reward', avg(language_reward) FROM wired) m
 """, views=VC)
 def q_e20(spark, sf):
-    return R.reward_summary(_three(spark, sf), ["format_reward", "exact_reward", "any_match_reward"])
+    return R.reward_summary(wired(spark, sf), R.WIRED)

@@ -18,7 +18,7 @@ def docs(spark, sf):
 
 def model(spark, sf, langs):
     """The trigram model of the documents table, fitted on every call."""
-    return L.by_gram(L.fit_langid(docs(spark, sf)), sorted(langs), scratch_path(spark, "langid"))
+    return L.ready_model(docs(spark, sf), langs, scratch_path(spark, "langid"))
 
 
 def _sql_trigrams(keys: str, text: str, source: str) -> str:
@@ -189,11 +189,11 @@ FROM th LEFT JOIN agg ON agg.conv_id = th.conv_id AND agg.turn = th.turn
 """
 
 
-def _e16_sql() -> str:
+def sql_e16() -> str:
+    """CTEs up to ``lang16(conv_id, turn, language_reward)``."""
     split = (f"list_filter(list_transform(string_split(regexp_replace(body, '([.!?])\\s+', '\\1' || chr(10), 'g'), "
              f"chr(10)), lambda s: {sql_strip('s')}), lambda s: s <> '')")
-    return f"""
-WITH {SQL_GRAMS}, {SQL_THINK},
+    return f"""{SQL_GRAMS}, {SQL_THINK},
 sl AS (SELECT conv_id, turn, body, {split} AS l FROM th),
 sents AS (SELECT conv_id, turn, pos, piece FROM (
             SELECT conv_id, turn, unnest(range(0, len(l))) AS pos, unnest(l) AS piece
@@ -201,17 +201,16 @@ sents AS (SELECT conv_id, turn, pos, piece FROM (
 {sql_classify('q', 'qpieces', ['conv_id', 'turn'], L.SENTENCE_LANGUAGES)},
 {sql_classify('s', 'sents', ['conv_id', 'turn', 'pos'], L.SENTENCE_LANGUAGES)},
 agg AS (SELECT s.conv_id, s.turn, count(*) AS total, count(*) FILTER (WHERE s.lang = q.lang) AS matched
-        FROM slang s JOIN qlang q ON q.conv_id = s.conv_id AND q.turn = s.turn GROUP BY s.conv_id, s.turn)
-SELECT sl.conv_id, sl.turn, round(CAST(
+        FROM slang s JOIN qlang q ON q.conv_id = s.conv_id AND q.turn = s.turn GROUP BY s.conv_id, s.turn),
+lang16 AS (SELECT sl.conv_id, sl.turn, CAST(
   CASE WHEN sl.body IS NULL THEN 0.0 WHEN length(sl.body) < 10 THEN 0.2
        WHEN len(sl.l) = 0 THEN 0.3
        WHEN coalesce(agg.total, 0) = 0 THEN 0.4
-       ELSE agg.matched / agg.total END AS DOUBLE), 6) AS language_reward
-FROM sl LEFT JOIN agg ON agg.conv_id = sl.conv_id AND agg.turn = sl.turn
+       ELSE agg.matched / agg.total END AS DOUBLE) AS language_reward
+FROM sl LEFT JOIN agg ON agg.conv_id = sl.conv_id AND agg.turn = sl.turn)
 """
 
 
-
 @register("e15_language_reward_chunks", _e15_sql(), views=("v_completions",))
 def q_e15(spark, sf):
     v = view(spark, sf, "v_completions")
@@ -220,7 +219,8 @@ def q_e15(spark, sf):
     return out.select("conv_id", "turn", F.round("language_reward", 6).alias("language_reward"))
 
 
-@register("e16_language_reward_sentences", _e16_sql(), views=("v_completions",))
+@register("e16_language_reward_sentences", f"WITH {sql_e16()} SELECT conv_id, turn, round(language_reward, 6) AS language_reward "
+          "FROM lang16", views=("v_completions",))
 def q_e16(spark, sf):
     v = view(spark, sf, "v_completions")
     out = L.language_reward_sentences(v, ["conv_id", "turn"], "completion", "question",

@@ -2,8 +2,8 @@
 
 Every reward is a Column expression over one completion row; candidate lists are
 handled with array higher-order functions inside the row, so scoring needs no
-shuffle at all. The one Python step (difflib similarity) sees only candidates
-whose exact length bound could still change the result.
+shuffle at all. The one Python step (similarity) sees only candidates whose exact
+length and letter bounds could still change the result.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from mlqa.functions import similarity as S
 from mlqa.functions.text import (extract_numbers, key_words, norm_text, open_think, strip,
                                  tag_body)
 from mlqa.functions.util import col_of
+from mlqa.operators.langid import language_reward_sentences
 
 # Answer aliases applied after strip + lower (variant -> canonical).
 ALIASES = {
@@ -187,8 +188,9 @@ def with_best_match(df: DataFrame, pred: str, cands: str, out: str = "best",
     Exact equality anywhere wins with 1.0 / ``exact``. Otherwise each candidate
     scores max(similarity, numeric, key words), ties resolved in that method
     order; across candidates: higher score, then method order, then candidate
-    text. Similarity is computed only for candidates whose length bound reaches
-    the best native score (and, when only the tier is needed, 0.6).
+    text. Similarity is computed only for candidates whose length bound and then letter
+    bound reach the best native score (and, when only the tier is needed, exceed it and
+    reach the lowest tier), and for none when a candidate is equal.
 
     Every intermediate is its own projection: a lambda re-evaluates any outer
     expression per element, and the Python similarity cannot sit in a lambda."""
@@ -200,24 +202,24 @@ def with_best_match(df: DataFrame, pred: str, cands: str, out: str = "best",
     st = st.withColumn("_bm_bn", F.coalesce(F.array_max(F.transform(
         "_bm_nat", lambda s: F.greatest(s["num"], s["key"]))), F.lit(0.0)))
     bn = F.col("_bm_bn")
-    if for_reward_only:
-        keep = lambda x: (S.length_bound(p, x) > bn) & (S.length_bound(p, x) >= TIERS[-1][0])
-    else:
-        keep = lambda x: S.length_bound(p, x) >= bn
-    st = st.withColumn("_bm_res", F.array_distinct(F.filter(c, keep)))
+    for bound in (S.length_bound, S.letters_bound):
+        if for_reward_only:
+            keep = lambda x: (bound(p, x) > bn) & (bound(p, x) >= TIERS[-1][0])  # noqa: B023, E731
+        else:
+            keep = lambda x: bound(p, x) >= bn  # noqa: B023, E731
+        left = F.col("_bm_res") if bound is S.letters_bound else F.array_distinct(c)
+        st = st.withColumn("_bm_res", F.filter(left, keep))
+    none = F.array().cast("array<string>")
+    st = st.withColumn("_bm_res", F.when(F.coalesce(F.array_contains(c, p), F.lit(False)), none).otherwise(F.col("_bm_res")))
     st = st.withColumn("_bm_sims", S.ratios(F.when(F.size("_bm_res") > 0, p), F.col("_bm_res")))
     st = st.withColumn("_bm_map", F.map_from_arrays(F.col("_bm_res"), F.col("_bm_sims")))
     scored = F.transform("_bm_nat", lambda s: _score_struct(
         s, F.coalesce(F.try_element_at(F.col("_bm_map"), s["cand"]), F.lit(0.0))))
-    st = st.withColumn("_bm_best", F.get(F.array_sort(scored, _better_first), 0))
-    best = F.col("_bm_best")
+    st = st.withColumn("_bm_best", F.get(F.array_sort(scored, _better_first), 0).dropFields("m_rank"))
+    named = lambda score, method, answer: F.struct(
+        F.lit(score).alias("score"), F.lit(method).alias("method"), answer.alias("answer"))
     exact = F.coalesce(F.array_contains(c, p), F.lit(False))
-    res = (F.when(exact, F.struct(F.lit(1.0).alias("score"), F.lit("exact").alias("method"),
-                                  p.alias("answer")))
-           .when(best.isNotNull(), F.struct(best["score"].alias("score"), best["method"].alias("method"),
-                                            best["answer"].alias("answer")))
-           .otherwise(F.struct(F.lit(0.0).alias("score"), F.lit("").alias("method"),
-                               F.lit("").alias("answer"))))
+    res = F.when(exact, named(1.0, "exact", p)).otherwise(F.coalesce("_bm_best", named(0.0, "", F.lit(""))))
     return st.withColumn(out, res).drop("_bm_pn", "_bm_nat", "_bm_bn", "_bm_res", "_bm_sims",
                                         "_bm_map", "_bm_best")
 
@@ -241,18 +243,34 @@ def _better_first(a: Column, b: Column) -> Column:
 
 
 def with_fuzzy_reward(df: DataFrame, completion: str, target: str, answer_list: str,
-                      out: str = "fuzzy_reward", list_is_text: bool = True) -> DataFrame:
-    """Tiered reward of the best match; 0.0 without an answer block."""
-    staged = (df.withColumn("_fz_pred", answer_prediction(completion))
-              .withColumn("_fz_acc", acceptable_set(target, answer_list, list_is_text=list_is_text)))
-    staged = with_best_match(staged, "_fz_pred", "_fz_acc", "_fz_best", for_reward_only=True)
-    return (staged.withColumn(out, F.when(F.col("_fz_pred").isNull(), F.lit(0.0))
-                              .otherwise(tier_reward(F.col("_fz_best.score"))))
-            .drop("_fz_pred", "_fz_acc", "_fz_best"))
+                      out: str = "fuzzy_reward", list_is_text: bool = True, detail: bool = False) -> DataFrame:
+    """Tiered reward of the best match; 0.0 without an answer block. With ``detail`` the
+    columns ``prediction``, ``acceptable`` and ``best`` (score, method, answer) stay."""
+    staged = (df.withColumn("prediction", answer_prediction(completion))
+              .withColumn("acceptable", acceptable_set(target, answer_list, list_is_text=list_is_text)))
+    staged = with_best_match(staged, "prediction", "acceptable", "best", for_reward_only=not detail)
+    staged = staged.withColumn(out, F.when(F.col("prediction").isNull(), F.lit(0.0))
+                               .otherwise(tier_reward(F.col("best.score"))))
+    if detail:
+        return staged.withColumn("best", F.when(F.col("prediction").isNotNull(), F.col("best")))
+    return staged.drop("prediction", "acceptable", "best")
 
 
 # ---------------------------------------------------------------- E17 - E20
-def total_reward(cols: list[str], weights: list[float] | None = None) -> Column:
+WIRED = ("format_reward", "fuzzy_reward", "language_reward")
+
+
+def with_wired_rewards(df: DataFrame, id_cols: list[str], completion: str, target: str, answer_list: str, query: str,
+                       model, detail: bool = False) -> DataFrame:
+    """The three rewards used in training, side by side: format, fuzzy match, sentence language.
+    With a packed language model all three are computed in the completion's own row, in one
+    scan without a shuffle."""
+    out = df.withColumn("format_reward", format_reward(completion))
+    out = with_fuzzy_reward(out, completion, target, answer_list, detail=detail)
+    return language_reward_sentences(out, id_cols, completion, query, model)
+
+
+def total_reward(cols, weights: list[float] | None = None) -> Column:
     weights = weights or [1.0] * len(cols)
     expr = None
     for c, w in zip(cols, weights):
@@ -292,13 +310,18 @@ def diagnostics(df: DataFrame, reward: str, key: Column, seed: int = 0,
     return df.withColumn("bucket", bucket).filter(h < bound)
 
 
-def write_diagnostics(sampled: DataFrame, path: str, mode: str = "append") -> None:
-    """E19 sink: one folder per bucket (success / partial / failed), JSON lines
-    with the match detail columns kept as they are."""
-    sampled.write.mode(mode).partitionBy("bucket").option("ignoreNullFields", False).json(path)
+def write_diagnostics(sampled: DataFrame, path: str, batch: int | str) -> None:
+    """E19 sink: JSON lines in one folder per batch and bucket (success / partial / failed). A
+    batch that runs again replaces its own folder, so nothing is written twice."""
+    sampled.write.mode("overwrite").partitionBy("bucket").option("ignoreNullFields", False).json(f"{path}/batch={batch}")
+
+
+def read_diagnostics(df_session, path: str, schema: str) -> DataFrame:
+    """All batches and buckets written under ``path`` (``schema`` of the other columns)."""
+    return df_session.read.schema(f"{schema}, bucket string, batch string").json(path)
 
 
-def reward_summary(df: DataFrame, reward_cols: list[str]) -> DataFrame:
+def reward_summary(df: DataFrame, reward_cols) -> DataFrame:
     """Mean of each reward, as a rounded double and as 7-decimal text."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("reward"), F.col(c).cast("double")
                                                   .alias("value")) for c in reward_cols])).alias("r"))

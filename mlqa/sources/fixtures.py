@@ -16,23 +16,26 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 VIEWS = {
+    # completions over whole user and assistant turns; some answers and targets are misspelt as wholes
     "v_completions": """
-SELECT a.conv_id, a.turn, u.text AS question, substr(u.text, 1, 30) AS answer,
+SELECT a.conv_id, a.turn, u.text AS question, u.text AS answer,
        (a.conv_id * 7 + a.turn * 3) % 8 AS variant,
        CASE (a.conv_id * 7 + a.turn * 3) % 8
-         WHEN 0 THEN concat(a.text, '</think>', chr(10), '<answer>', substr(u.text, 1, 30), '</answer>')
-         WHEN 1 THEN concat(a.text, '</think><answer>', substr(u.text, 1, 30), '</answer>')
-         WHEN 2 THEN concat(a.text, '<answer>', lower(substr(u.text, 1, 30)), '</answer>')
+         WHEN 0 THEN concat(a.text, '</think>', chr(10), '<answer>', u.text, '</answer>')
+         WHEN 1 THEN concat(a.text, '</think><answer>', u.text, '</answer>')
+         WHEN 2 THEN concat(a.text, '<answer>', lower(u.text), '</answer>')
          WHEN 3 THEN concat(a.text, '</think>')
          WHEN 4 THEN concat(a.text, '</think>', chr(10), '<answer>USA')
          WHEN 5 THEN concat('<think>', a.text, '</think>', chr(10), '<answer> USA </answer>')
          WHEN 6 THEN concat(a.text, '</think>', chr(10), '<answer>12.5 km</answer>', chr(10))
-         ELSE concat('<b>', a.text, '</b></think>', chr(10), '<answer>', substr(u.text, 1, 24), '</answer>') END AS completion,
+         ELSE concat('<b>', a.text, '</b></think>', chr(10), '<answer>', replace(replace(u.text, 'th', 't'), 'en', 'n'), '</answer>') END AS completion,
        CASE WHEN (a.conv_id * 7 + a.turn * 3) % 8 IN (4, 5) THEN 'United States'
             WHEN (a.conv_id * 7 + a.turn * 3) % 8 = 6 THEN '12 km'
-            ELSE substr(u.text, 1, 30) END AS target,
+            WHEN (a.conv_id * 7 + a.turn * 3) % 8 = 1 THEN replace(replace(u.text, 'e', 'a'), 'n', 'm')
+            ELSE u.text END AS target,
        CASE WHEN (a.conv_id * 7 + a.turn * 3) % 8 IN (4, 5) THEN 'America, Marekani'
-            ELSE concat(substr(u.text, 1, 10), ',', substr(u.text, 5, 20)) END AS answer_list
+            WHEN (a.conv_id * 7 + a.turn * 3) % 8 = 1 THEN replace(a.text, ',', ' ')
+            ELSE concat(replace(u.text, ' ', ''), ',', replace(u.text, 'r', 'l')) END AS answer_list
 FROM {conversations} a JOIN {conversations} u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1
 WHERE a.role = 'assistant' AND u.role = 'user'
 """,
