@@ -442,9 +442,9 @@ def q_e10(spark, sf):
 
 
 # ------------------------------------------------------------------ E17-E20
-def wired(spark, sf, detail=False):
+def wired(spark, sf, detail=False, rows=None):
     model = language.model(spark, sf, L.SENTENCE_LANGUAGES)
-    return R.with_wired_rewards(vc(spark, sf), ["conv_id", "turn"], "completion", "target", "answer_list", "question",
+    return R.with_wired_rewards(vc(spark, sf) if rows is None else rows, ["conv_id", "turn"], "completion", "target", "answer_list", "question",
                                 model, detail)
 
 
@@ -480,7 +480,7 @@ def q_e18(spark, sf):
     return a.select("conv_id", "turn", F.round("advantage", 6).alias("advantage"))
 
 
-_TH = {b: R.hash_threshold(r) for b, r in {"success": 0.10, "partial": 0.05, "failed": 0.05}.items()}
+_TH = {b: R.hash_threshold(r) for b, r in R.RATES.items()}
 
 
 SQL_DIAGNOSTICS = SQL_WIRED + f""",
@@ -494,8 +494,8 @@ FROM b WHERE h < CASE bucket WHEN 'success' THEN '{_TH['success']}' WHEN 'partia
 
 
 def _diagnosed(spark, sf):
-    t = wired(spark, sf, detail=True)
     key = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    t = wired(spark, sf, detail=True, rows=R.diagnostic_candidates(vc(spark, sf), key, seed=7))
     return R.diagnostics(t, "fuzzy_reward", key, seed=7).select(
         "conv_id", "turn", "bucket", "prediction", F.array_join("acceptable", "|").alias("acceptable"),
         F.col("best.answer").alias("best_match"), F.round("best.score", 6).alias("score"), F.col("best.method").alias("method"),

@@ -156,6 +156,10 @@ def ratios(pred: pd.Series, cands: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+# The mark keeps the optimizer from copying the call into filters and lambdas above it.
+ratios = ratios.asNondeterministic()
+
+
 @F.pandas_udf(T.DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """Pairwise ratio column (for pair tables and tests)."""

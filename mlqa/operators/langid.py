@@ -187,7 +187,8 @@ def match_counts(model: Packed, query, pieces) -> Column:
         match = np.bincount(owner, weights=same, minlength=len(lists)).astype(np.int32)
         return pa.StructArray.from_arrays([pa.array(total.astype(np.int32)), pa.array(match)], names=["total", "match"])
 
-    return counts(padded(query), F.transform(pieces, lambda p: padded(p)))
+    # evaluated once, also when a filter above uses the reward
+    return counts.asNondeterministic()(padded(query), F.transform(pieces, lambda p: padded(p)))
 
 
 # ---------------------------------------------------------------- E15 / E16

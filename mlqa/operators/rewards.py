@@ -164,11 +164,10 @@ def keyword_coverage(pred, cand) -> Column:
 
 # ---------------------------------------------------------------- E8 / E9
 def tier_reward(score) -> Column:
-    s = col_of(score)
-    expr = None
-    for bound, reward in TIERS:
-        expr = F.when(s >= bound, F.lit(reward)) if expr is None else expr.when(s >= bound, F.lit(reward))
-    return expr.otherwise(F.lit(0.0))
+    """E9; the score stands once in the expression, however many tiers there are."""
+    tiers = F.array(*[F.struct(F.lit(b).alias("bound"), F.lit(r).alias("reward")) for b, r in TIERS])
+    reached = F.filter(tiers, lambda t: t["bound"] <= col_of(score))
+    return F.coalesce(F.array_max(F.transform(reached, lambda t: t["reward"])), F.lit(0.0))
 
 
 def numeric_match_sorted(pn: Column, cand, tol: float = NUMERIC_TOLERANCE) -> Column:
@@ -213,8 +212,9 @@ def with_best_match(df: DataFrame, pred: str, cands: str, out: str = "best",
     st = st.withColumn("_bm_res", F.when(F.coalesce(F.array_contains(c, p), F.lit(False)), none).otherwise(F.col("_bm_res")))
     st = st.withColumn("_bm_sims", S.ratios(F.when(F.size("_bm_res") > 0, p), F.col("_bm_res")))
     st = st.withColumn("_bm_map", F.map_from_arrays(F.col("_bm_res"), F.col("_bm_sims")))
-    scored = F.transform("_bm_nat", lambda s: _score_struct(
-        s, F.coalesce(F.try_element_at(F.col("_bm_map"), s["cand"]), F.lit(0.0))))
+    known = F.transform("_bm_nat", lambda s: s.withField(
+        "sim", F.coalesce(F.try_element_at(F.col("_bm_map"), s["cand"]), F.lit(0.0))))
+    scored = F.transform(known, _score_struct)
     st = st.withColumn("_bm_best", F.get(F.array_sort(scored, _better_first), 0).dropFields("m_rank"))
     named = lambda score, method, answer: F.struct(
         F.lit(score).alias("score"), F.lit(method).alias("method"), answer.alias("answer"))
@@ -224,12 +224,11 @@ def with_best_match(df: DataFrame, pred: str, cands: str, out: str = "best",
                                         "_bm_map", "_bm_best")
 
 
-def _score_struct(s: Column, sim: Column) -> Column:
-    num, key = s["num"], s["key"]
+def _score_struct(s: Column) -> Column:
+    sim, num, key = s["sim"], s["num"], s["key"]
     score = F.greatest(sim, num, key)
     m_rank = F.when(sim == score, 0).when(num == score, 1).otherwise(2)
-    method = F.when(m_rank == 0, F.lit(METHODS[0])).when(m_rank == 1, F.lit(METHODS[1])) \
-        .otherwise(F.lit(METHODS[2]))
+    method = F.element_at(F.array(*map(F.lit, METHODS)), m_rank + 1)
     return F.struct(score.alias("score"), m_rank.alias("m_rank"), method.alias("method"),
                     s["cand"].alias("answer"))
 
@@ -295,19 +294,27 @@ def hash_threshold(rate: float) -> str:
     return format(min(int(rate * 16 ** 8), 16 ** 8 - 1), "08x")
 
 
+RATES = {"success": 0.10, "partial": 0.05, "failed": 0.05}
+
+
+def _sample_hash(key: Column, seed: int) -> Column:
+    return F.substring(F.md5(F.concat(key.cast("string"), F.lit("|"), F.lit(str(seed)))), 1, 8)
+
+
+def diagnostic_candidates(df: DataFrame, key: Column, seed: int = 0, rates: dict | None = None) -> DataFrame:
+    """The rows that ``diagnostics`` keeps in some bucket; the others need no score at all."""
+    return df.filter(_sample_hash(key, seed) < hash_threshold(max((rates or RATES).values())))
+
+
 def diagnostics(df: DataFrame, reward: str, key: Column, seed: int = 0,
                 rates: dict | None = None) -> DataFrame:
     """Bucket scored rows (success >= 0.9, partial > 0, failed) and keep a
     seeded hash sample of each bucket at its rate; sampling is the feature."""
-    rates = rates or {"success": 0.10, "partial": 0.05, "failed": 0.05}
     r = F.col(reward)
-    bucket = F.when(r >= 0.9, F.lit("success")).when(r > 0, F.lit("partial")).otherwise(F.lit("failed"))
-    h = F.substring(F.md5(F.concat(key.cast("string"), F.lit("|"), F.lit(str(seed)))), 1, 8)
-    bound = None
-    for b, rate in rates.items():
-        bound = F.when(bucket == b, F.lit(hash_threshold(rate))) if bound is None \
-            else bound.when(bucket == b, F.lit(hash_threshold(rate)))
-    return df.withColumn("bucket", bucket).filter(h < bound)
+    place = (r > 0).cast("int") + (r >= 0.9).cast("int") + 1
+    out = df.withColumn("bucket", F.element_at(F.array(*map(F.lit, ("failed", "partial", "success"))), place))
+    bounds = F.create_map(*[F.lit(x) for b, rate in (rates or RATES).items() for x in (b, hash_threshold(rate))])
+    return out.filter(_sample_hash(key, seed) < F.element_at(bounds, F.col("bucket")))
 
 
 def write_diagnostics(sampled: DataFrame, path: str, batch: int | str) -> None:
