@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import json
 import os
 import tempfile
@@ -38,6 +39,8 @@ from mlqa.llm import transducer
 
 LEXICON_WORDS = 131_072
 MEMO_WORDS = 200_000
+#: Pairs of tokens of which a task remembers whether merging leaves them apart.
+PAIRS = 1 << 20
 
 # Fixed value: the pre-token pattern of byte-level BPE (white space by its Unicode property).
 WORDS = regex.compile(
@@ -70,11 +73,57 @@ class Bpe:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merge[vocab[a] << 20 | vocab[b]] = (rank, vocab[a + b])
+        # tokens that merging makes of their own bytes; others never come out of a word
+        self.token_of: dict[bytes, int] = {}
+        for i, b in self.bytes_of.items():
+            if b and i not in self.special.values() and self.merge_word(b) == [i]:
+                self.token_of[b] = i
+        self.longest = max(map(len, self.token_of))
+        self.stays: dict[int, bool] = {}
         self.split = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) \
             if self.special else None
 
     def encode_word(self, word: bytes) -> list[int]:
-        """Exact merges: the lowest rank first, the leftmost of equal ones."""
+        """What merging gives: the lowest rank first, the leftmost of equal ones.
+
+        Tokens are the result of merging exactly if every two neighbours, merged on their own,
+        stay the same two tokens, and only one such sequence exists; it is put together from
+        the left, the longest token first, taking back a token after which none fits. Every
+        pair is merged once and remembered."""
+        if len(word) > 48:
+            return self.merge_word(word)
+        token_of, stays, longest, n = self.token_of, self.stays, self.longest, len(word)
+        out: list[int] = []
+        ends, at, last, size = [], 0, -1, longest
+        while at < n:
+            for k in range(min(size, n - at), 0, -1):
+                t = token_of.get(word[at:at + k])
+                if t is not None:
+                    if last < 0:
+                        break
+                    ok = stays.get(last << 20 | t)
+                    if ok is None:
+                        ok = self._stays(last, t)
+                    if ok:
+                        break
+            else:
+                at = ends.pop()             # no token fits here: a shorter one before
+                size = len(self.bytes_of[out.pop()]) - 1
+                last = out[-1] if out else -1
+                continue
+            out.append(t)
+            ends.append(at)
+            at, last, size = at + k, t, longest
+        return out
+
+    def _stays(self, left: int, right: int) -> bool:
+        if len(self.stays) >= PAIRS:
+            self.stays.clear()
+        ok = self.stays[left << 20 | right] = self.merge_word(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+        return ok
+
+    def merge_word(self, word: bytes) -> list[int]:
+        """The merges one by one."""
         ids = [self.first[b] for b in word]
         if len(ids) > 48:
             return self._encode_long(ids)
@@ -177,38 +226,54 @@ def _ship(docs: DataFrame, path: str) -> str:
     return name
 
 
-@functools.lru_cache(maxsize=2)
-def _tools(lexicon: str, vocabulary: str):
-    """Per worker process: the mapped lexicon, the merges and a bounded memo."""
-    return transducer.Lexicon(SparkFiles.get(lexicon)), Bpe(SparkFiles.get(vocabulary)), {}
-
-
-def _encode_chunk(texts: list[str], lexicon: transducer.Lexicon, bpe: Bpe, memo: dict):
-    """(distinct words' ids, per text the numbers of its words)."""
-    number: dict[str, int] = {}
-    rows = [[number.setdefault(w, len(number)) for w in bpe.pieces(t)] for t in texts]
-    words = list(number)
-    raw = [w.encode("utf-8") for w in words]
-    size = np.fromiter(map(len, raw), np.int64, len(raw))
-    ends = np.cumsum(size)
-    place = lexicon.places(np.frombuffer(b"".join(raw), np.uint8), ends - size, ends)
-    id_at, all_ids = lexicon.id_at, lexicon.ids
-    ids: list = [None] * len(words)
-    for i, p in enumerate(place.tolist()):
-        if words[i] in bpe.special:
-            ids[i] = [bpe.special[words[i]]]
-        elif p >= 0:
-            ids[i] = all_ids[id_at[p]:id_at[p + 1]].tolist()
-        else:
-            got = memo.get(raw[i])
+#: Words of one generation of a task's memo, and bytes of text that are encoded together.
+HELD_WORDS, CHUNK_BYTES = 131_072, 8 << 20
+HELD_CHARS = 64
+
+
+class Encoder:
+    """Per worker process: the mapped lexicon, the merges, and what the words met last became
+    (two generations; no result depends on what is held)."""
+
+    def __init__(self, lexicon: transducer.Lexicon, bpe: Bpe) -> None:
+        self.lexicon, self.bpe = lexicon, bpe
+        self.id_at, self.ids = lexicon.id_at.tolist(), lexicon.ids.tolist()
+        self.newer: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
+
+    def words(self, texts: list[str]) -> tuple[list[list[str]], dict[str, tuple]]:
+        """(words of each text, {word: (ids, their number, ids as text, decoded bytes)})."""
+        rows = [self.bpe.pieces(t) for t in texts]
+        known, new = {}, []
+        for w in set().union(*rows):
+            got = self.newer.get(w) or self.older.get(w)
             if got is None:
-                if len(memo) >= MEMO_WORDS:
-                    memo.clear()
-                got = bpe.encode_word(raw[i])
-                if len(raw[i]) <= 64:
-                    memo[raw[i]] = got
-            ids[i] = got
-    return ids, rows
+                new.append(w)
+            else:
+                known[w] = got
+        for w, ids in zip(new, self._encoded(new)):
+            known[w] = (ids, len(ids), ",".join(map(str, ids)), self.bpe.decode(ids))
+        if len(self.newer) + len(known) > HELD_WORDS:
+            self.older, self.newer = self.newer, {}
+        room = HELD_WORDS - len(self.newer)
+        self.newer.update((w, x) for w, x in itertools.islice(known.items(), room) if len(w) <= HELD_CHARS)
+        return rows, known
+
+    def _encoded(self, words: list[str]) -> list[list[int]]:
+        """Ids of distinct words: all walk through the transducer at once, those that it does
+        not hold are merged."""
+        raw = [w.encode("utf-8") for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        ends = np.cumsum(size)
+        place = self.lexicon.places(np.frombuffer(b"".join(raw), np.uint8), ends - size, ends)
+        id_at, ids, bpe = self.id_at, self.ids, self.bpe
+        return [[bpe.special[w]] if w in bpe.special else ids[id_at[p]:id_at[p + 1]] if p >= 0 else bpe.encode_word(r)
+                for w, r, p in zip(words, raw, place.tolist())]
+
+
+@functools.lru_cache(maxsize=2)
+def _tools(lexicon: str, vocabulary: str) -> Encoder:
+    return Encoder(transducer.Lexicon(SparkFiles.get(lexicon)), Bpe(SparkFiles.get(vocabulary)))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", lexicon: str | None = None,
@@ -227,27 +292,22 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", lexicon: st
     schema = StructType([*d.schema.fields[:-1], *made])
 
     def run(batches):
-        lex, bpe, memo = _tools(lexicon, vocabulary)
+        encoder = _tools(lexicon, vocabulary)
         for batch in batches:
             col = batch.column(len(rest))
             _, off = tk.text_buffers(col)
             at = 0
             while at < len(col):
-                to = min(len(col), max(at + 1, int(np.searchsorted(off, off[at] + (1 << 20), side="right")) - 1))
-                texts = [t or "" for t in col.slice(at, to - at).to_pylist()]
-                ids, rows = _encode_chunk(texts, lex, bpe, memo)
-                size = [len(x) for x in ids]
-                n = pa.array([sum([size[w] for w in r]) for r in rows], pa.int64())
+                to = min(len(col), max(at + 1, int(np.searchsorted(off, off[at] + CHUNK_BYTES, side="right")) - 1))
+                rows, known = encoder.words([t or "" for t in col.slice(at, to - at).to_pylist()])
+                rows = [[known[w] for w in row] for row in rows]
+                n = pa.array([sum([x[1] for x in row]) for row in rows], pa.int64())
                 if digests:
-                    shown = [",".join(map(str, x)) for x in ids]
-                    plain = [bpe.decode(x) for x in ids]
-                    cols = [n,
-                            pa.array([hashlib.sha256(",".join([shown[w] for w in r]).encode()).hexdigest() for r in rows]),
-                            pa.array([hashlib.sha256(b"".join([plain[w] for w in r]).decode("utf-8", "replace")
-                                                     .encode()).hexdigest() for r in rows])]
+                    ids = [hashlib.sha256(",".join([x[2] for x in row]).encode()).hexdigest() for row in rows]
+                    plain = [b"".join([x[3] for x in row]).decode("utf-8", "replace").encode() for row in rows]
+                    cols = [n, pa.array(ids, pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in plain], pa.string())]
                 else:
-                    flat = [np.concatenate([np.asarray(ids[w], np.int32) for w in r]) if r else np.zeros(0, np.int32)
-                            for r in rows]
+                    flat = [np.fromiter(itertools.chain.from_iterable(x[0] for x in row), np.int32) for row in rows]
                     cols = [n, pa.array(flat, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(k).slice(at, to - at) for k in range(len(rest))] + cols, names=schema.names)
