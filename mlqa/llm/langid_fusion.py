@@ -24,13 +24,14 @@ columns named like a result are replaced.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from mlqa.llm import textkernels as tk
 from mlqa.llm.url_rules import host_of
@@ -133,17 +134,77 @@ def text_likelihood(records: DataFrame, text: str, model: np.ndarray) -> DataFra
     return d.mapInArrow(run, schema)
 
 
-VISIBLE = (r"(?is)<(script|style|template|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z0-9#]+;")
+# Elements whose whole content is not shown.
+HIDDEN = ("script", "style", "template", "nav")
+_OPEN = re.compile(r"<(" + "|".join(HIDDEN) + r")\b", re.IGNORECASE | re.ASCII)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE | re.ASCII) for name in HIDDEN}
+_ENTITY = re.compile(r"&[a-z0-9#]+;", re.IGNORECASE | re.ASCII)
+_LANG = re.compile(r"""\slang\s*=\s*["']?([a-z]{2,3})\b""", re.IGNORECASE | re.ASCII)
+_HTML = re.compile(r"<html\b", re.IGNORECASE | re.ASCII)
+
+
+def visible_text(html: str) -> str:
+    """The html with hidden elements, comments, tags and entities each as one space. One pass:
+    where the next comment end, closing tag or ``>`` stands is looked up once until it is passed."""
+    ahead: dict[str, tuple[int, int]] = {}
+    n = len(html)
+
+    def behind(mark: str, at: int) -> int:
+        """End of the next ``mark`` at or after ``at``, -1 if there is none."""
+        start, end = ahead.get(mark, (-1, -1))
+        if start < at:
+            if mark in _CLOSE:
+                m = _CLOSE[mark].search(html, at)
+                start, end = m.span() if m else (n + 1, -1)
+            else:
+                start = html.find(mark, at)
+                start, end = (start, start + len(mark)) if start >= 0 else (n + 1, -1)
+            ahead[mark] = (start, end)
+        return end
+
+    out, shown, at = [], 0, html.find("<")
+    while at >= 0:
+        m = _OPEN.match(html, at)
+        end = behind(m[1].lower(), m.end()) if m else behind("-->", at + 4) if html.startswith("<!--", at) else -1
+        if end < 0:
+            end = behind(">", at)
+        if end < 0:
+            break                           # nothing ends any more
+        out += [_ENTITY.sub(" ", html[shown:at]), " "]
+        shown, at = end, html.find("<", end)
+    return "".join([*out, _ENTITY.sub(" ", html[shown:])])
+
+
+def declared_language(html: str) -> str:
+    """The first ``lang`` of an html tag, in lower case; empty without one."""
+    begin, seen, tag = 0, 0, -1             # of the text since the last ">"; searched so far; its html tag
+    for m in _LANG.finditer(html):
+        begin = max(begin, html.rfind(">", seen, m.start()) + 1)
+        if tag < begin:
+            found = _HTML.search(html, max(begin, seen - 5), m.start())
+            tag = found.start() if found else -1
+        if tag >= begin:
+            return m[1].lower()
+        seen = m.start()
+    return ""
+
+
+@F.arrow_udf(StructType([StructField("text", StringType()), StructField("declared", StringType())]))
+def _read_html(html: pa.Array) -> pa.Array:
+    pages = [x or "" for x in html.to_pylist()]
+    return pa.StructArray.from_arrays([pa.array([visible_text(x) for x in pages], pa.string()),
+                                       pa.array([declared_language(x) for x in pages], pa.string())], names=["text", "declared"])
 
 
 def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``pages`` without the html, with ``text, host, declared`` and ``suffix``."""
+    """``pages`` without the html, with ``text, host, declared`` and ``suffix``; time in
+    proportion to the html, whatever it holds."""
     rest = [c for c in pages.columns if c not in (html, "text", "host", "declared", "suffix")]
     host = host_of(F.col(url))
-    declared = F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})\b", 1))
-    return pages.select(*rest, F.regexp_replace(html, VISIBLE, " ").alias("text"), _null_if_empty(host).alias("host"),
-                        _null_if_empty(declared).alias("declared"),
-                        _null_if_empty(F.regexp_extract(host, r"\.([a-z][a-z0-9-]*)$", 1)).alias("suffix"))
+    read = pages.withColumn("_read", _read_html(html))
+    return read.select(*rest, F.col("_read.text").alias("text"), _null_if_empty(host).alias("host"),
+                       _null_if_empty(F.col("_read.declared")).alias("declared"),
+                       _null_if_empty(F.regexp_extract(host, r"\.([a-z][a-z0-9-]*)$", 1)).alias("suffix"))
 
 
 def _null_if_empty(c: Column) -> Column:

@@ -48,6 +48,7 @@ NOTICES = [
     ("redistribution and use in source and binary forms with or without modification", "bsd"),
 ]
 MAX_EDIT_SHARE = 0.1     # edits per character of a notice
+TRIED = 65_536           # different windows of one text and notice that are remembered
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _IS_WORD = np.ones(256, dtype=bool)
@@ -65,15 +66,26 @@ class Notice:
         self.verify = [regex.compile(f"(?:{regex.escape(text)}){{e<={e}}}" if e else regex.escape(text)) for e in range(n)]
 
     def windows(self, s: str) -> list[tuple[int, int]]:
-        """Merged stretches of ``s`` in which a match must lie."""
-        spans = []
+        """Merged stretches of ``s`` in which a match lies. Every match lies in the window of one of
+        its exact pieces, which is little longer than the notice; a window without any is dropped
+        before windows are merged (equal windows are tried once), so a text that repeats a piece
+        costs time in proportion to its length."""
+        size, spans, tried = len(self.text), set(), {}
         for at, piece in self.pieces:
             i = s.find(piece)
             while i >= 0:
-                spans.append((max(0, i - at - self.k), min(len(s), i - at + len(self.text) + self.k)))
+                spans.add((max(0, i - at - self.k), min(len(s), i - at + size + self.k)))
                 i = s.find(piece, i + 1)
         merged: list[tuple[int, int]] = []
         for a, b in sorted(spans):
+            window = s[a:b]
+            holds = tried.get(window)
+            if holds is None:
+                if len(tried) >= TRIED:
+                    tried.clear()
+                holds = tried[window] = b - a >= size - self.k and self.verify[-1].search(window) is not None
+            if not holds:
+                continue
             if merged and a <= merged[-1][1]:
                 merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
             else:
@@ -114,7 +126,12 @@ def scan(joined: str, notices: list[Notice], phrases=None):
     for notice in notices:
         for a, b, e in notice.matches(joined):
             spans.append((notice.label, a, b, e, 1.0 - e / len(notice.text)))
-    return [padded.count(" ", 0, i) for i in starts], base, spans
+    at, words, to = [], 0, 0
+    for i in sorted(starts):        # blanks are counted once, from place to place
+        words += padded.count(" ", to, i)
+        to = i
+        at.append(words)
+    return at, base, spans
 
 
 RESULT = [

@@ -149,7 +149,8 @@ class Pseudonyms:
         if s.isdigit() or s.isalpha():
             return None
         low = s.lower()
-        new = format(self.permute("hex", 16 ** len(s), int(low, 16)), f"0{len(s)}x")
+        parts = [low[k:k + HEX_PART] for k in range(0, len(low), HEX_PART)]
+        new = "".join(format(self.permute("hex", 16 ** len(x), int(x, 16)), f"0{len(x)}x") for x in parts)
         return new.upper() if s.isupper() else new
 
     def iban(self, s: str) -> str | None:
@@ -254,11 +255,21 @@ class Pseudonyms:
     def replace(self, text: str) -> tuple[str, Counter]:
         found: Counter = Counter()
         out, done, at, failed = [], 0, 0, 0
-        while m := PATTERN.search(text, at):
-            a = m.start()
-            value = self._value(text, a, a >= failed, ORDER[ORDER.index(m.lastgroup):])
+        mails = _Mails(text)
+        m, looked = None, -1
+        while True:
+            if looked < at:         # the first value of another kind stays the first until it is passed
+                m = PATTERN.search(text, at)
+                looked = m.start() if m else len(text)
+            mail = mails.start(at)
+            if m is None and mail is None:
+                break
+            first = mail is not None and mail <= looked
+            a, kinds = (mail, ORDER) if first else (looked, ORDER[ORDER.index(m.lastgroup):])
+            end = mails.end if first else m.end()
+            value = self._value(text, a, a >= failed, kinds)
             if value is None:
-                at, failed = a + 1, max(failed, m.end())
+                at, failed = a + 1, max(failed, end)
                 continue
             kind, at, new = value
             found[kind] += 1
@@ -267,9 +278,39 @@ class Pseudonyms:
         return "".join([*out, text[done:]]), found
 
 
+class _Mails:
+    """Starts of e-mail addresses, found from their ``@`` on, so that a run of characters without
+    one is never tried from each of its characters."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.sign, self.first, self.end = text, -1, 0, -1
+        self._next()
+
+    def _next(self) -> None:
+        """The next ``@`` with a domain behind it, and the first character of the run before it."""
+        while (sign := self.text.find("@", self.sign + 1)) >= 0:
+            low, floor, self.sign = sign, self.sign + 1, sign
+            while low > floor and MAIL_CHAR.match(self.text, low - 1):
+                low -= 1
+            m = MAIL_END.match(self.text, sign) if low < sign else None
+            if m:
+                self.first, self.end = low, m.end()
+                return
+        self.sign = len(self.text)
+
+    def start(self, at: int) -> int | None:
+        """Where the first address at or after ``at`` starts."""
+        while self.sign < len(self.text) and max(self.first, at) >= self.sign:
+            self._next()
+        return max(self.first, at) if self.sign < len(self.text) else None
+
+
+#: Hexadecimal digits that are permuted as one number; a longer run is cut into such parts.
+HEX_PART = 128
+
 KINDS = [
     ("email", r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}"),
-    ("secret", r"(?<![\w])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w)"),
+    ("secret", r"(?<![\w])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)"),
     ("iban", r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     ("ip", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])"),
     ("date", r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![\w/-]|\.[0-9])"),
@@ -292,7 +333,9 @@ IBAN_LENGTHS = {c: int(x[:2]) for x in (
     "22BH 22CR 22DE 22GB 22GE 22IE 22ME 22RS 22VA 23AE 23GI 23IL 23IQ 23OM 23SO 23TL 24AD 24CZ 24ES 24MD 24PK 24RO 24SA "
     "24SE 24SK 24TN 24VG 25LY 25PT 26IS 26TR 27BI 27DJ 27FR 27GR 27IT 27MC 27MR 27SM 28AL 28AZ 28BY 28CY 28DO 28FK 28GT "
     "28HU 28LB 28NI 28PL 28SV 29BR 29EG 29PS 29QA 29UA 30JO 30KW 30MU 31MT 31SC 32LC 33RU").split() for c in (x[2:],)}
-PATTERN = re.compile("|".join(f"(?P<{name}>{rx})" for name, rx in KINDS).replace(r"\1", "(?P=sep1)").replace(r"\2", "(?P=sep2)")
+MAIL_CHAR = re.compile(r"[\w.%+-]")
+MAIL_END = re.compile(r"@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}")
+PATTERN = re.compile("|".join(f"(?P<{name}>{rx})" for name, rx in KINDS if name != "email").replace(r"\1", "(?P=sep1)").replace(r"\2", "(?P=sep2)")
                      .replace("[0-9]{4}([-/.])", "[0-9]{4}(?P<sep1>[-/.])").replace("[0-9]{1,2}([-/.])", "[0-9]{1,2}(?P<sep2>[-/.])"))
 
 _HINT = np.zeros(256, dtype=bool)
