@@ -1,8 +1,10 @@
 """Line-first quality cleaning (DataFrame functions only).
 
-Each line is judged on its own: navigation bars, boilerplate notices, symbol
-noise, shouting, one-word stutter, a long line without any sentence
-punctuation, and repeats of an earlier line fail. Failed lines are removed; a
+Each line is judged on its own and by rate, so that one hit never fails a long line:
+navigation bars (separators per word; quotation marks in pairs are none), boilerplate (in
+short lines), shouting (per word), symbol noise (per word), stutter (in windows of
+``STUTTER_WINDOW`` words that hold half of the line), a long line without any sentence mark
+of any script, and repeats of an earlier line fail. Failed lines are removed; a
 document goes when its base measures fail or when the removed lines held more
 than ``max_loss`` of its words.
 
@@ -25,16 +27,20 @@ MAX_LOSS = 0.4
 MIN_WORDS = 10
 
 # Rules on one line; the patterns read alike in Java and RE2.
-SEPARATORS = r"[|»›]"          # three or more: a navigation bar
+BARS_LEAST, BARS_PCT = 3, 10  # so many separators, and per 100 words: a navigation bar
+QUOTES = (("«", "»"), ("‹", "›"))     # a pair quotes, only a surplus of the second kind separates
+SHORT_LINE_WORDS = 25         # boilerplate fails a line up to this length
+SHOUTS_PCT = 10               # shouts ("!!") per 100 words that fail a line with a shouted word
 BOILERPLATE = ["cookie policy", "cookie settings", "cookie consent", "all rights reserved", "terms of use",
                "terms and conditions", "privacy policy", "click here", "sign up", "subscribe to",
                "enable javascript", "lorem ipsum", "skip to content"]
 SHOUTING = r"[A-Z]{2,}[^a-z]*!!"
-SENTENCE_MARK = r"[.!?:;。！？…]"
+SENTENCE_MARK = r"[.!?:;。！？：；…।॥؟؛۔։።፧។၊။།]"
 LONG_LINE_WORDS = 40          # a longer line must hold a sentence mark
 SYMBOL_WORDS_PCT = 20         # symbols per 100 words that a line may hold
 STUTTER_WORDS = 8             # from this many words on, a line needs varied words
 STUTTER_DISTINCT_PCT = 25
+STUTTER_WINDOW = 50
 
 
 def words_of(line: Column) -> Column:
@@ -52,6 +58,27 @@ def _n_symbols(text: Column) -> Column:
     return F.when(any_of, F.regexp_count(text, F.lit(f"[{SYMBOLS}]"))).otherwise(F.lit(0))
 
 
+def _count(line: Column, part: str) -> Column:
+    return F.floor((F.length(line) - F.length(F.replace(line, F.lit(part), F.lit("")))) / len(part))
+
+
+def _bars(line: Column) -> Column:
+    bars = _count(line, "|")
+    for opened, closed in QUOTES:
+        bars = bars + F.greatest(_count(line, closed) - _count(line, opened), F.lit(0))
+    return bars
+
+
+def _stutters(hashes: Column) -> Column:
+    """Whether windows with few different words hold half of the line's words."""
+    poor = lambda w: F.size(F.array_distinct(w)) * 100 < F.size(w) * STUTTER_DISTINCT_PCT
+    n = F.size(hashes)
+    windows = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / STUTTER_WINDOW).cast("int")),
+                          lambda i: F.slice(hashes, i * STUTTER_WINDOW + 1, STUTTER_WINDOW))
+    held = F.aggregate(F.filter(windows, poor), F.lit(0), lambda a, w: a + F.size(w))
+    return F.when(n < STUTTER_WORDS, False).when(n <= STUTTER_WINDOW, poor(hashes)).otherwise(held * 2 >= n)
+
+
 def _line_ok(line: Column, low: Column, hashes: Column, doc_symbols: Column) -> Column:
     """Verdict on one line with at least one word; ``low`` is the line in lower case,
     ``hashes`` those of its words."""
@@ -59,14 +86,16 @@ def _line_ok(line: Column, low: Column, hashes: Column, doc_symbols: Column) ->
     boiler = low.contains(BOILERPLATE[0])
     for phrase in BOILERPLATE[1:]:
         boiler = boiler | low.contains(phrase)
-    separator = line.contains("|") | line.contains("»") | line.contains("›")
+    separator = line.contains("|")
+    for _, closed in QUOTES:
+        separator = separator | line.contains(closed)
     return ~(
-        (separator & (F.regexp_count(line, F.lit(SEPARATORS)) >= 3))
-        | boiler
-        | (line.contains("!!") & line.rlike(SHOUTING))
+        (separator & (_bars(line) >= BARS_LEAST) & (_bars(line) * 100 >= n * BARS_PCT))
+        | ((n <= SHORT_LINE_WORDS) & boiler)
+        | (line.contains("!!") & line.rlike(SHOUTING) & (_count(line, "!!") * 100 >= n * SHOUTS_PCT))
         | ((doc_symbols > 0) & (_n_symbols(line) * 100 > n * SYMBOL_WORDS_PCT))
         | ((n >= LONG_LINE_WORDS) & ~line.rlike(SENTENCE_MARK))
-        | ((n >= STUTTER_WORDS) & (F.size(F.array_distinct(hashes)) * 100 < n * STUTTER_DISTINCT_PCT))
+        | _stutters(hashes)
     )
 
 
@@ -156,6 +185,12 @@ def _sql_words(x: str) -> str:
 def oracle_sql(max_loss: float = MAX_LOSS) -> str:
     """DuckDB SQL for the query: word lists, unnested windows, unnested lines."""
     boiler = " OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)
+    count = lambda ch: f"(length(x) - length(replace(x, '{ch}', '')))"
+    bars = " + ".join([count("|"), *(f"greatest({count(z)} - {count(a)}, 0)" for a, z in QUOTES)])
+    poor = f"len(list_distinct(v)) * 100 < len(v) * {STUTTER_DISTINCT_PCT}"
+    windows = (f"list_transform(range(0, (len(xw) - 1) // {STUTTER_WINDOW} + 1), "
+               f"lambda i: xw[i * {STUTTER_WINDOW} + 1:(i + 1) * {STUTTER_WINDOW}])")
+    held = f"coalesce(list_sum(list_transform(list_filter({windows}, lambda v: {poor}), lambda v: len(v))), 0)"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, {_sql_words('t')} AS w, string_split(t, chr(10)) AS l FROM d),
@@ -168,11 +203,12 @@ ln AS (SELECT doc_id, unnest(l) AS x FROM w),
 lw AS (SELECT doc_id, x, {_sql_words('x')} AS xw, count(*) AS n FROM ln
        WHERE len({_sql_words('x')}) > 0 GROUP BY doc_id, x),
 lv AS (SELECT doc_id, n, len(xw) AS k, NOT (
-         len(regexp_extract_all(x, '{SEPARATORS}')) >= 3 OR {boiler}
-         OR regexp_matches(x, '{SHOUTING}')
+         (({bars}) >= {BARS_LEAST} AND ({bars}) * 100 >= len(xw) * {BARS_PCT})
+         OR (len(xw) <= {SHORT_LINE_WORDS} AND ({boiler}))
+         OR (regexp_matches(x, '{SHOUTING}') AND ({count("!!")}) // 2 * 100 >= len(xw) * {SHOUTS_PCT})
          OR (length(x) - length(translate(x, '{SYMBOLS}', ''))) * 100 > len(xw) * {SYMBOL_WORDS_PCT}
          OR (len(xw) >= {LONG_LINE_WORDS} AND NOT regexp_matches(x, '{SENTENCE_MARK}'))
-         OR (len(xw) >= {STUTTER_WORDS} AND len(list_distinct(xw)) * 100 < len(xw) * {STUTTER_DISTINCT_PCT})) AS ok
+         OR (len(xw) >= {STUTTER_WORDS} AND {held} * 2 >= len(xw))) AS ok
        FROM lw),
 la AS (SELECT doc_id, sum(n - 1) AS n_dup, sum(CASE WHEN ok THEN k ELSE 0 END) AS stay FROM lv GROUP BY doc_id),
 m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words,

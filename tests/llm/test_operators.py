@@ -58,6 +58,23 @@ def test_quality_lines_are_removed(docs_of):
     assert [(r.doc_id, r.text) for r in kept] == [(0, "\n".join(good)), (2, good[0])]
 
 
+def test_quality_judges_lines_by_rate(docs_of):
+    rnd = random.Random(1)
+    kinds = ["".join(rnd.choice("abcdefghij") for _ in range(1 + k % 9)) + str(k) for k in range(3000)]
+    weights = [1 / (k + 1) for k in range(3000)]
+    zipf = " ".join(w + ("." if k % 12 == 11 else "") for k, w in enumerate(rnd.choices(kinds, weights, k=20400)))
+    french = "Elle a dit « bonjour » puis « merci beaucoup » et enfin « au revoir » avant de sortir de la salle."
+    german = "Er sagte »guten Tag«, dann »vielen Dank« und zuletzt »auf Wiedersehen«, bevor er aus dem Saal ging."
+    hindi = " ".join(f"शब्द{k}" for k in range(58)) + "।"
+    policy = " ".join(f"word{k}" for k in range(400)) + ", as our privacy policy says. WOW!! " + " ".join(f"more{k}" for k in range(90)) + "."
+    clean = [zipf, french, german, hindi, policy]
+    junk = ["Home » News » Sport » Contact » About us here", "word " * 600, "same other " * 300, "Please read our privacy policy or click here now my friend"]
+    got = {r.doc_id: r for r in quality_lines.measure(docs_of(clean + junk)).collect()}
+    assert [got[i].lost_words for i in range(len(clean))] == [0] * len(clean)
+    assert [got[i].kept for i in range(1, len(clean))] == [True] * (len(clean) - 1)
+    assert all(got[len(clean) + i].lost_words == got[len(clean) + i].n_words for i in range(len(junk)))
+
+
 # ------------------------------------------------------------------ near duplicates
 def brute_classes(texts):
     sets = []
