@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mlqa.catalog.base import register, sql_strip
 from mlqa.functions import prompts as P
 from mlqa.operators import build, judge
+from mlqa.sources.io import save_table, scratch_path
 from mlqa.sources.fixtures import dim, load_table, view
 
 
@@ -297,6 +298,17 @@ def q_a9(spark, sf):
     return e.select("id", "question", "language")
 
 
+@register("a9_column_report", """
+SELECT 'question_en' AS "column", true AS present, count(*) FILTER (WHERE trim(question_en) <> '') AS n_filled FROM v_wide_questions
+UNION ALL SELECT 'answers_en', true, count(*) FILTER (WHERE trim(answers_en) <> '') FROM v_wide_questions
+UNION ALL SELECT c, false, 0 FROM (SELECT unnest(['question_hi', 'question_ja', 'question_sw', 'question_th',
+                                                  'answers_hi', 'answers_ja', 'answers_sw', 'answers_th']) AS c) t
+""", views=("v_wide_questions",))
+def q_a9_report(spark, sf):
+    """Which expected columns the table has, and in how many rows they are filled."""
+    return build.column_report(view(spark, sf, "v_wide_questions"))
+
+
 # ------------------------------------------------------------------ C13-C17
 def docs(spark, sf):
     return load_table(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"))
@@ -397,6 +409,18 @@ def q_c18(spark, sf):
     return p.withColumn("answer_list", F.array_join("answer_list", "|"))
 
 
+@register("c18_empty_targets", f"""
+WITH {SQL_LONG}
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE coalesce(answer_list[1], '') = '') AS n_empty_targets FROM entries
+""", views=("v_wide_questions",))
+def q_c18_empty(spark, sf):
+    """Counts taken while the prompt rows are written."""
+    rows, seen = build.observed_prompt_rows(build.qa_entries(wide_long(spark, sf)), "hub")
+    save_table(rows, scratch_path(spark, "c18"))
+    return spark.createDataFrame([tuple(seen.get[c] for c in ("n_rows", "n_empty_targets"))],
+                                 "n_rows long, n_empty_targets long")
+
+
 @register("c18_prompt_rows_file", f"""
 WITH {SQL_CORPUS}
 SELECT concat({_turn('system', sql_lit(P.SYSTEM_SHORT))},

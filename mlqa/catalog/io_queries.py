@@ -65,6 +65,16 @@ def q_a2_skipped(spark, sf):
     return io.bad_lines(kept).select(F.col("_corrupt_record").alias("line"), F.col("doc_id").alias("parsed_id"))
 
 
+@register("a2_skip_counts", """
+SELECT count(*) AS n_lines, count(*) FILTER (WHERE judge_output = 'no usable verdict') AS n_skipped FROM v_judged
+""", views=("v_judged",))
+def q_a2_counts(spark, sf):
+    """Counts taken while the readable lines are stored."""
+    rows, seen = io.observed_jsonl(spark, _broken_jsonl(spark, sf), JUDGED_SCHEMA)
+    io.save_table(rows, io.scratch_path(spark, "a2"))
+    return spark.createDataFrame([tuple(seen.get[c] for c in ("n_lines", "n_skipped"))], "n_lines long, n_skipped long")
+
+
 ENTITY_SCHEMA = T.StructType([
     T.StructField("category", T.StringType()), T.StructField("country", T.StringType()),
     T.StructField("entity_idx", T.IntegerType()), T.StructField("names", T.StringType())])
@@ -122,27 +132,50 @@ def q_a6(spark, sf):
     schema = T.StructType(list(RATING_SCHEMA.fields) + [
         T.StructField("dataset", T.StringType()), T.StructField("model", T.StringType()),
         T.StructField("prompt_style", T.StringType()), T.StructField("language", T.StringType())])
-    back = io.read_csv(spark, path, schema)
+    back = io.read_csv(spark, path, schema, multi_line=False)
     return back.select("row_idx", "language", "country", "llm_output")
 
 
-STATS_SCHEMA = ("total_evaluations bigint, average_reasoning_score double, "
-                "language_mismatch_count bigint, answer_correctness_count bigint")
-
+STATS_SCHEMA = ("total_evaluations bigint, average_reasoning_score double, language_mismatch_count bigint, "
+                "answer_correctness_count bigint, score_distribution map<string, bigint>")
 
-@register("a7_stats_document", f"""
+SQL_STATS = f"""
 SELECT count(*) AS total_evaluations,
        round(CASE WHEN count(*) > 0 THEN coalesce(sum(reasoning_score), 0) / count(*) ELSE 0 END, 6)
          AS average_reasoning_score,
        count(*) FILTER (WHERE language_mismatch = 1) AS language_mismatch_count,
-       count(*) FILTER (WHERE answer_correctness = 1) AS answer_correctness_count
+       count(*) FILTER (WHERE answer_correctness = 1) AS answer_correctness_count,
+       concat_ws(',', {", ".join(f"concat('{k}=', count(*) FILTER (WHERE reasoning_score = {k}))" for k in range(11))}) AS score_distribution
 FROM ({SQL_VERDICT}) p
-""", views=("v_judged",))
+"""
+
+
+def _flat_stats(stats):
+    shown = F.array_join(F.transform(F.map_entries("score_distribution"),
+                                     lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return stats.withColumn("score_distribution", shown).withColumn(
+        "average_reasoning_score", F.round("average_reasoning_score", 6))
+
+
+@register("a7_stats_document", SQL_STATS, views=("v_judged",))
 def q_a7(spark, sf):
     path = io.scratch_path(spark, "a7")
-    io.stats_document(metrics.verdict_stats(view(spark, sf, "v_judged")), path)
-    doc = spark.read.text(path).select(F.from_json("value", STATS_SCHEMA).alias("s")).select("s.*")
-    return doc.withColumn("average_reasoning_score", F.round("average_reasoning_score", 6))
+    io.stats_document(metrics.verdict_statistics(view(spark, sf, "v_judged")), path)
+    return _flat_stats(spark.read.text(path).select(F.from_json("value", STATS_SCHEMA).alias("s")).select("s.*"))
+
+
+@register("a7_results_document", f"""
+SELECT s.*, doc_id, language, judge_output FROM v_judged, ({SQL_STATS}) s
+""", views=("v_judged",))
+def q_a7_results(spark, sf):
+    """The envelope of statistics and results, written by all tasks and read back."""
+    path, rows = io.scratch_path(spark, "a7"), view(spark, sf, "v_judged")
+    io.save_results(rows.select("doc_id", "language", "judge_output"), metrics.verdict_statistics(rows), path)
+    head = spark.read.text(path).filter(F.col("value").startswith('{"statistics":')).select(
+        F.from_json(F.regexp_extract("value", r'^\{"statistics":(.*),"results":\[$', 1), STATS_SCHEMA).alias("s")).select("s.*")
+    back = io.read_json_records(spark, path, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField(
+        "language", T.StringType()), T.StructField("judge_output", T.StringType())]), "results")
+    return back.join(_flat_stats(head), F.lit(True))
 
 
 _PIVOT_SCHEMA = T.StructType([T.StructField("language", T.StringType())] + [

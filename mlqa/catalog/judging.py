@@ -40,7 +40,21 @@ SELECT coalesce(language, 'unknown') AS language,
 FROM q GROUP BY 1
 """, views=("v_judged",))
 def q_g3_pivot(spark, sf):
-    return metrics.language_region_matrix(view(spark, sf, "v_judged"))
+    return metrics.language_region_matrix(view(spark, sf, "v_judged"), REGIONS)
+
+
+@register("g3_matrix_cells", f"""
+WITH p AS ({SQL_VERDICT}),
+q AS (SELECT *, (reasoning_score IS NOT NULL AND language_mismatch IS NOT NULL
+                 AND answer_correctness IS NOT NULL) AS ok FROM p)
+SELECT coalesce(language, 'unknown') AS language, coalesce(region, 'unknown') AS region,
+       {", ".join(f"round(avg(CASE WHEN ok THEN {m} END), 6) AS {m}" for m in metrics.METRICS)}
+FROM q GROUP BY 1, 2
+""", views=("v_judged",))
+def q_g3_cells(spark, sf):
+    """The matrix with map-typed cells, its cells written out as rows."""
+    cells = metrics.language_region_cells(view(spark, sf, "v_judged"))
+    return cells.select("language", F.explode("cells").alias("region", "a")).select("language", "region", "a.*")
 
 
 # ------------------------------------------------------------------ F3 / F4
@@ -257,7 +271,22 @@ def q_g7(spark, sf):
     return _r6(t.select("t_stat", "dof"), "t_stat")
 
 
-@register("g7_p_value")
+# the tail of Student's t with whole degrees of freedom: a finite sum, its coefficients by log gamma
+@register("g7_p_value", f"""
+WITH {SQL_GRID},
+m AS (SELECT {SQL_MOMENTS} FROM split),
+t AS (SELECT CAST(n_off + n_diag - 2 AS BIGINT) AS dof, CASE WHEN n_off > 0 AND n_diag > 0 AND n_off + n_diag - 2 > 0 AND
+                  ((n_off - 1) * coalesce(var_off, 0) + (n_diag - 1) * coalesce(var_diag, 0)) / (n_off + n_diag - 2) > 0
+             THEN (mean_off - mean_diag) / sqrt(((n_off - 1) * coalesce(var_off, 0)
+                   + (n_diag - 1) * coalesce(var_diag, 0)) / (n_off + n_diag - 2) * (1.0 / n_off + 1.0 / n_diag)) END AS t_stat FROM m),
+a AS (SELECT *, atan(abs(t_stat) / sqrt(dof)) AS a FROM t),
+w AS (SELECT *, CASE WHEN dof % 2 = 1
+        THEN 2 / pi() * (a + coalesce(list_sum(list_transform(range(0, (dof - 1) // 2), lambda j:
+               sin(a) * cos(a) ** (2 * j + 1) * exp(2 * j * ln(2) + 2 * lgamma(j + 1) - lgamma(2 * j + 2)))), 0))
+        ELSE coalesce(list_sum(list_transform(range(0, dof // 2), lambda j:
+               sin(a) * cos(a) ** (2 * j) * exp(lgamma(2 * j + 1) - 2 * lgamma(j + 1) - 2 * j * ln(2)))), 0) END AS within FROM a)
+SELECT round(t_stat, 6) AS t_stat, dof, round(greatest(1 - within, 0.0), 6) AS p_value FROM w
+""", views=("v_ratings", "languages"))
 def q_g7p(spark, sf):
     t = metrics.two_sample_t(metrics.split_moments(_split(spark, sf)))
     return _r6(t.select("t_stat", "dof", "p_value"), "t_stat", "p_value")

@@ -8,13 +8,13 @@ seeded sampling/splitting counts (C14-C16) and chat rendering (C19).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from mlqa.functions import prompts as P
 from mlqa.functions.text import strip
 from mlqa.functions.util import col_of
-from mlqa.plans.sequence import md5_bucket, md5_key, sequence_number
+from mlqa.plans.sequence import md5_bucket, md5_key, range_numbered, sequence_number
 
 # Category loop order of the corpus builder, the template family of
 # each category, and the evaluation-side label of each category.
@@ -92,14 +92,11 @@ def answer_lists(country_names: DataFrame, languages: DataFrame) -> DataFrame:
 def with_sequence(entities: DataFrame, country_rank: Column, n_languages: Column) -> DataFrame:
     """Ids in loop order (category, country, entity, language), from 1.
 
-    Entities are numbered (not the L-times larger expanded rows) with the
-    bucketed global numbering; an expanded row's id is ``_id_base + lang_idx``.
-    The bucket is (category, country, entity_idx div 1024), so one hot country
-    is spread over many tasks."""
+    Entities are numbered (not the L-times larger expanded rows); an expanded row's id is
+    ``_id_base + lang_idx``. The order is cut at quantiles of (category, country, entity_idx), so
+    neither a hot country nor sparse ids make an uneven part."""
     e = entities.withColumn("_cat", category_rank("category")).withColumn("_cty", country_rank)
-    bucket = F.struct("_cat", "_cty", F.floor(F.col("entity_idx") / 1024).alias("_eb"))
-    seq = sequence_number(e, [F.col("_cat"), F.col("_cty"), F.col("entity_idx")], bucket,
-                          name="_entity_pos")
+    seq = range_numbered(e, ["_cat", "_cty", "entity_idx"], name="_entity_pos")
     return seq.drop("_cat", "_cty").withColumn(
         "_id_base", (F.col("_entity_pos") - 1) * n_languages + 1).drop("_entity_pos")
 
@@ -135,6 +132,15 @@ def missing_columns(df: DataFrame, prefixes=("question_", "answers_"),
     return [f"{p}{l}" for p in prefixes for l in langs if f"{p}{l}" not in have]
 
 
+def column_report(df: DataFrame, prefixes=("question_", "answers_"), langs=("en", "hi", "ja", "sw", "th")) -> DataFrame:
+    """A9 as a table: ``column, present, n_filled`` of every expected column, out of one aggregate."""
+    names = [f"{p}{l}" for p in prefixes for l in langs]
+    filled = [F.count_if(F.coalesce(F.trim(_col_or_null(df, n)), F.lit("")) != "").alias(n) for n in names]
+    present = F.create_map(*[F.lit(x) for n in names for x in (n, n in df.columns)])
+    return df.agg(*filled).unpivot([], names, "column", "n_filled").select(
+        "column", F.element_at(present, F.col("column")).alias("present"), "n_filled")
+
+
 def _col_or_null(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
 
@@ -271,7 +277,7 @@ def open_turn(role: str, text: str = "") -> str:
 def prompt_rows(df: DataFrame, form: str = "hub") -> DataFrame:
     """Training prompt rows. ``hub``: two system turns, user turn with the
     question, open assistant turn; target = first acceptable answer (NULL when
-    the list is empty: counted, not a crash). ``file``: one system turn, target =
+    the list is empty; ``observed_prompt_rows`` counts them). ``file``: one system turn, target =
     ``answers``."""
     q = F.coalesce(F.col("question"), F.lit(""))
     if form == "hub":
@@ -289,6 +295,15 @@ def prompt_rows(df: DataFrame, form: str = "hub") -> DataFrame:
     return df.select(prompt.alias("prompt"), F.col("answers").alias("target"), "question")
 
 
+def observed_prompt_rows(df: DataFrame, form: str = "hub") -> tuple[DataFrame, Observation]:
+    """``prompt_rows`` and an observation that holds ``n_rows`` and ``n_empty_targets`` once an
+    action has run over them: the report costs no second pass."""
+    seen = Observation("prompt_rows")
+    rows = prompt_rows(df, form)
+    return rows.observe(seen, F.count(F.lit(1)).alias("n_rows"),
+                        F.count_if(F.coalesce("target", F.lit("")) == "").alias("n_empty_targets")), seen
+
+
 def render_chat(df: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role",
                 text: str = "text", open_role: str | None = None,
                 turns_per_piece: int = 64) -> DataFrame:

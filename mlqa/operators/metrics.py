@@ -8,29 +8,37 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mlqa.operators.judge import parse_verdict
-from mlqa.plans.sequence import sequence_number
+from mlqa.plans.sequence import range_numbered
 
 METRICS = ("reasoning_score", "language_mismatch", "answer_correctness")
 
 
 # ---------------------------------------------------------------- G1 / G2
-def verdict_stats(df: DataFrame, text_col: str = "judge_output") -> DataFrame:
+def verdict_stats(df: DataFrame, text_col: str = "judge_output", more=()) -> DataFrame:
     """Total, average score over *all* rows (unscored rows count in the
     denominator), mismatch and correctness counts. One aggregate."""
     v = parse_verdict(text_col)
     total = F.count(F.lit(1))
-    return df.select(v.alias("v")).agg(
+    return df.select("*", v.alias("v")).agg(
         total.alias("total_evaluations"),
         F.when(total > 0, F.coalesce(F.sum("v.reasoning_score"), F.lit(0)) / total)
          .otherwise(F.lit(0.0)).alias("average_reasoning_score"),
         F.count_if(F.col("v.language_mismatch") == 1).alias("language_mismatch_count"),
-        F.count_if(F.col("v.answer_correctness") == 1).alias("answer_correctness_count"))
+        F.count_if(F.col("v.answer_correctness") == 1).alias("answer_correctness_count"), *more)
+
+
+def verdict_statistics(df: DataFrame, text_col: str = "judge_output", top: int = 10) -> DataFrame:
+    """``verdict_stats`` with ``score_distribution``: a map of the counts of the scores 0 to ``top``
+    (fixed axis, zero-filled), in the same aggregate."""
+    score = parse_verdict(text_col)["reasoning_score"]
+    counts = F.map_from_arrays(F.array(*[F.lit(str(k)) for k in range(top + 1)]),
+                               F.array(*[F.count_if(F.col("score") == k) for k in range(top + 1)]))
+    v = df.select(text_col, score.alias("score"))
+    return verdict_stats(v, text_col, [counts.alias("score_distribution")])
 
 
 def score_histogram(df: DataFrame, text_col: str = "judge_output", top: int = 10) -> DataFrame:
@@ -76,41 +84,29 @@ def language_region_long(df: DataFrame, text_col: str = "judge_output") -> DataF
         F.count(F.lit(1)).alias("n"))
 
 
-def language_region_matrix(df: DataFrame, regions: list[str] | None = None,
-                           text_col: str = "judge_output") -> DataFrame:
-    """Matrix form: one row per language, ``<region>_<metric>`` columns. Axes come
-    from all rows, so a language or region whose rows were all incomplete still
-    appears with NULL cells. One shuffle; ``regions`` is the sorted axis (looked
-    up with one tiny distinct query when not given)."""
-    p = _verdict_columns(df, text_col)
-    if regions is None:
-        regions = sorted(r[0] for r in p.select("region").distinct().collect())
-    ok = _complete()
-    aggs = []
-    for m in METRICS:
-        aggs.append(F.round(F.avg(F.when(ok, F.col(m))), 6).alias(m))
-    return (p.groupBy("language").pivot("region", list(regions)).agg(*aggs)
-            .orderBy("language"))
+def language_region_matrix(df: DataFrame, regions: list[str], text_col: str = "judge_output") -> DataFrame:
+    """Wide form for a given axis: one row per language, ``<region>_<metric>`` columns.
+    A language whose rows were all incomplete still appears with NULL cells. One shuffle."""
+    p, ok = _verdict_columns(df, text_col), _complete()
+    aggs = [F.round(F.avg(F.when(ok, F.col(m))), 6).alias(m) for m in METRICS]
+    return p.groupBy("language").pivot("region", list(regions)).agg(*aggs).orderBy("language")
 
 
-# ---------------------------------------------------------------- G4
-MAX_BUCKETS = 65536
+def language_region_cells(df: DataFrame, text_col: str = "judge_output") -> DataFrame:
+    """Matrix form for any number of regions: one row per language with ``cells``, a map from
+    region to its averages. Axes come from all rows: a cell whose rows were all incomplete has
+    NULL averages. Nothing is looked up beforehand or on the driver."""
+    p, ok = _verdict_columns(df, text_col), _complete()
+    cells = p.groupBy("language", "region").agg(*[F.round(F.avg(F.when(ok, F.col(m))), 6).alias(m) for m in METRICS])
+    entry = F.struct("region", F.struct(*METRICS).alias("averages"))
+    return cells.groupBy("language").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("cells"))
 
 
-def number_rows(df: DataFrame, partition: str, order: str, name: str = "pos",
-                bucket_width: int | None = None) -> DataFrame:
-    """1-based position per ``partition`` in ``order`` (an integer key), spread
-    over ordered buckets ``(order - min) div width`` so one language never sits
-    in one task. The width comes from one column-pruned min/max aggregate so the
-    bucket-count table stays within 65,536 rows per group at any scale."""
-    if bucket_width is None:
-        lo, hi = df.agg(F.min(order), F.max(order)).first()
-        lo, hi = (lo or 0), (hi or 0)
-        bucket_width = max(1, -(-(hi - lo + 1) // MAX_BUCKETS))
-    else:
-        lo = 0
-    return sequence_number(df, [F.col(order)], F.floor((F.col(order) - F.lit(lo)) / bucket_width),
-                           partition=[partition], name=name)
+# ---------------------------------------------------------------- G4
+def number_rows(df: DataFrame, partition: str, order: str, name: str = "pos") -> DataFrame:
+    """1-based position per ``partition`` in ``order``, cut at quantiles of the rows, so one
+    language never sits in one task and an outlying key makes no uneven bucket."""
+    return range_numbered(df, [order], [partition], name)
 
 
 def error_grid(ratings: DataFrame, english: DataFrame) -> DataFrame:
@@ -178,59 +174,25 @@ def two_sample_t(moments: DataFrame) -> DataFrame:
     t = F.when((n1 > 0) & (n2 > 0) & (dof > 0) & (se > 0),
                F.try_divide(F.col("mean_off") - F.col("mean_diag"), se))
     out = moments.select("*", t.alias("t_stat"), dof.cast("bigint").alias("dof"))
-    return out.withColumn("p_value", t_two_sided_p(F.col("t_stat"), F.col("dof").cast("double")))
-
-
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny, eps = 1e-300, 3e-16
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 400):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < eps:
-            break
-    return h
-
-
-def betainc_reg(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1.0 - x) / b
-
-
-def t_sf2(t: float, dof: float) -> float:
-    """Two-sided tail probability of Student's t."""
-    if t is None or dof is None or dof <= 0 or math.isnan(t):
-        return None
-    return betainc_reg(dof / 2.0, 0.5, dof / (dof + t * t))
-
-
-@F.pandas_udf(T.DoubleType())
-def t_two_sided_p(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([None if (pd.isna(a) or pd.isna(b)) else t_sf2(float(a), float(b))
-                      for a, b in zip(t, dof)], dtype="float64")
+    return out.withColumn("p_value", t_two_sided_p(F.col("t_stat"), F.col("dof")))
+
+
+def t_two_sided_p(t: Column, dof: Column) -> Column:
+    """Two-sided tail probability of Student's t for a whole number of degrees of freedom, as the
+    finite sum over the powers of the squared cosine of ``atan(|t| / sqrt(dof))``."""
+    angle = F.atan(F.abs(t) / F.sqrt(dof.cast("double")))
+    c2 = F.pow(F.cos(angle), F.lit(2.0))
+    odd = dof % 2 == 1
+    terms = F.floor(F.when(odd, (dof - 1) / 2).otherwise(dof / 2)).cast("int")
+    step = lambda j: F.when(odd, (2 * j) / (2 * j + 1)).otherwise((2 * j - 1) / (2 * j))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    series = F.aggregate(
+        F.filter(F.sequence(F.lit(0), F.greatest(terms - 1, F.lit(0))), lambda j: j > 0), start,
+        lambda s, j: F.struct((s["term"] * step(j) * c2).alias("term"), (s["sum"] + s["term"] * step(j) * c2).alias("sum")),
+        lambda s: s["sum"])
+    within = F.when(odd, 2 / F.lit(math.pi) * (angle + F.when(terms > 0, F.sin(angle) * F.cos(angle) * series).otherwise(0.0))
+                    ).otherwise(F.sin(angle) * series)
+    return F.when(dof > 0, F.greatest(1 - within, F.lit(0.0)))
 
 
 # ---------------------------------------------------------------- G8 / G9 / G10

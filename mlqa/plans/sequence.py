@@ -10,9 +10,14 @@ bucket's starting offset, and the exact position is a ``row_number`` inside
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mlqa.plans.lineage import write_and_reread
+from mlqa.session import ensure_checkpoint_dir
+
 
 def md5_key(key: Column, seed: int | str) -> Column:
     """Deterministic pseudo-random sort key: md5 of ``key|seed`` (same text in
@@ -61,6 +66,32 @@ def sequence_number(df: DataFrame, order: list, bucket: Column,
     return out.drop("_seq_b", "_seq_off")
 
 
+def range_numbered(df: DataFrame, order: list[str], partition: list[str] | None = None, name: str = "seq",
+                   zero: int = 1) -> DataFrame:
+    """Position of each row in ``order`` within ``partition``, from ``zero`` on, for any keys.
+
+    The rows are cut into ranges of about equal size at sampled quantiles of (partition,
+    order), so neither outliers nor gaps nor a hot group make an uneven range. They are
+    written once, sorted, with a running number; a row's position is its place in the run
+    of its group within its range plus the lengths of the group's earlier runs. There are as
+    many runs as groups and ranges, so without groups the table of runs has one row per range."""
+    groups = list(partition or [])
+    keys = [*groups, *order]
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/numbered-{uuid.uuid4().hex}"
+    rows = write_and_reread(rows, path).withColumn("_run", F.shiftright("_at", 33))
+    runs = rows.groupBy(*groups, "_run").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*[F.col(g) for g in groups] or [F.lit(0)]).orderBy("_run").rowsBetween(
+        Window.unboundedPreceding, -1)
+    runs = runs.select((F.col("_first") - F.coalesce(F.sum("_n").over(earlier), F.lit(0))).alias("_zero"),
+                       F.col("_run").alias("_in"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)])
+    same = rows["_run"] == runs["_in"]
+    for i, g in enumerate(groups):
+        same = same & rows[g].eqNullSafe(runs[f"_g{i}"])
+    return rows.join(runs, same).withColumn(name, F.col("_at") - F.col("_zero") + F.lit(zero)).drop(
+        "_at", "_run", "_in", "_zero", *[f"_g{i}" for i in range(len(groups))])
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin ``df`` over the cluster when its scan yields fewer partitions
     than there are cores (one small file = one task). Meant for scan-only

@@ -45,10 +45,14 @@ def test_histogram_mean_identity(spark):
     assert h == {**{str(i): counts.get(i, 0) for i in range(11)}, "other": 0}
 
 
-def test_t_pvalue_known_values():
-    assert math.isclose(metrics.t_sf2(2.0, 10.0), 0.0733880347707, rel_tol=1e-9)
-    assert math.isclose(metrics.t_sf2(0.0, 5.0), 1.0, rel_tol=1e-12)
-    assert math.isclose(metrics.t_sf2(3.0, 1.0), 0.2048327646991, rel_tol=1e-9)
+def test_t_pvalue_known_values(spark):
+    cases = [(2.0, 10, 0.0733880347707), (0.0, 5, 1.0), (3.0, 1, 0.2048327646991), (-2.0, 10, 0.0733880347707),
+             (2.5, 2, 0.1296117202215), (1.96, 100000, 0.0499984), (40.0, 60, 0.0), (1.0, 3, 0.3910022190),
+             (None, 4, None), (1.0, 0, None)]
+    got = spark.createDataFrame([c[:2] for c in cases], "t double, dof long").select(
+        metrics.t_two_sided_p(F.col("t"), F.col("dof")).alias("p")).collect()
+    for r, (_, _, p) in zip(got, cases):
+        assert (r.p is None and p is None) or math.isclose(r.p, p, rel_tol=1e-5, abs_tol=1e-12)
 
 
 def test_rating_summary_english_override(spark):
