@@ -34,13 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from mlqa.llm import pretokens
 from mlqa.llm import textkernels as tk
 from mlqa.llm import transducer
 
 LEXICON_WORDS = 131_072
 MEMO_WORDS = 200_000
-#: Pairs of tokens of which a task remembers whether merging leaves them apart.
-PAIRS = 1 << 20
+#: Bytes of text that are split and encoded together.
+CHUNK_BYTES = 8 << 20
 
 # Fixed value: the pre-token pattern of byte-level BPE (white space by its Unicode property).
 WORDS = regex.compile(
@@ -73,57 +74,11 @@ class Bpe:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merge[vocab[a] << 20 | vocab[b]] = (rank, vocab[a + b])
-        # tokens that merging makes of their own bytes; others never come out of a word
-        self.token_of: dict[bytes, int] = {}
-        for i, b in self.bytes_of.items():
-            if b and i not in self.special.values() and self.merge_word(b) == [i]:
-                self.token_of[b] = i
-        self.longest = max(map(len, self.token_of))
-        self.stays: dict[int, bool] = {}
         self.split = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) \
             if self.special else None
 
     def encode_word(self, word: bytes) -> list[int]:
-        """What merging gives: the lowest rank first, the leftmost of equal ones.
-
-        Tokens are the result of merging exactly if every two neighbours, merged on their own,
-        stay the same two tokens, and only one such sequence exists; it is put together from
-        the left, the longest token first, taking back a token after which none fits. Every
-        pair is merged once and remembered."""
-        if len(word) > 48:
-            return self.merge_word(word)
-        token_of, stays, longest, n = self.token_of, self.stays, self.longest, len(word)
-        out: list[int] = []
-        ends, at, last, size = [], 0, -1, longest
-        while at < n:
-            for k in range(min(size, n - at), 0, -1):
-                t = token_of.get(word[at:at + k])
-                if t is not None:
-                    if last < 0:
-                        break
-                    ok = stays.get(last << 20 | t)
-                    if ok is None:
-                        ok = self._stays(last, t)
-                    if ok:
-                        break
-            else:
-                at = ends.pop()             # no token fits here: a shorter one before
-                size = len(self.bytes_of[out.pop()]) - 1
-                last = out[-1] if out else -1
-                continue
-            out.append(t)
-            ends.append(at)
-            at, last, size = at + k, t, longest
-        return out
-
-    def _stays(self, left: int, right: int) -> bool:
-        if len(self.stays) >= PAIRS:
-            self.stays.clear()
-        ok = self.stays[left << 20 | right] = self.merge_word(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-        return ok
-
-    def merge_word(self, word: bytes) -> list[int]:
-        """The merges one by one."""
+        """Exact merges: the lowest rank first, the leftmost of equal ones."""
         ids = [self.first[b] for b in word]
         if len(ids) > 48:
             return self._encode_long(ids)
@@ -182,9 +137,13 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     def count(batches):
         seen: Counter = Counter()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
-                    seen.update(WORDS.findall(t))
+            col = batch.column(0)
+            _, off = tk.text_buffers(col)
+            at = 0
+            while at < len(col):
+                to = min(len(col), max(at + 1, int(np.searchsorted(off, off[at] + CHUNK_BYTES, side="right")) - 1))
+                seen.update(itertools.chain.from_iterable(pretokens.split([t or "" for t in col.slice(at, to - at).to_pylist()])))
+                at = to
             if len(seen) > MEMO_WORDS:
                 yield _counted(seen)
                 seen.clear()
@@ -226,11 +185,80 @@ def _ship(docs: DataFrame, path: str) -> str:
     return name
 
 
-#: Words of one generation of a task's memo, and bytes of text that are encoded together.
-HELD_WORDS, CHUNK_BYTES = 131_072, 8 << 20
+#: Words of one generation of a task's memo.
+HELD_WORDS = 131_072
 HELD_CHARS = 64
 
 
+class BatchMerges:
+    """The merges of many words at once: in each round every word that still has a pair to merge
+    makes its one next merge (the lowest rank, the leftmost of equal ones), so the result is that
+    of merging word by word."""
+
+    WIDTHS = (8, 16, 32)        # words are merged beside others of up to so many bytes
+    NO_PAIR = np.iinfo(np.int32).max
+
+    def __init__(self, bpe: Bpe) -> None:
+        self.bpe = bpe
+        self.first = np.asarray(bpe.first, np.int64)
+        self.pairs = np.array(sorted(bpe.merge), np.int64)
+        self.rank_of = np.array([bpe.merge[k][0] for k in self.pairs.tolist()] or [self.NO_PAIR], np.int32)
+        self.merged = np.zeros(len(self.pairs) + 1, np.int64)
+        for rank, new in bpe.merge.values():
+            self.merged[rank] = new
+        self.of_bytes = self._ranks(self.first[:, None], self.first[None, :])
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair; ``NO_PAIR`` where there is none or a side is missing (-1)."""
+        key = left << 20 | right
+        if not len(self.pairs):
+            return np.full(key.shape, self.NO_PAIR, np.int32)
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == key) & (left >= 0) & (right >= 0), self.rank_of[at], self.NO_PAIR)
+
+    def encode(self, words: list[bytes]) -> list[list[int]]:
+        out: list = [None] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        low = 0
+        for width in self.WIDTHS:
+            some = np.flatnonzero((size > low) & (size <= width))
+            low = width
+            if len(some):
+                for i, ids in zip(some.tolist(), self._merge([words[i] for i in some.tolist()], size[some], width)):
+                    out[i] = ids
+        for i in np.flatnonzero((size == 0) | (size > low)).tolist():
+            out[i] = self.bpe.encode_word(words[i])
+        return out
+
+    def _merge(self, words: list[bytes], size: np.ndarray, width: int) -> list[list[int]]:
+        data = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
+        column = np.arange(width)
+        ids = np.where(column < size[:, None], self.first[data], -1)
+        rank = np.full(data.shape, self.NO_PAIR, np.int32)
+        rank[:, :-1] = np.where(column[1:] < size[:, None], self.of_bytes[data[:, :-1], data[:, 1:]], self.NO_PAIR)
+        done, row = np.empty_like(ids), np.arange(len(words))
+        while len(row):
+            at = rank.argmin(axis=1)
+            best = rank[np.arange(len(row)), at]
+            ended = best == self.NO_PAIR
+            done[row[ended]] = ids[ended]
+            live = ~ended
+            row, ids, rank, at, best = row[live], ids[live], rank[live], at[live], best[live]
+            here = np.arange(len(row))
+            behind = np.minimum(column + (column > at[:, None]), width - 1)
+            ids = np.take_along_axis(ids, behind, axis=1)
+            ids[:, -1] = -1
+            ids[here, at] = self.merged[best]
+            rank = np.take_along_axis(rank, np.minimum(column + (column >= at[:, None]), width - 1), axis=1)
+            rank[:, -1] = self.NO_PAIR
+            right = np.where(at + 1 < width, ids[here, np.minimum(at + 1, width - 1)], -1)
+            rank[here, at] = self._ranks(ids[here, at], right)
+            inner = np.flatnonzero(at > 0)
+            rank[inner, at[inner] - 1] = self._ranks(ids[inner, at[inner] - 1], ids[inner, at[inner]])
+        n = (done >= 0).sum(axis=1).tolist()
+        return [x[:k] for x, k in zip(done.tolist(), n)]
+
+
 class Encoder:
     """Per worker process: the mapped lexicon, the merges, and what the words met last became
     (two generations; no result depends on what is held)."""
@@ -238,12 +266,17 @@ class Encoder:
     def __init__(self, lexicon: transducer.Lexicon, bpe: Bpe) -> None:
         self.lexicon, self.bpe = lexicon, bpe
         self.id_at, self.ids = lexicon.id_at.tolist(), lexicon.ids.tolist()
+        self.merges = BatchMerges(bpe)
         self.newer: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
 
     def words(self, texts: list[str]) -> tuple[list[list[str]], dict[str, tuple]]:
         """(words of each text, {word: (ids, their number, ids as text, decoded bytes)})."""
-        rows = [self.bpe.pieces(t) for t in texts]
+        special = self.bpe.special
+        rows = pretokens.split(texts)
+        for i, t in enumerate(texts):
+            if any(x in t for x in special):
+                rows[i] = self.bpe.pieces(t)
         known, new = {}, []
         for w in set().union(*rows):
             got = self.newer.get(w) or self.older.get(w)
@@ -261,14 +294,18 @@ class Encoder:
 
     def _encoded(self, words: list[str]) -> list[list[int]]:
         """Ids of distinct words: all walk through the transducer at once, those that it does
-        not hold are merged."""
+        not hold are merged side by side."""
         raw = [w.encode("utf-8") for w in words]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         ends = np.cumsum(size)
         place = self.lexicon.places(np.frombuffer(b"".join(raw), np.uint8), ends - size, ends)
-        id_at, ids, bpe = self.id_at, self.ids, self.bpe
-        return [[bpe.special[w]] if w in bpe.special else ids[id_at[p]:id_at[p + 1]] if p >= 0 else bpe.encode_word(r)
-                for w, r, p in zip(words, raw, place.tolist())]
+        id_at, ids, special = self.id_at, self.ids, self.bpe.special
+        merged = iter(self.merges.encode([raw[i] for i in np.flatnonzero(place < 0).tolist()]))
+        out = [ids[id_at[p]:id_at[p + 1]] if p >= 0 else next(merged) for p in place.tolist()]
+        for i, w in enumerate(words):
+            if w in special:
+                out[i] = [special[w]]
+        return out
 
 
 @functools.lru_cache(maxsize=2)
