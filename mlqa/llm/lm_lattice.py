@@ -13,6 +13,8 @@ so the lattice carries every unseen word and the counts the seen ones. ``D`` is
 n1 / (n1 + 2 n2), from the numbers of words seen once and twice. A text's
 probability is the product over its words, each times the share of words among
 training tokens, times the share of ends: a proper distribution over texts.
+``lattice_score`` is the same product with the plain marginals under the vocabulary's own
+scores, neither fitted nor mixed with counts.
 
 Work is arranged by distinct words. A task cuts its texts into blocks of bounded
 size and writes one row per (block, distinct word) with the places of the word,
@@ -175,16 +177,18 @@ def _sum_block(table):
         known = np.bincount(doc, np.repeat((c > 0).astype(np.float64), times), n)
         base = np.bincount(doc, np.repeat(np.log10(c + 1), times), n)
         score = np.bincount(doc, np.repeat(lp, times), n)
+        own = np.bincount(doc, np.repeat(np.asarray(rows.column("own")), times), n)
     else:
-        known, base, score = np.zeros(n), np.zeros(n), np.zeros(n)
+        known, base, score, own = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
     return pa.table({"id": pa.array(ids, pa.int64(), mask=has_id == 0), "words": pa.array(count),
-                     "known": pa.array(known.astype(np.int64)), "base": pa.array(base), "lattice": pa.array(score)})
+                     "known": pa.array(known.astype(np.int64)), "base": pa.array(base), "lattice": pa.array(score),
+                     "own": pa.array(own)})
 
 
 def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text: str = "text",
                     rounds: int = ROUNDS) -> DataFrame:
-    """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score``; scores are
-    log10 probabilities. Texts with crc32(id) mod 7 = 2 are held out of the training
+    """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score``;
+    scores are log10 probabilities. Texts with crc32(id) mod 7 = 2 are held out of the training
     counts (a null id counts as the text ``None``)."""
     spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/lm-{uuid.uuid4().hex}"
@@ -205,29 +209,31 @@ def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id
     for _ in range(rounds if n else 0):
         weights = Weights(vocabulary, *_uses(words.filter("c > 0"), shared, weights, len(vocabulary["pieces"])))
 
-    now = spark.sparkContext.broadcast(weights)
+    now = spark.sparkContext.broadcast((weights, Weights(vocabulary)))
     discount = once / (once + 2 * twice) if once + twice else 0.5
     end_share = (ends + 0.5) / (train_tokens + 1)
 
     def score(batches):
-        lattice = Lattice(json.loads(shared.value), now.value.pieces, now.value.byte)
+        pieces = json.loads(shared.value)
+        lattice, plain = (Lattice(pieces, w.pieces, w.byte) for w in now.value)
         for batch in batches:
-            spelled = lattice.log_probability(batch.column(0).to_pylist())
+            words = batch.column(0).to_pylist()
+            spelled, own = lattice.log_probability(words), plain.log_probability(words) / math.log(10)
             c = np.asarray(batch.column(1)).astype(np.float64)
             with np.errstate(divide="ignore"):  # long words: L(w) may be below the smallest float
                 seen = np.log(np.maximum(c - discount, 0.0))
             lp = np.logaddexp(seen, math.log(discount * v + 1) + spelled) + math.log((1 - end_share) / (n + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lp / math.log(10))],
-                                             names=["word", "total", "logp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lp / math.log(10)), pa.array(own)],
+                                             names=["word", "total", "logp", "own"])
 
-    scored = words.mapInArrow(score, "word string, total long, logp double")
+    scored = words.mapInArrow(score, "word string, total long, logp double, own double")
     rows = blocks.filter("word IS NOT NULL").select("word", "block", "places").join(scored, "word").select(
-        "block", "places", "total", "logp", *[F.lit(None).cast("binary").alias(x) for x in ("ids", "has_id", "n")])
+        "block", "places", "total", "logp", "own", *[F.lit(None).cast("binary").alias(x) for x in ("ids", "has_id", "n")])
     heads = blocks.filter("word IS NULL").select(
-        "block", "places", F.lit(None).cast("long").alias("total"), F.lit(None).cast("double").alias("logp"),
+        "block", "places", F.lit(None).cast("long").alias("total"), *[F.lit(None).cast("double").alias(x) for x in ("logp", "own")],
         "ids", "has_id", "n")
     sums = rows.unionByName(heads).groupBy("block").applyInArrow(
-        _sum_block, "id long, words long, known long, base double, lattice double")
+        _sum_block, "id long, words long, known long, base double, lattice double, own double")
     # one more token per text: the end
     unit = math.log10(train_tokens + distinct + 1)
     end_base = math.log10(ends + 1)
@@ -237,7 +243,8 @@ def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id
         F.col("id").alias(id_col), (fold == HELD_OUT).alias("held_out"), tokens.alias("n_tokens"),
         (F.col("known") + int(ends > 0)).alias("n_known"), F.lit(int(train_tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + end_base - tokens * F.lit(unit)).alias("base_score"),
-        (F.col("lattice") + F.lit(math.log10(end_share))).alias("score"))
+        (F.col("lattice") + F.lit(math.log10(end_share))).alias("score"),
+        (F.col("own") + F.col("words") * F.lit(math.log10(1 - end_share)) + F.lit(math.log10(end_share))).alias("lattice_score"))
 
 
 def _uses(words: DataFrame, shared, weights: Weights, n_pieces: int):
