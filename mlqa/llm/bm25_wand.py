@@ -21,8 +21,10 @@ document frequency. Scores are rounded to 6 decimals; ties go to the lower id.
 
 Defined results: null and empty texts have no terms: they are in no result, and as
 queries give no rows; a query with fewer than k matching texts returns those;
-repeated rows are separate results with the same id; rows with a null id are not
-indexed; an empty table gives an empty result; other columns are not used.
+repeated rows are separate results with the same id, and every row of the queries is a
+query of its own, also where ids repeat; rows with a null id are neither indexed nor
+asked; ids are whole numbers (others raise an error); an empty table gives an empty
+result; other columns are not used.
 """
 
 from __future__ import annotations
@@ -114,12 +116,13 @@ def _frequencies(batches):
 
 def _query_terms(batches):
     for batch in batches:
-        ids = np.asarray(batch.column(0))
+        ids, rows = np.asarray(batch.column(0)), np.asarray(batch.column(2))
         for at, data, off in tk.chunks(*tk.text_buffers(batch.column(1))):
             term, doc, _ = _terms(data, off)
             term, doc, tf = _postings(term, doc)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at + doc]), pa.array(term), pa.array(tf, pa.int64())],
-                                             names=["query_id", "term", "qtf"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows[at + doc]), pa.array(ids[at + doc]), pa.array(term), pa.array(tf, pa.int64())],
+                names=["row", "query_id", "term", "qtf"])
 
 
 class Shard:
@@ -196,11 +199,9 @@ def _kth(x: np.ndarray, k: int) -> float:
     return float(np.partition(x, len(x) - k)[len(x) - k]) if len(x) >= k else 0.0
 
 
-
-
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``query_id, rank, doc_id, score`` of the best ``k`` of ``docs`` for each row of
-    ``queries`` (columns as in ``docs``, ids distinct)."""
+    ``queries`` (columns as in ``docs``)."""
     spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/bm25-{uuid.uuid4().hex}"
     pick = lambda d: d.filter(F.col(id_col).isNotNull()).select(
@@ -210,51 +211,53 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     n, tokens = index.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     mean = tokens / max(n, 1)
     df = index.select("terms", "starts").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    asked = pick(queries).mapInArrow(_query_terms, "query_id long, term long, qtf long")
+    asked = pick(queries).withColumn("row", F.monotonically_increasing_id()).mapInArrow(
+        _query_terms, "row long, query_id long, term long, qtf long")
     idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight")) \
-        .groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("t")) \
-        .select("query_id", "t.term", "t.weight").write.parquet(f"{folder}/queries")
+    asked.join(df, "term").select("row", "query_id", "term", (F.col("qtf") * idf).alias("weight")) \
+        .groupBy("row", "query_id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("t")) \
+        .select("row", "query_id", "t.term", "t.weight").write.parquet(f"{folder}/queries")
     asked = spark.read.parquet(f"{folder}/queries")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
     found = None
     for b in range(blocks):
-        part = asked.filter(F.col("block") == b).select("query_id", "term", "weight").toArrow()
+        part = asked.filter(F.col("block") == b).select("row", "query_id", "term", "weight").toArrow()
         flat = lambda name: part.column(name).combine_chunks()
         size = np.asarray(pa.compute.list_value_length(flat("term"))).astype(np.int64)
-        block = (np.asarray(flat("query_id")), np.concatenate(([0], np.cumsum(size))),
+        block = (np.asarray(flat("row")), np.asarray(flat("query_id")), np.concatenate(([0], np.cumsum(size))),
                  np.asarray(flat("term").flatten()), np.asarray(flat("weight").flatten()))
         shared = spark.sparkContext.broadcast(block)
-        index.mapInArrow(_searcher(shared, mean, k), "query_id long, doc_id long, score double") \
+        index.mapInArrow(_searcher(shared, mean, k), "row long, query_id long, doc_id long, score double") \
             .write.parquet(f"{folder}/found/block={b}")
     found = spark.read.parquet(f"{folder}/found").drop("block")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k) \
         .select("query_id", "rank", F.col("doc_id").alias(id_col), "score")
 
 
 def _searcher(shared, mean: float, k: int):
     def run(batches):
-        ids, off, term, weight = shared.value
+        rows, ids, off, term, weight = shared.value
         for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row, mean)
+            for stored in batch.to_pylist():
+                shard = Shard(stored, mean)
                 if not len(shard.terms):
                     continue
                 at = np.minimum(np.searchsorted(shard.terms, term), len(shard.terms) - 1)
                 ok = shard.terms[at] == term
-                q, d, s = [], [], []
+                r, q, d, s = [], [], [], []
                 for start in range(0, len(ids), BATCH):
                     some = range(start, min(start + BATCH, len(ids)))
                     batch_of = [(at[off[i]:off[i + 1]][ok[off[i]:off[i + 1]]],
                                  weight[off[i]:off[i + 1]][ok[off[i]:off[i + 1]]]) for i in some]
                     for i, (docs, scores) in zip(some, shard.search(batch_of, k)):
+                        r.append(np.full(len(docs), rows[i]))
                         q.append(np.full(len(docs), ids[i]))
                         d.append(shard.ids[docs])
                         s.append(scores)
                 if q:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(q).astype(np.int64)), pa.array(np.concatenate(d).astype(np.int64)),
-                         pa.array(np.concatenate(s))], names=["query_id", "doc_id", "score"])
+                        [*(pa.array(np.concatenate(x).astype(np.int64)) for x in (r, q, d)), pa.array(np.concatenate(s))],
+                        names=["row", "query_id", "doc_id", "score"])
     return run

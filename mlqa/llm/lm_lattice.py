@@ -26,7 +26,8 @@ Defined results: a null or empty text has the end token only; A-Z are lower-case
 words are runs without white space; texts and words of any length are scored
 whole; repeated rows get equal scores each; without any training text the counts
 are zero and the lattice keeps the vocabulary's own scores; an empty table gives an
-empty table. Only ``id_col`` and ``text`` of the input are used.
+empty table. Ids are whole numbers (others raise an error). Only ``id_col`` and ``text`` of
+the input are used.
 """
 
 from __future__ import annotations

@@ -25,7 +25,7 @@ Defined results: a text without words (null, empty, white space) is in no group
 shingle; equal texts are one class; an empty table gives an empty table. Rows
 with the same id are one document if their texts agree; if not, each text is a document
 of its own, told apart by a print of the text. Rows with a null id stay out of the groups
-(class null). Classes are named by their least id.
+(class null). Classes are named by their least id; ids are whole numbers (others raise an error).
 """
 
 from __future__ import annotations

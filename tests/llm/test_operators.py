@@ -248,6 +248,15 @@ def test_top_k_is_exact(docs_of, spark, monkeypatch):
     assert bm25_wand.bm25_top_k(d.limit(0), d.limit(0)).count() == 0
 
 
+def test_every_query_row_is_a_query_of_its_own(docs_of):
+    docs = docs_of([(1, "red apple"), (2, "green pear"), (2, "red apple pie"), (3, "pear tree"), (None, "red")])
+    asked = docs_of([(9, "red apple"), (9, "pear"), (9, "pear"), (None, "red"), (8, "")])
+    got = collections.defaultdict(list)
+    for r in bm25_wand.bm25_top_k(docs, asked, k=2).collect():
+        got[r.query_id].append((r.rank, r.doc_id))
+    assert sorted(got) == [9] and sorted(got[9]) == [(1, 1), (1, 2), (1, 2), (2, 2), (2, 3), (2, 3)]
+
+
 # ------------------------------------------------------------------ language evidence
 def test_language_on_held_out_documents(spark):
     d = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
