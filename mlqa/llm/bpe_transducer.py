@@ -41,7 +41,7 @@ from mlqa.llm import transducer
 LEXICON_WORDS = 131_072
 MEMO_WORDS = 200_000
 #: Bytes of text that are split and encoded together.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 # Fixed value: the pre-token pattern of byte-level BPE (white space by its Unicode property).
 WORDS = regex.compile(

@@ -29,8 +29,24 @@ def _classes() -> np.ndarray:
     return out
 
 
+#: Characters of texts that are cut together.
+RUN = 1 << 19
+
+
 def split(texts: list[str]) -> list[list[str]]:
     """The pre-tokens of each text, in order (special tokens are not looked for)."""
+    out, at = [], 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= RUN):
+            size += len(texts[to])
+            to += 1
+        out += _split(texts[at:to])
+        at = to
+    return out
+
+
+def _split(texts: list[str]) -> list[list[str]]:
     joined = "".join(texts)
     n = len(joined)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
