@@ -45,6 +45,8 @@ from mlqa.llm.license_fuzzy import _IS_WORD
 from mlqa.session import ensure_checkpoint_dir
 
 DOMAINS = ["clean", "low", "toxic"]
+#: Columns of the expected tokens wanted and reached.
+TOTALS = [f"{kind}_{x}" for kind in ("want", "got") for x in DOMAINS]
 #: Target shares of the expected tokens.
 TARGETS = {"clean": 0.97, "low": 0.03, "toxic": 0.0}
 BUCKETS = 1 << 18
@@ -310,22 +312,25 @@ def _copies(d: DataFrame, id_col: str, seed: int) -> DataFrame:
 
 
 def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, targets, total_tokens, max_rate):
-    """(classifier, written members without text, multipliers)."""
+    """(classifier, written members without text, fit)."""
     spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/mix-{uuid.uuid4().hex}"
     model = fit_classifier(docs, labels, id_col, text)
-    posteriors(docs.drop("rate", "copies"), model, text).write.parquet(f"{folder}/members")
+    posteriors(docs.drop("rate", "copies", *TOTALS), model, text).write.parquet(f"{folder}/members")
     members = spark.read.parquet(f"{folder}/members")
-    return model, members, fit_rates(members, targets, total_tokens, max_rate).multipliers
+    return model, members, fit_rates(members, targets, total_tokens, max_rate)
 
 
 def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", targets: dict | None = None,
         total_tokens: float | None = None, max_rate: float = 1.0, seed: int = 7) -> DataFrame:
     """``docs`` without the text, with ``n_tokens``, posteriors, ``rate`` and ``copies``: how
     often the document enters the mixture (the rate, rounded at random by a hash of
-    the id; a null id rounds by the seed alone)."""
-    _, members, multipliers = _fit(docs, labels, id_col, text, targets, total_tokens, max_rate)
-    return _copies(with_rates(members, multipliers, max_rate), id_col, seed)
+    the id; a null id rounds by the seed alone). ``want_*`` and ``got_*`` repeat, on every row, the
+    expected tokens that were wanted of each domain and those that the rates reach: targets that
+    no rates can meet (posteriors are rarely 0) show there."""
+    _, members, fit = _fit(docs, labels, id_col, text, targets, total_tokens, max_rate)
+    out = _copies(with_rates(members, fit.multipliers, max_rate), id_col, seed)
+    return out.withColumns({c: F.lit(float(x)) for c, x in zip(TOTALS, [*fit.want, *fit.got])})
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text",
@@ -333,11 +338,11 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                     seed: int = 7) -> DataFrame:
     """The mixture itself: rows of ``docs``, each as often as its ``copies`` say, same columns.
     The texts are read once more and judged where they are; they are neither joined nor stored."""
-    model, _, multipliers = _fit(docs.select(id_col, text), labels, id_col, text, targets, total_tokens, max_rate)
+    model, _, fit = _fit(docs.select(id_col, text), labels, id_col, text, targets, total_tokens, max_rate)
     clash = ["n_tokens", "rate", "copies", *[f"p_{x}" for x in DOMAINS]]
     own = {c: f"_own_{c}" for c in docs.columns if c in clash}
     d = docs.withColumnsRenamed(own).withColumn("_judged", F.col(own.get(text, text)))
     d = posteriors(d, model, "_judged")
-    d = _copies(with_rates(d, multipliers, max_rate), id_col, seed).filter("copies > 0")
+    d = _copies(with_rates(d, fit.multipliers, max_rate), id_col, seed).filter("copies > 0")
     d = d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return d.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
