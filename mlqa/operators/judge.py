@@ -65,6 +65,7 @@ def rating_class(text, language, english: str = "en") -> Column:
 
 
 # ---------------------------------------------------------------- F3 / F4
+# The field patterns of a judge's verdict.
 _SCORE = r"(?iuU)REASONING_SCORE:\s*([0-9]+)"
 _MISMATCH = r"(?iuU)LANGUAGE_MISMATCH:\s*([01])"
 _CORRECT = r"(?iuU)ANSWER_CORRECT:\s*([01])"

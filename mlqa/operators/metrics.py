@@ -196,6 +196,7 @@ def t_two_sided_p(t: Column, dof: Column) -> Column:
 
 
 # ---------------------------------------------------------------- G8 / G9 / G10
+# The constants of the two scores, and the names of the report's metrics below.
 def score_columns(mean_off: Column, mean_diag: Column, n_off: Column, n_diag: Column):
     """Recall, transfer and their harmonic mean; NULL when a part is empty."""
     ok = (n_off > 0) & (n_diag > 0)
