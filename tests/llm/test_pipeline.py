@@ -1,6 +1,7 @@
 """The pipeline end to end against brute force on the smallest tables, and independence of the rest."""
 
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -52,8 +53,43 @@ def test_empty_documents_pass_through(spark):
         assert out.count() == 0
 
 
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    """Nulls in every column, empty and one-megabyte texts, repeated rows and ids with several texts."""
+    start = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    rnd = random.Random(1)
+    prose = lambda k, n: ". ".join(" ".join(f"{w}{k}" for w in rnd.sample(WORDS, 9)) for _ in range(n)) + "."
+    long = prose(0, 20_000)
+    texts = [(1, None), (2, ""), (3, " \n\t "), (4, long), (5, long), (6, prose(6, 8)), (6, prose(7, 8)), (7, prose(8, 8)),
+             (None, prose(9, 8)), (8, prose(10, 8) + " mail anna.b@example.org now."), (9, "x" * 200_000)]
+    texts += [texts[7]] * 3
+    rows = [(i, t, None if i == 6 else "en", None if i == 7 else "web", None if t is None else len(t)) for i, t in texts]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in start.schema)
+    docs = spark.createDataFrame([tuple(dict(zip(("doc_id", "text", "lang", "source", "n_chars"), r))[c] for c in start.columns)
+                                  for r in rows], schema)
+    seen = {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF_SMALL).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        seen[name] = docs.collect()
+    text_of = lambda name: sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in seen[name])
+    good = [(i, t) for i, t in texts if t and i != 3 and i != 9]
+    assert text_of("quality_rules") == sorted((i is None, i or 0, t) for i, t in good)
+    kept = text_of("near_duplicates")
+    assert [x[:2] for x in kept if x[2] == long] == [(False, 4)]
+    assert sorted(x[2] for x in kept) == sorted({t for _, t in good})       # one of each text, both of id 6
+    maker = pii_fpe.Pseudonyms(catalog.PII_KEY)
+    assert text_of("pii_pseudonyms") == sorted((a, b, maker.replace(t)[0]) for a, b, t in kept)
+    assert set(text_of("source_mixing")) <= set(text_of("pii_pseudonyms"))
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted(r.decoded_sha256 for r in seen["bpe_encoding"]) == sorted(digest(x[2]) for x in text_of("source_mixing"))
+
+
+WORDS = ["river", "stone", "light", "paper", "garden", "window", "silver", "morning", "market", "engine", "harbour", "letter", "forest",
+         "bridge", "copper", "winter", "candle", "meadow", "anchor", "velvet", "saddle", "pepper", "lantern", "orchard"]
+
+
 def test_every_query_is_registered():
     import __spark_entry__ as entry
     names = entry.queries()
-    assert all(any(re.match(rf"op{n}_", x) for x in names) for n in range(1, 11)) and "pipeline" in names
+    assert all(any(re.match(rf"op{n}_", x) for x in names) for n in range(1, 14)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
