@@ -192,7 +192,7 @@ def t_two_sided_p(t: Column, dof: Column) -> Column:
         lambda s: s["sum"])
     within = F.when(odd, 2 / F.lit(math.pi) * (angle + F.when(terms > 0, F.sin(angle) * F.cos(angle) * series).otherwise(0.0))
                     ).otherwise(F.sin(angle) * series)
-    return F.when(dof > 0, F.greatest(1 - within, F.lit(0.0)))
+    return F.when((dof > 0) & t.isNotNull(), F.greatest(1 - within, F.lit(0.0)))
 
 
 # ---------------------------------------------------------------- G8 / G9 / G10

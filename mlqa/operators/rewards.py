@@ -317,7 +317,7 @@ def diagnostics(df: DataFrame, reward: str, key: Column, seed: int = 0,
     return out.filter(_sample_hash(key, seed) < F.element_at(bounds, F.col("bucket")))
 
 
-def write_diagnostics(sampled: DataFrame, path: str, batch: int | str) -> None:
+def write_diagnostics(sampled: DataFrame, path: str, batch: int | str = 0) -> None:
     """E19 sink: JSON lines in one folder per batch and bucket (success / partial / failed). A
     batch that runs again replaces its own folder, so nothing is written twice."""
     sampled.write.mode("overwrite").partitionBy("bucket").option("ignoreNullFields", False).json(f"{path}/batch={batch}")
