@@ -186,7 +186,7 @@ def _ship(docs: DataFrame, path: str) -> str:
 
 
 #: Words of one generation of a task's memo.
-HELD_WORDS = 131_072
+HELD_WORDS = 262_144
 HELD_CHARS = 64
 
 
@@ -265,6 +265,10 @@ class Encoder:
 
     def __init__(self, lexicon: transducer.Lexicon, bpe: Bpe) -> None:
         self.lexicon, self.bpe = lexicon, bpe
+        self.shown = {i: str(i) for i in bpe.bytes_of}
+        # every merge writes the bytes of its two sides, so the ids of a word decode to the word
+        self.lossless = all(bpe.bytes_of[bpe.first[b]] == bytes([b]) for b in range(256)) and all(
+            bpe.bytes_of[new] == bpe.bytes_of[k >> 20] + bpe.bytes_of[k & 0xFFFFF] for k, (_, new) in bpe.merge.items())
         self.id_at, self.ids = lexicon.id_at.tolist(), lexicon.ids.tolist()
         self.merges = BatchMerges(bpe)
         self.newer: dict[str, tuple] = {}
@@ -284,18 +288,18 @@ class Encoder:
                 new.append(w)
             else:
                 known[w] = got
-        for w, ids in zip(new, self._encoded(new)):
-            known[w] = (ids, len(ids), ",".join(map(str, ids)), self.bpe.decode(ids))
+        raw, shown = [w.encode("utf-8") for w in new], self.shown.__getitem__
+        for w, r, ids in zip(new, raw, self._encoded(new, raw)):
+            known[w] = (ids, len(ids), ",".join(map(shown, ids)), r if self.lossless else self.bpe.decode(ids))
         if len(self.newer) + len(known) > HELD_WORDS:
             self.older, self.newer = self.newer, {}
         room = HELD_WORDS - len(self.newer)
         self.newer.update((w, x) for w, x in itertools.islice(known.items(), room) if len(w) <= HELD_CHARS)
         return rows, known
 
-    def _encoded(self, words: list[str]) -> list[list[int]]:
+    def _encoded(self, words: list[str], raw: list[bytes]) -> list[list[int]]:
         """Ids of distinct words: all walk through the transducer at once, those that it does
         not hold are merged side by side."""
-        raw = [w.encode("utf-8") for w in words]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         ends = np.cumsum(size)
         place = self.lexicon.places(np.frombuffer(b"".join(raw), np.uint8), ends - size, ends)
