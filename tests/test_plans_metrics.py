@@ -147,10 +147,12 @@ def test_dimensions_are_broadcast(spark):
 
 
 def test_python_only_where_expected(spark):
-    for name in ("e17_total_reward", "e1_format_reward", "c12_qa_entries", "g9_tier_scores", "e11_classify_documents"):
+    for name in ("e1_format_reward", "c12_qa_entries", "g9_tier_scores", "g3_matrix_cells", "g7_p_value"):
         p = plan(REGISTRY[name][0](spark, SF_SMALL))
         assert "EvalPython" not in p, name
-    assert "ArrowEvalPython" in plan(REGISTRY["e10_fuzzy_reward"][0](spark, SF_SMALL))
+    for name in ("e10_fuzzy_reward", "e11_classify_documents", "e17_total_reward"):
+        p = plan(REGISTRY[name][0](spark, SF_SMALL))
+        assert "ArrowEvalPython" in p and "BatchEvalPython" not in p, name
 
 
 def test_numbering_hot_group_is_bucketed(spark):
