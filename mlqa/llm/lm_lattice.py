@@ -92,39 +92,62 @@ class Weights:
         self.byte = np.log((use_byte + PRIOR * vocabulary["byte"]) / total)
 
 
-def _block(ids: list, parts: list, part: int, seq: int) -> pa.RecordBatch:
-    """Rows of one block: a head (word null: the ids and word counts) and one row per
-    distinct word (training count, places as 16-bit text numbers, one per use)."""
-    data = np.concatenate([p[0] for p in parts])
-    shift = np.cumsum([0] + [len(p[0]) for p in parts[:-1]])
-    starts = np.concatenate([p[1] + s for p, s in zip(parts, shift)])
-    ends = np.concatenate([p[2] + s for p, s in zip(parts, shift)])
-    key = np.concatenate([p[3] for p in parts])
-    count = np.concatenate([p[4] for p in parts])
-    train = np.fromiter((is_training(i) for i in ids), bool, len(ids))
-    doc = np.repeat(np.arange(len(ids)), count)
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of the keys, and where each distinct one begins in it."""
     order = np.argsort(key, kind="stable")
     key = key[order]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    doc = doc[order]
-    c = np.add.reduceat(train[doc].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-    one = order[first]
+    return order, np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+
+
+def _spans(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The elements of spans, one span behind the other."""
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    off = np.cumsum(lens, dtype=np.int64)
+    return data[np.repeat((starts - (off - lens)).astype(kind), lens) + np.arange(off[-1] if len(off) else 0, dtype=kind)]
+
+
+def _distinct(low: np.ndarray, off: np.ndarray, at: int, train: np.ndarray):
+    """Words of a chunk of texts, its first text being number ``at`` of the block. Only distinct
+    words are kept: (hashes, bytes, lengths, uses, training uses, places by word), words by text."""
+    starts, ends, first = tk.word_spans(low, off)
+    key = tk.span_hashes(low, starts, ends)
+    count = np.diff(first)
+    order, begin = _runs(key)
+    one = order[begin]
     lens = ends[one] - starts[one]
-    off = np.concatenate(([0], np.cumsum(lens)))
-    take = np.repeat(starts[one] - off[:-1], lens) + np.arange(off[-1])
+    doc = np.repeat(np.arange(len(count)), count)[order]
+    uses = np.diff(np.append(begin, len(doc)))
+    c = np.add.reduceat(train[doc].astype(np.int32), begin) if len(begin) else np.zeros(0, np.int32)
+    return (key[one], _spans(low, starts[one], lens), lens.astype(np.int32), uses.astype(np.int32), c.astype(np.int32),
+            (doc + at).astype(np.uint16)), count
+
+
+def _block(ids: list, train: list, count: list, parts: list, part: int, seq: int) -> pa.RecordBatch:
+    """Rows of one block: a head (word null: the ids and word counts) and one row per
+    distinct word (training count, places as 16-bit text numbers, one per use)."""
+    key, data, lens, uses, c, places = (np.concatenate([p[k] for p in parts]) for k in range(6))
+    parts.clear()
+    order, first = _runs(key)
+    one = order[first]
+    word_at = np.cumsum(lens, dtype=np.int64) - lens
+    off = np.concatenate(([0], np.cumsum(lens[one], dtype=np.int64)))
     n = len(first)
-    words = pa.StringArray.from_buffers(n, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(data[take].tobytes()))
-    at_off = (np.append(first, len(doc)) * 2).astype(np.int32)
-    places = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(at_off.tobytes()),
-                                                          pa.py_buffer(doc.astype(np.uint16).tobytes())])
+    words = pa.StringArray.from_buffers(n, pa.py_buffer(off.astype(np.int32).tobytes()),
+                                        pa.py_buffer(_spans(data, word_at[one], lens[one]).tobytes()))
+    c = np.add.reduceat(c[order].astype(np.int64), first) if n else np.zeros(0, np.int64)
+    use_at = np.cumsum(uses, dtype=np.int64) - uses
+    uses = uses[order]
+    at_off = (np.append((np.cumsum(uses, dtype=np.int64) - uses)[first], len(places)) * 2).astype(np.int32)
+    at = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(at_off.tobytes()),
+                                                      pa.py_buffer(_spans(places, use_at[order], uses).tobytes())])
     block = np.full(n + 1, (part << 24) | seq, np.int64)
     head = pa.nulls(1, pa.string()), pa.nulls(1, pa.binary())
     return pa.RecordBatch.from_arrays([
-        pa.concat_arrays([words, head[0]]), pa.array(block), pa.array(np.append(c, int(train.sum()))),
-        pa.concat_arrays([places, head[1]]),
+        pa.concat_arrays([words, head[0]]), pa.array(block), pa.array(np.append(c, int(np.concatenate(train).sum()))),
+        pa.concat_arrays([at, head[1]]),
         pa.array([None] * n + [_packed([0 if i is None else i for i in ids])], pa.binary()),
         pa.array([None] * n + [_packed([i is not None for i in ids])], pa.binary()),
-        pa.array([None] * n + [_packed(count)], pa.binary()),
+        pa.array([None] * n + [_packed(np.concatenate(count))], pa.binary()),
     ], names=_COLUMNS)
 
 
@@ -138,49 +161,56 @@ def _packed(values) -> bytes:
 
 def _blocks(batches):
     from pyspark import TaskContext
-    part, seq, size = TaskContext.get().partitionId(), 0, 0
-    ids: list = []
-    parts: list = []
+    return _cut(batches, TaskContext.get().partitionId())
+
+
+def _cut(batches, part: int):
+    """Blocks of a task's texts. What is held of a block are the distinct words of its chunks
+    and two bytes per use, not the texts."""
+    seq, size = 0, 0
+    ids, train, count, parts = [], [], [], []
     for batch in batches:
-        all_ids = batch.column(0).to_pylist()
         for at, data, off in tk.chunks(*tk.text_buffers(batch.column(1))):
             k = len(off) - 1
             if ids and (size + len(data) > BLOCK_BYTES or len(ids) + k > BLOCK_TEXTS):
-                yield _block(ids, parts, part, seq)
-                ids, parts, size, seq = [], [], 0, seq + 1
-            low = tk.lower_ascii(data)
-            starts, ends, first = tk.word_spans(low, off)
-            lens = ends - starts
-            keep = np.concatenate(([0], np.cumsum(lens)))  # only the words' bytes stay
-            take = np.repeat(starts - keep[:-1], lens) + np.arange(keep[-1])
-            parts.append((low[take], keep[:-1].astype(np.int32), keep[1:].astype(np.int32),
-                          tk.span_hashes(low, starts, ends), np.diff(first)))
-            ids += all_ids[at:at + k]
-            size += len(data)
+                yield _block(ids, train, count, parts, part, seq)
+                ids, train, count, parts, size, seq = [], [], [], [], 0, seq + 1
+            for i in range(0, k, BLOCK_TEXTS):      # a chunk of short texts may hold more than a block
+                some = off[i:i + BLOCK_TEXTS + 1]
+                if i:
+                    yield _block(ids, train, count, parts, part, seq)
+                    ids, train, count, parts, size, seq = [], [], [], [], 0, seq + 1
+                new = batch.column(0).slice(at + i, len(some) - 1).to_pylist()
+                train.append(np.fromiter(map(is_training, new), bool, len(new)))
+                held, n = _distinct(tk.lower_ascii(data[some[0]:some[-1]]), some - some[0], len(ids), train[-1])
+                parts.append(held)
+                count.append(n)
+                ids += new
+                size += int(some[-1] - some[0])
     if ids:
-        yield _block(ids, parts, part, seq)
+        yield _block(ids, train, count, parts, part, seq)
+
+
+#: Rows of a block that are added up together.
+SUM_ROWS = 1 << 15
 
 
 def _sum_block(table):
     """Add up one block: its head row and its word rows (count, log probability, places)."""
     heads = np.flatnonzero(np.asarray(table.column("places").is_null()))
     head = table.slice(int(heads[0]), 1).to_pylist()[0]
-    rows = table.filter(table.column("places").is_valid()).combine_chunks()
     ids, has_id, count = (np.frombuffer(head[x], np.int64) for x in ("ids", "has_id", "n"))
     n = len(ids)
-    if rows.num_rows:
-        chunk = rows.column("places").chunk(0)
-        raw, off = tk.text_buffers(chunk.cast(pa.large_binary()).view(pa.large_string()))
+    known, base, score, own = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    for rows in table.select(["places", "total", "logp", "own"]).to_batches(max_chunksize=SUM_ROWS):
+        rows = rows.filter(rows.column("places").is_valid())
+        raw, off = tk.text_buffers(rows.column("places").cast(pa.large_binary()).view(pa.large_string()))
         doc = raw.view(np.uint16) if raw.flags.c_contiguous and len(raw) % 2 == 0 else np.frombuffer(raw.tobytes(), np.uint16)
         times = np.diff(off) // 2
         c = np.asarray(rows.column("total")).astype(np.float64)
-        lp = np.asarray(rows.column("logp"))
-        known = np.bincount(doc, np.repeat((c > 0).astype(np.float64), times), n)
-        base = np.bincount(doc, np.repeat(np.log10(c + 1), times), n)
-        score = np.bincount(doc, np.repeat(lp, times), n)
-        own = np.bincount(doc, np.repeat(np.asarray(rows.column("own")), times), n)
-    else:
-        known, base, score, own = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+        for out, value in ((known, (c > 0).astype(np.float64)), (base, np.log10(c + 1)), (score, np.asarray(rows.column("logp"))),
+                           (own, np.asarray(rows.column("own")))):
+            out += np.bincount(doc, np.repeat(value, times), n)
     return pa.table({"id": pa.array(ids, pa.int64(), mask=has_id == 0), "words": pa.array(count),
                      "known": pa.array(known.astype(np.int64)), "base": pa.array(base), "lattice": pa.array(score),
                      "own": pa.array(own)})
