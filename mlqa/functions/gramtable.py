@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Characters whose trigrams are looked at together.
-RUN = 1 << 20
+RUN = 1 << 17
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64((1 << 64) - 1)
 

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mlqa.functions import gramtable as G
+from mlqa.functions.pieces import by_piece, pieces
 from mlqa.functions.scripts import with_script_scores
 from mlqa.functions.text import chunk_text, norm_text, open_think, split_sentences, strip, tag_body
 from mlqa.plans.lineage import write_and_reread
@@ -73,9 +74,9 @@ def fit_langid(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in batches:
+    for labels, texts_of in (some for batch in batches for some in pieces(batch.column(0), batch.column(1))):
         by_language: dict[str, list[str]] = {}
-        for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for language, text in zip(labels.to_pylist(), texts_of.to_pylist()):
             by_language.setdefault(language, []).append(text)
         for language, texts in by_language.items():
             for _, begins, chars in G.runs(texts):
@@ -83,9 +84,8 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     found = np.unique(G.keys(chars)[G.inner(begins, len(chars))], return_counts=True)
                     held[language] = _added(held[language], found) if language in held else found
         if sum(len(k) for k, _ in held.values()) > HELD_GRAMS:
-            yield from map(_counted, held.items())
-            held.clear()
-    yield from map(_counted, held.items())
+            yield from _counted(held)
+    yield from _counted(held)
 
 
 def _added(one, two):
@@ -96,10 +96,19 @@ def _added(one, two):
     return numbers, n
 
 
-def _counted(item) -> pa.RecordBatch:
-    language, (numbers, n) = item
-    return pa.RecordBatch.from_arrays([pa.array([language] * len(n), pa.string()), pa.array(G.grams(numbers), pa.string()),
-                                       pa.array(n, pa.int64())], names=["language", "gram", "n"])
+#: Trigrams that are turned into text together.
+SENT_GRAMS = 1 << 15
+
+
+def _counted(held: dict) -> Iterator[pa.RecordBatch]:
+    """All counts, handed on piece by piece; nothing stays held."""
+    while held:
+        language, (numbers, n) = held.popitem()
+        for at in range(0, len(n), SENT_GRAMS):
+            some = n[at:at + SENT_GRAMS]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([language] * len(some), pa.string()), pa.array(G.grams(numbers[at:at + SENT_GRAMS]), pa.string()),
+                 pa.array(some, pa.int64())], names=["language", "gram", "n"])
 
 
 def languages(docs: DataFrame, lang_col: str = "lang") -> list[str]:
@@ -160,7 +169,8 @@ def classify(pieces: DataFrame, model: Packed | DataFrame, id_cols: list[str], t
 
         @F.arrow_udf("string")
         def language(texts: pa.Array) -> pa.Array:
-            return pa.array(names, pa.string()).take(pa.array(best([t or "" for t in texts.to_pylist()])))
+            place = lambda some: pa.array(best([t or "" for t in some.to_pylist()]), pa.int64())
+            return pa.array(names, pa.string()).take(by_piece(place, texts))
         return spread(pieces).select(*id_cols, language(padded(F.col(text_col))).alias(out))
     grams = spread(pieces).select(*id_cols, F.explode_outer(trigrams(F.col(text_col))).alias("gram"))
     sums = (grams.join(model, "gram", "left").groupBy(*id_cols)
@@ -177,8 +187,7 @@ def match_counts(model: Packed, query, pieces) -> Column:
     """struct(total, match) of a row: its pieces, and those in the language of its query."""
     best, _ = model.best(None)
 
-    @F.arrow_udf("total int, match int")
-    def counts(queries: pa.Array, lists: pa.Array) -> pa.Array:
+    def some_counts(queries: pa.Array, lists: pa.Array) -> pa.Array:
         of_query = best([t or "" for t in queries.to_pylist()])
         lists = [x or [] for x in lists.to_pylist()]
         total = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -187,6 +196,10 @@ def match_counts(model: Packed, query, pieces) -> Column:
         match = np.bincount(owner, weights=same, minlength=len(lists)).astype(np.int32)
         return pa.StructArray.from_arrays([pa.array(total.astype(np.int32)), pa.array(match)], names=["total", "match"])
 
+    @F.arrow_udf("total int, match int")
+    def counts(queries: pa.Array, lists: pa.Array) -> pa.Array:
+        return by_piece(some_counts, queries, lists)
+
     # evaluated once, also when a filter above uses the reward
     return counts.asNondeterministic()(padded(query), F.transform(pieces, lambda p: padded(p)))
 
