@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,22 +24,24 @@ def score_batches(df: DataFrame, prompt_col: str, fn_factory: Callable[[], Calla
 
     ``fn_factory()`` is called once per task (load a model there); the returned
     callable maps ``list[str] -> list[str]``. Arrow batches stream through
-    ``mapInPandas`` so no partition is held in memory at once. With
+    ``mapInArrow``; only the prompts of one call become Python values, the other
+    columns pass through as they are. With
     ``checkpoint`` the scored rows are written to the shared checkpoint folder
     (model scoring is the costly step: a lost executor must not re-score).
     """
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType(), True)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at = df.columns.index(prompt_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = fn_factory()
-        for pdf in batches:
-            prompts = pdf[prompt_col].tolist()
-            outs: list = []
-            for i in range(0, len(prompts), batch_size):
-                outs.extend(fn(prompts[i:i + batch_size]))
-            yield pdf.assign(**{out_col: outs})
-
-    out = df.mapInPandas(run, schema)
+        for batch in batches:
+            for i in range(0, batch.num_rows, batch_size):
+                some = batch.slice(i, batch_size)
+                outs = pa.array(fn(some.column(at).to_pylist()), pa.string())
+                yield pa.RecordBatch.from_arrays([*some.columns, outs], names=schema.names)
+
+    out = df.mapInArrow(run, schema)
     if checkpoint:
         from mlqa.plans.lineage import cut_lineage
         out = cut_lineage(out)
