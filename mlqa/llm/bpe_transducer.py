@@ -261,10 +261,11 @@ class BatchMerges:
 
 class Encoder:
     """Per worker process: the mapped lexicon, the merges, and what the words met last became
-    (two generations; no result depends on what is held)."""
+    (two generations; no result depends on what is held). For ``digests`` a word's ids are
+    held as text with its decoded bytes, else as ids: never both."""
 
-    def __init__(self, lexicon: transducer.Lexicon, bpe: Bpe) -> None:
-        self.lexicon, self.bpe = lexicon, bpe
+    def __init__(self, lexicon: transducer.Lexicon, bpe: Bpe, digests: bool = False) -> None:
+        self.lexicon, self.bpe, self.digests = lexicon, bpe, digests
         self.shown = {i: str(i) for i in bpe.bytes_of}
         # every merge writes the bytes of its two sides, so the ids of a word decode to the word
         self.lossless = all(bpe.bytes_of[bpe.first[b]] == bytes([b]) for b in range(256)) and all(
@@ -275,7 +276,8 @@ class Encoder:
         self.older: dict[str, tuple] = {}
 
     def words(self, texts: list[str]) -> tuple[list[list[str]], dict[str, tuple]]:
-        """(words of each text, {word: (ids, their number, ids as text, decoded bytes)})."""
+        """(words of each text, {word: (number of ids, ids as text, decoded bytes) for digests, else
+        (number of ids, ids)})."""
         special = self.bpe.special
         rows = pretokens.split(texts)
         for i, t in enumerate(texts):
@@ -290,7 +292,8 @@ class Encoder:
                 known[w] = got
         raw, shown = [w.encode("utf-8") for w in new], self.shown.__getitem__
         for w, r, ids in zip(new, raw, self._encoded(new, raw)):
-            known[w] = (ids, len(ids), ",".join(map(shown, ids)), r if self.lossless else self.bpe.decode(ids))
+            known[w] = (len(ids), ",".join(map(shown, ids)), r if self.lossless else self.bpe.decode(ids)) \
+                if self.digests else (len(ids), ids)
         if len(self.newer) + len(known) > HELD_WORDS:
             self.older, self.newer = self.newer, {}
         room = HELD_WORDS - len(self.newer)
@@ -313,8 +316,8 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def _tools(lexicon: str, vocabulary: str) -> Encoder:
-    return Encoder(transducer.Lexicon(SparkFiles.get(lexicon)), Bpe(SparkFiles.get(vocabulary)))
+def _tools(lexicon: str, vocabulary: str, digests: bool) -> Encoder:
+    return Encoder(transducer.Lexicon(SparkFiles.get(lexicon)), Bpe(SparkFiles.get(vocabulary)), digests)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", lexicon: str | None = None,
@@ -333,7 +336,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", lexicon: st
     schema = StructType([*d.schema.fields[:-1], *made])
 
     def run(batches):
-        encoder = _tools(lexicon, vocabulary)
+        encoder = _tools(lexicon, vocabulary, digests)
         for batch in batches:
             col = batch.column(len(rest))
             _, off = tk.text_buffers(col)
@@ -342,13 +345,13 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", lexicon: st
                 to = min(len(col), max(at + 1, int(np.searchsorted(off, off[at] + CHUNK_BYTES, side="right")) - 1))
                 rows, known = encoder.words([t or "" for t in col.slice(at, to - at).to_pylist()])
                 rows = [[known[w] for w in row] for row in rows]
-                n = pa.array([sum([x[1] for x in row]) for row in rows], pa.int64())
+                n = pa.array([sum([x[0] for x in row]) for row in rows], pa.int64())
                 if digests:
-                    ids = [hashlib.sha256(",".join([x[2] for x in row]).encode()).hexdigest() for row in rows]
-                    plain = [b"".join([x[3] for x in row]).decode("utf-8", "replace").encode() for row in rows]
+                    ids = [hashlib.sha256(",".join([x[1] for x in row]).encode()).hexdigest() for row in rows]
+                    plain = [b"".join([x[2] for x in row]).decode("utf-8", "replace").encode() for row in rows]
                     cols = [n, pa.array(ids, pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in plain], pa.string())]
                 else:
-                    flat = [np.fromiter(itertools.chain.from_iterable(x[0] for x in row), np.int32) for row in rows]
+                    flat = [np.fromiter(itertools.chain.from_iterable(x[1] for x in row), np.int32) for row in rows]
                     cols = [n, pa.array(flat, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(k).slice(at, to - at) for k in range(len(rest))] + cols, names=schema.names)
