@@ -4,9 +4,10 @@ The words of the corpus (the tokenizer's own pre-token pattern) are counted by a
 grouped aggregation; the ``lexicon_words`` most frequent ones are merged once on the
 driver and compiled, with their ids, into a minimal acyclic transducer. Its file
 goes to every executor, where tasks map it into memory. A task walks all distinct
-words of a batch through it at once; a word that it does not hold is merged
-exactly, by rank. The vocabulary file is an existing one (``tokenizer_path``); nothing
-is trained.
+words of a chunk of texts through it at once; a word that it does not hold is merged
+exactly, by rank. Words stay places in the chunk's bytes: Arrow numbers the distinct ones
+and strings their results together, and nothing is held from chunk to chunk. The
+vocabulary file is an existing one (``tokenizer_path``); nothing is trained.
 
 Defined results: a null text is encoded as the empty text (no ids; decoded to the
 empty text); texts are never cut; special tokens written out in a text become their
@@ -20,11 +21,10 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
-import itertools
 import json
 import os
+import re
 import tempfile
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +39,9 @@ from mlqa.llm import textkernels as tk
 from mlqa.llm import transducer
 
 LEXICON_WORDS = 131_072
-MEMO_WORDS = 200_000
-#: Bytes of text that are split and encoded together.
+#: Bytes of text that are split and encoded together, and counted together.
 CHUNK_BYTES = 4 << 20
+COUNT_BYTES = 8 << 20
 
 # Fixed value: the pre-token pattern of byte-level BPE (white space by its Unicode property).
 WORDS = regex.compile(
@@ -74,8 +74,6 @@ class Bpe:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merge[vocab[a] << 20 | vocab[b]] = (rank, vocab[a + b])
-        self.split = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) \
-            if self.special else None
 
     def encode_word(self, word: bytes) -> list[int]:
         """Exact merges: the lowest rank first, the leftmost of equal ones."""
@@ -117,45 +115,29 @@ class Bpe:
                     heapq.heappush(heap, (m[0], k, ids[k], ids[after[k]], m[1]))
         return [x for x in ids if x >= 0]
 
-    def pieces(self, text: str) -> list[str]:
-        """Pre-tokens and special tokens, in order."""
-        if self.split is None or not any(t in text for t in self.special):
-            return WORDS.findall(text)
-        out, at = [], 0
-        for m in self.split.finditer(text):
-            out += WORDS.findall(text[at:m.start()])
-            out.append(m[0])
-            at = m.end()
-        return out + WORDS.findall(text[at:])
-
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def _distinct(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, pa.StringArray]:
+    """(number of each pre-token's word, the distinct words) of the pre-tokens that start there."""
+    ends = np.append(starts, len(data)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(data)).dictionary_encode()
+    return words.indices.to_numpy(), words.dictionary
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``word, n`` over all texts; each task adds up its own words before the shuffle."""
+    """``word, n`` over all texts; each task adds up the words of a chunk, and of its chunks
+    before the shuffle."""
     def count(batches):
-        seen: Counter = Counter()
         for batch in batches:
-            col = batch.column(0)
-            _, off = tk.text_buffers(col)
-            at = 0
-            while at < len(col):
-                to = min(len(col), max(at + 1, int(np.searchsorted(off, off[at] + CHUNK_BYTES, side="right")) - 1))
-                seen.update(itertools.chain.from_iterable(pretokens.split([t or "" for t in col.slice(at, to - at).to_pylist()])))
-                at = to
-            if len(seen) > MEMO_WORDS:
-                yield _counted(seen)
-                seen.clear()
-        yield _counted(seen)
+            for _, data, off in tk.chunks(*tk.text_buffers(batch.column(0)), COUNT_BYTES):
+                index, words = _distinct(data, pretokens.spans(data, off)[0])
+                n = np.bincount(index, minlength=len(words))
+                yield pa.RecordBatch.from_arrays([words, pa.array(n, pa.int64())], names=["word", "n"])
     return docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counted(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())],
-                                      names=["word", "n"])
-
-
 def compile_lexicon(docs: DataFrame, tokenizer_path: str, text: str = "text",
                     lexicon_words: int = LEXICON_WORDS) -> str:
     """Build the transducer of the ``lexicon_words`` most frequent words (the driver gets
@@ -185,134 +167,185 @@ def _ship(docs: DataFrame, path: str) -> str:
     return name
 
 
-#: Words of one generation of a task's memo.
-HELD_WORDS = 262_144
-HELD_CHARS = 64
-
-
 class BatchMerges:
     """The merges of many words at once: in each round every word that still has a pair to merge
     makes its one next merge (the lowest rank, the leftmost of equal ones), so the result is that
-    of merging word by word."""
+    of merging word by word. A word is a column: its symbols stay at the place of their first
+    byte, linked to the places before and behind them."""
 
     WIDTHS = (8, 16, 32)        # words are merged beside others of up to so many bytes
+    TOGETHER = 8192             # words that are merged together
+    PLACE_BITS = 5
     NO_PAIR = np.iinfo(np.int32).max
 
     def __init__(self, bpe: Bpe) -> None:
         self.bpe = bpe
-        self.first = np.asarray(bpe.first, np.int64)
+        self.first = np.asarray(bpe.first, np.int32)
         self.pairs = np.array(sorted(bpe.merge), np.int64)
         self.rank_of = np.array([bpe.merge[k][0] for k in self.pairs.tolist()] or [self.NO_PAIR], np.int32)
-        self.merged = np.zeros(len(self.pairs) + 1, np.int64)
+        self.merged = np.zeros(len(self.pairs) + 1, np.int32)
         for rank, new in bpe.merge.values():
             self.merged[rank] = new
         self.of_bytes = self._ranks(self.first[:, None], self.first[None, :])
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair; ``NO_PAIR`` where there is none or a side is missing (-1)."""
-        key = left << 20 | right
+        key = left.astype(np.int64) << 20 | right
         if not len(self.pairs):
             return np.full(key.shape, self.NO_PAIR, np.int32)
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where((self.pairs[at] == key) & (left >= 0) & (right >= 0), self.rank_of[at], self.NO_PAIR)
 
+    def _keys(self, rank: np.ndarray, place) -> np.ndarray:
+        """Rank and place in one number: the least one is the next merge of a word."""
+        return np.where(rank == self.NO_PAIR, self.NO_PAIR, rank << self.PLACE_BITS | place).astype(np.int32)
+
     def encode(self, words: list[bytes]) -> list[list[int]]:
-        out: list = [None] * len(words)
         size = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(size)
+        ids = np.full(int(size.sum()), -1, np.int32)
+        self.write(np.frombuffer(b"".join(words), np.uint8), ends - size, size, ids, ends - size)
+        return [[x for x in ids[a:b].tolist() if x >= 0] for a, b in zip((ends - size).tolist(), ends.tolist())]
+
+    def write(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray, out: np.ndarray, base: np.ndarray) -> None:
+        """Write the ids of the word of ``size`` bytes from each of ``starts`` to ``out``, each id at
+        the place of its first byte counted from the word's ``base``; the places between are left."""
         low = 0
         for width in self.WIDTHS:
             some = np.flatnonzero((size > low) & (size <= width))
             low = width
-            if len(some):
-                for i, ids in zip(some.tolist(), self._merge([words[i] for i in some.tolist()], size[some], width)):
-                    out[i] = ids
-        for i in np.flatnonzero((size == 0) | (size > low)).tolist():
-            out[i] = self.bpe.encode_word(words[i])
-        return out
-
-    def _merge(self, words: list[bytes], size: np.ndarray, width: int) -> list[list[int]]:
-        data = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
-        column = np.arange(width)
-        ids = np.where(column < size[:, None], self.first[data], -1)
-        rank = np.full(data.shape, self.NO_PAIR, np.int32)
-        rank[:, :-1] = np.where(column[1:] < size[:, None], self.of_bytes[data[:, :-1], data[:, 1:]], self.NO_PAIR)
-        done, row = np.empty_like(ids), np.arange(len(words))
-        while len(row):
-            at = rank.argmin(axis=1)
-            best = rank[np.arange(len(row)), at]
-            ended = best == self.NO_PAIR
-            done[row[ended]] = ids[ended]
-            live = ~ended
-            row, ids, rank, at, best = row[live], ids[live], rank[live], at[live], best[live]
-            here = np.arange(len(row))
-            behind = np.minimum(column + (column > at[:, None]), width - 1)
-            ids = np.take_along_axis(ids, behind, axis=1)
-            ids[:, -1] = -1
-            ids[here, at] = self.merged[best]
-            rank = np.take_along_axis(rank, np.minimum(column + (column >= at[:, None]), width - 1), axis=1)
-            rank[:, -1] = self.NO_PAIR
-            right = np.where(at + 1 < width, ids[here, np.minimum(at + 1, width - 1)], -1)
-            rank[here, at] = self._ranks(ids[here, at], right)
-            inner = np.flatnonzero(at > 0)
-            rank[inner, at[inner] - 1] = self._ranks(ids[inner, at[inner] - 1], ids[inner, at[inner]])
-        n = (done >= 0).sum(axis=1).tolist()
-        return [x[:k] for x, k in zip(done.tolist(), n)]
+            for at in range(0, len(some), self.TOGETHER):
+                part = some[at:at + self.TOGETHER]
+                ids = self._merge(data, starts[part], size[part], width)
+                place, word = np.nonzero(ids >= 0)
+                out[base[part][word] + place] = ids[place, word]
+        for i in np.flatnonzero(size > low).tolist():
+            ids = self.bpe.encode_word(data[starts[i]:starts[i] + size[i]].tobytes())
+            out[base[i]:base[i] + len(ids)] = ids
+
+    def _merge(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+        """Ids by place and word; -1 where no symbol starts. Place ``width`` stands for no symbol."""
+        n, place = len(size), np.arange(width)[:, None]
+        inside = place < size
+        raw = data[np.where(inside, starts + place, 0)]
+        done = np.full((width + 1, n), -1, np.int32)
+        done[:-1] = np.where(inside, self.first[raw], -1)
+        key = np.full((width + 1, n), self.NO_PAIR, np.int32)
+        key[:-2] = self._keys(np.where(inside[1:], self.of_bytes[raw[:-1], raw[1:]], self.NO_PAIR), place[:-1])
+        after = np.tile(np.minimum(np.arange(1, width + 2), width)[:, None], n)
+        before = np.tile(np.array([width, *range(width)])[:, None], n)
+        word, ids = np.arange(n), done.copy()
+        while len(word):
+            best = key.min(axis=0)
+            live = np.flatnonzero(best != self.NO_PAIR)
+            if 2 * len(live) <= len(word):
+                done[:, word] = ids
+                word, best = word[live], best[live]
+                ids, key, after, before = ids[:, live], key[:, live], after[:, live], before[:, live]
+                live = np.arange(len(word))
+            else:
+                best = best[live]
+            left = best & ((1 << self.PLACE_BITS) - 1)
+            right = after[left, live]
+            behind, ahead = after[right, live], before[left, live]
+            new = self.merged[best >> self.PLACE_BITS]
+            ids[left, live], ids[right, live], key[right, live] = new, -1, self.NO_PAIR
+            after[left, live], before[behind, live] = behind, left
+            key[left, live] = self._keys(self._ranks(new, ids[behind, live]), left)
+            key[ahead, live] = self._keys(self._ranks(ids[ahead, live], new), ahead)
+        return done[:-1]
+
+
+def _joined(values: pa.LargeBinaryArray, count: np.ndarray) -> pa.LargeBinaryArray:
+    """Each run of ``count`` values as one."""
+    _, ends, data = values.buffers()
+    ends = np.frombuffer(ends, np.int64)[np.concatenate(([0], np.cumsum(count)))]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(count), [None, pa.py_buffer(ends), data])
+
+
+def _cells(values: pa.LargeBinaryArray, cut: np.ndarray) -> list[memoryview]:
+    """The bytes of the values from each of ``cut`` up to the next."""
+    _, ends, data = values.buffers()
+    at, data = np.frombuffer(ends, np.int64)[cut].tolist(), memoryview(data)
+    return [data[a:b] for a, b in zip(at, at[1:])]
+
+
+class Words:
+    """The words of a chunk of texts: ``index`` has the distinct word of each pre-token, ``cut`` each
+    text's first pre-token (length texts + 1), ``count`` and ``ids`` the ids of the distinct words."""
+
+    def __init__(self, index: np.ndarray, cut: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        self.index, self.cut, self.count, self.ids = index, cut, count, ids
+
+    def cells(self, of_id: pa.LargeBinaryArray) -> list[memoryview]:
+        """For each text, what ``of_id`` has for its ids, strung together."""
+        if not len(self.ids):
+            return [memoryview(b"")] * (len(self.cut) - 1)
+        return _cells(_joined(of_id.take(pa.array(self.ids)), self.count).take(pa.array(self.index)), self.cut)
+
+    def n_tokens(self) -> np.ndarray:
+        return np.diff(np.concatenate(([0], np.cumsum(self.count[self.index])))[self.cut])
+
+    def id_lists(self) -> pa.Array:
+        at = pa.array(np.concatenate(([0], np.cumsum(self.count))).astype(np.int32))
+        flat = pa.ListArray.from_arrays(at, pa.array(self.ids, pa.int32())).take(pa.array(self.index)).flatten()
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(self.n_tokens()))).astype(np.int32)), flat)
 
 
 class Encoder:
-    """Per worker process: the mapped lexicon, the merges, and what the words met last became
-    (two generations; no result depends on what is held). For ``digests`` a word's ids are
-    held as text with its decoded bytes, else as ids: never both."""
+    """Per worker process: the mapped lexicon, the merges and, for ``digests``, what each id shows
+    and decodes to. Nothing is held of the words that were met."""
 
     def __init__(self, lexicon: transducer.Lexicon, bpe: Bpe, digests: bool = False) -> None:
-        self.lexicon, self.bpe, self.digests = lexicon, bpe, digests
-        self.shown = {i: str(i) for i in bpe.bytes_of}
-        # every merge writes the bytes of its two sides, so the ids of a word decode to the word
-        self.lossless = all(bpe.bytes_of[bpe.first[b]] == bytes([b]) for b in range(256)) and all(
-            bpe.bytes_of[new] == bpe.bytes_of[k >> 20] + bpe.bytes_of[k & 0xFFFFF] for k, (_, new) in bpe.merge.items())
-        self.id_at, self.ids = lexicon.id_at.tolist(), lexicon.ids.tolist()
+        self.lexicon, self.bpe = lexicon, bpe
         self.merges = BatchMerges(bpe)
-        self.newer: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
-
-    def words(self, texts: list[str]) -> tuple[list[list[str]], dict[str, tuple]]:
-        """(words of each text, {word: (number of ids, ids as text, decoded bytes) for digests, else
-        (number of ids, ids)})."""
-        special = self.bpe.special
-        rows = pretokens.split(texts)
-        for i, t in enumerate(texts):
-            if any(x in t for x in special):
-                rows[i] = self.bpe.pieces(t)
-        known, new = {}, []
-        for w in set().union(*rows):
-            got = self.newer.get(w) or self.older.get(w)
-            if got is None:
-                new.append(w)
-            else:
-                known[w] = got
-        raw, shown = [w.encode("utf-8") for w in new], self.shown.__getitem__
-        for w, r, ids in zip(new, raw, self._encoded(new, raw)):
-            known[w] = (len(ids), ",".join(map(shown, ids)), r if self.lossless else self.bpe.decode(ids)) \
-                if self.digests else (len(ids), ids)
-        if len(self.newer) + len(known) > HELD_WORDS:
-            self.older, self.newer = self.newer, {}
-        room = HELD_WORDS - len(self.newer)
-        self.newer.update((w, x) for w, x in itertools.islice(known.items(), room) if len(w) <= HELD_CHARS)
-        return rows, known
-
-    def _encoded(self, words: list[str], raw: list[bytes]) -> list[list[int]]:
-        """Ids of distinct words: all walk through the transducer at once, those that it does
-        not hold are merged side by side."""
-        size = np.fromiter(map(len, raw), np.int64, len(raw))
-        ends = np.cumsum(size)
-        place = self.lexicon.places(np.frombuffer(b"".join(raw), np.uint8), ends - size, ends)
-        id_at, ids, special = self.id_at, self.ids, self.bpe.special
-        merged = iter(self.merges.encode([raw[i] for i in np.flatnonzero(place < 0).tolist()]))
-        out = [ids[id_at[p]:id_at[p + 1]] if p >= 0 else next(merged) for p in place.tolist()]
-        for i, w in enumerate(words):
-            if w in special:
-                out[i] = [special[w]]
-        return out
+        every = range(max(bpe.bytes_of) + 1)
+        self.shown = pa.array([b"%d," % i for i in every] if digests else [], pa.large_binary())
+        self.plain = pa.array([bpe.bytes_of.get(i, b"") for i in every] if digests else [], pa.large_binary())
+        self.special = {t.encode(): i for t, i in bpe.special.items()}
+        self.split = re.compile(b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+
+    def words(self, texts) -> Words:
+        """The words of some texts (a list or an Arrow array of strings)."""
+        data, off = tk.text_buffers(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        marked = self._marked(data, off)
+        starts, cut = pretokens.spans(data, np.unique(np.concatenate((off, *marked))) if marked else off)
+        if marked:
+            inner = np.zeros(len(starts), bool)
+            for begin, end in marked:
+                inner[np.searchsorted(starts, begin + 1):np.searchsorted(starts, end)] = True
+            starts = starts[~inner]
+            cut = np.searchsorted(starts, off)
+        index, words = _distinct(data, starts)
+        return Words(index, cut, *self._encoded(words, bool(marked)))
+
+    def _marked(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int]]:
+        """Where special tokens are written out; none goes over the end of a text."""
+        raw = memoryview(data)
+        if self.split is None or not self.split.search(raw):
+            return []
+        return [m.span() for a, b in zip(off.tolist(), off[1:].tolist()) for m in self.split.finditer(raw, a, b)]
+
+    def _encoded(self, words: pa.StringArray, marked: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each distinct word, their ids): all walk through the transducer at
+        once, those that it does not hold are merged side by side."""
+        data, off = tk.text_buffers(words)
+        base, size = off[:-1], np.diff(off)
+        place = self.lexicon.places(data, base, off[1:])
+        out = np.full(len(data), -1, np.int32)      # a word has no more ids than bytes
+        for i in [words.index(t.decode()).as_py() for t in self.special] if marked else []:
+            if i >= 0:
+                out[base[i]] = self.special[data[off[i]:off[i + 1]].tobytes()]
+                place[i] = -2
+        held = np.flatnonzero(place >= 0)
+        at = self.lexicon.id_at[place[held]].astype(np.int64)
+        n = self.lexicon.id_at[place[held] + 1] - at
+        nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(base[held], n) + nth] = self.lexicon.ids[np.repeat(at, n) + nth]
+        rest = np.flatnonzero(place == -1)
+        self.merges.write(data, base[rest], size[rest], out, base[rest])
+        there = out >= 0
+        return np.diff(np.concatenate(([0], np.cumsum(there)))[off]), out[there]
 
 
 @functools.lru_cache(maxsize=2)
@@ -339,23 +372,18 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", lexicon: st
         encoder = _tools(lexicon, vocabulary, digests)
         for batch in batches:
             col = batch.column(len(rest))
-            _, off = tk.text_buffers(col)
-            at = 0
-            while at < len(col):
-                to = min(len(col), max(at + 1, int(np.searchsorted(off, off[at] + CHUNK_BYTES, side="right")) - 1))
-                rows, known = encoder.words([t or "" for t in col.slice(at, to - at).to_pylist()])
-                rows = [[known[w] for w in row] for row in rows]
-                n = pa.array([sum([x[0] for x in row]) for row in rows], pa.int64())
+            for at, _, off in tk.chunks(*tk.text_buffers(col), CHUNK_BYTES):
+                n = len(off) - 1
+                words = encoder.words(col.slice(at, n))
+                made_here = [pa.array(words.n_tokens(), pa.int64())]
                 if digests:
-                    ids = [hashlib.sha256(",".join([x[1] for x in row]).encode()).hexdigest() for row in rows]
-                    plain = [b"".join([x[2] for x in row]).decode("utf-8", "replace").encode() for row in rows]
-                    cols = [n, pa.array(ids, pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in plain], pa.string())]
+                    ids = [hashlib.sha256(x[:-1]).hexdigest() for x in words.cells(encoder.shown)]
+                    plain = [hashlib.sha256(str(x, "utf-8", "replace").encode()).hexdigest() for x in words.cells(encoder.plain)]
+                    made_here += [pa.array(ids, pa.string()), pa.array(plain, pa.string())]
                 else:
-                    flat = [np.fromiter(itertools.chain.from_iterable(x[1] for x in row), np.int32) for row in rows]
-                    cols = [n, pa.array(flat, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(k).slice(at, to - at) for k in range(len(rest))] + cols, names=schema.names)
-                at = to
+                    made_here.append(words.id_lists())
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(at, n) for k in range(len(rest))] + made_here,
+                                                 names=schema.names)
 
     return d.mapInArrow(run, schema)
 

@@ -3,7 +3,8 @@
 The tokenizer's pattern cuts a text into contractions, runs of letters, of digits and of
 other characters, each with one blank before it, and white space. Where a pre-token starts
 follows from the classes of a character and its two neighbours, so all starts of a chunk of
-texts are found by comparing shifted arrays; only the words are cut out one by one.
+texts are found by comparing shifted arrays. ``spans`` gives the places in UTF-8 bytes and
+cuts nothing out; ``split`` cuts the words of Python strings out one by one.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import functools
 import numpy as np
 import regex
 
+from mlqa.llm import textkernels as tk
+
 LETTER, DIGIT, OTHER, SPACE, NONE = range(5)
 # What may follow an apostrophe as a contraction.
 SHORT, LONG = "stmd", ("re", "ve", "ll")
@@ -46,6 +49,27 @@ def split(texts: list[str]) -> list[list[str]]:
     return out
 
 
+def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pre-tokens of UTF-8 texts (``off``: where each begins, and the end): the first byte of
+    each, which ends where the next begins, and the index of each text's first one (length
+    texts + 1)."""
+    starts = [np.zeros(0, np.int64)]
+    for row, part, bounds in tk.chunks(data, off, RUN):
+        starts.append(_byte_starts(part, bounds) + off[row])
+    starts = np.concatenate(starts)
+    return starts, np.searchsorted(starts, off)
+
+
+def _byte_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    if not len(data):
+        return np.zeros(0, np.int64)
+    if data.max() < 128:
+        return np.flatnonzero(_starts(data, bounds))
+    code = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    place = np.flatnonzero((data & 0xC0) != 0x80)           # first byte of each character
+    return place[_starts(code, np.searchsorted(place, bounds))]
+
+
 def _split(texts: list[str]) -> list[list[str]]:
     joined = "".join(texts)
     n = len(joined)
@@ -54,10 +78,18 @@ def _split(texts: list[str]) -> list[list[str]]:
     if not n:
         return [[] for _ in texts]
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.flatnonzero(_starts(code, first))
+    words = list(map(joined.__getitem__, map(slice, at.tolist(), [*at[1:].tolist(), n])))
+    cut = np.searchsorted(at, first).tolist()
+    return [words[a:b] for a, b in zip(cut, cut[1:])]
+
+
+def _starts(code: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether a pre-token starts at each character (``first``: where the texts begin, and the end)."""
     kind = _classes()[code]
     before, after = np.empty_like(kind), np.empty_like(kind)
     before[1:], after[:-1] = kind[:-1], kind[1:]
-    some = size > 0
+    some = np.diff(first) > 0
     before[first[:-1][some]] = NONE
     after[first[1:][some] - 1] = NONE
     space = kind == SPACE
@@ -67,10 +99,7 @@ def _split(texts: list[str]) -> list[list[str]]:
     start[1:] &= ~joins[:-1]
     start |= last
     _contract(code, kind, before, start, first)
-    at = np.flatnonzero(start)
-    words = list(map(joined.__getitem__, map(slice, at.tolist(), [*at[1:].tolist(), n])))
-    cut = np.searchsorted(at, first).tolist()
-    return [words[a:b] for a, b in zip(cut, cut[1:])]
+    return start
 
 
 def _contract(code, kind, before, start, first) -> None:
