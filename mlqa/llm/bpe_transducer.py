@@ -135,6 +135,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 index, words = _distinct(data, pretokens.spans(data, off)[0])
                 n = np.bincount(index, minlength=len(words))
                 yield pa.RecordBatch.from_arrays([words, pa.array(n, pa.int64())], names=["word", "n"])
+        pa.default_memory_pool().release_unused()   # the worker stays, idle, beside stages without Python
     return docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -348,7 +349,7 @@ class Encoder:
         return np.diff(np.concatenate(([0], np.cumsum(there)))[off]), out[there]
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _tools(lexicon: str, vocabulary: str, digests: bool) -> Encoder:
     return Encoder(transducer.Lexicon(SparkFiles.get(lexicon)), Bpe(SparkFiles.get(vocabulary)), digests)
 
@@ -384,6 +385,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", lexicon: st
                     made_here.append(words.id_lists())
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(at, n) for k in range(len(rest))] + made_here,
                                                  names=schema.names)
+        pa.default_memory_pool().release_unused()
 
     return d.mapInArrow(run, schema)
 

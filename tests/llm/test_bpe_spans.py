@@ -1,6 +1,8 @@
 """Words as places in a chunk's bytes: the same cuts and ids, nothing held between chunks."""
 
+import gc
 import random
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -69,3 +71,15 @@ def test_written_ids_stay_at_their_word():
     out = np.full(int(size.sum()), -1, np.int32)
     B.BatchMerges(bpe).write(np.frombuffer(b"".join(words), np.uint8), base, size, out, base)
     assert [[i for i in out[b:b + n].tolist() if i >= 0] for b, n in zip(base, size)] == [bpe.encode_word(w) for w in words]
+
+
+def test_a_worker_keeps_one_encoder_only(tmp_path, monkeypatch):
+    """A run has a lexicon of its own; the one of the run before is not kept beside it."""
+    monkeypatch.setattr(B.SparkFiles, "get", lambda name: name)
+    made = []
+    for word in (b"the", b"cat"):
+        transducer.save(transducer.build([(word, [1])]), str(tmp_path / word.decode()))
+        made.append(weakref.ref(B._tools(str(tmp_path / word.decode()), catalog.vocabulary(catalog.BYTE_BPE), True)))
+    gc.collect()
+    assert made[0]() is None and made[1]() is not None
+    B._tools.cache_clear()
