@@ -61,7 +61,7 @@ QUERY_BLOCK = 8192
 QUERY_POSTINGS = 4_000_000
 BATCH = 512            # queries that share one dense product
 DENSE_SHARE = 1 / 60   # a list in more than this share of a shard's texts may be dense
-DENSE_CELLS = SUM_CELLS = 10 << 20  # single-precision numbers held of a shard's dense lists, and of a batch's sums
+DENSE_CELLS = SUM_CELLS = 8 << 20  # single-precision numbers held of a shard's dense lists, and of a batch's sums
 CELL, LIST = 1 / 140, 300  # time of a cell of the dense product, and of a list, to that of a posting
 FEW = 16               # lists of so few postings are taken together
 PIECE = 1 << 18        # postings taken at once
