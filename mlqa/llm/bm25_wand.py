@@ -51,11 +51,11 @@ from mlqa.llm.text_layout import terms_of
 from mlqa.session import ensure_checkpoint_dir
 
 K1, B = 1.2, 0.75
-SHARD_POSTINGS = 4_000_000
+SHARD_POSTINGS = 5_000_000
 SHARD_TEXTS = 1 << 16  # text numbers are 16 bits
 LEAST_POSTINGS = 1_000_000  # smaller shards are not made only to have more tasks
 RANGES = 16            # parts of the terms, each sorted by itself
-SEEDS = 8              # one shard of so many answers a block of queries first
+SEEDS = 16             # one shard of so many answers a block of queries first
 TILE, SPAN = 4096, 64  # texts that share one dense product, and of these per block maximum
 QUERY_BLOCK = 8192
 QUERY_POSTINGS = 4_000_000
