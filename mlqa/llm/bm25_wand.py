@@ -7,11 +7,11 @@ mean length, document frequencies) are global, so a shard's scores are final and
 the best k of all shards merge exactly.
 
 Queries run in blocks of at most about ``QUERY_BLOCK``; a block is broadcast (its size is
-bounded) and every shard answers it, in batches of like queries. Where an eighth of
-the shards can be told apart (``SEEDS``), they answer first, and the k-th best score
-found there is a floor for the others. In a shard the sparse lists are added up in
+bounded) and every shard answers it, in batches of like queries. Where there are shards
+enough, one of ``SEEDS`` answers first, and the k-th best score found there is a floor
+for the others. In a shard the sparse lists are added up in
 single precision, rarest and commonest alike. For dense lists the index keeps the largest
-contribution per block of ``SPAN`` neighbouring texts; as in block-max WAND, a
+contribution per block of ``SPAN`` texts of a tile; as in block-max WAND, a
 block is a pivot only if the best that a text of it has so far plus the block maxima
 of the dense lists reaches the floor; dense lists are added to runs of texts with
 pivots only, by one product for a batch. Whether a list counts as dense is a matter of
@@ -56,7 +56,7 @@ SHARD_TEXTS = 1 << 16  # text numbers are 16 bits
 LEAST_POSTINGS = 1_000_000  # smaller shards are not made only to have more tasks
 RANGES = 16            # parts of the terms, each sorted by itself
 SEEDS = 16             # one shard of so many answers a block of queries first
-TILE, SPAN = 4096, 64  # texts that share one dense product, and of these per block maximum
+TILE, SPAN = 4096, 64  # texts that share one dense product, and those of them that share a block maximum
 QUERY_BLOCK = 8192
 QUERY_POSTINGS = 4_000_000
 BATCH = 512            # queries that share one dense product
